@@ -160,8 +160,14 @@ def value_count_table(df: DataFrame, columns=None) -> DataFrame:
     distinct counts, top values and modes of many columns.
     """
     cols = require_columns(df, columns or df.columns)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
-                      for c in cols])
+
+    def text(c: str):
+        # -0.0 + 0.0 = 0.0: equal floats give equal text
+        if isinstance(dtype_of(df, c), (T.FloatType, T.DoubleType)):
+            return (col(c) + F.lit(0.0)).cast("string")
+        return col(c).cast("string")
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in cols])
     long = df.select(F.inline(pairs))
     return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("count"))
@@ -510,5 +516,30 @@ def table_summary(df: DataFrame) -> dict:
     }
 
 
+def summary_row(df: DataFrame) -> DataFrame:
+    """AGG-8 as one row: rows, column counts by family, missing cells (one scan)."""
+    cols = df.columns
+    missing = [F.count_if(col(c).isNull()).alias(f"_tw{i}") for i, c in enumerate(cols)]
+    wide = df.agg(F.count(F.lit(1)).alias("rows"), *missing)
+    total = sum((F.col(f"_tw{i}") for i in range(len(cols))), F.lit(0))
+    with_missing = sum((F.when(F.col(f"_tw{i}") > 0, 1).otherwise(0) for i in range(len(cols))), F.lit(0))
+    return wide.select(
+        "rows", F.lit(len(cols)).alias("columns"),
+        F.lit(len(numeric_columns(df))).alias("numeric_columns"),
+        F.lit(len(categorical_columns(df))).alias("categorical_columns"),
+        F.lit(len(datetime_columns(df))).alias("datetime_columns"),
+        total.cast("long").alias("total_missing"),
+        F.round(F.try_divide(total * 100.0, F.col("rows") * len(cols)), 2).alias("missing_pct"),
+        with_missing.cast("int").alias("columns_with_missing"))
+
+
+def schema_counts(df: DataFrame) -> DataFrame:
+    """AGG-26: schema listing with the non-null count of every column."""
+    meta = schema_listing(df)
+    counts = df.agg(*[F.count(col(c)).alias(f"_tw{i}") for i, c in enumerate(df.columns)])
+    long = _stack(counts, df.columns, "_tw", "non_null")
+    return F.broadcast(meta).join(long, "column")
+
+
 def _nan_safe(v):
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else v

@@ -442,3 +442,424 @@ def q_sample_stratified_frac(spark, d):
 @register("sample_replace")
 def q_sample_replace(spark, d):
     return S.sample_rows(table(spark, d, "orders"), n=500, random_state=7, replace=True, key="o_orderkey")
+
+
+# =====================================================================
+# AGG
+# =====================================================================
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double column (summation order differs between engines)."""
+    out = []
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("double", "float"):
+            out.append(F.round(F.col(f"`{f.name}`"), digits).alias(f.name))
+        else:
+            out.append(F.col(f"`{f.name}`"))
+    return df.select(*out)
+
+
+@register("groupby_agg", """
+SELECT l_returnflag, sum(l_quantity) AS l_quantity,
+       round(avg(l_extendedprice), 6) AS l_extendedprice_mean,
+       round(max(l_extendedprice), 6) AS l_extendedprice_max,
+       round(stddev_samp(l_discount), 6) AS l_discount
+FROM lineitem GROUP BY l_returnflag""")
+def q_groupby_agg(spark, d):
+    return rounded(A.group_by_agg(table(spark, d, "lineitem"), ["l_returnflag"],
+                                  {"l_quantity": "sum", "l_extendedprice": ["mean", "max"],
+                                   "l_discount": "std"}))
+
+
+@register("groupby_multi", """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity_sum,
+       count(l_quantity) AS l_quantity_count, round(median(l_quantity), 6) AS l_quantity_median,
+       min(l_extendedprice) AS l_extendedprice
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def q_groupby_multi(spark, d):
+    return rounded(A.group_by_agg(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"],
+                                  {"l_quantity": ["sum", "count", "median"], "l_extendedprice": "min"}))
+
+
+@register("groupby_null_keys", f"""
+SELECT event_type, round(coalesce(sum(value), 0), 2) AS value_sum, count(value) AS value_count,
+       count(user_id) AS user_id
+FROM {EVENTS_N_SQL} WHERE event_type IS NOT NULL GROUP BY event_type""")
+def q_groupby_null_keys(spark, d):
+    g = A.group_by_agg(events_n(spark, d), "event_type", {"value": ["sum", "count"], "user_id": "count"})
+    return rounded(g, 2)
+
+
+def _describe_num_sql(t: str, c: str) -> str:
+    return (f"SELECT '{c}' AS \"column\", count({c}) AS count, NULL::BIGINT AS \"unique\", "
+            f"NULL::VARCHAR AS top, NULL::BIGINT AS freq, round(avg({c}), 6) AS mean, "
+            f"round(stddev_samp({c}), 6) AS std, round(min({c})::DOUBLE, 6) AS min, "
+            f"round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, "
+            f"round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c})::DOUBLE, 6) AS max FROM {t}")
+
+
+def _describe_text_sql(t: str, c: str) -> str:
+    top = (f"(SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} "
+           f"ORDER BY count(*) DESC, {c} LIMIT 1)")
+    freq = f"(SELECT count(*) FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY 1 DESC LIMIT 1)"
+    return (f"SELECT '{c}' AS \"column\", count({c}) AS count, count(DISTINCT {c}) AS \"unique\", "
+            f"{top} AS top, {freq} AS freq, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, "
+            f"NULL::DOUBLE AS min, NULL::DOUBLE AS p25, NULL::DOUBLE AS p50, NULL::DOUBLE AS p75, "
+            f"NULL::DOUBLE AS max FROM {t}")
+
+
+@register("describe_all", " UNION ALL ".join(
+    [_describe_num_sql("part", c) for c in ("p_partkey", "p_size", "p_retailprice")]
+    + [_describe_text_sql("part", c) for c in ("p_name", "p_brand", "p_type")]))
+def q_describe_all(spark, d):
+    return rounded(A.describe_stats(table(spark, d, "part")))
+
+
+@register("describe_grouped", " UNION ALL ".join(
+    f"""SELECT l_returnflag, '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean,
+       round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min,
+       round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
+       round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max
+       FROM lineitem GROUP BY l_returnflag""" for c in ("l_quantity", "l_discount")))
+def q_describe_grouped(spark, d):
+    return rounded(A.describe_stats(table(spark, d, "lineitem"), group_by="l_returnflag",
+                                    columns=["l_quantity", "l_discount"]))
+
+
+EVENTS_N_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
+
+
+@register("missing_summary", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) - count({c}) AS missing_count,
+       round((count(*) - count({c})) * 100.0 / count(*), 2) AS missing_pct FROM {EVENTS_N_SQL}"""
+    for c in EVENTS_N_COLS))
+def q_missing_summary(spark, d):
+    return K.missing_counts(events_n(spark, d))
+
+
+@register("table_summary", f"""
+SELECT count(*) AS rows, 5 AS columns, 3 AS numeric_columns, 1 AS categorical_columns,
+       1 AS datetime_columns,
+       (count(*) - count(event_type)) + (count(*) - count(value)) AS total_missing,
+       round(((count(*) - count(event_type)) + (count(*) - count(value))) * 100.0 / (count(*) * 5), 2)
+         AS missing_pct,
+       CAST(count(*) > count(event_type) AS INT) + CAST(count(*) > count(value) AS INT)
+         AS columns_with_missing
+FROM {EVENTS_N_SQL}""")
+def q_table_summary(spark, d):
+    return A.summary_row(events_n(spark, d))
+
+
+def _profile_sql(t: str, cols: list[tuple[str, str, str]], bounds=(10, 100), skew=False) -> str:
+    """cols: (name, spark dtype, kind)."""
+    parts = []
+    for i, (c, dt, kind) in enumerate(cols):
+        nd = f"(SELECT count(DISTINCT {c}) FROM {t})"
+        card = (f"CASE WHEN {nd} < {bounds[0]} THEN 'low' WHEN {nd} < {bounds[1]} "
+                f"THEN 'medium' ELSE 'high' END")
+        if kind == "numeric":
+            x = f"CAST({c} AS DOUBLE)"
+            num = (f"round(avg({x}), 6) AS mean, round(quantile_cont({x}, 0.5), 6) AS median, "
+                   f"round(coalesce(stddev_samp({x}), 0), 6) AS std, round(min({x}), 6) AS min, "
+                   f"round(max({x}), 6) AS max, round(quantile_cont({x}, 0.25), 6) AS q25, "
+                   f"round(quantile_cont({x}, 0.75), 6) AS q75")
+            if skew:
+                num += (f", round(CASE WHEN count({x}) >= 3 THEN skewness({x}) END, 6) AS skewness, "
+                        f"CASE WHEN count({x}) < 3 OR skewness({x}) IS NULL THEN NULL "
+                        f"WHEN abs(skewness({x})) < 0.5 THEN 'normal' "
+                        f"WHEN abs(skewness({x})) < 1.0 THEN 'moderately skewed' "
+                        f"ELSE 'highly skewed' END AS skew_class")
+        else:
+            num = ("NULL::DOUBLE AS mean, NULL::DOUBLE AS median, NULL::DOUBLE AS std, "
+                   "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS q25, NULL::DOUBLE AS q75")
+            if skew:
+                num += ", NULL::DOUBLE AS skewness, NULL::VARCHAR AS skew_class"
+        parts.append(
+            f"SELECT '{c}' AS \"column\", '{dt}' AS dtype, '{kind}' AS kind, {i} AS ordinal, "
+            f"{nd} AS n_distinct, count(*) - count({c}) AS n_null, "
+            f"round((count(*) - count({c})) * 100.0 / count(*), 2) AS missing_pct, "
+            f"{card} AS cardinality, {num} FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+EVENTS_N_PROFILE = [("event_id", "bigint", "numeric"), ("ts", "timestamp_ntz", "datetime"),
+                    ("user_id", "bigint", "numeric"), ("event_type", "string", "categorical"),
+                    ("value", "double", "numeric")]
+
+
+@register("profile_columns", _profile_sql(EVENTS_N_SQL, EVENTS_N_PROFILE))
+def q_profile(spark, d):
+    return rounded(A.column_profile(events_n(spark, d)))
+
+
+LINEITEM_PROFILE = [("l_quantity", "double", "numeric"), ("l_extendedprice", "double", "numeric"),
+                    ("l_discount", "double", "numeric"), ("l_returnflag", "string", "categorical"),
+                    ("l_shipdate", "timestamp_ntz", "datetime")]
+
+
+@register("stats_skewness", _profile_sql(
+    "lineitem", LINEITEM_PROFILE, bounds=(10, 50), skew=True).replace(
+    "count(DISTINCT l_discount)", "count(DISTINCT l_discount + 0.0)"))
+def q_stats_skewness(spark, d):
+    li = table(spark, d, "lineitem").select([c for c, _, _ in LINEITEM_PROFILE])
+    return rounded(A.chart_stats(li))
+
+
+@register("top_values", """
+SELECT "column", value, count, rank FROM (
+  SELECT "column", value, count, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank
+  FROM (SELECT 'p_brand' AS "column", p_brand AS value, count(*) AS count FROM part GROUP BY p_brand
+        UNION ALL
+        SELECT 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY p_size
+        UNION ALL
+        SELECT 'p_type', p_type, count(*) FROM part GROUP BY p_type))
+WHERE rank <= 10""")
+def q_top_values(spark, d):
+    return A.top_values(table(spark, d, "part"), ["p_brand", "p_size", "p_type"], 10)
+
+
+@register("scalar_aggs", """
+SELECT count(*) AS row_count, round(avg(l_extendedprice), 6) AS mean,
+       round(sum(l_extendedprice), 2) AS sum, max(l_extendedprice) AS max, min(l_extendedprice) AS min,
+       count(l_extendedprice) AS non_null_count FROM lineitem""")
+def q_scalar_aggs(spark, d):
+    r = A.scalar_aggs(table(spark, d, "lineitem"), "l_extendedprice")
+    return r.select("row_count", F.round("mean", 6).alias("mean"), F.round("sum", 2).alias("sum"),
+                    "max", "min", "non_null_count")
+
+
+@register("scalar_aggs_extra", """
+SELECT count(*) AS row_count, round(median(o_totalprice), 6) AS median,
+       round(stddev_samp(o_totalprice), 6) AS std, count(o_totalprice) AS non_null_count FROM orders""")
+def q_scalar_aggs_extra(spark, d):
+    return rounded(A.scalar_aggs(table(spark, d, "orders"), "o_totalprice", ("median", "std", "count")))
+
+
+CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _corr_sql(t: str, cols: list[str], diagonal: bool = True) -> str:
+    parts = []
+    for i, a in enumerate(cols):
+        if diagonal:
+            parts.append(f"SELECT '{a}' AS col_x, '{a}' AS col_y, "
+                         f"CASE WHEN stddev_samp({a}) > 0 THEN 1.0 END AS r FROM {t}")
+        for b in cols[i + 1:]:
+            r = f"round(CASE WHEN stddev_samp({a}) > 0 AND stddev_samp({b}) > 0 THEN corr({a}, {b}) END, 6)"
+            parts.append(f"SELECT '{a}', '{b}', {r} FROM {t}")
+            parts.append(f"SELECT '{b}', '{a}', {r} FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+@register("corr_matrix", _corr_sql("lineitem", CORR_COLS))
+def q_corr_matrix(spark, d):
+    return rounded(A.corr_matrix(table(spark, d, "lineitem"), CORR_COLS))
+
+
+@register("corr_pair", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def q_corr_pair(spark, d):
+    return rounded(A.corr_pair(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
+
+
+@register("corr_with_target", """
+SELECT 'p_partkey' AS "column", round(corr(p_partkey, p_retailprice), 6) AS r FROM part
+UNION ALL SELECT 'p_size', round(corr(p_size, p_retailprice), 6) FROM part""")
+def q_corr_with_target(spark, d):
+    return rounded(A.corr_with_target(table(spark, d, "part"), "p_retailprice"))
+
+
+@register("category_relation", """
+SELECT l_returnflag, round(avg(l_extendedprice), 6) AS mean, count(l_extendedprice) AS count
+FROM lineitem GROUP BY l_returnflag""")
+def q_category_relation(spark, d):
+    return rounded(A.category_relation(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice"))
+
+
+@register("value_counts_topk", """
+SELECT p_brand, count(*) AS count FROM part WHERE p_brand IS NOT NULL
+GROUP BY p_brand ORDER BY count DESC, p_brand LIMIT 5""")
+def q_value_counts(spark, d):
+    return A.value_counts(table(spark, d, "part"), "p_brand", 5)
+
+
+@register("group_size", """
+SELECT o_orderstatus, o_orderpriority, count(*) AS size FROM orders
+GROUP BY o_orderstatus, o_orderpriority""")
+def q_group_size(spark, d):
+    return A.group_size(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@register("nunique", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique FROM orders"
+    for c in ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]))
+def q_nunique(spark, d):
+    return A.nunique(table(spark, d, "orders"))
+
+
+@register("distinct_values", "SELECT DISTINCT p_type AS value FROM part WHERE p_type IS NOT NULL")
+def q_distinct_values(spark, d):
+    return A.distinct_values(table(spark, d, "part"), "p_type")
+
+
+@register("mode_value", """
+SELECT (SELECT p_brand FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand
+        ORDER BY count(*) DESC, p_brand LIMIT 1) AS p_brand,
+       (SELECT p_size FROM part WHERE p_size IS NOT NULL GROUP BY p_size
+        ORDER BY count(*) DESC, p_size LIMIT 1) AS p_size""")
+def q_mode_value(spark, d):
+    return A.mode_value(table(spark, d, "part"), ["p_brand", "p_size"])
+
+
+@register("best_group", """
+SELECT l_shipmode_flag AS l_returnflag, v AS l_extendedprice FROM (
+  SELECT l_returnflag AS l_shipmode_flag, round(avg(l_extendedprice), 6) AS v FROM lineitem
+  WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag ORDER BY avg(l_extendedprice) DESC, l_returnflag
+  LIMIT 1)""")
+def q_best_group(spark, d):
+    return rounded(A.best_group(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice"))
+
+
+@register("worst_group", """
+SELECT o_orderpriority, round(avg(o_totalprice), 6) AS o_totalprice FROM orders
+GROUP BY o_orderpriority ORDER BY avg(o_totalprice), o_orderpriority LIMIT 1""")
+def q_worst_group(spark, d):
+    return rounded(A.best_group(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", worst=True))
+
+
+@register("having_filter", """
+SELECT l_suppkey, sum(l_quantity) AS l_quantity FROM lineitem
+GROUP BY l_suppkey HAVING sum(l_quantity) > 15500""")
+def q_having(spark, d):
+    return A.having_filter(table(spark, d, "lineitem"), "l_suppkey", {"l_quantity": "sum"},
+                           "l_quantity > 15500")
+
+
+QS = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+@register("quantiles", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {q} AS q, round(quantile_cont({c}, {q}), 6) AS value FROM lineitem"
+    for c in ("l_quantity", "l_extendedprice") for q in QS))
+def q_quantiles(spark, d):
+    return rounded(A.quantiles(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], QS))
+
+
+@register("quantiles_grouped", " UNION ALL ".join(
+    f"SELECT o_orderstatus, 'o_totalprice' AS \"column\", {q} AS q, "
+    f"round(quantile_cont(o_totalprice, {q}), 6) AS value FROM orders GROUP BY o_orderstatus"
+    for q in (0.25, 0.5, 0.75)))
+def q_quantiles_grouped(spark, d):
+    return rounded(A.quantiles(table(spark, d, "orders"), ["o_totalprice"], (0.25, 0.5, 0.75),
+                               by="o_orderstatus"))
+
+
+@register("percent_breakdown", """
+SELECT o_orderpriority, count(*) AS count,
+       round(count(*) * 100.0 / (SELECT count(*) FROM orders WHERE o_orderpriority IS NOT NULL), 4) AS percent
+FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority""")
+def q_percent(spark, d):
+    return A.percent_breakdown(table(spark, d, "orders"), "o_orderpriority")
+
+
+@register("column_range", "SELECT min(p_retailprice) AS min, max(p_retailprice) AS max FROM part")
+def q_column_range(spark, d):
+    return A.column_range(table(spark, d, "part"), "p_retailprice")
+
+
+@register("schema_listing", " UNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{c}' AS \"column\", '{t}' AS dtype, '{fam}' AS family, "
+    f"count({c}) AS non_null FROM orders"
+    for i, (c, t, fam) in enumerate([
+        ("o_orderkey", "bigint", "number"), ("o_custkey", "bigint", "number"),
+        ("o_orderstatus", "string", "object"), ("o_totalprice", "double", "number"),
+        ("o_orderdate", "timestamp_ntz", "datetime"), ("o_orderpriority", "string", "object")])))
+def q_schema_listing(spark, d):
+    return A.schema_counts(table(spark, d, "orders"))
+
+
+# =====================================================================
+# SET / RSH
+# =====================================================================
+
+@register("union_tables", """
+SELECT * FROM orders WHERE o_orderstatus = 'F' UNION ALL
+SELECT * FROM orders WHERE o_orderstatus = 'O' UNION ALL
+SELECT * FROM orders WHERE o_orderstatus = 'P'""")
+def q_union(spark, d):
+    o = table(spark, d, "orders")
+    parts = [S.filter_rows(o, f"o_orderstatus = '{s}'") for s in "FOP"]
+    return J.concat_tables(parts)
+
+
+@register("union_keys", """
+SELECT *, 'early' AS source FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' UNION ALL
+SELECT *, 'late' AS source FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'""")
+def q_union_keys(spark, d):
+    o = table(spark, d, "orders")
+    early = S.filter_rows(o, "o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'")
+    late = S.filter_rows(o, "o_orderdate >= TIMESTAMP_NTZ '1998-01-01 00:00:00'")
+    return J.concat_tables([early, late], keys=["early", "late"])
+
+
+@register("pivot_mean", """
+SELECT l_returnflag,
+       round(avg(CASE WHEN l_linestatus = 'F' THEN l_quantity END), 6) AS "F",
+       round(avg(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 6) AS "O"
+FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY l_returnflag""")
+def q_pivot_mean(spark, d):
+    return rounded(X.pivot_table(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus",
+                                 values="l_quantity", aggfunc="mean"))
+
+
+@register("pivot_multi", """
+SELECT o_orderpriority,
+       round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS o_totalprice_F,
+       round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS o_totalprice_O,
+       round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 2) AS o_totalprice_P,
+       count(CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS o_custkey_F,
+       count(CASE WHEN o_orderstatus = 'O' THEN o_custkey END) AS o_custkey_O,
+       count(CASE WHEN o_orderstatus = 'P' THEN o_custkey END) AS o_custkey_P
+FROM orders GROUP BY o_orderpriority""")
+def q_pivot_multi(spark, d):
+    o = table(spark, d, "orders")
+    s = X.pivot_table(o, "o_orderpriority", "o_orderstatus", values=["o_totalprice"], aggfunc="sum")
+    c = X.pivot_table(o, "o_orderpriority", "o_orderstatus", values=["o_custkey"], aggfunc="count")
+    return rounded(J.merge_tables(s, c, on="o_orderpriority"), 2)
+
+
+@register("unpivot", """
+SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part
+UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part""")
+def q_unpivot(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return X.melt_unpivot(p, "p_partkey")
+
+
+@register("unpivot_text", """
+SELECT c_custkey, 'c_name' AS variable, c_name AS value FROM customer
+UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer
+UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer""")
+def q_unpivot_text(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return X.melt_unpivot(c, ["c_custkey"])
+
+
+@register("one_hot", """
+SELECT o_orderkey, o_totalprice,
+       coalesce(o_orderstatus = 'F', false) AS o_orderstatus_F,
+       coalesce(o_orderstatus = 'O', false) AS o_orderstatus_O,
+       coalesce(o_orderstatus = 'P', false) AS o_orderstatus_P FROM orders""")
+def q_one_hot(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return X.one_hot_encode(o, "o_orderstatus")
+
+
+@register("one_hot_drop_first", f"""
+SELECT event_id,
+       coalesce(event_type = 'error', false) AS event_type_error,
+       coalesce(event_type = 'purchase', false) AS event_type_purchase,
+       coalesce(event_type = 'signup', false) AS event_type_signup,
+       coalesce(event_type = 'view', false) AS event_type_view FROM {EVENTS_N_SQL}""")
+def q_one_hot_drop_first(spark, d):
+    e = events_n(spark, d).select("event_id", "event_type")
+    return X.one_hot_encode(e, "event_type", drop_first=True)

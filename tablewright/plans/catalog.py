@@ -863,3 +863,585 @@ SELECT event_id,
 def q_one_hot_drop_first(spark, d):
     e = events_n(spark, d).select("event_id", "event_type")
     return X.one_hot_encode(e, "event_type", drop_first=True)
+
+
+# =====================================================================
+# WIN: fills, de-duplication, best row, growth, rolling, cohorts, funnel
+# =====================================================================
+
+EVN = EVENTS_N_SQL
+FWD = "OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+BWD = "OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@register("ffill", f"""
+SELECT event_id, ts, user_id,
+       coalesce(event_type, last_value(event_type IGNORE NULLS) {FWD}) AS event_type,
+       coalesce(value, last_value(value IGNORE NULLS) {FWD}) AS value
+FROM {EVN}""")
+def q_ffill(spark, d):
+    return K.fill_missing(events_n(spark, d), method="ffill", columns=["event_type", "value"],
+                          order_by="event_id")
+
+
+@register("bfill", f"""
+SELECT event_id, ts, user_id,
+       coalesce(event_type, first_value(event_type IGNORE NULLS) {BWD}) AS event_type,
+       coalesce(value, first_value(value IGNORE NULLS) {BWD}) AS value
+FROM {EVN}""")
+def q_bfill(spark, d):
+    return K.fill_missing(events_n(spark, d), method="bfill", columns=["event_type", "value"],
+                          order_by="event_id")
+
+
+@register("interpolate_linear", f"""
+WITH b AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS p FROM {EVN}),
+c AS (SELECT *,
+  last_value(CASE WHEN value IS NOT NULL THEN p END IGNORE NULLS)
+    OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pp,
+  last_value(value IGNORE NULLS) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
+  first_value(CASE WHEN value IS NOT NULL THEN p END IGNORE NULLS)
+    OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS np,
+  first_value(value IGNORE NULLS) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv
+  FROM b)
+SELECT event_id, ts, user_id, event_type,
+       round(coalesce(value, CASE WHEN pp IS NULL THEN NULL WHEN np IS NULL THEN pv
+                                  ELSE pv + (nv - pv) * ((p - pp) / (np - pp)) END), 6) AS value
+FROM c""")
+def q_interpolate(spark, d):
+    out = K.fill_missing(events_n(spark, d), methods={"value": "interpolate"},
+                         interpolate_method="linear", order_by="event_id")
+    return rounded(out)
+
+
+DEDUP_IN = "(SELECT o_orderkey, o_custkey, o_orderstatus FROM orders)"
+
+
+@register("dedup_first", f"""
+SELECT o_orderkey, o_custkey, o_orderstatus FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS rn
+  FROM {DEDUP_IN}) WHERE rn = 1""")
+def q_dedup_first(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return K.drop_rows(o, subset=["o_custkey", "o_orderstatus"], keep="first", order_by="o_orderkey")
+
+
+@register("dedup_last", f"""
+SELECT o_orderkey, o_custkey, o_orderstatus FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey DESC) AS rn
+  FROM {DEDUP_IN}) WHERE rn = 1""")
+def q_dedup_last(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return K.drop_rows(o, subset=["o_custkey", "o_orderstatus"], keep="last", order_by="o_orderkey")
+
+
+@register("dedup_none", f"""
+SELECT o_orderkey, o_custkey, o_orderstatus FROM (
+  SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS n FROM {DEDUP_IN}) WHERE n = 1""")
+def q_dedup_none(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return K.drop_rows(o, subset=["o_custkey", "o_orderstatus"], keep=False)
+
+
+@register("dedup_nulls", f"""
+SELECT event_id, ts, user_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM {EVN})
+WHERE rn = 1""")
+def q_dedup_nulls(spark, d):
+    return K.drop_rows(events_n(spark, d), subset=["user_id", "event_type"], keep="first",
+                       order_by="event_id")
+
+
+@register("dedup_stats", """
+SELECT count(*) AS original_rows, count(DISTINCT (o_custkey, o_orderstatus)) AS unique_keys,
+       count(DISTINCT (o_custkey, o_orderstatus)) AS kept_rows,
+       count(*) - count(DISTINCT (o_custkey, o_orderstatus)) AS dropped_rows FROM orders""")
+def q_dedup_stats(spark, d):
+    return K.duplicate_stats(table(spark, d, "orders"), ["o_custkey", "o_orderstatus"])
+
+
+@register("best_row_per_group", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn
+  FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL) WHERE rn = 1""")
+def q_best_row(spark, d):
+    return W.best_row_per_group(table(spark, d, "orders"), "o_custkey", "o_totalprice",
+                                tie_break="o_orderkey")
+
+
+@register("worst_row_per_group", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+       l_returnflag, l_linestatus, l_shipdate FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber,
+                                                                l_partkey) AS rn
+  FROM lineitem) WHERE rn = 1""")
+def q_worst_row(spark, d):
+    return W.best_row_per_group(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", largest=False,
+                                tie_break=["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+GROWTH_SQL = """
+WITH g AS (SELECT o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS o_year,
+                  sum(o_totalprice) AS s FROM orders GROUP BY 1, 2)
+SELECT o_orderpriority, o_year, round(s, 2) AS o_totalprice,
+       round(CASE WHEN row_number() OVER w = 1 THEN 0.0
+                  ELSE (s - lag(s) OVER w) * 100.0 / nullif(lag(s) OVER w, 0) END, 6) AS growth_pct
+FROM g WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_year)"""
+
+
+@register("growth_pct", GROWTH_SQL)
+def q_growth(spark, d):
+    o = table(spark, d, "orders").withColumn("o_year", F.year("o_orderdate"))
+    g = W.growth_pct(o, "o_year", "o_totalprice", by="o_orderpriority")
+    return g.select("o_orderpriority", "o_year", F.round("o_totalprice", 2).alias("o_totalprice"),
+                    F.round("growth_pct", 6).alias("growth_pct"))
+
+
+@register("rolling_avg", """
+SELECT event_id, ts, user_id, event_type, value, props,
+       round(CASE WHEN count(value) OVER w >= 5 THEN avg(value) OVER w END, 6) AS value_rolling_mean
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+def q_rolling(spark, d):
+    out = W.rolling(table(spark, d, "events"), "value", 5, order_by=["ts", "event_id"],
+                    partition_by="user_id", fn="mean")
+    return rounded(out)
+
+
+@register("rolling_global", """
+SELECT o_orderkey, o_totalprice,
+       round(CASE WHEN count(o_totalprice) OVER w >= 7 THEN sum(o_totalprice) OVER w END, 2) AS o_totalprice_rolling_sum
+FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
+def q_rolling_global(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    out = W.rolling(o, "o_totalprice", 7, order_by=["o_orderdate", "o_orderkey"], fn="sum")
+    return rounded(out.drop("o_orderdate"), 2)
+
+
+@register("running_total", """
+SELECT event_id, user_id, value,
+       round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running_total
+FROM events""")
+def q_running_total(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "value", "ts")
+    out = W.running_total(e, "value", order_by=["ts", "event_id"], partition_by="user_id")
+    return rounded(out.drop("ts"), 4)
+
+
+@register("running_total_global", """
+SELECT o_orderkey, o_totalprice,
+       round(sum(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running_total
+FROM orders""")
+def q_running_total_global(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    out = W.running_total(o, "o_totalprice", order_by=["o_orderdate", "o_orderkey"])
+    return rounded(out.drop("o_orderdate"), 2)
+
+
+@register("decile", """
+SELECT *, CAST(ntile(10) OVER (ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS ntile FROM orders""")
+def q_decile(spark, d):
+    return W.ntile(table(spark, d, "orders"), "o_totalprice", 10, tie_break="o_orderkey")
+
+
+@register("decile_grouped", """
+SELECT *, CAST(ntile(4) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber,
+                                                            l_partkey, l_suppkey) AS INTEGER) AS ntile
+FROM lineitem""")
+def q_decile_grouped(spark, d):
+    return W.ntile(table(spark, d, "lineitem"), "l_extendedprice", 4,
+                   tie_break=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                   partition_by="l_returnflag")
+
+
+@register("yoy_growth", """
+WITH g AS (SELECT CAST(date_trunc('year', o_orderdate) AS TIMESTAMP) AS period, sum(o_totalprice) AS s
+           FROM orders GROUP BY 1)
+SELECT period, round(s, 2) AS o_totalprice,
+       round(CASE WHEN row_number() OVER w = 1 THEN 0.0
+                  ELSE (s - lag(s) OVER w) * 100.0 / nullif(lag(s) OVER w, 0) END, 6) AS growth_pct
+FROM g WINDOW w AS (ORDER BY period)""")
+def q_yoy(spark, d):
+    g = W.period_growth(table(spark, d, "orders"), "o_orderdate", "o_totalprice", unit="year")
+    return g.select("period", F.round("o_totalprice", 2).alias("o_totalprice"),
+                    F.round("growth_pct", 6).alias("growth_pct"))
+
+
+@register("mom_growth", """
+WITH g AS (SELECT o_orderstatus, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period,
+                  count(o_totalprice) AS s FROM orders GROUP BY 1, 2)
+SELECT o_orderstatus, period, s AS o_totalprice,
+       round(CASE WHEN row_number() OVER w = 1 THEN 0.0
+                  ELSE (s - lag(s) OVER w) * 100.0 / nullif(lag(s) OVER w, 0) END, 6) AS growth_pct
+FROM g WINDOW w AS (PARTITION BY o_orderstatus ORDER BY period)""")
+def q_mom(spark, d):
+    g = W.period_growth(table(spark, d, "orders"), "o_orderdate", "o_totalprice", unit="month",
+                        by="o_orderstatus", agg="count")
+    return rounded(g)
+
+
+@register("cohort_retention", """
+WITH p AS (SELECT DISTINCT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS period FROM events
+           WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+c AS (SELECT user_id, min(period) AS cohort FROM p GROUP BY user_id),
+j AS (SELECT cohort, CAST(datediff('day', cohort, period) AS INTEGER) AS period_offset, count(*) AS users
+      FROM p JOIN c USING (user_id) GROUP BY 1, 2),
+s AS (SELECT cohort, users AS cohort_size FROM j WHERE period_offset = 0)
+SELECT j.cohort, period_offset, users, cohort_size, round(users * 100.0 / cohort_size, 4) AS retention_pct
+FROM j JOIN s USING (cohort)""")
+def q_cohort(spark, d):
+    return W.cohort_retention(table(spark, d, "events"), "user_id", "ts", unit="day")
+
+
+@register("funnel", """
+WITH s1 AS (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'view' GROUP BY user_id),
+s2 AS (SELECT e.user_id, min(e.ts) AS t FROM events e JOIN s1 ON e.user_id = s1.user_id
+       WHERE e.event_type = 'click' AND e.ts >= s1.t GROUP BY e.user_id),
+s3 AS (SELECT e.user_id, min(e.ts) AS t FROM events e JOIN s2 ON e.user_id = s2.user_id
+       WHERE e.event_type = 'purchase' AND e.ts >= s2.t GROUP BY e.user_id)
+SELECT 1 AS step_index, 'view' AS step, count(*) AS users FROM s1
+UNION ALL SELECT 2, 'click', count(*) FROM s2
+UNION ALL SELECT 3, 'purchase', count(*) FROM s3""")
+def q_funnel(spark, d):
+    return W.funnel(table(spark, d, "events"), "user_id", "ts", "event_type", ["view", "click", "purchase"])
+
+
+@register("trend", """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period, round(sum(value), 2) AS value
+FROM events GROUP BY 1""")
+def q_trend(spark, d):
+    return rounded(W.trend(table(spark, d, "events"), "ts", "value", unit="day", fn="sum"), 2)
+
+
+# =====================================================================
+# STR / REP  (whole document texts)
+# =====================================================================
+
+WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@register("strip", f"""
+SELECT doc_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS text, lang, source, n_chars
+FROM documents""")
+def q_strip(spark, d):
+    return K.clean_strings(table(spark, d, "documents"), "text", "strip")
+
+
+@register("lower_upper", """
+SELECT doc_id, lower(text) AS text, lang, source, n_chars FROM documents""")
+def q_lower(spark, d):
+    return K.clean_strings(table(spark, d, "documents"), "text", "lower")
+
+
+@register("upper_names", "SELECT p_partkey, upper(p_name) AS p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+def q_upper(spark, d):
+    return K.clean_strings(table(spark, d, "part"), "p_name", "upper")
+
+
+@register("title_case")
+def q_title(spark, d):
+    return K.clean_strings(table(spark, d, "documents"), "text", "title")
+
+
+@register("replace_pattern", r"""
+SELECT doc_id, regexp_replace(text, '\d+', '#', 'g') AS text, lang, source, n_chars FROM documents""")
+def q_replace_pattern(spark, d):
+    return K.clean_strings(table(spark, d, "documents"), "text", "replace", pattern=r"\d+", replacement="#")
+
+
+@register("normalize_ascii", r"""
+SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS text, lang, source, n_chars
+FROM documents""")
+def q_normalize(spark, d):
+    return K.clean_strings(table(spark, d, "documents"), "text", "normalize")
+
+
+@register("clean_chain", rf"""
+SELECT doc_id, regexp_replace(lower(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g')), '\s+', ' ', 'g') AS text,
+       lang, source, n_chars FROM documents""")
+def q_clean_chain(spark, d):
+    return K.clean_strings(table(spark, d, "documents"), "text", operations=["strip", "lower", "replace"],
+                           pattern=r"\s+", replacement=" ")
+
+
+@register("replace_exact", """
+SELECT o_orderkey, o_custkey,
+       CASE WHEN o_orderstatus = 'F' THEN 'finished' WHEN o_orderstatus = 'O' THEN 'open'
+            ELSE o_orderstatus END AS o_orderstatus,
+       o_totalprice, o_orderdate,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE o_orderpriority END AS o_orderpriority
+FROM orders""")
+def q_replace_exact(spark, d):
+    return K.replace_values(table(spark, d, "orders"),
+                            {"o_orderstatus": {"F": "finished", "O": "open"},
+                             "o_orderpriority": {"1-URGENT": "urgent"},
+                             "o_totalprice": {"1000": 0.0}})
+
+
+@register("replace_regex", """
+SELECT p_partkey, regexp_replace(regexp_replace(p_name, '^small ', 'tiny ', 'g'), 'gear$', 'cog', 'g') AS p_name,
+       p_brand, p_type, p_size, p_retailprice FROM part""")
+def q_replace_regex(spark, d):
+    return K.replace_values(table(spark, d, "part"), {"p_name": {"^small ": "tiny ", "gear$": "cog"}}, regex=True)
+
+
+@register("replace_ci", """
+SELECT p_partkey, regexp_replace(p_name, 'RED', 'Crimson', 'gi') AS p_name, p_brand, p_type, p_size,
+       p_retailprice FROM part""")
+def q_replace_ci(spark, d):
+    return K.replace_values(table(spark, d, "part"), {"p_name": {"RED": "Crimson"}}, case_insensitive=True)
+
+
+@register("replace_single_value", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+       CASE WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN 'low' ELSE o_orderpriority END
+         AS o_orderpriority
+FROM orders""")
+def q_replace_single(spark, d):
+    return K.replace_values(table(spark, d, "orders"), {"o_orderpriority": ["4-NOT SPECIFIED", "5-LOW"]},
+                            value="low")
+
+
+# =====================================================================
+# FIL / OUT
+# =====================================================================
+
+@register("fill_constant", f"""
+SELECT event_id, ts, user_id, coalesce(event_type, 'unknown') AS event_type, coalesce(value, 0.0) AS value
+FROM {EVN}""")
+def q_fill_constant(spark, d):
+    return K.fill_missing(events_n(spark, d), values={"event_type": "unknown", "value": 0.0})
+
+
+@register("fill_mean", f"""
+SELECT event_id, ts, user_id, event_type,
+       round(coalesce(value, (SELECT avg(value) FROM {EVN})), 6) AS value FROM {EVN}""")
+def q_fill_mean(spark, d):
+    return rounded(K.fill_missing(events_n(spark, d), methods={"value": "mean"}))
+
+
+@register("fill_median", f"""
+SELECT event_id, ts, user_id, event_type,
+       round(coalesce(value, (SELECT median(value) FROM {EVN})), 6) AS value FROM {EVN}""")
+def q_fill_median(spark, d):
+    return rounded(K.fill_missing(events_n(spark, d), methods={"value": "median"}))
+
+
+@register("fill_mode", f"""
+SELECT event_id, ts, user_id,
+       coalesce(event_type, (SELECT event_type FROM {EVN} WHERE event_type IS NOT NULL
+                             GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type,
+       value FROM {EVN}""")
+def q_fill_mode(spark, d):
+    return K.fill_missing(events_n(spark, d), methods={"event_type": "mode"})
+
+
+@register("fill_report", f"""
+SELECT 'event_type' AS "column", count(*) - count(event_type) AS missing_before, 0 AS missing_after,
+       count(*) - count(event_type) AS filled FROM {EVN}
+UNION ALL
+SELECT 'value', count(*) - count(value), count(*) - count(value), 0 FROM {EVN}""")
+def q_fill_report(spark, d):
+    before = events_n(spark, d)
+    after = K.fill_missing(before, methods={"event_type": "mode"})
+    return K.fill_report(before, after, ["event_type", "value"])
+
+
+IQR_CTE = """b AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a1, quantile_cont(l_extendedprice, 0.75) AS a3,
+                 quantile_cont(l_quantity, 0.25) AS b1, quantile_cont(l_quantity, 0.75) AS b3 FROM lineitem)"""
+
+
+@register("outliers_iqr_remove", f"""
+WITH {IQR_CTE}
+SELECT l.* FROM lineitem l, b
+WHERE NOT coalesce(l_extendedprice < a1 - 1.5 * (a3 - a1) OR l_extendedprice > a3 + 1.5 * (a3 - a1)
+                   OR l_quantity < b1 - 1.5 * (b3 - b1) OR l_quantity > b3 + 1.5 * (b3 - b1), false)""")
+def q_outliers_iqr(spark, d):
+    return K.remove_outliers(table(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"], "iqr")
+
+
+@register("outliers_zscore_remove", f"""
+WITH b AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM {EVN})
+SELECT e.* FROM {EVN} e, b
+WHERE NOT coalesce(value < m - 2.5 * s OR value > m + 2.5 * s, false)""")
+def q_outliers_z(spark, d):
+    return K.remove_outliers(events_n(spark, d), ["value"], "zscore", threshold=2.5)
+
+
+@register("outliers_cap", f"""
+WITH {IQR_CTE}
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+       round(CASE WHEN l_extendedprice < a1 - 1.5 * (a3 - a1) THEN a1 - 1.5 * (a3 - a1)
+                  WHEN l_extendedprice > a3 + 1.5 * (a3 - a1) THEN a3 + 1.5 * (a3 - a1)
+                  ELSE l_extendedprice END, 6) AS l_extendedprice,
+       l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
+FROM lineitem, b""")
+def q_outliers_cap(spark, d):
+    li = table(spark, d, "lineitem")
+    out = K.remove_outliers(li, ["l_extendedprice"], "iqr", handle_method="cap")
+    return out.withColumn("l_extendedprice", F.round("l_extendedprice", 6))
+
+
+@register("outlier_report", f"""
+WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM {EVN}),
+f AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b)
+SELECT 'value' AS "column", round(lo, 6) AS lower, round(hi, 6) AS upper,
+       count(*) FILTER (WHERE value < lo OR value > hi) AS outliers,
+       count(*) FILTER (WHERE value < lo) AS below, count(*) FILTER (WHERE value > hi) AS above
+FROM {EVN}, f GROUP BY lo, hi""")
+def q_outlier_report(spark, d):
+    return rounded(K.outlier_report(events_n(spark, d), ["value"], "iqr"))
+
+
+# =====================================================================
+# MTH / BIN / DAT
+# =====================================================================
+
+@register("apply_functions", """
+SELECT *, round_even(p_retailprice, 0) AS price_round, p_size * p_size AS size_sq, p_size * 2 AS size_x2,
+       abs(p_retailprice - 950) AS dist, upper(p_name) AS name_upper, CAST(p_partkey AS VARCHAR) AS key_text
+FROM part""")
+def q_apply(spark, d):
+    p = table(spark, d, "part")
+    p = X.apply_custom(p, "p_retailprice", "round", "price_round")
+    p = X.apply_custom(p, "p_size", "square", "size_sq")
+    p = X.apply_custom(p, "p_size", "double", "size_x2")
+    p = p.withColumn("dist", p["p_retailprice"] - 950)
+    p = X.apply_custom(p, "dist", "abs")
+    p = X.apply_custom(p, "p_name", "upper", "name_upper")
+    return X.apply_custom(p, "p_partkey", "to_string", "key_text")
+
+
+@register("interaction", """
+SELECT *, round(l_extendedprice * l_discount, 6) AS disc_value FROM lineitem""")
+def q_interaction(spark, d):
+    out = X.create_interaction(table(spark, d, "lineitem"), "l_extendedprice", "l_discount", "disc_value")
+    return out.withColumn("disc_value", F.round("disc_value", 6))
+
+
+@register("interaction_divide", """
+SELECT l_orderkey, l_linenumber, l_discount, l_tax, round(l_discount / nullif(l_tax, 0), 6) AS ratio
+FROM lineitem""")
+def q_interaction_divide(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    return rounded(X.create_interaction(li, "l_discount", "l_tax", "ratio", "divide"))
+
+
+@register("interaction_concat", """
+SELECT p_partkey, p_brand, p_size, concat(p_brand, CAST(p_size AS VARCHAR)) AS brand_size FROM part""")
+def q_interaction_concat(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    return X.create_interaction(p, "p_brand", "p_size", "brand_size", "concat")
+
+
+SCALE_BASE = "SELECT p_partkey, p_name, p_brand, p_type FROM part"
+
+
+@register("scale_standard", """
+WITH s AS (SELECT avg(p_retailprice) AS m1, stddev_samp(p_retailprice) AS s1,
+                  avg(p_size) AS m2, stddev_samp(p_size) AS s2 FROM part)
+SELECT p_partkey, p_name, p_brand, p_type, round((p_size - m2) / s2, 6) AS p_size,
+       round((p_retailprice - m1) / s1, 6) AS p_retailprice FROM part, s""")
+def q_scale_standard(spark, d):
+    p = table(spark, d, "part")
+    return rounded(X.scale_numeric(p, ["p_retailprice", "p_size"], "standard"))
+
+
+@register("scale_minmax", """
+WITH s AS (SELECT min(p_retailprice) AS a1, max(p_retailprice) AS b1, min(p_size) AS a2, max(p_size) AS b2 FROM part)
+SELECT p_partkey, p_name, p_brand, p_type, round((p_size - a2) / (b2 - a2), 6) AS p_size,
+       round((p_retailprice - a1) / (b1 - a1), 6) AS p_retailprice FROM part, s""")
+def q_scale_minmax(spark, d):
+    return rounded(X.scale_numeric(table(spark, d, "part"), ["p_retailprice", "p_size"], "minmax"))
+
+
+@register("scale_robust", """
+WITH s AS (SELECT quantile_cont(l_quantity, 0.5) AS m, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS r
+           FROM lineitem)
+SELECT l_orderkey, l_linenumber, round((l_quantity - m) / r, 6) AS l_quantity FROM lineitem, s""")
+def q_scale_robust(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return rounded(X.scale_numeric(li, ["l_quantity"], "robust"))
+
+
+@register("human_number", """
+SELECT o_orderkey, o_totalprice,
+       CASE WHEN o_totalprice IS NULL THEN 'N/A'
+            WHEN abs(o_totalprice) >= 1e6 THEN printf('%.2fM', o_totalprice / 1e6)
+            WHEN abs(o_totalprice) >= 1e3 THEN printf('%.2fK', o_totalprice / 1e3)
+            ELSE format('{:,.2f}', o_totalprice) END AS label
+FROM orders""")
+def q_human(spark, d):
+    from ..functions.numbers import human_number
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return o.withColumn("label", human_number(F.col("o_totalprice")))
+
+
+@register("bin_equal_width", """
+WITH m AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),
+e AS (SELECT lo - (hi - lo) * 0.001 AS e0, lo + (hi - lo) / 4 * 1 AS e1, lo + (hi - lo) / 4 * 2 AS e2,
+             lo + (hi - lo) / 4 * 3 AS e3, hi AS e4 FROM m)
+SELECT p_partkey, p_retailprice,
+       CASE WHEN p_retailprice > e0 AND p_retailprice <= e1 THEN 1 WHEN p_retailprice <= e2 THEN 2
+            WHEN p_retailprice <= e3 THEN 3 WHEN p_retailprice <= e4 THEN 4 END AS p_retailprice_bin
+FROM part, e""")
+def q_bin_equal(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    return X.bin_numeric(p, "p_retailprice", 4).drop("p_retailprice_binned")
+
+
+@register("bin_quantile", """
+WITH q AS (SELECT quantile_cont(p_size, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM part)
+SELECT p_partkey, p_size,
+       CASE WHEN p_size >= e[1] AND p_size <= e[2] THEN 1 WHEN p_size <= e[3] THEN 2
+            WHEN p_size <= e[4] THEN 3 WHEN p_size <= e[5] THEN 4 END AS p_size_bin
+FROM part, q""")
+def q_bin_quantile(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_size")
+    return X.bin_numeric(p, "p_size", 4, qcut=True).drop("p_size_binned")
+
+
+@register("bin_labels", """
+WITH m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+e AS (SELECT lo - (hi - lo) * 0.001 AS e0, lo + (hi - lo) / 3 * 1 AS e1, lo + (hi - lo) / 3 * 2 AS e2,
+             hi AS e3 FROM m)
+SELECT o_orderkey, o_totalprice,
+       CASE WHEN o_totalprice > e0 AND o_totalprice <= e1 THEN 'low' WHEN o_totalprice <= e2 THEN 'mid'
+            WHEN o_totalprice <= e3 THEN 'high' END AS price_band,
+       CASE WHEN o_totalprice > e0 AND o_totalprice <= e1 THEN 1 WHEN o_totalprice <= e2 THEN 2
+            WHEN o_totalprice <= e3 THEN 3 END AS o_totalprice_bin
+FROM orders, e""")
+def q_bin_labels(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return X.bin_numeric(o, "o_totalprice", 3, labels=["low", "mid", "high"], new_column="price_band")
+
+
+@register("date_features", """
+SELECT o_orderkey, o_orderdate, CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day,
+       coalesce(isodow(o_orderdate) >= 6, false) AS o_orderdate_is_weekend,
+       CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month,
+       CAST(quarter(o_orderdate) AS INTEGER) AS o_orderdate_quarter,
+       CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_weekday,
+       CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year
+FROM orders""")
+def q_date_features(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return X.create_date_features(o, "o_orderdate")
+
+
+DATE_TEXT_SQL = """(SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'not a date'
+                              ELSE strftime(o_orderdate, '%d/%m/%Y') END AS o_date_text FROM orders)"""
+
+
+@register("parse_dates", f"""
+SELECT o_orderkey, o_date_text,
+       CAST(year(try_strptime(o_date_text, '%d/%m/%Y')) AS INTEGER) AS o_date_text_year,
+       CAST(month(try_strptime(o_date_text, '%d/%m/%Y')) AS INTEGER) AS o_date_text_month,
+       coalesce(isodow(try_strptime(o_date_text, '%d/%m/%Y')) >= 6, false) AS o_date_text_is_weekend
+FROM {DATE_TEXT_SQL}""")
+def q_parse_dates(spark, d):
+    o = table(spark, d, "orders")
+    text = o.select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, F.lit("not a date"))
+                    .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("o_date_text"))
+    return X.create_date_features(text, "o_date_text", ["year", "month", "is_weekend"], date_format="%d/%m/%Y")

@@ -1445,3 +1445,295 @@ def q_parse_dates(spark, d):
     text = o.select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, F.lit("not a date"))
                     .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("o_date_text"))
     return X.create_date_features(text, "o_date_text", ["year", "month", "is_weekend"], date_format="%d/%m/%Y")
+
+
+# =====================================================================
+# CHD: chart data
+# =====================================================================
+
+@register("chart_bar_agg", """
+SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS l_extendedprice
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def q_chart_bar_agg(spark, d):
+    return rounded(C.chart_data(table(spark, d, "lineitem"), "bar", "l_returnflag", "l_extendedprice", "sum",
+                                color="l_linestatus"), 2)
+
+
+@register("chart_line", """
+SELECT o_orderpriority, round(median(o_totalprice), 6) AS o_totalprice FROM orders GROUP BY o_orderpriority""")
+def q_chart_line(spark, d):
+    return rounded(C.chart_data(table(spark, d, "orders"), "line", "o_orderpriority", "o_totalprice", "median"))
+
+
+@register("chart_bar_count", """
+SELECT p_type, count(*) AS count FROM part WHERE p_type IS NOT NULL GROUP BY p_type
+ORDER BY count DESC, p_type LIMIT 20""")
+def q_chart_bar_count(spark, d):
+    return C.chart_data(table(spark, d, "part"), "bar", "p_type")
+
+
+@register("chart_pie", """
+SELECT o_orderpriority, count(*) AS count FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority""")
+def q_chart_pie(spark, d):
+    return C.chart_data(table(spark, d, "orders"), "pie", "o_orderpriority")
+
+
+@register("chart_histogram", """
+WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+c AS (SELECT CAST(least(floor((l_extendedprice - lo) / (hi - lo) * 30) + 1, 30) AS INTEGER) AS bin,
+             count(*) AS n FROM lineitem, m WHERE l_extendedprice IS NOT NULL GROUP BY 1),
+a AS (SELECT CAST(i AS INTEGER) AS bin, lo + (i - 1) * ((hi - lo) / 30) AS bin_start,
+             lo + i * ((hi - lo) / 30) AS bin_end FROM range(1, 31) r(i), m)
+SELECT a.bin, round(bin_start, 6) AS bin_start, round(bin_end, 6) AS bin_end, coalesce(n, 0) AS count
+FROM a LEFT JOIN c ON a.bin = c.bin""")
+def q_chart_histogram(spark, d):
+    return rounded(C.histogram(table(spark, d, "lineitem"), "l_extendedprice", 30))
+
+
+BOX_SQL = """
+WITH q AS (SELECT {k} count(l_quantity) AS count, quantile_cont(l_quantity, 0.25) AS q1,
+                  quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.75) AS q3
+           FROM lineitem WHERE l_quantity IS NOT NULL {w} {g}),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+SELECT {fk} f.count, f.q1, f.median, f.q3, f.lower_fence, f.upper_fence,
+       min(CASE WHEN l_quantity BETWEEN lower_fence AND upper_fence THEN l_quantity END) AS whisker_low,
+       max(CASE WHEN l_quantity BETWEEN lower_fence AND upper_fence THEN l_quantity END) AS whisker_high,
+       count(*) FILTER (WHERE NOT (l_quantity BETWEEN lower_fence AND upper_fence)) AS outliers
+FROM lineitem l JOIN f ON {on} WHERE l_quantity IS NOT NULL
+GROUP BY {fk} f.count, f.q1, f.median, f.q3, f.lower_fence, f.upper_fence"""
+
+
+@register("chart_box", BOX_SQL.format(k="l_returnflag,", w="AND l_returnflag IS NOT NULL",
+                                      g="GROUP BY l_returnflag", fk="f.l_returnflag,",
+                                      on="l.l_returnflag = f.l_returnflag"))
+def q_chart_box(spark, d):
+    return C.box_stats(table(spark, d, "lineitem"), "l_quantity", "l_returnflag")
+
+
+@register("chart_box_all", BOX_SQL.format(k="", w="", g="", fk="", on="true"))
+def q_chart_box_all(spark, d):
+    return C.box_stats(table(spark, d, "lineitem"), "l_quantity")
+
+
+@register("chart_scatter", "SELECT p_size, p_retailprice, p_type FROM part")
+def q_chart_scatter(spark, d):
+    return C.scatter_data(table(spark, d, "part"), "p_size", "p_retailprice", color="p_type")
+
+
+@register("chart_scatter_sample", """
+SELECT o_totalprice, o_custkey FROM orders
+ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '0')), o_orderkey LIMIT 500""")
+def q_chart_scatter_sample(spark, d):
+    return C.scatter_data(table(spark, d, "orders"), "o_totalprice", "o_custkey", sample=500, key="o_orderkey")
+
+
+@register("chart_heatmap_corr", _corr_sql("lineitem", CORR_COLS))
+def q_chart_heatmap_corr(spark, d):
+    return rounded(C.heatmap_data(table(spark, d, "lineitem"), columns=CORR_COLS))
+
+
+@register("chart_heatmap_pivot", """
+SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 6) AS o_totalprice FROM orders
+WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2""")
+def q_chart_heatmap_pivot(spark, d):
+    return rounded(C.heatmap_data(table(spark, d, "orders"),
+                                  columns=["o_orderstatus", "o_orderpriority", "o_totalprice"]))
+
+
+@register("chart_heatmap_xy", """
+SELECT p_type, round(avg(p_size), 6) AS p_size FROM part WHERE p_type IS NOT NULL GROUP BY p_type""")
+def q_chart_heatmap_xy(spark, d):
+    return rounded(C.heatmap_data(table(spark, d, "part"), x="p_type", y="p_size"))
+
+
+@register("chart_heatmap_count", """
+SELECT c_mktsegment, c_nationkey, count(*) AS count FROM customer GROUP BY 1, 2""")
+def q_chart_heatmap_count(spark, d):
+    c = table(spark, d, "customer").withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
+    out = C.heatmap_data(c, x="c_mktsegment", y="c_nationkey")
+    return out.withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
+@register("chart_combo", """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity,
+       round(sum(l_extendedprice), 2) AS l_extendedprice
+FROM lineitem GROUP BY 1, 2""")
+def q_chart_combo(spark, d):
+    return rounded(C.combo_data(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice",
+                                color="l_linestatus", agg_func="sum"), 2)
+
+
+@register("chart_fallback_top10", """
+SELECT p_brand, round(avg(p_retailprice), 6) AS p_retailprice FROM part GROUP BY p_brand
+ORDER BY p_brand LIMIT 10""")
+def q_chart_fallback(spark, d):
+    return rounded(C.fallback_groups(table(spark, d, "part"), "p_brand", "p_retailprice", "mean"))
+
+
+@register("chart_dashboard", """
+SELECT 'by_segment' AS chart, c_mktsegment AS label, count(*) AS count FROM customer GROUP BY c_mktsegment
+UNION ALL
+SELECT 'by_nation', CAST(c_nationkey AS VARCHAR), count(*) FROM customer GROUP BY c_nationkey""")
+def q_chart_dashboard(spark, d):
+    c = table(spark, d, "customer").withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
+    charts = C.dashboard(c, [{"name": "by_segment", "chart_type": "pie", "x": "c_mktsegment"},
+                             {"name": "by_nation", "chart_type": "pie", "x": "c_nationkey"}])
+    parts = [df.select(F.lit(name).alias("chart"), F.col(df.columns[0]).alias("label"), "count")
+             for name, df in charts.items()]
+    return parts[0].unionByName(parts[1])
+
+
+# =====================================================================
+# CHK: chart checks
+# =====================================================================
+
+PART_KINDS = [("p_partkey", "numeric"), ("p_name", "categorical"), ("p_brand", "categorical"),
+              ("p_type", "categorical"), ("p_size", "numeric"), ("p_retailprice", "numeric")]
+
+
+def _suitability_sql() -> str:
+    prof = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{k}' AS kind, count(DISTINCT {c}) AS nd FROM part" for c, k in PART_KINDS)
+    return f"""
+WITH p AS ({prof}),
+q AS (SELECT *, CASE WHEN nd < 10 THEN 'low' WHEN nd < 100 THEN 'medium' ELSE 'high' END AS card FROM p),
+c AS (SELECT unnest(['bar', 'pie', 'line', 'histogram', 'scatter', 'box']) AS chart),
+r AS (SELECT "column", chart,
+        CASE WHEN chart = 'bar' AND kind <> 'categorical' THEN 'bar needs a categorical column'
+             WHEN chart = 'bar' AND card = 'high' AND nd > 25 THEN 'too many categories for a bar chart'
+             WHEN chart = 'pie' AND nd > 10 THEN 'too many categories for a pie chart'
+             WHEN chart = 'line' AND kind = 'categorical' AND card = 'high'
+               THEN 'high-cardinality text on a line chart'
+             WHEN chart IN ('histogram', 'scatter', 'box') AND kind <> 'numeric' THEN 'needs a numeric column'
+        END AS reason FROM q, c)
+SELECT "column", chart, reason IS NULL AS suitable, reason FROM r"""
+
+
+@register("chart_suitability", _suitability_sql())
+def q_chart_suitability(spark, d):
+    return C.suitability(A.column_profile(table(spark, d, "part")))
+
+
+@register("chart_compatibility", """
+SELECT 'bar' AS chart, nd <= 25 AS ok,
+       CASE WHEN nd > 25 THEN 'p_brand has ' || nd || ' categories (at most 25)' END AS reason
+FROM (SELECT count(DISTINCT p_brand) AS nd FROM part)""")
+def q_chart_compat(spark, d):
+    return C.compatibility(table(spark, d, "part"), "bar", x="p_brand")
+
+
+@register("chart_compatibility_reject", """
+SELECT 'pie' AS chart, nd <= 10 AS ok,
+       CASE WHEN nd > 10 THEN 'o_custkey has ' || nd || ' categories (at most 10)' END AS reason
+FROM (SELECT count(DISTINCT o_custkey) AS nd FROM orders)""")
+def q_chart_compat_reject(spark, d):
+    return C.compatibility(table(spark, d, "orders"), "pie", x="o_custkey")
+
+
+@register("chart_recommendation")
+def q_chart_recommendation(spark, d):
+    li = table(spark, d, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag")
+    return C.recommend_charts(li)
+
+
+# =====================================================================
+# IO / VER / UDF / streaming
+# =====================================================================
+
+def io_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never machine-local)."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tw-io/{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+def q_csv_roundtrip(spark, d):
+    from ..sources.files import read_table, write_csv
+    path = io_path(spark, "orders.csv")
+    write_csv(table(spark, d, "orders").drop("o_orderdate"), path)
+    return read_table(spark, path, fmt="csv")
+
+
+@register("csv_bad_rows", """
+SELECT p_partkey, p_name, CASE WHEN p_partkey % 10 = 7 THEN NULL ELSE CAST(p_size AS BIGINT) END AS p_size
+FROM part WHERE p_partkey % 10 <> 3""")
+def q_csv_bad_rows(spark, d):
+    from ..sources.files import read_csv
+    p = table(spark, d, "part")
+    k, n, z = (F.col(c).cast("string") for c in ("p_partkey", "p_name", "p_size"))
+    line = (F.when(F.col("p_partkey") % 10 == 3, F.concat_ws(",", k, n, z, F.lit("extra")))
+            .when(F.col("p_partkey") % 10 == 7, F.concat_ws(",", k, n))
+            .otherwise(F.concat_ws(",", k, n, z)))
+    path = io_path(spark, "part-lines")
+    p.select(line.alias("value")).write.mode("overwrite").text(path)
+    return read_csv(spark, path, header=["p_partkey", "p_name", "p_size"])
+
+
+@register("json_records", "SELECT to_json(c) AS record FROM customer c")
+def q_json_records(spark, d):
+    from ..sources.files import to_json_records
+    return to_json_records(table(spark, d, "customer"))
+
+
+@register("json_roundtrip", "SELECT * FROM customer")
+def q_json_roundtrip(spark, d):
+    from ..sources.files import read_table, write_json
+    path = io_path(spark, "customer.json")
+    c = table(spark, d, "customer")
+    write_json(c, path)
+    back = read_table(spark, path, fmt="json", schema=c.schema)
+    return back
+
+
+@register("drop_empty", f"SELECT * FROM {EVN}")
+def q_drop_empty(spark, d):
+    from ..sources.files import drop_empty
+    e = events_n(spark, d).withColumn("note", F.lit(None).cast("string"))
+    return drop_empty(e)
+
+
+@register("snapshot_roundtrip", "SELECT * FROM orders")
+def q_snapshot(spark, d):
+    from .versions import SnapshotStore
+    store = SnapshotStore(spark, io_path(spark, "versions"))
+    v0 = store.save_version({"orders": table(spark, d, "orders"), "nation": table(spark, d, "nation")},
+                            operation="load")
+    return store.load_version(v0)["orders"]
+
+
+@register("pipeline_steps", """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity,
+       round(avg(l_extendedprice), 6) AS l_extendedprice
+FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2""")
+def q_pipeline(spark, d):
+    from .pipeline import run_pipeline
+    steps = [
+        {"op": "filter_rows", "args": {"condition": "l_shipdate < TIMESTAMP_NTZ '1999-01-01 00:00:00'"}},
+        {"op": "group_by_agg", "args": {"by": ["l_returnflag", "l_linestatus"],
+                                        "agg": {"l_quantity": "sum", "l_extendedprice": "mean"}},
+         "output": "summary"},
+        {"op": "sort_data", "input": "summary", "args": {"by": ["l_returnflag", "l_linestatus"]},
+         "output": "summary"},
+    ]
+    env = run_pipeline({"current": table(spark, d, "lineitem")}, steps)
+    return rounded(env["summary"])
+
+
+@register("stream_rowwise", """
+SELECT event_id, CASE WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS event_type, value
+FROM events WHERE value > 100""")
+def q_stream(spark, d):
+    import uuid
+    from ..streaming.rowwise import apply_rowwise, read_stream, run_to_memory
+    src = table(spark, d, "events")
+    stream = read_stream(spark, f"{d.rstrip('/')}/events.parquet", src.schema)
+    out = apply_rowwise(stream, [
+        {"op": "filter_rows", "args": {"condition": "value > 100"}},
+        {"op": "replace_values", "args": {"to_replace": {"event_type": {"click": "tap"}}}},
+        {"op": "select_columns", "args": {"columns": ["event_id", "event_type", "value"]}},
+    ])
+    name = f"tw_stream_{uuid.uuid4().hex[:8]}"
+    run_to_memory(out, name, io_path(spark, "stream-ckpt"))
+    return spark.table(name)

@@ -115,23 +115,24 @@ def _q(name: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None,
              encoding: str | None = None, skip_long_rows: bool = True,
-             infer_types: bool = True) -> DataFrame:
+             infer_types: bool = True, header: bool | list[str] = True) -> DataFrame:
     """Delimited text with a header row (SRC-1..3).
 
     Rows with more fields than the header are skipped and short rows are
     padded with NULL.  Spark's own modes do neither (PERMISSIVE truncates
     long rows, DROPMALFORMED also drops short ones), so every field is read
     as text with one extra overflow column, rows that fill it are dropped,
-    and types are inferred from the kept rows only.
+    and types are inferred from the kept rows only.  ``header`` may also be
+    the list of column names of header-less files (e.g. part files).
     """
     sep = delimiter or sniff_delimiter(spark, path, encoding)
-    names = _header(spark, path, sep, encoding)
+    names = list(header) if isinstance(header, (list, tuple)) else _header(spark, path, sep, encoding)
     if not names:
         raise OperatorError(f"No columns in {path}")
     fields = [T.StructField(n, T.StringType()) for n in names]
     if skip_long_rows:
         fields.append(T.StructField(_OVERFLOW, T.StringType()))
-    reader = (spark.read.option("header", True).option("sep", sep)
+    reader = (spark.read.option("header", header is True).option("sep", sep)
               .option("mode", "PERMISSIVE").schema(T.StructType(fields)))
     if encoding:
         reader = reader.option("encoding", encoding)
@@ -148,6 +149,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
         return read_csv(spark, path, delimiter=options.pop("delimiter", None),
                         encoding=options.pop("encoding", None), **options)
     reader = spark.read.format(fmt)
+    if "schema" in options:
+        reader = reader.schema(options.pop("schema"))
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load(path)

@@ -11,6 +11,8 @@ row-wise steps over it.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.pipeline import REGISTRY
@@ -24,9 +26,16 @@ ROWWISE_OPERATORS = [
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files arriving in ``path`` as a stream (schema required)."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(path))
+    """Parquet files arriving in folder ``path`` as a stream (schema required).
+
+    A single file is read as the stream of its folder filtered to that name.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    local = path.replace("file:", "", 1)
+    if os.path.isfile(local):
+        reader = reader.option("pathGlobFilter", os.path.basename(local))
+        path = os.path.dirname(path.rstrip("/"))
+    return reader.parquet(path)
 
 
 def apply_rowwise(stream: DataFrame, steps: list[dict]) -> DataFrame:

@@ -425,14 +425,18 @@ def remove_outliers(df: DataFrame, columns, method: str = "iqr", threshold: floa
     for c, b in bounds.items():
         if b["lower"] is None:
             continue
-        x = col(c)
         dt = dtype_of(df, c)
-        lo, hi = F.lit(b["lower"]), F.lit(b["upper"])
-        exprs[c] = F.when(x < lo, lo).when(x > hi, hi).otherwise(x).cast(
+        exprs[c] = clamp(col(c), b["lower"], b["upper"]).cast(
             "double" if isinstance(dt, T.IntegralType) else dt)
     return df.withColumns(exprs) if exprs else df
 
 
+def clamp(x: Column, lower: float, upper: float) -> Column:
+    """OUT-4: clamp to [lower, upper]; NULL stays NULL (``least``/``greatest`` skip NULLs)."""
+    lo, hi = F.lit(lower), F.lit(upper)
+    return F.when(x < lo, lo).when(x > hi, hi).otherwise(x)
+
+
 def outlier_report(df: DataFrame, columns, method: str = "iqr", threshold: float = 1.5,
                    approx: bool = False) -> DataFrame:
     """OUT-5: one row per column: bounds and outlier counts (one more scan)."""

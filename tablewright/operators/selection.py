@@ -11,7 +11,7 @@ import re
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..order import POS, TOTAL, group_rank, order_columns, with_position
@@ -351,16 +351,18 @@ def sample_rows(df: DataFrame, n: int | None = None, frac: float | None = None,
         return pos.filter(F.col(POS) < target).select(*[col(c) for c in df.columns])
     require_columns(df, [by])
     base = df.filter(col(by).isNotNull()).withColumn("_tw_h", h)
-    ranked = group_rank(base, [by], ["_tw_h", *key], size="_tw_gn")
     if n is not None:
-        # a group smaller than n is an error; raised lazily by the job itself
-        ranked = ranked.withColumn("_tw_gn", F.when(
-            F.col("_tw_gn") < F.lit(n),
-            F.raise_error(F.lit(f"a group of '{by}' has fewer than {n} rows"))
-        ).otherwise(F.col("_tw_gn")))
-        cond = F.col("_tw_rank") < F.lit(n)
-    else:
-        cond = F.col("_tw_rank") < F.bround(F.col("_tw_gn") * F.lit(frac), 0)
+        # row_number() <= n: Spark adds a partial per-group limit before the
+        # shuffle, so each task ships at most n rows per group (hot groups too)
+        w = Window.partitionBy(col(by)).orderBy(F.col("_tw_h"), *[col(k) for k in key])
+        top = base.withColumn("_tw_rn", F.row_number().over(w)).filter(F.col("_tw_rn") <= n)
+        # a group with fewer than n rows keeps fewer than n: raised by the job
+        top = top.withColumn("_tw_got", F.count(F.lit(1)).over(Window.partitionBy(col(by))))
+        check = F.when(F.col("_tw_got") < F.lit(n), F.raise_error(
+            F.lit(f"a group of '{by}' has fewer than {n} rows")).cast("boolean")).otherwise(F.lit(True))
+        return top.filter(check).select(*[col(c) for c in df.columns])
+    ranked = group_rank(base, [by], ["_tw_h", *key], size="_tw_gn")
+    cond = F.col("_tw_rank") < F.bround(F.col("_tw_gn") * F.lit(frac), 0)
     return ranked.filter(cond).select(*[col(c) for c in df.columns])
 
 

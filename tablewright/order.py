@@ -12,22 +12,26 @@ partition key does exactly that):
 1. ``orderBy`` range-partitions and sorts the table (a distributed sort;
    range bounds are sampled on the full sort key, so even a heavy leading
    value is split as long as the order is total);
-2. the sorted table is checkpointed to the shared checkpoint folder, which
-   freezes its partitioning so both uses below see the same partitions
-   (range bounds are sampled again on every execution otherwise);
-3. one row count per partition (as many rows as partitions), a running sum
-   over that tiny table, broadcast back: position = partition offset +
-   index inside the partition (``monotonically_increasing_id`` carries the
-   partition id in its upper bits and the index in the lower ones).
-
-``carry`` uses the same partition ids for a two-phase fill: fill inside
-each partition, then carry the last (or first) non-null value of earlier
-(or later) partitions across, again through a table with one row per
-partition.
+2. the sorted table is written as Parquet into the shared checkpoint
+   folder (``spark.checkpoint.dir``).  This cuts the lineage - a lost
+   executor cannot re-sample different range bounds - and every task's
+   sorted run becomes one file;
+3. the row count of each file comes from a scan that reads no column
+   data; a row's position is then the offset of its file (a literal map,
+   one entry per file) plus ``_metadata.row_index``, its index inside the
+   file.  Later scans of the sorted table keep column pruning and filter
+   pushdown.
+
+``carry`` uses the file of each row as a block for a two-phase fill: fill
+inside each block, then carry the last (or first) non-null value of
+earlier (or later) blocks across, through a table with one row per block.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +39,8 @@ from .schema import OperatorError, as_list, col, require_columns
 from .session import ensure_checkpoint_dir
 
 PID = "_tw_pid"
-MID = "_tw_mid"
 POS = "_tw_pos"
 TOTAL = "_tw_total"
-_SHIFT = 1 << 33  # monotonically_increasing_id: partition id << 33 | index
 
 
 def order_columns(df: DataFrame, order_by, ascending=True, nulls_last=True) -> list[Column]:
@@ -63,42 +65,63 @@ def order_columns(df: DataFrame, order_by, ascending=True, nulls_last=True) -> l
     return out
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Materialise a plan in the reliable checkpoint folder (cuts lineage)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_table_path(df: DataFrame, kind: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    return f"{root}/tw-{kind}/{uuid.uuid4().hex}"
+
+
+def freeze(df: DataFrame, kind: str = "table") -> DataFrame:
+    """Write a plan as Parquet into the shared checkpoint folder and read it back.
+
+    Cuts the lineage: later actions (and recovery from a lost executor)
+    start from the written files, not from a recomputation.
+    """
+    path = scratch_table_path(df, kind)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+_PART = re.compile(r"part-(\d+)")
+
 
+def _file_order(name: str):
+    """Task order of a written part file (``part-<task>-...-c<nnn>``)."""
+    m = _PART.match(name)
+    return (int(m.group(1)) if m else -1, name)
 
-def _tagged(df: DataFrame, order_by, ascending=True) -> DataFrame:
-    ordered = freeze(df.orderBy(*order_columns(df, order_by, ascending)))
-    return ordered.select("*", F.spark_partition_id().alias(PID),
-                          F.monotonically_increasing_id().alias(MID))
+
+def _literal_map(pairs: list[tuple]) -> Column:
+    if not pairs:
+        return F.create_map().cast("map<string,bigint>")
+    return F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(v))])
 
 
 def with_position(df: DataFrame, order_by, ascending=True, name: str = POS,
                   total: str | None = None, keep_partition: bool = False) -> DataFrame:
     """Add the exact 0-based position of every row in ``order_by`` order.
 
-    ``total`` optionally names a column holding the table's row count.
+    ``total`` optionally names a column holding the table's row count;
+    ``keep_partition`` keeps the 0-based file (block) number as ``PID``.
     """
-    tagged = _tagged(df, order_by, ascending)
-    counts = tagged.groupBy(PID).agg(F.count(F.lit(1)).alias("_tw_cnt"))
-    before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        PID,
-        F.coalesce(F.sum("_tw_cnt").over(before), F.lit(0)).alias("_tw_off"),
-        F.sum("_tw_cnt").over(Window.partitionBy()).alias(TOTAL))
-    # one row per partition: a size bound known before the join
-    out = tagged.join(F.broadcast(offsets), PID).withColumn(
-        name, (F.col("_tw_off") + F.col(MID) - F.col(PID).cast("long") * F.lit(_SHIFT)))
-    drop = ["_tw_off", MID]
+    spec = order_columns(df, order_by, ascending)
+    ordered = freeze(df.orderBy(*spec), "order")
+    fname = F.col("_metadata.file_name")
+    counts = sorted(((r[0], r[1]) for r in ordered.groupBy(fname.alias("f")).count().collect()),
+                    key=lambda fc: _file_order(fc[0]))
+    offsets, acc = [], 0
+    for f, n in counts:
+        offsets.append((f, acc))
+        acc += n
+    cols = [F.col("*"),
+            (F.element_at(_literal_map(offsets), fname).cast("long") + F.col("_metadata.row_index"))
+            .alias(name)]
     if total:
-        out = out.withColumnRenamed(TOTAL, total)
-    else:
-        drop.append(TOTAL)
-    if not keep_partition:
-        drop.append(PID)
-    return out.drop(*drop)
+        cols.append(F.lit(acc).cast("long").alias(total))
+    if keep_partition:
+        cols.append(F.element_at(_literal_map([(f, i) for i, (f, _) in enumerate(counts)]), fname)
+                    .cast("int").alias(PID))
+    return ordered.select(*cols)
 
 
 def carry(df: DataFrame, values: dict[str, Column], order_by, direction: str = "forward",
@@ -135,7 +158,7 @@ def carry(df: DataFrame, values: dict[str, Column], order_by, direction: str = "
                               for k in staged])
     joined = inside.join(F.broadcast(carried_in), PID)
     out = joined.select(
-        *[c for c in df.columns],
+        *[col(c) for c in df.columns],
         F.col(POS),
         *[F.coalesce(F.col(k + "_loc"), F.col(k + "_in")).alias(names[k]) for k in staged])
     return out

@@ -417,10 +417,13 @@ def remove_outliers(df: DataFrame, columns, method: str = "iqr", threshold: floa
         raise OperatorError("handle_method must be 'remove', 'cap' or 'winsorize'")
     bounds = outlier_bounds(df, columns, method, threshold, approx)
     if handle_method == "remove":
-        tests = [t for t in (_is_outlier(c, b) for c, b in bounds.items()) if t is not None]
-        if not tests:
+        # keep = NULL or inside the bounds, for every column (a form the Parquet
+        # reader can apply: row groups outside the bounds are skipped)
+        keeps = [col(c).isNull() | col(c).between(F.lit(b["lower"]), F.lit(b["upper"]))
+                 for c, b in bounds.items() if b["lower"] is not None]
+        if not keeps:
             return df
-        return df.filter(~F.coalesce(reduce(or_, tests), F.lit(False)))
+        return df.filter(reduce(lambda x, y: x & y, keeps))
     exprs = {}
     for c, b in bounds.items():
         if b["lower"] is None:

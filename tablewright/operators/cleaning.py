@@ -206,6 +206,7 @@ def fill_missing(df: DataFrame, value=None, method: str | None = None, values: d
 
 
 def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
+    """ffill / bfill / linear interpolation from one positioned table."""
     require_batch(df, "ordered fill")
     fwd, bwd = {}, {}
     for c, m in plan.items():
@@ -214,20 +215,11 @@ def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
         elif m == "bfill":
             bwd[f"_tw_b_{c}"] = col(c)
         else:  # linear: previous and next (position, value)
-            pair = F.when(col(c).isNotNull(), F.struct(F.col("_tw_p").alias("p"),
+            pair = F.when(col(c).isNotNull(), F.struct(F.col(POS).alias("p"),
                                                        col(c).cast("double").alias("v")))
             fwd[f"_tw_f_{c}"] = pair
             bwd[f"_tw_b_{c}"] = pair
-    interp = [c for c, m in plan.items() if m == "interpolate"]
-    base = df
-    if interp:
-        base = with_position(df, order_by, name="_tw_p")
-        order_by = "_tw_p"
-    cur = base
-    if fwd:
-        cur = carry(cur, fwd, order_by, "forward").drop(POS)
-    if bwd:
-        cur = carry(cur, bwd, order_by, "backward").drop(POS)
+    cur = carry(df, order_by, fwd, bwd)
     exprs = {}
     for c, m in plan.items():
         if m == "ffill":
@@ -236,7 +228,7 @@ def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
             exprs[c] = F.coalesce(col(c), F.col(f"_tw_b_{c}"))
         else:
             prev, nxt = F.col(f"_tw_f_{c}"), F.col(f"_tw_b_{c}")
-            frac = (F.col("_tw_p") - prev["p"]) / (nxt["p"] - prev["p"])
+            frac = (F.col(POS) - prev["p"]) / (nxt["p"] - prev["p"])
             line = prev["v"] + (nxt["v"] - prev["v"]) * frac
             # leading NULLs stay NULL, trailing NULLs take the last value
             filled = F.when(prev.isNull(), F.lit(None)).when(nxt.isNull(), prev["v"]).otherwise(line)

@@ -124,44 +124,47 @@ def with_position(df: DataFrame, order_by, ascending=True, name: str = POS,
     return ordered.select(*cols)
 
 
-def carry(df: DataFrame, values: dict[str, Column], order_by, direction: str = "forward",
-          ascending=True) -> DataFrame:
-    """Carry the last (forward) or next (backward) non-null value along the order.
-
-    ``values`` maps output names to expressions evaluated on ``df`` (use a
-    struct to carry several fields at once).  Returns ``df`` plus the
-    carried columns and the position column ``POS``.
+def carry(df: DataFrame, order_by, forward: dict[str, Column] | None = None,
+          backward: dict[str, Column] | None = None, ascending=True) -> DataFrame:
+    """Carry the last (``forward``) / next (``backward``) non-null value along the order.
+
+    ``forward`` / ``backward`` map output names to expressions, evaluated
+    after positions are assigned (they may use the position column
+    ``POS``; use a struct to carry several fields at once).  One sort, one
+    shuffle by block for both directions.  Returns ``df`` plus ``POS`` and
+    the carried columns.
+
+    Both directions use growing frames (start of block to current row); the
+    backward one runs over the reversed order, because a frame that runs
+    to the end of the block is recomputed for every row.
     """
-    if direction not in ("forward", "backward"):
-        raise OperatorError("direction must be 'forward' or 'backward'")
-    staged = {f"_tw_v{i}": expr for i, expr in enumerate(values.values())}
-    names = dict(zip(staged.keys(), values.keys()))
-    base = df.select("*", *[e.alias(k) for k, e in staged.items()])
-    pos = with_position(base, order_by, ascending, keep_partition=True)
-    fwd = direction == "forward"
-    if fwd:
-        frame = Window.partitionBy(PID).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-        across = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        frame = Window.partitionBy(PID).orderBy(POS).rowsBetween(0, Window.unboundedFollowing)
-        across = Window.orderBy(PID).rowsBetween(1, Window.unboundedFollowing)
-    pick = F.last if fwd else F.first
-    # per partition: its last (first) non-null value -> one row per partition
-    edge_aggs = []
-    for k in staged:
-        ordered_pos = F.when(F.col(k).isNotNull(), F.col(POS))
-        edge_aggs.append((F.max_by(k, ordered_pos) if fwd else F.min_by(k, ordered_pos)).alias(k))
-    edges = pos.groupBy(PID).agg(*edge_aggs)
-    carried_in = edges.select(PID, *[pick(k, ignorenulls=True).over(across).alias(k + "_in")
-                                     for k in staged])
-    inside = pos.select("*", *[pick(k, ignorenulls=True).over(frame).alias(k + "_loc")
-                              for k in staged])
+    forward, backward = dict(forward or {}), dict(backward or {})
+    if not forward and not backward:
+        raise OperatorError("nothing to carry")
+    pos = with_position(df, order_by, ascending, keep_partition=True)
+    fk = {f"_tw_f{i}": e for i, e in enumerate(forward.values())}
+    bk = {f"_tw_b{i}": e for i, e in enumerate(backward.values())}
+    names = {**dict(zip(fk, forward)), **dict(zip(bk, backward))}
+    staged = pos.select("*", *[e.alias(k) for k, e in {**fk, **bk}.items()])
+    grow = (Window.unboundedPreceding, 0)
+    up = Window.partitionBy(PID).orderBy(F.col(POS).asc()).rowsBetween(*grow)
+    down = Window.partitionBy(PID).orderBy(F.col(POS).desc()).rowsBetween(*grow)
+    inside = staged.select(
+        "*", *[F.last(k, ignorenulls=True).over(up).alias(k + "_loc") for k in fk],
+        *[F.last(k, ignorenulls=True).over(down).alias(k + "_loc") for k in bk])
+    # per block: its last (first) non-null value -> one row per written file
+    edge_aggs = [F.max_by(k, F.when(F.col(k).isNotNull(), F.col(POS))).alias(k) for k in fk]
+    edge_aggs += [F.min_by(k, F.when(F.col(k).isNotNull(), F.col(POS))).alias(k) for k in bk]
+    edges = staged.groupBy(PID).agg(*edge_aggs)
+    before = Window.orderBy(F.col(PID).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(F.col(PID).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried_in = edges.select(
+        PID, *[F.last(k, ignorenulls=True).over(before).alias(k + "_in") for k in fk],
+        *[F.last(k, ignorenulls=True).over(after).alias(k + "_in") for k in bk])
     joined = inside.join(F.broadcast(carried_in), PID)
-    out = joined.select(
-        *[col(c) for c in df.columns],
-        F.col(POS),
-        *[F.coalesce(F.col(k + "_loc"), F.col(k + "_in")).alias(names[k]) for k in staged])
-    return out
+    return joined.select(
+        *[col(c) for c in df.columns], F.col(POS),
+        *[F.coalesce(F.col(k + "_loc"), F.col(k + "_in")).alias(names[k]) for k in {**fk, **bk}])
 
 
 def group_rank(df: DataFrame, by, order_by, ascending=True, name: str = "_tw_rank",

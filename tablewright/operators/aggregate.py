@@ -11,8 +11,10 @@ Design rules:
 * top-k per group is ``row_number() <= k``: Spark inserts a partial
   per-group limit before the shuffle, so each task ships at most k rows
   per group;
-* exact quantiles use ``percentile`` (a value->count map per group);
-  ``approx=True`` switches to ``percentile_approx`` for very wide domains.
+* exact quantiles come from ``operators.quantile``: a ``percentile`` map
+  for small value domains, a distributed sort by position for large ones
+  (chosen per column from a HyperLogLog estimate); ``approx=True`` switches
+  to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import quantile as Q
 from ..schema import (OperatorError, as_list, categorical_columns, col, datetime_columns,
                       dtype_of, family, is_numeric, numeric_columns, require_batch,
                       require_columns, require_numeric)
@@ -36,6 +39,7 @@ CHART_CARDINALITY = (10, 50)
 SKEW_CLASSES = ((0.5, "normal"), (1.0, "moderately skewed"))
 SKEW_OTHER = "highly skewed"
 STRONG_CORRELATION = 0.5
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def _stat(fn: str, c: Column, approx: bool = False) -> Column:
@@ -57,7 +61,7 @@ def _stat(fn: str, c: Column, approx: bool = False) -> Column:
 
 
 def group_by_agg(df: DataFrame, by, agg: dict, as_index: bool = False, sort: bool = False,
-                 approx: bool = False) -> DataFrame:
+                 approx: bool = False, strategy: str = "auto") -> DataFrame:
     """AGG-1..4: per column one function (keeps the name) or a list (``col_fn``).
 
     NULL keys are dropped, a sum over only NULLs is 0, std of one row is
@@ -70,7 +74,7 @@ def group_by_agg(df: DataFrame, by, agg: dict, as_index: bool = False, sort: boo
         raise OperatorError("Aggregation mapping cannot be empty")
     require_columns(df, by, "Group-by column")
     require_columns(df, agg.keys(), "Aggregation column")
-    exprs = []
+    specs = []
     for c, fns in agg.items():
         single = isinstance(fns, str)
         names = [fns] if single else list(fns)
@@ -81,12 +85,28 @@ def group_by_agg(df: DataFrame, by, agg: dict, as_index: bool = False, sort: boo
                 raise OperatorError(f"Unsupported aggregation '{fn}' for '{c}'")
             if fn in ("sum", "mean", "std", "median") and not is_numeric(dtype_of(df, c)):
                 raise OperatorError(f"'{fn}' needs a numeric column: {c}")
-            e = _stat(fn, col(c), approx)
-            if fn == "sum":
-                e = F.coalesce(e, F.lit(0).cast(e_type(df, c)))
-            exprs.append(e.alias(c if single else f"{c}_{fn}"))
+            specs.append((c, fn, c if single else f"{c}_{fn}"))
     keyed = df.filter(_all_not_null(by))
+    med_cols = sorted({c for c, fn, _ in specs if fn == "median"})
+    plan = Q.choose(keyed, med_cols, by, "approx" if approx else strategy) if med_cols else {}
+    exprs, late = [], []
+    for c, fn, name in specs:
+        if fn == "median" and plan[c] == "sort":
+            late.append((c, name))  # exact medians of wide domains: by sorted rank
+            continue
+        e = _stat(fn, col(c), plan.get(c) == "approx")
+        if fn == "sum":
+            e = F.coalesce(e, F.lit(0).cast(e_type(df, c)))
+        exprs.append(e.alias(name))
+    if not exprs:
+        exprs.append(F.count(F.lit(1)).alias("_tw_rows"))
     out = keyed.groupBy(*[col(b) for b in by]).agg(*exprs)
+    if late:
+        meds = Q.quantile_table(keyed, sorted({c for c, _ in late}), [0.5], by, "sort")
+        wide = meds.groupBy(*[col(b) for b in by]).agg(
+            *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(name) for c, name in late])
+        out = out.join(wide, by, "left")
+    out = out.select(*[col(b) for b in by], *[col(name) for _, _, name in specs])
     return out.orderBy(*[col(b) for b in by]) if sort else out
 
 
@@ -206,10 +226,27 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
         F.col("value").isNotNull()).distinct()
 
 
+def mode_values(df: DataFrame, columns) -> dict:
+    """Most frequent value per column, smallest on ties, as Python values.
+
+    Each column is one partially aggregated group-by and a top-1 (not
+    ``mode()``, whose single buffer would hold every distinct value).
+    """
+    cols = require_columns(df, columns)
+    out = {}
+    for c in cols:
+        top = (df.filter(col(c).isNotNull()).groupBy(col(c)).agg(F.count(F.lit(1)).alias("_tw_n"))
+               .orderBy(F.col("_tw_n").desc(), col(c).asc()).limit(1).collect())
+        out[c] = top[0][0] if top else None
+    return out
+
+
 def mode_value(df: DataFrame, columns) -> DataFrame:
-    """AGG-20: most frequent value, smallest on ties, one row."""
+    """AGG-20: the modes as a one-row table."""
     cols = require_columns(df, columns)
-    return df.agg(*[F.mode(col(c), deterministic=True).alias(c) for c in cols])
+    vals = mode_values(df, cols)
+    return df.sparkSession.range(1).select(
+        *[F.lit(vals[c]).cast(dtype_of(df, c)).alias(c) for c in cols])
 
 
 def column_range(df: DataFrame, column: str) -> DataFrame:
@@ -219,24 +256,13 @@ def column_range(df: DataFrame, column: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns, qs=(0.25, 0.5, 0.75), approx: bool = False,
-              by=None) -> DataFrame:
-    """AGG-23: linear-interpolation quantiles, long format (column, q, value)."""
+              by=None, strategy: str = "auto") -> DataFrame:
+    """AGG-23: linear-interpolation quantiles, long format (by..., column, q, value).
+
+    Exact by default; see ``operators.quantile`` for the per-column strategy.
+    """
     cols = require_numeric(df, as_list(columns))
-    by = as_list(by)
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    aggs = []
-    for i, c in enumerate(cols):
-        x = col(c).cast("double")
-        aggs.append((F.percentile_approx(x, list(map(float, qs)), 10000) if approx
-                     else F.percentile(x, qarr)).alias(f"_tw{i}"))
-    base = df.filter(_all_not_null(by)) if by else df
-    wide = base.groupBy(*[col(b) for b in by]).agg(*aggs) if by else base.agg(*aggs)
-    long = wide.select(*[col(b) for b in by], F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"_tw{i}").alias("_tw_vals"))
-        for i, c in enumerate(cols)])))
-    return long.select(*[col(b) for b in by], "column", F.posexplode(F.col("_tw_vals"))).select(
-        *[col(b) for b in by], "column",
-        F.element_at(qarr, F.col("pos") + 1).alias("q"), F.col("col").alias("value"))
+    return Q.quantile_table(df, cols, qs, by, "approx" if approx else strategy)
 
 
 def adjusted_skewness(c: Column) -> Column:
@@ -250,26 +276,28 @@ def adjusted_skewness(c: Column) -> Column:
 _NUM_STATS = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
 
 
-def _numeric_stat_exprs(c: str, i: int, approx: bool) -> list[Column]:
+def _numeric_stat_exprs(c: str, i: int) -> list[Column]:
     x = col(c).cast("double")
-    qs = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-          else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
     return [F.count(x).alias(f"count_{i}"), F.avg(x).alias(f"mean_{i}"),
             F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"),
-            qs.alias(f"q_{i}"), F.max(x).alias(f"max_{i}")]
+            F.max(x).alias(f"max_{i}")]
 
 
-def _numeric_long(wide: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+def _numeric_long(wide: DataFrame, cols: list[str], keys: list[str], quart: DataFrame) -> DataFrame:
+    """Moments per (group, column) joined with the quartile table (same keys)."""
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"count_{i}").alias("count"),
                         F.col(f"mean_{i}").alias("mean"), F.col(f"std_{i}").alias("std"),
-                        F.col(f"min_{i}").alias("min"), F.col(f"q_{i}")[0].alias("p25"),
-                        F.col(f"q_{i}")[1].alias("p50"), F.col(f"q_{i}")[2].alias("p75"),
-                        F.col(f"max_{i}").alias("max")) for i, c in enumerate(cols)]
-    return wide.select(*[col(k) for k in keys], F.inline(F.array(*structs)))
+                        F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max"))
+               for i, c in enumerate(cols)]
+    long = wide.select(*[col(k) for k in keys], F.inline(F.array(*structs)))
+    q = quart if keys else F.broadcast(quart)  # one row per column without groups
+    out = long.join(q, [*keys, "column"], "left")
+    return out.select(*[col(k) for k in keys], "column", "count", "mean", "std", "min",
+                      "p25", "p50", "p75", "max")
 
 
 def describe_stats(df: DataFrame, group_by=None, columns=None, approx: bool = False,
-                   include_text: bool = True) -> DataFrame:
+                   include_text: bool = True, strategy: str = "auto") -> DataFrame:
     """AGG-5/6: describe every column, one row per (group,) column.
 
     Numeric columns: count, mean, std, min, quartiles, max (one aggregate).
@@ -283,15 +311,18 @@ def describe_stats(df: DataFrame, group_by=None, columns=None, approx: bool = Fa
     num = [c for c in cols if is_numeric(dtype_of(df, c))]
     text = [c for c in cols if c not in num]
     base = df.filter(_all_not_null(keys)) if keys else df
-    aggs = [e for i, c in enumerate(num) for e in _numeric_stat_exprs(c, i, approx)]
+    aggs = [e for i, c in enumerate(num) for e in _numeric_stat_exprs(c, i)]
+    strat = "approx" if approx else strategy
     if keys:
         if not num:
             raise OperatorError("grouped describe needs numeric columns")
         wide = base.groupBy(*[col(k) for k in keys]).agg(*aggs)
-        return _numeric_long(wide, num, keys)
+        quart = Q.quantile_wide(base, num, QUARTILES, ["p25", "p50", "p75"], keys, strat)
+        return _numeric_long(wide, num, keys, quart)
     parts = []
     if num:
-        nl = _numeric_long(base.agg(*aggs), num, [])
+        quart = Q.quantile_wide(base, num, QUARTILES, ["p25", "p50", "p75"], None, strat)
+        nl = _numeric_long(base.agg(*aggs), num, [], quart)
         parts.append(nl.select("column", F.col("count").cast("long").alias("count"),
                                F.lit(None).cast("long").alias("unique"),
                                F.lit(None).cast("string").alias("top"),
@@ -304,9 +335,10 @@ def describe_stats(df: DataFrame, group_by=None, columns=None, approx: bool = Fa
         uniq = vc.groupBy("column").agg(
             F.count(F.lit(1)).alias("unique"), F.max("count").alias("freq"))
         # top: most frequent, smallest value among ties
-        tops = vc.join(uniq.select("column", F.col("freq").alias("_tw_f")), "column").filter(
+        # uniq has one row per column: broadcast it, never shuffle vc by column
+        tops = vc.join(F.broadcast(uniq.select("column", F.col("freq").alias("_tw_f"))), "column").filter(
             F.col("count") == F.col("_tw_f")).groupBy("column").agg(F.min("value").alias("top"))
-        tl = nn.join(uniq, "column", "left").join(tops, "column", "left")
+        tl = nn.join(F.broadcast(uniq), "column", "left").join(F.broadcast(tops), "column", "left")
         parts.append(tl.select("column", F.col("count").cast("long").alias("count"),
                                F.coalesce(F.col("unique"), F.lit(0)).cast("long").alias("unique"),
                                "top", F.col("freq").cast("long").alias("freq"),
@@ -327,7 +359,8 @@ def _cardinality(n: Column, bounds) -> Column:
 
 
 def column_profile(df: DataFrame, columns=None, approx: bool = False,
-                   cardinality=PROFILE_CARDINALITY, with_skew: bool = False) -> DataFrame:
+                   cardinality=PROFILE_CARDINALITY, with_skew: bool = False,
+                   strategy: str = "auto") -> DataFrame:
     """AGG-9 (and AGG-10 with ``with_skew`` and chart cardinality classes).
 
     One row per column: dtype, kind, distinct and NULL counts, missing
@@ -348,7 +381,7 @@ def column_profile(df: DataFrame, columns=None, approx: bool = False,
     nn = _stack_with_total(counts, cols)
     distinct = value_count_table(df, cols).groupBy("column").agg(
         F.count(F.lit(1)).alias("n_distinct"))
-    prof = (F.broadcast(meta).join(nn, "column").join(distinct, "column", "left")
+    prof = (F.broadcast(meta).join(F.broadcast(nn), "column").join(F.broadcast(distinct), "column", "left")
             .withColumn("n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long")))
     prof = prof.select(
         "column", "dtype", "kind", "ordinal", "n_distinct",
@@ -360,9 +393,7 @@ def column_profile(df: DataFrame, columns=None, approx: bool = False,
         aggs = []
         for i, c in enumerate(num):
             x = col(c).cast("double")
-            qs = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-                  else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-            aggs += [F.avg(x).alias(f"mean_{i}"), qs.alias(f"q_{i}"),
+            aggs += [F.avg(x).alias(f"mean_{i}"),
                      F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std_{i}"),
                      F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}")]
             if with_skew:
@@ -371,19 +402,24 @@ def column_profile(df: DataFrame, columns=None, approx: bool = False,
         structs = []
         for i, c in enumerate(num):
             fields = [F.lit(c).alias("column"), F.col(f"mean_{i}").alias("mean"),
-                      F.col(f"q_{i}")[1].alias("median"), F.col(f"std_{i}").alias("std"),
-                      F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max"),
-                      F.col(f"q_{i}")[0].alias("q25"), F.col(f"q_{i}")[2].alias("q75")]
+                      F.col(f"std_{i}").alias("std"),
+                      F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max")]
             if with_skew:
                 fields.append(F.col(f"skew_{i}").alias("skewness"))
             structs.append(F.struct(*fields))
         stats = wide.select(F.inline(F.array(*structs)))
-        prof = prof.join(stats, "column", "left")
+        quart = Q.quantile_wide(df, num, QUARTILES, ["q25", "median", "q75"], None,
+                                "approx" if approx else strategy)
+        # both tables have one row per column
+        prof = prof.join(F.broadcast(stats), "column", "left").join(F.broadcast(quart), "column", "left")
     else:
         for s in ("mean", "median", "std", "min", "max", "q25", "q75"):
             prof = prof.withColumn(s, F.lit(None).cast("double"))
         if with_skew:
             prof = prof.withColumn("skewness", F.lit(None).cast("double"))
+    prof = prof.select("column", "dtype", "kind", "ordinal", "n_distinct", "n_null", "missing_pct",
+                       "cardinality", "mean", "median", "std", "min", "max", "q25", "q75",
+                       *(["skewness"] if with_skew else []))
     if with_skew:
         sk = F.abs(F.col("skewness"))
         (b1, l1), (b2, l2) = SKEW_CLASSES

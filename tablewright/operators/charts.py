@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..schema import (OperatorError, as_list, categorical_columns, col, dtype_of, family,
                       is_datetime, is_numeric, numeric_columns, require_batch, require_columns,
                       require_numeric)
+from . import quantile as Q
 from .aggregate import _stat, category_relation, chart_stats, corr_matrix, value_counts
 from .selection import sample_rows
 
@@ -95,11 +96,9 @@ def box_stats(df: DataFrame, y: str, x: str | None = None, whisker: float = 1.5)
     base = df.filter(v.isNotNull())
     for k in keys:
         base = base.filter(col(k).isNotNull())
-    q = base.groupBy(*[col(k) for k in keys]).agg(
-        F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_tw_q"),
-        F.count(v).alias("count"))
-    q = q.select(*[col(k) for k in keys], "count", F.col("_tw_q")[0].alias("q1"),
-                 F.col("_tw_q")[1].alias("median"), F.col("_tw_q")[2].alias("q3"))
+    counts = base.groupBy(*[col(k) for k in keys]).agg(F.count(v).alias("count"))
+    quart = Q.quantile_wide(base, [y], (0.25, 0.5, 0.75), ["q1", "median", "q3"], keys).drop("column")
+    q = counts.join(quart, keys) if keys else _side_by_side(counts, quart)
     q = q.withColumns({"lower_fence": F.col("q1") - whisker * (F.col("q3") - F.col("q1")),
                        "upper_fence": F.col("q3") + whisker * (F.col("q3") - F.col("q1"))})
     if not keys:
@@ -127,6 +126,12 @@ def box_stats(df: DataFrame, y: str, x: str | None = None, whisker: float = 1.5)
     return q.join(w, keys)
 
 
+def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two one-row tables as one row (the second is collected: one row)."""
+    r = b.first()
+    return a.select("*", *[F.lit(r[c] if r else None).cast(t).alias(c) for c, t in b.dtypes])
+
+
 def scatter_data(df: DataFrame, x: str, y: str, color: str | None = None, size: str | None = None,
                  sample: int | None = None, key=None) -> DataFrame:
     """CHD-6: the point table; optional exact reproducible sample of n points."""

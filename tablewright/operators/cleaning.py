@@ -143,15 +143,20 @@ FILL_METHODS = {"mean", "median", "mode", "ffill", "bfill", "interpolate"}
 
 
 def _fill_stats(df: DataFrame, plan: dict[str, str]) -> dict:
-    aggs = []
-    for c, m in plan.items():
-        if m == "mean":
-            aggs.append(F.avg(col(c)).alias(c))
-        elif m == "median":
-            aggs.append(F.percentile(col(c), 0.5).alias(c))
-        elif m == "mode":
-            aggs.append(F.mode(col(c), deterministic=True).alias(c))
-    return df.agg(*aggs).first().asDict() if aggs else {}
+    """Fill values: means from one aggregate, exact medians, modes by value counts."""
+    from . import aggregate as A
+    from . import quantile as Q
+    out = {}
+    means = [c for c, m in plan.items() if m == "mean"]
+    if means:
+        out.update(df.agg(*[F.avg(col(c)).alias(c) for c in means]).first().asDict())
+    medians = [c for c, m in plan.items() if m == "median"]
+    if medians:
+        out.update({c: v[0] for c, v in Q.quantile_values(df, medians, [0.5]).items()})
+    modes = [c for c, m in plan.items() if m == "mode"]
+    if modes:
+        out.update(A.mode_values(df, modes))
+    return out
 
 
 def fill_missing(df: DataFrame, value=None, method: str | None = None, values: dict | None = None,
@@ -353,40 +358,34 @@ def clean_strings(df: DataFrame, columns, operation: str = "strip", operations=N
 # ------------------------------------------------------------------- outliers
 
 def outlier_bounds(df: DataFrame, columns, method: str = "iqr", threshold: float = 1.5,
-                   approx: bool = False) -> dict[str, dict]:
-    """OUT-1/2/5: bounds of every column from one aggregate."""
+                   approx: bool = False, strategy: str = "auto") -> dict[str, dict]:
+    """OUT-1/2/5: bounds of every column (exact quartiles, or mean and std)."""
+    from . import quantile as Q
     cols = require_numeric(df, as_list(columns))
     if method not in ("iqr", "zscore"):
         raise OperatorError("method must be 'iqr' or 'zscore'")
+    out = {}
+    if method == "iqr":
+        qv = Q.quantile_values(df, cols, [0.25, 0.75], "approx" if approx else strategy)
+        for c in cols:
+            q1, q3 = qv[c]
+            if q1 is None:
+                out[c] = {"lower": None, "upper": None, "q1": None, "q3": None}
+                continue
+            iqr = q3 - q1
+            out[c] = {"lower": q1 - threshold * iqr, "upper": q3 + threshold * iqr, "q1": q1, "q3": q3}
+        return out
     aggs = []
     for i, c in enumerate(cols):
         x = col(c).cast("double")
-        if method == "iqr":
-            qs = (F.percentile_approx(x, [0.25, 0.75], 10000) if approx
-                  else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
-            aggs.append(qs.alias(f"q{i}"))
-        else:
-            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-        aggs.append(F.count(x).alias(f"n{i}"))
+        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
     row = df.agg(*aggs).first()
-    out = {}
     for i, c in enumerate(cols):
-        if method == "iqr":
-            qs = row[f"q{i}"]
-            if qs is None or qs[0] is None:
-                out[c] = {"lower": None, "upper": None, "q1": None, "q3": None}
-                continue
-            q1, q3 = float(qs[0]), float(qs[1])
-            iqr = q3 - q1
-            out[c] = {"lower": q1 - threshold * iqr, "upper": q3 + threshold * iqr,
-                      "q1": q1, "q3": q3}
+        m, s = row[f"m{i}"], row[f"s{i}"]
+        if s is None or s == 0:
+            out[c] = {"lower": None, "upper": None, "mean": m, "std": s}
         else:
-            m, s = row[f"m{i}"], row[f"s{i}"]
-            if s is None or s == 0:
-                out[c] = {"lower": None, "upper": None, "mean": m, "std": s}
-            else:
-                out[c] = {"lower": m - threshold * s, "upper": m + threshold * s,
-                          "mean": m, "std": s}
+            out[c] = {"lower": m - threshold * s, "upper": m + threshold * s, "mean": m, "std": s}
     return out
 
 

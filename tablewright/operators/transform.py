@@ -18,6 +18,7 @@ from ..functions.numbers import human_number  # noqa: F401  (re-export)
 from ..functions.strings import strip, title_case
 from ..schema import (OperatorError, as_list, col, dtype_of, is_datetime, is_numeric, is_string,
                       numeric_columns, require_batch, require_columns, require_numeric)
+from . import quantile as Q
 from .aggregate import _stat
 
 # Aggregate functions of pivot_table.
@@ -191,9 +192,8 @@ def scale_numeric(df: DataFrame, columns=None, method: str = "standard") -> Data
             aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"b{i}")]
         elif method == "minmax":
             aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-        else:
-            aggs.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"))
-    row = df.agg(*aggs).first()
+    row = df.agg(*aggs).first() if aggs else None
+    quart = Q.quantile_values(df, cols, [0.25, 0.5, 0.75]) if method == "robust" else {}
     exprs = {}
     for i, c in enumerate(cols):
         x = col(c).cast("double")
@@ -202,8 +202,8 @@ def scale_numeric(df: DataFrame, columns=None, method: str = "standard") -> Data
         elif method == "minmax":
             center, spread = row[f"a{i}"], (None if row[f"a{i}"] is None else row[f"b{i}"] - row[f"a{i}"])
         else:
-            qs = row[f"q{i}"]
-            center, spread = (None, None) if qs is None else (qs[1], qs[2] - qs[0])
+            qs = quart[c]
+            center, spread = (None, None) if qs[1] is None else (qs[1], qs[2] - qs[0])
         if center is None:
             continue
         if spread is None or spread == 0 or (isinstance(spread, float) and math.isnan(spread)):
@@ -260,8 +260,8 @@ def bin_numeric(df: DataFrame, column: str, bins: int = 4, labels=None, qcut: bo
     x = col(column).cast("double")
     if qcut:
         probs = [i / bins for i in range(bins + 1)]
-        qs = df.agg(F.percentile(x, F.array(*[F.lit(p) for p in probs]))).first()[0]
-        if qs is None:
+        qs = Q.quantile_values(df, [column], probs)[column]
+        if qs[0] is None:
             raise OperatorError("no values to bin")
         edges = [float(v) for v in qs]
         if len(set(edges)) != len(edges):
@@ -284,8 +284,7 @@ def bin_edges(df: DataFrame, column: str, bins: int = 4, qcut: bool = False) ->
     x = col(column).cast("double")
     if qcut:
         probs = [i / bins for i in range(bins + 1)]
-        return [float(v) for v in df.agg(F.percentile(x, F.array(*[F.lit(p) for p in probs])))
-                .first()[0]]
+        return [float(v) for v in Q.quantile_values(df, [column], probs)[column]]
     r = df.agg(F.min(x), F.max(x)).first()
     return _cut_edges(float(r[0]), float(r[1]), bins)
 

@@ -148,7 +148,8 @@ def value_counts(df: DataFrame, column: str, k: int | None = None, normalize: bo
     counts = df.filter(col(column).isNotNull()).groupBy(col(column)).agg(
         F.count(F.lit(1)).alias("count"))
     if normalize:
-        counts = counts.withColumn("percent", F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy()))
+        total = df.filter(col(column).isNotNull()).count()
+        counts = counts.withColumn("percent", F.col("count") * 100.0 / F.lit(max(total, 1)))
     ordered = counts.orderBy(F.col("count").desc(), col(column).asc())
     return ordered.limit(k) if k else ordered
 

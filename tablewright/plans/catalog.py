@@ -1139,7 +1139,13 @@ def q_upper(spark, d):
     return K.clean_strings(table(spark, d, "part"), "p_name", "upper")
 
 
-@register("title_case")
+@register("title_case", r"""
+SELECT doc_id,
+       list_aggr(list_transform(regexp_extract_all(text, '\pL+|\PL+'),
+                                lambda x: replace(upper(x[1]), 'ẞ', 'Ss') || lower(x[2:])),
+                 'string_agg', '') AS text,
+       lang, source, n_chars
+FROM documents""")
 def q_title(spark, d):
     return K.clean_strings(table(spark, d, "documents"), "text", "title")
 

@@ -171,21 +171,29 @@ def group_rank(df: DataFrame, by, order_by, ascending=True, name: str = "_tw_ran
                size: str | None = None) -> DataFrame:
     """0-based rank of each row inside its group of ``by``, skew-proof.
 
-    Uses one global sort on (by, order) instead of a window per group, so a
-    group holding a third of all rows is still split over many tasks.
+    One global sort on (by, order) gives positions; a group's start is its
+    smallest position.  Starts are computed per (file, group) first and the
+    rows are joined back on (file, group): a group holding a third of all
+    rows spans many sorted files, so no join partition holds it whole.
     ``size`` optionally adds the group's row count.
     """
     by = require_columns(df, by)
     asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(as_list(order_by))
     keys = [col(b).asc_nulls_last() for b in by] + order_columns(df, order_by, asc)
-    pos = with_position(df, keys, name="_tw_gpos")
-    aggs = [F.min("_tw_gpos").alias("_tw_start")]
-    if size:
-        aggs.append(F.count(F.lit(1)).alias(size))
+    pos = with_position(df, keys, name="_tw_gpos", keep_partition=True)
     kn = [f"_tw_k{i}" for i in range(len(by))]
-    starts = pos.groupBy(*[col(b).alias(k) for b, k in zip(by, kn)]).agg(*aggs)
-    cond = [col(b).eqNullSafe(F.col(k)) for b, k in zip(by, kn)]
-    joined = pos.join(starts, cond).select(
+    per_file = pos.groupBy(F.col(PID), *[col(b).alias(k) for b, k in zip(by, kn)]).agg(
+        F.min("_tw_gpos").alias("_tw_fstart"), F.count(F.lit(1)).alias("_tw_fcnt"))
+    # one row per (file, group): the group's start and size over all files
+    whole = Window.partitionBy(*[F.col(k) for k in kn])
+    starts = per_file.select(
+        F.col(PID).alias("_tw_p2"), *[F.col(k) for k in kn],
+        F.min("_tw_fstart").over(whole).alias("_tw_start"),
+        F.sum("_tw_fcnt").over(whole).alias("_tw_size"))
+    cond = F.col(PID) == F.col("_tw_p2")
+    for b, k in zip(by, kn):
+        cond = cond & col(b).eqNullSafe(F.col(k))
+    joined = pos.join(starts, cond)
+    return joined.select(
         *[col(c) for c in df.columns], (F.col("_tw_gpos") - F.col("_tw_start")).alias(name),
-        *([F.col(size)] if size else []))
-    return joined
+        *([F.col("_tw_size").alias(size)] if size else []))

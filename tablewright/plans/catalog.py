@@ -1743,3 +1743,85 @@ def q_stream(spark, d):
     name = f"tw_stream_{uuid.uuid4().hex[:8]}"
     run_to_memory(out, name, io_path(spark, "stream-ckpt"))
     return spark.table(name)
+
+
+# =====================================================================
+# reports, catalogue, many files, lineage
+# =====================================================================
+
+@register("replace_change_counts", """
+SELECT count(*) FILTER (WHERE o_orderstatus IS DISTINCT FROM
+                        CASE WHEN o_orderstatus = 'F' THEN 'finished' ELSE o_orderstatus END) AS o_orderstatus,
+       count(*) FILTER (WHERE o_orderpriority IS DISTINCT FROM
+                        CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE o_orderpriority END)
+         AS o_orderpriority
+FROM orders""")
+def q_replace_change_counts(spark, d):
+    o = table(spark, d, "orders")
+    after = K.replace_values(o, {"o_orderstatus": {"F": "finished"}, "o_orderpriority": {"1-URGENT": "urgent"}})
+    return K.change_counts(o, after, ["o_orderstatus", "o_orderpriority"], key="o_orderkey")
+
+
+CATALOGUE_TABLES = ["customer", "lineitem", "nation", "orders", "part", "region", "supplier"]
+
+
+@register("table_catalogue", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in CATALOGUE_TABLES))
+def q_table_catalogue(spark, d):
+    from ..sources.files import load_tables
+    tables = load_tables(spark, d.replace("file:", ""), CATALOGUE_TABLES)
+    parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
+             for n, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("csv_many_files", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, 'orders_' || o_orderstatus AS table_name
+FROM orders""")
+def q_csv_many_files(spark, d):
+    from ..sources.files import read_tables, write_csv
+    o = table(spark, d, "orders").drop("o_orderdate")
+    root = io_path(spark, "many")
+    paths = []
+    for st in ("F", "O", "P"):
+        p = f"{root}/orders_{st}.csv"
+        write_csv(o.filter(F.col("o_orderstatus") == st), p)
+        paths.append(p)
+    tables = read_tables(spark, paths)
+    parts = [df.withColumn("table_name", F.lit(n)) for n, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _lineage_store(spark, d):
+    import time
+    from .versions import SnapshotStore
+    o = table(spark, d, "orders")
+    store = SnapshotStore(spark, io_path(spark, "lineage"))
+    for st in ("F", "O", "P"):
+        store.save_version({"orders": o.filter(F.col("o_orderstatus") == st)}, operation=f"keep status {st}")
+        time.sleep(0.002)
+    return store
+
+
+@register("lineage_prune", """
+SELECT *, 'v1' AS version FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT *, 'v2' FROM orders WHERE o_orderstatus = 'P'""")
+def q_lineage_prune(spark, d):
+    store = _lineage_store(spark, d)
+    store.prune(2)
+    parts = [store.load_version(r.version)["orders"].withColumn("version", F.lit(r.version))
+             for r in store.versions().orderBy("version").collect()]
+    return parts[0].unionByName(parts[1])
+
+
+@register("lineage_search", "SELECT * FROM orders WHERE o_orderstatus = 'P'")
+def q_lineage_search(spark, d):
+    store = _lineage_store(spark, d)
+    hit = store.search("STATUS P", n=1).first()
+    return store.load_version(hit.version)["orders"]

@@ -126,3 +126,21 @@ def test_funnel_order_respected(spark):
 def test_pos_column_constant(events):
     assert POS == "_tw_pos"
     assert isinstance(pd.__version__, str)
+
+
+def test_hot_key_third_of_rows(many_files):
+    """One key holds a third of all rows: ranks, running totals and rolling stay exact."""
+    df = many_files.range(3000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', CAST(id % 50 AS STRING)) END AS g",
+        "CAST((id * 7919) % 1000 AS DOUBLE) AS v")
+    pdf = df.toPandas().sort_values(["g", "id"])
+    r = group_rank(df, ["g"], ["id"], name="r", size="n").toPandas().sort_values(["g", "id"])
+    assert r["r"].tolist() == pdf.groupby("g").cumcount().tolist()
+    assert int(r.loc[r.g == "hot", "n"].iloc[0]) == 1000
+    run = W.running_total(df, "v", ["id"], partition_by="g", block_rows=64).toPandas().sort_values(["g", "id"])
+    assert run["running_total"].tolist() == pytest.approx(pdf.groupby("g")["v"].cumsum().tolist())
+    roll = W.rolling(df, "v", 5, ["id"], partition_by="g", fn="sum", block_rows=64).toPandas()
+    roll = roll.sort_values(["g", "id"])
+    exp = pdf.groupby("g")["v"].transform(lambda s: s.rolling(5).sum()).tolist()
+    got = roll["v_rolling_sum"].tolist()
+    assert [None if x != x else x for x in exp] == [None if (g is None or g != g) else g for g in got]

@@ -111,7 +111,7 @@ def box_stats(df: DataFrame, y: str, x: str | None = None, whisker: float = 1.5)
         w = base.agg(F.min(F.when(inside, v)).alias("whisker_low"),
                      F.max(F.when(inside, v)).alias("whisker_high"),
                      F.count_if(~inside).alias("outliers"))
-        return w.select(F.lit(r["count"]).alias("count"), F.lit(r["q1"]).alias("q1"),
+        return w.select(F.lit(r["count"]).cast("long").alias("count"), F.lit(r["q1"]).alias("q1"),
                         F.lit(r["median"]).alias("median"), F.lit(r["q3"]).alias("q3"),
                         lo.alias("lower_fence"), hi.alias("upper_fence"),
                         "whisker_low", "whisker_high", "outliers")

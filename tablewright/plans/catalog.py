@@ -606,7 +606,7 @@ def q_stats_skewness(spark, d):
 
 
 @register("top_values", """
-SELECT "column", value, count, rank FROM (
+SELECT "column", value, count, CAST(rank AS INTEGER) AS rank FROM (
   SELECT "column", value, count, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank
   FROM (SELECT 'p_brand' AS "column", p_brand AS value, count(*) AS count FROM part GROUP BY p_brand
         UNION ALL
@@ -738,14 +738,14 @@ QS = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
 @register("quantiles", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", {q} AS q, round(quantile_cont({c}, {q}), 6) AS value FROM lineitem"
+    f"SELECT '{c}' AS \"column\", CAST({q} AS DOUBLE) AS q, round(quantile_cont({c}, {q}), 6) AS value FROM lineitem"
     for c in ("l_quantity", "l_extendedprice") for q in QS))
 def q_quantiles(spark, d):
     return rounded(A.quantiles(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], QS))
 
 
 @register("quantiles_grouped", " UNION ALL ".join(
-    f"SELECT o_orderstatus, 'o_totalprice' AS \"column\", {q} AS q, "
+    f"SELECT o_orderstatus, 'o_totalprice' AS \"column\", CAST({q} AS DOUBLE) AS q, "
     f"round(quantile_cont(o_totalprice, {q}), 6) AS value FROM orders GROUP BY o_orderstatus"
     for q in (0.25, 0.5, 0.75)))
 def q_quantiles_grouped(spark, d):
@@ -1677,7 +1677,7 @@ def q_csv_bad_rows(spark, d):
     return read_csv(spark, path, header=["p_partkey", "p_name", "p_size"])
 
 
-@register("json_records", "SELECT to_json(c) AS record FROM customer c")
+@register("json_records", "SELECT CAST(to_json(c) AS VARCHAR) AS record FROM customer c")
 def q_json_records(spark, d):
     from ..sources.files import to_json_records
     return to_json_records(table(spark, d, "customer"))

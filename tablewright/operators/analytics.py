@@ -31,13 +31,6 @@ def _ranked(df: DataFrame, partition_by, order_by, total: str | None = None) ->
     return with_position(df, order_by, name=RANK, total=total)
 
 
-def _keys_equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def running_total(df: DataFrame, value: str, order_by, partition_by=None, name: str = "running_total",
                   block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """WIN-10: cumulative sum in ``order_by`` order (per ``partition_by`` group)."""
@@ -111,6 +104,29 @@ def ntile(df: DataFrame, value: str, n: int = 10, tie_break=None, partition_by=N
     return r.select(*[col(c) for c in df.columns], bucket.cast("int").alias(name))
 
 
+def percent_rank(df: DataFrame, value: str, partition_by=None, name: str = "percent_rank") -> DataFrame:
+    """WIN-11: (rank - 1) / (rows - 1) with ties sharing the lowest rank; 0 for one row.
+
+    One global sort on (partition, value); the start of each run of equal
+    values (and of each partition) comes from ``run_starts``, so neither a
+    hot value nor a hot partition sits in one task.
+    """
+    from ..order import run_starts
+    require_batch(df, "percent_rank")
+    require_columns(df, [value])
+    pb = require_columns(df, as_list(partition_by))
+    keys = [col(p).asc_nulls_last() for p in pb] + [col(value).asc_nulls_first()]
+    pos = with_position(df, keys, name=RANK, keep_partition=True, total="_tw_n")
+    tie = run_starts(pos, pb + [value], RANK, "_tw_t")
+    if pb:
+        part = run_starts(tie, pb, RANK, "_tw_q")
+        rank0, rows = F.col("_tw_t_start") - F.col("_tw_q_start"), F.col("_tw_q_size")
+    else:
+        part, rank0, rows = tie, F.col("_tw_t_start"), F.col("_tw_n")
+    pr = F.when(rows <= 1, F.lit(0.0)).otherwise(rank0 / (rows - 1))
+    return part.select(*[col(c) for c in df.columns], pr.alias(name))
+
+
 def growth_pct(df: DataFrame, time: str, value: str, by=None, agg: str = "sum",
                first_zero: bool = True, name: str = "growth_pct") -> DataFrame:
     """WIN-8: aggregate per (group, period), then percent change along periods.

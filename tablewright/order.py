@@ -167,33 +167,43 @@ def carry(df: DataFrame, order_by, forward: dict[str, Column] | None = None,
         *[F.coalesce(F.col(k + "_loc"), F.col(k + "_in")).alias(names[k]) for k in {**fk, **bk}])
 
 
+def run_starts(pos: DataFrame, keys: list[str], pos_col: str, prefix: str) -> DataFrame:
+    """Start position and length of each run of equal ``keys`` in a positioned table.
+
+    ``pos`` must come from ``with_position(..., keep_partition=True)`` sorted
+    with ``keys`` leading.  Runs are summarised per (file, key) first and
+    joined back on (file, key): a run holding a third of all rows spans many
+    sorted files, so no join partition holds it whole.  Adds
+    ``{prefix}_start`` and ``{prefix}_size``.
+    """
+    kn = [f"{prefix}_k{i}" for i in range(len(keys))]
+    per_file = pos.groupBy(F.col(PID), *[col(b).alias(k) for b, k in zip(keys, kn)]).agg(
+        F.min(pos_col).alias(f"{prefix}_fs"), F.count(F.lit(1)).alias(f"{prefix}_fc"))
+    # one row per (file, key): the run's start and length over all files
+    whole = Window.partitionBy(*[F.col(k) for k in kn])
+    starts = per_file.select(
+        F.col(PID).alias(f"{prefix}_p"), *[F.col(k) for k in kn],
+        F.min(f"{prefix}_fs").over(whole).alias(f"{prefix}_start"),
+        F.sum(f"{prefix}_fc").over(whole).alias(f"{prefix}_size"))
+    cond = F.col(PID) == F.col(f"{prefix}_p")
+    for b, k in zip(keys, kn):
+        cond = cond & col(b).eqNullSafe(F.col(k))
+    return pos.join(starts, cond).drop(f"{prefix}_p", *kn)
+
+
 def group_rank(df: DataFrame, by, order_by, ascending=True, name: str = "_tw_rank",
                size: str | None = None) -> DataFrame:
     """0-based rank of each row inside its group of ``by``, skew-proof.
 
     One global sort on (by, order) gives positions; a group's start is its
-    smallest position.  Starts are computed per (file, group) first and the
-    rows are joined back on (file, group): a group holding a third of all
-    rows spans many sorted files, so no join partition holds it whole.
-    ``size`` optionally adds the group's row count.
+    smallest position (``run_starts``).  ``size`` optionally adds the
+    group's row count.
     """
     by = require_columns(df, by)
     asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(as_list(order_by))
     keys = [col(b).asc_nulls_last() for b in by] + order_columns(df, order_by, asc)
     pos = with_position(df, keys, name="_tw_gpos", keep_partition=True)
-    kn = [f"_tw_k{i}" for i in range(len(by))]
-    per_file = pos.groupBy(F.col(PID), *[col(b).alias(k) for b, k in zip(by, kn)]).agg(
-        F.min("_tw_gpos").alias("_tw_fstart"), F.count(F.lit(1)).alias("_tw_fcnt"))
-    # one row per (file, group): the group's start and size over all files
-    whole = Window.partitionBy(*[F.col(k) for k in kn])
-    starts = per_file.select(
-        F.col(PID).alias("_tw_p2"), *[F.col(k) for k in kn],
-        F.min("_tw_fstart").over(whole).alias("_tw_start"),
-        F.sum("_tw_fcnt").over(whole).alias("_tw_size"))
-    cond = F.col(PID) == F.col("_tw_p2")
-    for b, k in zip(by, kn):
-        cond = cond & col(b).eqNullSafe(F.col(k))
-    joined = pos.join(starts, cond)
+    joined = run_starts(pos, by, "_tw_gpos", "_tw_g")
     return joined.select(
-        *[col(c) for c in df.columns], (F.col("_tw_gpos") - F.col("_tw_start")).alias(name),
-        *([F.col("_tw_size").alias(size)] if size else []))
+        *[col(c) for c in df.columns], (F.col("_tw_gpos") - F.col("_tw_g_start")).alias(name),
+        *([F.col("_tw_g_size").alias(size)] if size else []))

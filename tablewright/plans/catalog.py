@@ -1055,6 +1055,22 @@ def q_decile_grouped(spark, d):
                    partition_by="l_returnflag")
 
 
+@register("percent_rank", """
+SELECT *, round(percent_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS percent_rank
+FROM orders""")
+def q_percent_rank(spark, d):
+    out = W.percent_rank(table(spark, d, "orders"), "o_totalprice", partition_by="o_orderstatus")
+    return out.withColumn("percent_rank", F.round("percent_rank", 9))
+
+
+@register("percent_rank_ties", """
+SELECT l_orderkey, l_linenumber, l_quantity,
+       round(percent_rank() OVER (ORDER BY l_quantity), 9) AS percent_rank FROM lineitem""")
+def q_percent_rank_ties(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return W.percent_rank(li, "l_quantity").withColumn("percent_rank", F.round("percent_rank", 9))
+
+
 @register("yoy_growth", """
 WITH g AS (SELECT CAST(date_trunc('year', o_orderdate) AS TIMESTAMP) AS period, sum(o_totalprice) AS s
            FROM orders GROUP BY 1)

@@ -320,22 +320,34 @@ def describe_stats(df: DataFrame, group_by=None, columns=None, approx: bool = Fa
         wide = base.groupBy(*[col(k) for k in keys]).agg(*aggs)
         quart = Q.quantile_wide(base, num, QUARTILES, ["p25", "p50", "p75"], keys, strat)
         return _numeric_long(wide, num, keys, quart)
+    # whole table: one aggregate for the moments and distinct estimates of the
+    # numeric columns and the non-null counts of the others (one row back)
+    aggs = [e for i, c in enumerate(num) for e in _numeric_stat_exprs(c, i)]
+    if strat == "auto":
+        aggs += [F.approx_count_distinct(col(c)).alias(f"hll_{i}") for i, c in enumerate(num)]
+    aggs += [F.count(col(c)).alias(f"tn_{i}") for i, c in enumerate(text)]
+    row = base.agg(*aggs).first() if aggs else None
     parts = []
     if num:
-        quart = Q.quantile_wide(base, num, QUARTILES, ["p25", "p50", "p75"], None, strat)
-        nl = _numeric_long(base.agg(*aggs), num, [], quart)
-        parts.append(nl.select("column", F.col("count").cast("long").alias("count"),
+        plan = ({c: Q.pick(row[f"hll_{i}"]) for i, c in enumerate(num)} if strat == "auto"
+                else {c: strat for c in num})
+        quart = Q.quantile_wide(base, num, QUARTILES, ["p25", "p50", "p75"], None, plan)
+        facts = base.sparkSession.createDataFrame(
+            [(c, row[f"count_{i}"], row[f"mean_{i}"], row[f"std_{i}"], row[f"min_{i}"], row[f"max_{i}"])
+             for i, c in enumerate(num)],
+            "column string, count long, mean double, std double, min double, max double")
+        nl = facts.join(F.broadcast(quart), "column", "left")  # one row per column each
+        parts.append(nl.select("column", "count",
                                F.lit(None).cast("long").alias("unique"),
                                F.lit(None).cast("string").alias("top"),
                                F.lit(None).cast("long").alias("freq"),
                                *[F.col(s) for s in _NUM_STATS[1:]]))
     if text and include_text:
-        counts = base.agg(*[F.count(col(c)).alias(f"_tw{i}") for i, c in enumerate(text)])
-        nn = _stack(counts, text, "_tw", "count")
+        nn = base.sparkSession.createDataFrame([(c, row[f"tn_{i}"]) for i, c in enumerate(text)],
+                                               "column string, count long")
         vc = value_count_table(base, text)
         uniq = vc.groupBy("column").agg(
             F.count(F.lit(1)).alias("unique"), F.max("count").alias("freq"))
-        # top: most frequent, smallest value among ties
         # uniq has one row per column: broadcast it, never shuffle vc by column
         tops = vc.join(F.broadcast(uniq.select("column", F.col("freq").alias("_tw_f"))), "column").filter(
             F.col("count") == F.col("_tw_f")).groupBy("column").agg(F.min("value").alias("top"))
@@ -367,59 +379,54 @@ def column_profile(df: DataFrame, columns=None, approx: bool = False,
     One row per column: dtype, kind, distinct and NULL counts, missing
     percent (2 decimals), cardinality class; numeric columns also mean,
     median, std (0 with fewer than two values), min, max, q25, q75.
+
+    Three scans: (1) one aggregate for counts, moments and distinct-count
+    estimates of every column (one row to the driver); (2) the value-count
+    table for exact distinct counts; (3) quartiles (see ``quantile``).
     """
     require_batch(df, "column_profile")
     cols = require_columns(df, columns or df.columns)
     num = [c for c in cols if is_numeric(dtype_of(df, c))]
-    spark = df.sparkSession
-    meta = spark.createDataFrame(
-        [(c, dtype_of(df, c).simpleString(),
-          "numeric" if c in num else ("datetime" if family(dtype_of(df, c)) == "datetime"
-                                      else "categorical"), i) for i, c in enumerate(cols)],
-        "column string, dtype string, kind string, ordinal int")
-    counts = df.agg(F.count(F.lit(1)).alias("_tw_n"),
-                    *[F.count(col(c)).alias(f"_tw{i}") for i, c in enumerate(cols)])
-    nn = _stack_with_total(counts, cols)
-    distinct = value_count_table(df, cols).groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_distinct"))
-    prof = (F.broadcast(meta).join(F.broadcast(nn), "column").join(F.broadcast(distinct), "column", "left")
-            .withColumn("n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long")))
-    prof = prof.select(
-        "column", "dtype", "kind", "ordinal", "n_distinct",
-        (F.col("_tw_n") - F.col("non_null")).cast("long").alias("n_null"),
-        F.round(F.try_divide((F.col("_tw_n") - F.col("non_null")) * 100.0, F.col("_tw_n")), 2)
-        .alias("missing_pct"),
-        _cardinality(F.col("n_distinct"), cardinality).alias("cardinality"))
+    strat = "approx" if approx else strategy
+    aggs = [F.count(F.lit(1)).alias("_tw_n")] + [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)]
+    for i, c in enumerate(num):
+        x = col(c).cast("double")
+        aggs += [F.avg(x).alias(f"mean{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std{i}"),
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        if with_skew:
+            aggs.append(adjusted_skewness(x).alias(f"skew{i}"))
+        if strat == "auto":
+            aggs.append(F.approx_count_distinct(x).alias(f"hll{i}"))
+    row = df.agg(*aggs).first()
+    n = row["_tw_n"]
+    plan = ({c: Q.pick(row[f"hll{i}"]) for i, c in enumerate(num)} if strat == "auto"
+            else {c: strat for c in num})
+    facts = []
+    for i, c in enumerate(cols):
+        dt = dtype_of(df, c)
+        kind = "numeric" if c in num else ("datetime" if family(dt) == "datetime" else "categorical")
+        j = num.index(c) if c in num else None
+        nulls = n - row[f"n{i}"]
+        facts.append((c, dt.simpleString(), kind, i, nulls,
+                      round(nulls * 100.0 / n, 2) if n else None,
+                      *([row[f"mean{j}"], row[f"std{j}"], row[f"min{j}"], row[f"max{j}"]]
+                        if j is not None else [None] * 4),
+                      *([row[f"skew{j}"] if j is not None else None] if with_skew else [])))
+    schema = ("column string, dtype string, kind string, ordinal int, n_null long, missing_pct double, "
+              "mean double, std double, min double, max double" + (", skewness double" if with_skew else ""))
+    prof = df.sparkSession.createDataFrame(facts, schema)
+    distinct = value_count_table(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    # every table here has one row per column
+    prof = prof.join(F.broadcast(distinct), "column", "left").withColumn(
+        "n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long"))
     if num:
-        aggs = []
-        for i, c in enumerate(num):
-            x = col(c).cast("double")
-            aggs += [F.avg(x).alias(f"mean_{i}"),
-                     F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std_{i}"),
-                     F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}")]
-            if with_skew:
-                aggs.append(adjusted_skewness(x).alias(f"skew_{i}"))
-        wide = df.agg(*aggs)
-        structs = []
-        for i, c in enumerate(num):
-            fields = [F.lit(c).alias("column"), F.col(f"mean_{i}").alias("mean"),
-                      F.col(f"std_{i}").alias("std"),
-                      F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max")]
-            if with_skew:
-                fields.append(F.col(f"skew_{i}").alias("skewness"))
-            structs.append(F.struct(*fields))
-        stats = wide.select(F.inline(F.array(*structs)))
-        quart = Q.quantile_wide(df, num, QUARTILES, ["q25", "median", "q75"], None,
-                                "approx" if approx else strategy)
-        # both tables have one row per column
-        prof = prof.join(F.broadcast(stats), "column", "left").join(F.broadcast(quart), "column", "left")
+        quart = Q.quantile_wide(df, num, QUARTILES, ["q25", "median", "q75"], None, plan)
+        prof = prof.join(F.broadcast(quart), "column", "left")
     else:
-        for s in ("mean", "median", "std", "min", "max", "q25", "q75"):
-            prof = prof.withColumn(s, F.lit(None).cast("double"))
-        if with_skew:
-            prof = prof.withColumn("skewness", F.lit(None).cast("double"))
+        prof = prof.select("*", *[F.lit(None).cast("double").alias(q) for q in ("q25", "median", "q75")])
     prof = prof.select("column", "dtype", "kind", "ordinal", "n_distinct", "n_null", "missing_pct",
-                       "cardinality", "mean", "median", "std", "min", "max", "q25", "q75",
+                       _cardinality(F.col("n_distinct"), cardinality).alias("cardinality"),
+                       "mean", "median", "std", "min", "max", "q25", "q75",
                        *(["skewness"] if with_skew else []))
     if with_skew:
         sk = F.abs(F.col("skewness"))

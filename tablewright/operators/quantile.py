@@ -40,7 +40,12 @@ def _not_null(cols) -> Column:
 
 
 def choose(df: DataFrame, columns: list[str], by=None, strategy: str = "auto") -> dict[str, str]:
-    """Strategy per column (one HyperLogLog pass for ``auto``)."""
+    """Strategy per column (one HyperLogLog pass for ``auto``).
+
+    ``strategy`` may also be a ready {column: strategy} dict.
+    """
+    if isinstance(strategy, dict):
+        return {c: strategy[c] for c in columns}
     if strategy not in STRATEGIES:
         raise OperatorError(f"strategy must be one of {', '.join(STRATEGIES)}")
     if strategy != "auto":
@@ -52,7 +57,12 @@ def choose(df: DataFrame, columns: list[str], by=None, strategy: str = "auto") -
         row = per_group.agg(*[F.max(f"_tw{i}").alias(f"_tw{i}") for i in range(len(columns))]).first()
     else:
         row = df.agg(*est).first()
-    return {c: ("map" if (row[f"_tw{i}"] or 0) <= MAP_LIMIT else "sort") for i, c in enumerate(columns)}
+    return {c: pick(row[f"_tw{i}"]) for i, c in enumerate(columns)}
+
+
+def pick(distinct_estimate) -> str:
+    """``map`` for a small value domain, ``sort`` for a wide one."""
+    return "map" if (distinct_estimate or 0) <= MAP_LIMIT else "sort"
 
 
 def _map_table(df: DataFrame, columns: list[str], qs: list[float], by: list[str], approx: bool) -> DataFrame:

@@ -222,3 +222,19 @@ def union_files(spark: SparkSession, paths: list[str], fmt: str = "parquet") ->
     if fmt == "csv":
         return reduce(DataFrame.unionByName, [read_csv(spark, p) for p in paths])
     return spark.read.format(fmt).load(paths)
+
+
+def write_bucketed(df: DataFrame, table_name: str, keys, buckets: int, path: str | None = None,
+                   mode: str = "overwrite") -> DataFrame:
+    """Save a table bucketed and sorted by ``keys`` (co-located joins).
+
+    Two tables bucketed by the same keys into the same number of buckets
+    join without a shuffle of either side; ``path`` places the files in a
+    shared folder (an external table), else in the session's warehouse.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    w = df.write.mode(mode).format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table_name)
+    return df.sparkSession.table(table_name)

@@ -100,3 +100,21 @@ def test_no_cross_product_in_registered_queries(spark):
             bad.append(name)
     assert not bad
     assert F is not None
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    from tablewright.operators import joins as J
+    from tablewright.sources.files import write_bucketed
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet").select("l_orderkey", "l_extendedprice")
+    o = spark.read.parquet(f"{SF001}/orders.parquet").select("o_orderkey", "o_custkey")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lb = write_bucketed(li, "tw_li_b", "l_orderkey", 8, str(tmp_path / "li"))
+        ob = write_bucketed(o, "tw_o_b", "o_orderkey", 8, str(tmp_path / "o"))
+        j = J.merge_tables(lb, ob, left_on="l_orderkey", right_on="o_orderkey", null_equal=False)
+        p = plan(j)
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        assert j.count() == li.join(o, li.l_orderkey == o.o_orderkey).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -1725,12 +1725,12 @@ def q_snapshot(spark, d):
     return store.load_version(v0)["orders"]
 
 
-@register("pipeline_steps", """
+@register("multi_step_plan", """
 SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity,
        round(avg(l_extendedprice), 6) AS l_extendedprice
 FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2""")
-def q_pipeline(spark, d):
-    from .pipeline import run_pipeline
+def q_multi_step_plan(spark, d):
+    from .steps import run_steps
     steps = [
         {"op": "filter_rows", "args": {"condition": "l_shipdate < TIMESTAMP_NTZ '1999-01-01 00:00:00'"}},
         {"op": "group_by_agg", "args": {"by": ["l_returnflag", "l_linestatus"],
@@ -1739,7 +1739,7 @@ def q_pipeline(spark, d):
         {"op": "sort_data", "input": "summary", "args": {"by": ["l_returnflag", "l_linestatus"]},
          "output": "summary"},
     ]
-    env = run_pipeline({"current": table(spark, d, "lineitem")}, steps)
+    env = run_steps({"current": table(spark, d, "lineitem")}, steps)
     return rounded(env["summary"])
 
 

@@ -47,7 +47,7 @@ REGISTRY: dict[str, Callable] = {
 }
 
 
-def run_pipeline(tables: dict[str, DataFrame], steps: list[dict],
+def run_steps(tables: dict[str, DataFrame], steps: list[dict],
                  registry: dict[str, Callable] | None = None) -> dict[str, DataFrame]:
     """UDF-3: apply the steps in order; later steps see earlier outputs."""
     reg = registry or REGISTRY

@@ -15,7 +15,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.pipeline import REGISTRY
+from ..plans.steps import REGISTRY
 from ..schema import OperatorError
 
 # Operators that are safe on unbounded input (no global statistics, no order).

@@ -1,10 +1,10 @@
-"""Snapshots, lineage, pipeline and streaming end to end (written under tmp)."""
+"""Snapshots, lineage, multi-step plans and streaming end to end (written under tmp)."""
 
 import time
 
 from pyspark.sql import functions as F
 
-from tablewright.plans.pipeline import run_pipeline
+from tablewright.plans.steps import run_steps
 from tablewright.plans.versions import SnapshotStore, prune_edges, prune_plan
 
 from conftest import SF0001
@@ -37,9 +37,9 @@ def test_snapshot_lifecycle(spark, tmp_path):
     assert {r.version for r in store.versions().collect()} == {"v0-b"}
 
 
-def test_pipeline_is_lazy_and_chained(spark):
+def test_steps_are_lazy_and_chained(spark):
     li = spark.read.parquet(f"{SF0001}/lineitem.parquet")
-    env = run_pipeline({"current": li}, [
+    env = run_steps({"current": li}, [
         {"op": "filter_rows", "args": {"condition": "l_quantity > 10"}},
         {"op": "group_by_agg", "args": {"by": "l_returnflag", "agg": {"l_quantity": "sum"}}, "output": "g"},
         {"op": "nlargest", "input": "g", "args": {"n": 1, "column": "l_quantity"}, "output": "top"},

@@ -21,6 +21,26 @@ from ..schema import (OperatorError, as_list, col, dtype_of, family, require_bat
 DTYPE_FAMILIES = {"number", "bool", "datetime", "object"}
 # Fixed value: result rows handed to a caller at most (LIM-5).
 MAX_RESULT_ROWS = 100_000
+# Largest n answered by a top-k plan (each task keeps n rows, one task merges
+# them); beyond it the first n rows come from exact distributed positions.
+TOPK_MAX = 100_000
+# Largest per-group n for which Spark inserts a partial per-group limit
+# (spark.sql.optimizer.windowGroupLimitThreshold default).
+GROUP_LIMIT_MAX = 1000
+
+
+def first_n(df: DataFrame, sort_cols: list, n: int, offset: int = 0) -> DataFrame:
+    """Rows [offset, offset + n) of ``df`` in ``sort_cols`` order.
+
+    Small requests are a top-k plan; large ones filter on the exact row
+    position, so no task holds or merges n rows.
+    """
+    if offset + n <= TOPK_MAX:
+        ordered = df.orderBy(*sort_cols)
+        return (ordered.offset(offset) if offset else ordered).limit(n)
+    pos = with_position(df, sort_cols)
+    return pos.filter((F.col(POS) >= offset) & (F.col(POS) < offset + n)).select(
+        *[col(c) for c in df.columns])
 
 
 # ---------------------------------------------------------------- projections
@@ -231,7 +251,7 @@ def head_rows(df: DataFrame, n: int = 5, order_by=None) -> DataFrame:
         raise OperatorError("n must be positive")
     if order_by is None:
         return df.limit(n)
-    return df.orderBy(*order_columns(df, order_by)).limit(n)
+    return first_n(df, order_columns(df, order_by), n)
 
 
 def tail_rows(df: DataFrame, n: int = 5, order_by=None) -> DataFrame:
@@ -240,7 +260,7 @@ def tail_rows(df: DataFrame, n: int = 5, order_by=None) -> DataFrame:
         raise OperatorError("n must be positive")
     if order_by is None:
         raise OperatorError("tail_rows needs order_by: a table has no last row otherwise")
-    last = df.orderBy(*order_columns(df, order_by, ascending=False, nulls_last=False)).limit(n)
+    last = first_n(df, order_columns(df, order_by, ascending=False, nulls_last=False), n)
     return last.orderBy(*order_columns(last, order_by))
 
 
@@ -279,8 +299,7 @@ def page(df: DataFrame, page_number: int, page_size: int, order_by) -> DataFrame
     """LIM-4: one page of a sorted view (sorted top-k with an offset)."""
     if page_number < 1 or page_size < 1:
         raise OperatorError("page and page size start at 1")
-    return (df.orderBy(*order_columns(df, order_by))
-            .offset((page_number - 1) * page_size).limit(page_size))
+    return first_n(df, order_columns(df, order_by), page_size, (page_number - 1) * page_size)
 
 
 def cap_rows(df: DataFrame, limit: int = MAX_RESULT_ROWS) -> DataFrame:
@@ -292,13 +311,13 @@ def nlargest(df: DataFrame, n: int, column: str, tie_break=None) -> DataFrame:
     """TOP-1: n rows with the largest value; ``tie_break`` orders equal values."""
     require_columns(df, [column])
     keys = [col(column).desc()] + (order_columns(df, tie_break) if tie_break else [])
-    return df.filter(col(column).isNotNull()).orderBy(*keys).limit(n)
+    return first_n(df.filter(col(column).isNotNull()), keys, n)
 
 
 def nsmallest(df: DataFrame, n: int, column: str, tie_break=None) -> DataFrame:
     require_columns(df, [column])
     keys = [col(column).asc()] + (order_columns(df, tie_break) if tie_break else [])
-    return df.filter(col(column).isNotNull()).orderBy(*keys).limit(n)
+    return first_n(df.filter(col(column).isNotNull()), keys, n)
 
 
 # ------------------------------------------------------------------- sampling
@@ -344,14 +363,14 @@ def sample_rows(df: DataFrame, n: int | None = None, frac: float | None = None,
         return _sample_with_replacement(df, n, frac, seed, key)
     if by is None:
         if n is not None:
-            # top-k plan: every task keeps its n smallest keys, one merge
-            return df.orderBy(h, *[col(k) for k in key]).limit(n)
+            # small n: top-k plan (each task keeps its n smallest keys)
+            return first_n(df, [h, *[col(k) for k in key]], n)
         pos = with_position(df.withColumn("_tw_h", h), ["_tw_h", *key], total="_tw_n")
         target = F.bround(F.col("_tw_n") * F.lit(frac), 0)
         return pos.filter(F.col(POS) < target).select(*[col(c) for c in df.columns])
     require_columns(df, [by])
     base = df.filter(col(by).isNotNull()).withColumn("_tw_h", h)
-    if n is not None:
+    if n is not None and n <= GROUP_LIMIT_MAX:
         # row_number() <= n: Spark adds a partial per-group limit before the
         # shuffle, so each task ships at most n rows per group (hot groups too)
         w = Window.partitionBy(col(by)).orderBy(F.col("_tw_h"), *[col(k) for k in key])
@@ -362,17 +381,15 @@ def sample_rows(df: DataFrame, n: int | None = None, frac: float | None = None,
             F.lit(f"a group of '{by}' has fewer than {n} rows")).cast("boolean")).otherwise(F.lit(True))
         return top.filter(check).select(*[col(c) for c in df.columns])
     ranked = group_rank(base, [by], ["_tw_h", *key], size="_tw_gn")
-    cond = F.col("_tw_rank") < F.bround(F.col("_tw_gn") * F.lit(frac), 0)
+    if n is not None:  # large n per group: exact ranks from one global sort
+        check = F.when(F.col("_tw_gn") < F.lit(n), F.raise_error(
+            F.lit(f"a group of '{by}' has fewer than {n} rows")).cast("boolean")).otherwise(F.lit(True))
+        cond = check & (F.col("_tw_rank") < F.lit(n))
+    else:
+        cond = F.col("_tw_rank") < F.bround(F.col("_tw_gn") * F.lit(frac), 0)
     return ranked.filter(cond).select(*[col(c) for c in df.columns])
 
 
-def check_group_sizes(df: DataFrame, by: str, n: int) -> None:
-    """Stratified sampling of n rows needs every group to have n rows."""
-    small = df.filter(col(by).isNotNull()).groupBy(col(by)).count().filter(F.col("count") < n)
-    if small.limit(1).count():
-        raise OperatorError(f"Some groups of '{by}' have fewer than {n} rows")
-
-
 def _sample_with_replacement(df: DataFrame, n, frac, seed, key) -> DataFrame:
     spark = df.sparkSession
     pos = with_position(df, key, total="_tw_n")

@@ -144,3 +144,20 @@ def test_hot_key_third_of_rows(many_files):
     exp = pdf.groupby("g")["v"].transform(lambda s: s.rolling(5).sum()).tolist()
     got = roll["v_rolling_sum"].tolist()
     assert [None if x != x else x for x in exp] == [None if (g is None or g != g) else g for g in got]
+
+
+def test_large_n_uses_positions(spark, monkeypatch):
+    """Above the top-k limit the first rows come from positions; same answer."""
+    from tablewright.operators import selection as Sel
+    o = spark.read.parquet(f"{SF001}/orders.parquet")
+    small = sorted(r.o_orderkey for r in Sel.nlargest(o, 40, "o_totalprice", tie_break="o_orderkey").collect())
+    page = sorted(r.o_orderkey for r in Sel.page(o, 3, 7, ["o_totalprice", "o_orderkey"]).collect())
+    strat = sorted(r.o_orderkey for r in Sel.sample_rows(o, n=5, by="o_orderpriority", key="o_orderkey",
+                                                          random_state=2).collect())
+    monkeypatch.setattr(Sel, "TOPK_MAX", 10)
+    monkeypatch.setattr(Sel, "GROUP_LIMIT_MAX", 2)
+    big = sorted(r.o_orderkey for r in Sel.nlargest(o, 40, "o_totalprice", tie_break="o_orderkey").collect())
+    page2 = sorted(r.o_orderkey for r in Sel.page(o, 3, 7, ["o_totalprice", "o_orderkey"]).collect())
+    strat2 = sorted(r.o_orderkey for r in Sel.sample_rows(o, n=5, by="o_orderpriority", key="o_orderkey",
+                                                           random_state=2).collect())
+    assert small == big and page == page2 and strat == strat2

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from ..order import group_rank, with_position
 from ..schema import OperatorError, as_list, col
 
-# Largest per-group distinct count kept in an exact percentile map.
-MAP_LIMIT = 1_000_000
+# Largest per-group distinct count kept in an exact percentile map (measured:
+# beyond ~200k distinct values the sort path is faster even on one machine).
+MAP_LIMIT = 200_000
 STRATEGIES = ("auto", "map", "sort", "approx")
 
 

@@ -23,11 +23,17 @@ HOWS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "fu
 
 def merge_tables(left: DataFrame, right: DataFrame, how: str = "inner", left_on=None,
                  right_on=None, on=None, suffixes=("_left", "_right"),
-                 null_equal: bool = True) -> DataFrame:
+                 null_equal: bool = True, salt: int | None = None) -> DataFrame:
     """JN-1..7: equi-join with pandas-style key handling and suffixes.
 
     ``on`` (or equal left/right names) yields one key column, coalesced
     for outer joins; overlapping non-key columns get the suffixes.
+
+    ``salt=N`` (inner / left joins) spreads the left rows of heavy keys over
+    N join partitions: keys holding more than ``1/N`` of the left rows are
+    found with one distributed count; their left rows get a salt 0..N-1
+    from a hash of the row (stable across task retries) and the matching
+    right rows are copied N times.  Other keys join unchanged (salt 0).
     """
     if how not in HOWS:
         raise OperatorError(f"Unsupported join type '{how}'")
@@ -59,6 +65,11 @@ def merge_tables(left: DataFrame, right: DataFrame, how: str = "inner", left_on=
     for a, b in zip(lk, rk):
         la, rb = F.col(l_alias[a]), F.col(r_alias[b])
         conds.append(la.eqNullSafe(rb) if null_equal else la == rb)
+    if salt and salt > 1:
+        if HOWS[how] not in ("inner", "left"):
+            raise OperatorError("salt is for inner and left joins")
+        L, R = _salt_sides(L, R, [l_alias[a] for a in lk], [r_alias[b] for b in rk], salt, null_equal)
+        conds.append(F.col("_tw_salt_l") == F.col("_tw_salt_r"))
     joined = L.join(R, reduce(lambda x, y: x & y, conds), HOWS[how])
     right_rest = [c for c in right.columns if c not in shared]
     left_names = set(left.columns) - set(shared)
@@ -75,6 +86,37 @@ def merge_tables(left: DataFrame, right: DataFrame, how: str = "inner", left_on=
     return joined.select(*out)
 
 
+def heavy_keys(df: DataFrame, keys: list[str], share: float, limit: int = 1000) -> list[tuple]:
+    """Keys holding more than ``share`` of the rows (one count, a top-k)."""
+    total = df.count()
+    if total == 0:
+        return []
+    counts = (df.groupBy(*[F.col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_tw_c"))
+              .filter(F.col("_tw_c") > F.lit(share * total))
+              .orderBy(F.col("_tw_c").desc()).limit(limit).collect())
+    return [tuple(r[k] for k in keys) for r in counts]
+
+
+def _salt_sides(L: DataFrame, R: DataFrame, lkeys: list[str], rkeys: list[str], n: int,
+                null_equal: bool) -> tuple[DataFrame, DataFrame]:
+    hot = heavy_keys(L, lkeys, 1.0 / n)
+
+    def is_hot(cols):
+        cond = F.lit(False)
+        for key in hot:
+            one = F.lit(True)
+            for c, v in zip(cols, key):
+                one = one & (F.col(c).eqNullSafe(F.lit(v)) if null_equal or v is None else F.col(c) == F.lit(v))
+            cond = cond | one
+        return cond
+
+    row_hash = F.xxhash64(*[F.col(c) for c in L.columns])
+    Ls = L.withColumn("_tw_salt_l", F.when(is_hot(lkeys), F.pmod(row_hash, F.lit(n))).otherwise(F.lit(0)))
+    copies = F.when(is_hot(rkeys), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    Rs = R.withColumn("_tw_salt_r", F.explode(copies))
+    return Ls, Rs
+
+
 def _suffix_cross(left: DataFrame, right: DataFrame, suffixes) -> DataFrame:
     """JN-5: explicit cross product (the caller asked for every pair)."""
     overlap = set(left.columns) & set(right.columns)

@@ -296,6 +296,20 @@ def q_join_null_keys(spark, d):
     return J.merge_tables(e, g, on="event_type")
 
 
+@register("join_salted", """
+SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value, e.props, g.type_rows, g.type_mean
+FROM events e
+JOIN (SELECT event_type, count(*) AS type_rows, round(avg(value), 6) AS type_mean
+      FROM events GROUP BY event_type) g
+  ON e.event_type IS NOT DISTINCT FROM g.event_type""")
+def q_join_salted(spark, d):
+    """Every event type holds ~20 % of the rows: all keys are heavy for salt=8."""
+    e = table(spark, d, "events")
+    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("type_rows"),
+                                    F.round(F.avg("value"), 6).alias("type_mean"))
+    return J.merge_tables(e, g, on="event_type", salt=8)
+
+
 @register("join_suffixes", """
 SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_totalprice AS o_totalprice_left,
        o.o_orderdate, o.o_orderpriority, l.o_totalprice AS o_totalprice_right, l.lines

@@ -161,3 +161,16 @@ def test_large_n_uses_positions(spark, monkeypatch):
     strat2 = sorted(r.o_orderkey for r in Sel.sample_rows(o, n=5, by="o_orderpriority", key="o_orderkey",
                                                            random_state=2).collect())
     assert small == big and page == page2 and strat == strat2
+
+
+def test_salted_join_equals_plain_join(many_files):
+    from tablewright.operators import joins as J
+    left = many_files.range(6000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 40 END AS k", "id * 2 AS v")
+    right = many_files.range(40).selectExpr("id AS k", "concat('n', CAST(id AS STRING)) AS name")
+    plain = J.merge_tables(left, right, "left", on="k")
+    salted = J.merge_tables(left, right, "left", on="k", salt=8)
+    a = sorted(tuple(r) for r in plain.collect())
+    b = sorted(tuple(r) for r in salted.collect())
+    assert a == b and len(a) == 6000
+    assert J.heavy_keys(left, ["k"], 1 / 8) == [(7,)]

@@ -42,6 +42,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int = 128 << 20) -> dict:
+    """Settings sized for a large input (e.g. 100 TB on a 1000-executor cluster).
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of
+    input (at least 2 per core) and adaptive execution coalesces small ones
+    and splits skewed ones at runtime; scans read ``target_partition_bytes``
+    splits.  Apply with ``get_spark(extra=cluster_settings(...))``.
+    """
+    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting it from the session.
 

@@ -46,11 +46,13 @@ def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int =
     """Settings sized for a large input (e.g. 100 TB on a 1000-executor cluster).
 
     Shuffle partitions start at about one per ``target_partition_bytes`` of
-    input (at least 2 per core) and adaptive execution coalesces small ones
-    and splits skewed ones at runtime; scans read ``target_partition_bytes``
-    splits.  Apply with ``get_spark(extra=cluster_settings(...))``.
+    input, between 2 and 50 per core (map tasks x reducers is the number of
+    shuffle blocks, so the count is capped); adaptive execution coalesces
+    small ones and splits skewed ones at runtime; scans read
+    ``target_partition_bytes`` splits.  Apply with
+    ``get_spark(extra=cluster_settings(...))``.
     """
-    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    parts = min(max(2 * cores, -(-input_bytes // target_partition_bytes)), 50 * cores)
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),

@@ -1666,7 +1666,17 @@ def q_chart_compat_reject(spark, d):
     return C.compatibility(table(spark, d, "orders"), "pie", x="o_custkey")
 
 
-@register("chart_recommendation")
+@register("chart_recommendation", """
+WITH s AS (SELECT corr(l_quantity, l_extendedprice) AS r, count(DISTINCT l_returnflag) AS nd FROM lineitem),
+recs AS (
+  SELECT 1 AS o, 'line' AS chart, 'l_shipdate' AS x, 'l_quantity' AS y,
+         'trend of l_quantity over l_shipdate' AS reason FROM s
+  UNION ALL SELECT 2, 'scatter', 'l_extendedprice', 'l_quantity', 'correlation r=' || printf('%.2f', r)
+  FROM s WHERE abs(r) > 0.5
+  UNION ALL SELECT 3, 'bar', 'l_returnflag', 'l_quantity', 'l_quantity by l_returnflag' FROM s WHERE nd < 50
+  UNION ALL SELECT 4, 'histogram', 'l_quantity', NULL, 'distribution of l_quantity' FROM s
+  UNION ALL SELECT 5, 'pie', 'l_returnflag', NULL, 'share of l_returnflag' FROM s WHERE nd <= 10)
+SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS rank, chart, x, y, reason FROM recs""")
 def q_chart_recommendation(spark, d):
     li = table(spark, d, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag")
     return C.recommend_charts(li)

@@ -174,24 +174,41 @@ def percent_breakdown(df: DataFrame, column: str) -> DataFrame:
                          F.round(F.col("count") * 100.0 / F.lit(max(total, 1)), 4).alias("percent"))
 
 
+def _slots(df: DataFrame, c: str) -> list[Column]:
+    """A value as four typed slots (only the one of its family set)."""
+    dt = dtype_of(df, c)
+    x = col(c)
+    long_v = dbl_v = str_v = ts_v = None
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        long_v = x.cast("long")
+    elif isinstance(dt, (T.FloatType, T.DoubleType)):
+        dbl_v = x.cast("double") + F.lit(0.0)  # -0.0 + 0.0 = 0.0
+    elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        ts_v = x.cast("timestamp_ntz")
+    else:
+        str_v = x.cast("string")
+    def slot(v, t):
+        return (v if v is not None else F.lit(None)).cast(t)
+    return [slot(long_v, "long").alias("l"), slot(dbl_v, "double").alias("d"),
+            slot(str_v, "string").alias("s"), slot(ts_v, "timestamp_ntz").alias("t")]
+
+
 def value_count_table(df: DataFrame, columns=None) -> DataFrame:
     """Long ``(column, value, count)`` over many columns, NULLs left out.
 
-    One unpivot, one partially-aggregated group-by: the shared input of
-    distinct counts, top values and modes of many columns.
+    One unpivot into typed slots (no per-cell text conversion), one
+    partially aggregated group-by; ``value`` is the text of the value,
+    derived after the aggregation (only for distinct values).  The shared
+    input of distinct counts, top values and describe's top/freq.
     """
     cols = require_columns(df, columns or df.columns)
-
-    def text(c: str):
-        # -0.0 + 0.0 = 0.0: equal floats give equal text
-        if isinstance(dtype_of(df, c), (T.FloatType, T.DoubleType)):
-            return (col(c) + F.lit(0.0)).cast("string")
-        return col(c).cast("string")
-
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in cols])
-    long = df.select(F.inline(pairs))
-    return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("count"))
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), *_slots(df, c)) for c in cols])
+    long = df.select(F.inline(entries))
+    present = F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull() | F.col("t").isNotNull()
+    counts = long.filter(present).groupBy("column", "l", "d", "s", "t").agg(F.count(F.lit(1)).alias("count"))
+    text = F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), F.col("s"),
+                      F.col("t").cast("string"))
+    return counts.select("column", text.alias("value"), "count")
 
 
 def top_values(df: DataFrame, columns=None, k: int = 10, counts: DataFrame | None = None) -> DataFrame:

@@ -17,9 +17,11 @@ partition key does exactly that):
    executor cannot re-sample different range bounds - and every task's
    sorted run becomes one file;
 3. the row count of each file comes from a scan that reads no column
-   data; a row's position is then the offset of its file (a literal map,
-   one entry per file) plus ``_metadata.row_index``, its index inside the
-   file.  Later scans of the sorted table keep column pruning and filter
+   data; a row's position is then the offset of its file plus
+   ``_metadata.row_index``, its index inside the file.  The offsets are a
+   literal map in the plan for up to ``LITERAL_FILES_MAX`` files, else a
+   broadcast table with one row per file (its size is bounded by the sort's
+   partition count).  Later scans of the sorted table keep column pruning and filter
    pushdown.
 
 ``carry`` uses the file of each row as a block for a two-phase fill: fill
@@ -39,6 +41,9 @@ from .schema import OperatorError, as_list, col, require_columns
 from .session import ensure_checkpoint_dir
 
 PID = "_tw_pid"
+# Up to this many sorted files the per-file offsets are a literal map in the
+# plan; beyond it they are a broadcast table (one row per file).
+LITERAL_FILES_MAX = 10_000
 POS = "_tw_pos"
 TOTAL = "_tw_total"
 
@@ -110,18 +115,27 @@ def with_position(df: DataFrame, order_by, ascending=True, name: str = POS,
     counts = sorted(((r[0], r[1]) for r in ordered.groupBy(fname.alias("f")).count().collect()),
                     key=lambda fc: _file_order(fc[0]))
     offsets, acc = [], 0
-    for f, n in counts:
-        offsets.append((f, acc))
+    for i, (f, n) in enumerate(counts):
+        offsets.append((f, acc, i))
         acc += n
-    cols = [F.col("*"),
-            (F.element_at(_literal_map(offsets), fname).cast("long") + F.col("_metadata.row_index"))
-            .alias(name)]
-    if total:
-        cols.append(F.lit(acc).cast("long").alias(total))
+    extra = [F.lit(acc).cast("long").alias(total)] if total else []
+    if len(offsets) <= LITERAL_FILES_MAX:
+        # few files: the offsets travel inside the plan as one literal map
+        cols = [F.col("*"),
+                (F.element_at(_literal_map([(f, o) for f, o, _ in offsets]), fname).cast("long")
+                 + F.col("_metadata.row_index")).alias(name), *extra]
+        if keep_partition:
+            cols.append(F.element_at(_literal_map([(f, i) for f, _, i in offsets]), fname)
+                        .cast("int").alias(PID))
+        return ordered.select(*cols)
+    # many files: a table with one row per file, broadcast once per executor
+    offs = df.sparkSession.createDataFrame(offsets, "_tw_f string, _tw_off long, _tw_fi int")
+    tagged = ordered.select(F.col("*"), fname.alias("_tw_fn"), F.col("_metadata.row_index").alias("_tw_ri"))
+    joined = tagged.join(F.broadcast(offs), F.col("_tw_fn") == F.col("_tw_f"))
+    cols = [col(c) for c in df.columns] + [(F.col("_tw_off") + F.col("_tw_ri")).alias(name), *extra]
     if keep_partition:
-        cols.append(F.element_at(_literal_map([(f, i) for i, (f, _) in enumerate(counts)]), fname)
-                    .cast("int").alias(PID))
-    return ordered.select(*cols)
+        cols.append(F.col("_tw_fi").alias(PID))
+    return joined.select(*cols)
 
 
 def carry(df: DataFrame, order_by, forward: dict[str, Column] | None = None,

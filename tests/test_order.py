@@ -174,3 +174,17 @@ def test_salted_join_equals_plain_join(many_files):
     b = sorted(tuple(r) for r in salted.collect())
     assert a == b and len(a) == 6000
     assert J.heavy_keys(left, ["k"], 1 / 8) == [(7,)]
+
+
+def test_positions_with_broadcast_offsets(many_files, monkeypatch):
+    """The many-files path (offsets as a broadcast table) gives the same positions."""
+    import tablewright.order as O
+    e = many_files.read.parquet(f"{SF001}/events.parquet")
+    a = {r.event_id: r.p for r in with_position(e, ["value", "event_id"], name="p").collect()}
+    monkeypatch.setattr(O, "LITERAL_FILES_MAX", 1)
+    got = with_position(e, ["value", "event_id"], name="p", total="n", keep_partition=True)
+    b = {r.event_id: r.p for r in got.collect()}
+    assert a == b and got.select("n").distinct().count() == 1
+    f = K.fill_missing(e.select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value")),
+                       method="ffill", order_by="event_id").count()
+    assert f == e.count()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..order import POS, group_rank, with_position
+from ..order import POS, group_rank, largest_group, order_columns, with_position
 from ..schema import OperatorError, as_list, col, require_batch, require_columns, require_numeric
 from .aggregate import _stat
 
@@ -37,6 +37,11 @@ def running_total(df: DataFrame, value: str, order_by, partition_by=None, name:
     require_batch(df, "running_total")
     require_numeric(df, [value])
     pb = require_columns(df, as_list(partition_by))
+    if largest_group(df, pb, block_rows) <= block_rows:
+        # every group fits one task: a plain window is exact and cheaper
+        w = Window.partitionBy(*[col(p) for p in pb]).orderBy(*order_columns(df, order_by)).rowsBetween(
+            Window.unboundedPreceding, 0)
+        return df.select(*[col(c) for c in df.columns], F.sum(col(value)).over(w).alias(name))
     r = _ranked(df, pb, order_by).withColumn(BLOCK, F.floor(F.col(RANK) / F.lit(block_rows)))
     inside = Window.partitionBy(*[col(p) for p in pb], F.col(BLOCK)).orderBy(RANK).rowsBetween(
         Window.unboundedPreceding, 0)
@@ -69,6 +74,13 @@ def rolling(df: DataFrame, value: str, window: int, order_by, partition_by=None,
     block_rows = max(block_rows, window)
     min_periods = window if min_periods is None else min_periods
     pb = require_columns(df, as_list(partition_by))
+    x = col(value).cast("double")
+    if largest_group(df, pb, block_rows) <= block_rows:
+        # every group fits one task: a plain window is exact and cheaper
+        w = Window.partitionBy(*[col(p) for p in pb]).orderBy(*order_columns(df, order_by)).rowsBetween(
+            -(window - 1), 0)
+        stat = F.when(F.count(x).over(w) >= min_periods, _stat(fn, x).over(w))
+        return df.select(*[col(c) for c in df.columns], stat.alias(name or f"{value}_rolling_{fn}"))
     r = _ranked(df, pb, order_by).withColumn(BLOCK, F.floor(F.col(RANK) / F.lit(block_rows)))
     r = r.withColumn("_tw_halo", F.lit(False))
     # copy the last window-1 rows of each block into the next block
@@ -77,7 +89,6 @@ def rolling(df: DataFrame, value: str, window: int, order_by, partition_by=None,
     both = r.unionByName(halo) if window > 1 else r
     frame = Window.partitionBy(*[col(p) for p in pb], F.col(BLOCK)).orderBy(RANK).rowsBetween(
         -(window - 1), 0)
-    x = col(value).cast("double")
     stat = _stat(fn, x).over(frame)
     n = F.count(x).over(frame)
     out = both.withColumn("_tw_stat", F.when(n >= min_periods, stat)).filter(~F.col("_tw_halo"))
@@ -86,15 +97,20 @@ def rolling(df: DataFrame, value: str, window: int, order_by, partition_by=None,
 
 
 def ntile(df: DataFrame, value: str, n: int = 10, tie_break=None, partition_by=None,
-          name: str = "ntile") -> DataFrame:
+          name: str = "ntile", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """WIN-11: bucket 1..n by rank, sizes differing by at most one (first buckets larger).
 
-    Computed from the exact position and row count, so no window has to
-    hold a whole group (``ntile`` over a window would).
+    Groups larger than ``block_rows``: computed from the exact position and
+    row count, so no window has to hold a whole group (``ntile`` over a
+    window would); smaller groups use the plain window function.
     """
     require_batch(df, "ntile")
     require_columns(df, [value])
     order = [value] + as_list(tie_break)
+    pb = require_columns(df, as_list(partition_by))
+    if largest_group(df, pb, block_rows) <= block_rows:
+        w = Window.partitionBy(*[col(p) for p in pb]).orderBy(*order_columns(df, order))
+        return df.select(*[col(c) for c in df.columns], F.ntile(n).over(w).cast("int").alias(name))
     r = _ranked(df, partition_by, order, total="_tw_n")
     pos, total = F.col(RANK), F.col("_tw_n")
     q, rem = F.floor(total / n), F.pmod(total, F.lit(n))
@@ -104,17 +120,22 @@ def ntile(df: DataFrame, value: str, n: int = 10, tie_break=None, partition_by=N
     return r.select(*[col(c) for c in df.columns], bucket.cast("int").alias(name))
 
 
-def percent_rank(df: DataFrame, value: str, partition_by=None, name: str = "percent_rank") -> DataFrame:
+def percent_rank(df: DataFrame, value: str, partition_by=None, name: str = "percent_rank",
+                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """WIN-11: (rank - 1) / (rows - 1) with ties sharing the lowest rank; 0 for one row.
 
-    One global sort on (partition, value); the start of each run of equal
-    values (and of each partition) comes from ``run_starts``, so neither a
-    hot value nor a hot partition sits in one task.
+    Groups larger than ``block_rows``: one global sort on (partition, value);
+    the start of each run of equal values (and of each partition) comes from
+    ``run_starts``, so neither a hot value nor a hot partition sits in one
+    task.  Smaller groups use the plain window function.
     """
     from ..order import run_starts
     require_batch(df, "percent_rank")
     require_columns(df, [value])
     pb = require_columns(df, as_list(partition_by))
+    if largest_group(df, pb, block_rows) <= block_rows:
+        w = Window.partitionBy(*[col(p) for p in pb]).orderBy(col(value).asc_nulls_first())
+        return df.select(*[col(c) for c in df.columns], F.percent_rank().over(w).alias(name))
     keys = [col(p).asc_nulls_last() for p in pb] + [col(value).asc_nulls_first()]
     pos = with_position(df, keys, name=RANK, keep_partition=True, total="_tw_n")
     tie = run_starts(pos, pb + [value], RANK, "_tw_t")

@@ -13,12 +13,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import STRING_OPERATIONS, literal_pattern, replace_text
-from ..order import POS, carry, with_position
+from ..order import POS, carry, largest_group, order_columns, with_position
 from ..schema import (OperatorError, as_list, col, dtype_of, is_numeric, is_string,
                       numeric_columns, require_batch, require_columns, require_numeric,
                       require_string)
@@ -161,7 +161,8 @@ def _fill_stats(df: DataFrame, plan: dict[str, str]) -> dict:
 
 def fill_missing(df: DataFrame, value=None, method: str | None = None, values: dict | None = None,
                  methods: dict | None = None, interpolate_method: str | None = None,
-                 columns=None, order_by=None, strict: bool = False) -> DataFrame:
+                 columns=None, order_by=None, strict: bool = False,
+                 small_rows: int | None = None) -> DataFrame:
     """FIL-1/2, WIN-1..3: constants, statistics or order-based fills.
 
     Per-column settings win over global ones and a value wins over a
@@ -206,13 +207,37 @@ def fill_missing(df: DataFrame, value=None, method: str | None = None, values: d
     if ordered:
         if order_by is None:
             raise OperatorError("ffill / bfill / interpolate need order_by")
-        out = _ordered_fill(out, ordered, order_by)
+        out = _ordered_fill(out, ordered, order_by, small_rows)
     return out
 
 
-def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
+# Tables up to this many rows are filled with plain windows (one task);
+# larger ones through positions and the two-phase carry.
+SMALL_TABLE_ROWS = 1 << 20
+
+
+def _small_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
+    """The same fills as plain windows over the whole (small) table."""
+    spec = order_columns(df, order_by)
+    rev = order_columns(df, order_by, ascending=False, nulls_last=False)
+    up = Window.orderBy(*spec).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.orderBy(*rev).rowsBetween(Window.unboundedPreceding, 0)
+    base = df.withColumn(POS, F.row_number().over(Window.orderBy(*spec)) - 1)
+    fwd, bwd = {}, {}
+    for c, m in plan.items():
+        pair = F.when(col(c).isNotNull(), F.struct(F.col(POS).alias("p"), col(c).cast("double").alias("v")))
+        if m in ("ffill", "interpolate"):
+            fwd[f"_tw_f_{c}"] = F.last(col(c) if m == "ffill" else pair, ignorenulls=True).over(up)
+        if m in ("bfill", "interpolate"):
+            bwd[f"_tw_b_{c}"] = F.last(col(c) if m == "bfill" else pair, ignorenulls=True).over(down)
+    return base.select("*", *[e.alias(k) for k, e in {**fwd, **bwd}.items()])
+
+
+def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by,
+                  small_rows: int | None = None) -> DataFrame:
     """ffill / bfill / linear interpolation from one positioned table."""
     require_batch(df, "ordered fill")
+    small_rows = SMALL_TABLE_ROWS if small_rows is None else small_rows
     fwd, bwd = {}, {}
     for c, m in plan.items():
         if m == "ffill":
@@ -224,7 +249,10 @@ def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
                                                        col(c).cast("double").alias("v")))
             fwd[f"_tw_f_{c}"] = pair
             bwd[f"_tw_b_{c}"] = pair
-    cur = carry(df, order_by, fwd, bwd)
+    if largest_group(df, [], small_rows) <= small_rows:
+        cur = _small_fill(df, plan, order_by)
+    else:
+        cur = carry(df, order_by, fwd, bwd)
     exprs = {}
     for c, m in plan.items():
         if m == "ffill":

@@ -70,6 +70,20 @@ def order_columns(df: DataFrame, order_by, ascending=True, nulls_last=True) -> l
     return out
 
 
+def largest_group(df: DataFrame, by, limit: int) -> int:
+    """Rows of the largest ``by`` group (whole table without ``by``), capped at ``limit + 1``.
+
+    Lets an operator use a plain window when every group fits one task and
+    the distributed block path otherwise.  Without groups this stops after
+    ``limit + 1`` rows; with groups it is one partially aggregated count.
+    """
+    by = as_list(by)
+    if not by:
+        return df.limit(limit + 1).count()
+    top = df.groupBy(*[col(b) for b in by]).count().agg(F.max("count")).first()[0]
+    return top or 0
+
+
 def scratch_table_path(df: DataFrame, kind: str) -> str:
     """A new folder under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")

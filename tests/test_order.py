@@ -41,21 +41,24 @@ def test_ffill_bfill_across_blocks(many_files):
     e = many_files.read.parquet(f"{SF001}/events.parquet").select(
         "event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
     pdf = e.toPandas().sort_values("event_id").reset_index(drop=True)
-    f = K.fill_missing(e, method="ffill", order_by="event_id").toPandas().sort_values("event_id")
-    b = K.fill_missing(e, method="bfill", order_by="event_id").toPandas().sort_values("event_id")
-    assert nn(f["value"]) == nn(pdf["value"].ffill())
-    assert nn(b["value"]) == nn(pdf["value"].bfill())
+    for small in (0, None):  # distributed carry, then the plain-window path
+        f = K.fill_missing(e, method="ffill", order_by="event_id", small_rows=small).toPandas()
+        b = K.fill_missing(e, method="bfill", order_by="event_id", small_rows=small).toPandas()
+        assert nn(f.sort_values("event_id")["value"]) == nn(pdf["value"].ffill())
+        assert nn(b.sort_values("event_id")["value"]) == nn(pdf["value"].bfill())
 
 
 def test_interpolate_matches_pandas(many_files):
     e = many_files.read.parquet(f"{SF001}/events.parquet").select(
         "event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"))
     pdf = e.toPandas().sort_values("event_id").reset_index(drop=True)
-    got = K.fill_missing(e, methods={"value": "interpolate"}, order_by="event_id").toPandas()
-    got = got.sort_values("event_id")["value"].tolist()
     exp = pdf["value"].interpolate(method="linear").tolist()
-    for g, x in zip(got, exp):
-        assert (g is None or g != g) if x != x else g == pytest.approx(x)
+    for small in (0, None):
+        got = K.fill_missing(e, methods={"value": "interpolate"}, order_by="event_id",
+                             small_rows=small).toPandas()
+        got = got.sort_values("event_id")["value"].tolist()
+        for g, x in zip(got, exp):
+            assert (g is None or g != g) if x != x else g == pytest.approx(x)
 
 
 def test_rolling_with_small_blocks_matches_pandas(events):
@@ -69,20 +72,34 @@ def test_rolling_with_small_blocks_matches_pandas(events):
 
 
 def test_running_total_small_blocks(events):
-    out = W.running_total(events, "value", ["ts", "event_id"], block_rows=13).toPandas()
     pdf = events.select("event_id", "ts", "value").toPandas().sort_values(["ts", "event_id"])
     pdf["exp"] = pdf["value"].cumsum()
-    m = out.merge(pdf[["event_id", "exp"]], on="event_id")
-    assert m["running_total"].tolist() == pytest.approx(m["exp"].tolist())
+    for block in (13, 1 << 20):
+        out = W.running_total(events, "value", ["ts", "event_id"], block_rows=block).toPandas()
+        m = out.merge(pdf[["event_id", "exp"]], on="event_id")
+        assert m["running_total"].tolist() == pytest.approx(m["exp"].tolist())
 
 
 def test_ntile_matches_definition(events):
-    out = W.ntile(events, "value", 7, tie_break="event_id").toPandas().sort_values(["value", "event_id"])
-    n = len(out)
-    q, r = divmod(n, 7)
-    sizes = [q + 1] * r + [q] * (7 - r)
-    exp = [b + 1 for b, s in enumerate(sizes) for _ in range(s)]
-    assert out["ntile"].tolist() == exp
+    for block in (5, 1 << 20):  # position path, then the plain window
+        out = W.ntile(events, "value", 7, tie_break="event_id", block_rows=block).toPandas()
+        out = out.sort_values(["value", "event_id"])
+        n = len(out)
+        q, r = divmod(n, 7)
+        sizes = [q + 1] * r + [q] * (7 - r)
+        exp = [b + 1 for b, s in enumerate(sizes) for _ in range(s)]
+        assert out["ntile"].tolist() == exp
+
+
+def test_percent_rank_paths_agree(many_files):
+    li = many_files.read.parquet(f"{SF001}/lineitem.parquet").select("l_orderkey", "l_linenumber",
+                                                                      "l_returnflag", "l_quantity")
+    for pb in (None, "l_returnflag"):
+        a = sorted((r.l_orderkey, r.l_linenumber, r.l_returnflag, r.l_quantity, round(r.percent_rank, 12))
+                   for r in W.percent_rank(li, "l_quantity", pb, block_rows=50).collect())
+        b = sorted((r.l_orderkey, r.l_linenumber, r.l_returnflag, r.l_quantity, round(r.percent_rank, 12))
+                   for r in W.percent_rank(li, "l_quantity", pb).collect())
+        assert a == b
 
 
 def test_group_rank(events):
@@ -186,5 +203,5 @@ def test_positions_with_broadcast_offsets(many_files, monkeypatch):
     b = {r.event_id: r.p for r in got.collect()}
     assert a == b and got.select("n").distinct().count() == 1
     f = K.fill_missing(e.select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value")),
-                       method="ffill", order_by="event_id").count()
+                       method="ffill", order_by="event_id", small_rows=0).count()
     assert f == e.count()

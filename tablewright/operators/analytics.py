@@ -149,11 +149,15 @@ def percent_rank(df: DataFrame, value: str, partition_by=None, name: str = "perc
 
 
 def growth_pct(df: DataFrame, time: str, value: str, by=None, agg: str = "sum",
-               first_zero: bool = True, name: str = "growth_pct") -> DataFrame:
+               first_zero: bool = True, name: str = "growth_pct",
+               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """WIN-8: aggregate per (group, period), then percent change along periods.
 
     First period is 0 (``first_zero``); a zero base gives NULL, not inf.
-    The window runs on the aggregated table (one row per group and period).
+    The change runs on the aggregated table (one row per group and period):
+    a ``lag`` window when every group has at most ``block_rows`` periods,
+    else an equi-join of each period with the one ranked just before it, so
+    a series with billions of periods is not held by one task.
     """
     by = require_columns(df, as_list(by))
     require_columns(df, [time])
@@ -163,12 +167,24 @@ def growth_pct(df: DataFrame, time: str, value: str, by=None, agg: str = "sum",
     for b in by:
         keyed = keyed.filter(col(b).isNotNull())
     g = keyed.groupBy(*keys, col(time)).agg(_stat(agg, col(value)).alias(value))
-    w = Window.partitionBy(*keys).orderBy(col(time))
-    prev = F.lag(col(value)).over(w)
-    change = F.try_divide((col(value) - prev) * 100.0, prev)
-    if first_zero:
-        change = F.when(prev.isNull() & (F.row_number().over(w) == 1), F.lit(0.0)).otherwise(change)
-    return g.withColumn(name, change)
+
+    def change(cur: Column, prev: Column, first: Column) -> Column:
+        out = F.try_divide((cur - prev) * 100.0, prev)
+        return F.when(first, F.lit(0.0)).otherwise(out) if first_zero else out
+
+    if largest_group(g, by, block_rows) <= block_rows:
+        w = Window.partitionBy(*keys).orderBy(col(time))
+        prev = F.lag(col(value)).over(w)
+        return g.withColumn(name, change(col(value), prev, prev.isNull() & (F.row_number().over(w) == 1)))
+    ranked = _ranked(g, by, [time])
+    before = ranked.select(*[col(b).alias(f"_tw_p{i}") for i, b in enumerate(by)],
+                           (F.col(RANK) + 1).alias("_tw_next"), col(value).alias("_tw_prev"))
+    cond = F.col(RANK) == F.col("_tw_next")
+    for i, b in enumerate(by):
+        cond = cond & col(b).eqNullSafe(F.col(f"_tw_p{i}"))
+    j = ranked.join(before, cond, "left")
+    return j.select(*keys, col(time), col(value),
+                    change(col(value), F.col("_tw_prev"), F.col(RANK) == 0).alias(name))
 
 
 def period_growth(df: DataFrame, ts: str, value: str, unit: str = "month", by=None,

@@ -205,3 +205,17 @@ def test_positions_with_broadcast_offsets(many_files, monkeypatch):
     f = K.fill_missing(e.select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value")),
                        method="ffill", order_by="event_id", small_rows=0).count()
     assert f == e.count()
+
+
+def test_growth_paths_agree(many_files):
+    """Positional self-join (tiny blocks) and lag window give the same growth."""
+    o = many_files.read.parquet(f"{SF001}/orders.parquet").withColumn(
+        "m", F.date_trunc("month", "o_orderdate"))
+
+    def rows(by, block):
+        out = W.growth_pct(o, "m", "o_totalprice", by=by, agg="count", block_rows=block)
+        return sorted((r.m, r["o_orderpriority"] if by else None, round(r.growth_pct, 9)) for r in out.collect())
+
+    for by in (None, "o_orderpriority"):
+        a, b = rows(by, 5), rows(by, 1 << 20)
+        assert a == b and len(a) > 10

@@ -332,6 +332,36 @@ def sample_key(key_cols, seed) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def smallest_by_hash(df: DataFrame, h: Column, key: list[str], n: int | None = None,
+                     frac: float | None = None) -> DataFrame:
+    """The n (or round(frac * rows)) rows with the smallest ``(h, key)``.
+
+    ``h`` is a uniform hex hash (md5 text).  One aggregate counts rows per
+    4-hex-digit prefix (at most 65 536 buckets to the driver); buckets below
+    the one where the count is reached are kept whole, and only the rows of
+    that one bucket are ranked.  Same rows as sorting the whole table, without
+    sorting it.
+    """
+    bucket = F.substring(h, 1, 4)
+    hist = sorted((r[0], r[1]) for r in df.groupBy(bucket.alias("_tw_b")).count().collect())
+    total = sum(c for _, c in hist)
+    want = round_half_even(frac * total) if frac is not None else n
+    cum, cut, rest = 0, None, 0
+    for b, c in hist:
+        if cum + c <= want:
+            cum += c
+            continue
+        cut, rest = b, want - cum
+        break
+    if cut is None:
+        return df
+    whole = df.filter(bucket < F.lit(cut))
+    if rest == 0:
+        return whole
+    edge = first_n(df.filter(bucket == F.lit(cut)), [h, *[col(k) for k in key]], rest)
+    return whole.unionByName(edge)
+
+
 def round_half_even(x: float) -> int:
     return int(round(x))
 
@@ -362,12 +392,13 @@ def sample_rows(df: DataFrame, n: int | None = None, frac: float | None = None,
     if replace:
         return _sample_with_replacement(df, n, frac, seed, key)
     if by is None:
-        if n is not None:
+        if n is not None and n <= TOPK_MAX:
             # small n: top-k plan (each task keeps its n smallest keys)
             return first_n(df, [h, *[col(k) for k in key]], n)
-        pos = with_position(df.withColumn("_tw_h", h), ["_tw_h", *key], total="_tw_n")
-        target = F.bround(F.col("_tw_n") * F.lit(frac), 0)
-        return pos.filter(F.col(POS) < target).select(*[col(c) for c in df.columns])
+        # large n or a fraction: hash-prefix counts, no sort of the table
+        hashed = df.withColumn("_tw_h", h)
+        out = smallest_by_hash(hashed, F.col("_tw_h"), key, n=n, frac=frac)
+        return out.select(*[col(c) for c in df.columns])
     require_columns(df, [by])
     base = df.filter(col(by).isNotNull()).withColumn("_tw_h", h)
     if n is not None and n <= GROUP_LIMIT_MAX:

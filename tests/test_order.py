@@ -219,3 +219,16 @@ def test_growth_paths_agree(many_files):
     for by in (None, "o_orderpriority"):
         a, b = rows(by, 5), rows(by, 1 << 20)
         assert a == b and len(a) > 10
+
+
+def test_hash_prefix_sample_equals_full_sort(many_files):
+    from tablewright.operators import selection as Sel
+    o = many_files.read.parquet(f"{SF001}/orders.parquet")
+    h = Sel.sample_key(["o_orderkey"], 9)
+    full = [r.o_orderkey for r in o.orderBy(h, "o_orderkey").limit(1234).collect()]
+    got = Sel.smallest_by_hash(o, h, ["o_orderkey"], n=1234)
+    assert sorted(r.o_orderkey for r in got.collect()) == sorted(full)
+    frac = Sel.sample_rows(o, frac=0.13, random_state=9, key="o_orderkey")
+    exp = round(0.13 * o.count())
+    assert sorted(r.o_orderkey for r in frac.collect()) == sorted(
+        r.o_orderkey for r in o.orderBy(h, "o_orderkey").limit(exp).collect())

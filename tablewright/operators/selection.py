@@ -14,7 +14,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..order import POS, TOTAL, group_rank, order_columns, with_position
+from ..order import POS, order_columns, with_position
 from ..schema import (OperatorError, as_list, col, dtype_of, family, require_batch,
                       require_columns)
 
@@ -411,14 +411,40 @@ def sample_rows(df: DataFrame, n: int | None = None, frac: float | None = None,
         check = F.when(F.col("_tw_got") < F.lit(n), F.raise_error(
             F.lit(f"a group of '{by}' has fewer than {n} rows")).cast("boolean")).otherwise(F.lit(True))
         return top.filter(check).select(*[col(c) for c in df.columns])
-    ranked = group_rank(base, [by], ["_tw_h", *key], size="_tw_gn")
-    if n is not None:  # large n per group: exact ranks from one global sort
-        check = F.when(F.col("_tw_gn") < F.lit(n), F.raise_error(
-            F.lit(f"a group of '{by}' has fewer than {n} rows")).cast("boolean")).otherwise(F.lit(True))
-        cond = check & (F.col("_tw_rank") < F.lit(n))
-    else:
-        cond = F.col("_tw_rank") < F.bround(F.col("_tw_gn") * F.lit(frac), 0)
-    return ranked.filter(cond).select(*[col(c) for c in df.columns])
+    return _stratified_by_hash(base, by, key, n, frac).select(*[col(c) for c in df.columns])
+
+
+def _stratified_by_hash(base: DataFrame, by: str, key: list[str], n: int | None,
+                        frac: float | None) -> DataFrame:
+    """Per group, the n (or round(frac * size)) rows with the smallest (hash, key).
+
+    Rows are counted per (group, 4-hex-digit hash prefix); a window over that
+    histogram (at most 65 536 rows per group) finds each group's cut-off
+    bucket; buckets below it are kept whole and only the rows of the cut-off
+    bucket are ranked (a window over one slice).  A group holding a third of
+    all rows is thus spread over up to 65 536 slices; nothing is sorted whole.
+    """
+    b = F.substring(F.col("_tw_h"), 1, 4)
+    hb = base.withColumn("_tw_b", b)
+    hist = hb.groupBy(col(by).alias("_tw_g"), F.col("_tw_b").alias("_tw_bk")).agg(
+        F.count(F.lit(1)).alias("_tw_c"))
+    grp = Window.partitionBy("_tw_g")
+    before = F.coalesce(F.sum("_tw_c").over(grp.orderBy("_tw_bk").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    size = F.sum("_tw_c").over(grp)
+    want = F.lit(n).cast("long") if n is not None else F.bround(size * F.lit(frac), 0).cast("long")
+    hist = hist.select("*", before.alias("_tw_before"), size.alias("_tw_size"), want.alias("_tw_want"))
+    if n is not None:  # a group smaller than n is an error, raised by the job itself
+        hist = hist.filter(F.when(F.col("_tw_size") < F.lit(n), F.raise_error(
+            F.lit(f"a group of '{by}' has fewer than {n} rows")).cast("boolean")).otherwise(F.lit(True)))
+    needed = hist.filter(F.col("_tw_before") < F.col("_tw_want"))
+    j = hb.join(needed, (col(by) == F.col("_tw_g")) & (F.col("_tw_b") == F.col("_tw_bk")))
+    whole = j.filter(F.col("_tw_before") + F.col("_tw_c") <= F.col("_tw_want"))
+    edge = j.filter(F.col("_tw_before") + F.col("_tw_c") > F.col("_tw_want"))
+    slice_w = Window.partitionBy("_tw_g", "_tw_bk").orderBy(F.col("_tw_h"), *[col(k) for k in key])
+    edge = edge.withColumn("_tw_rn", F.row_number().over(slice_w)).filter(
+        F.col("_tw_rn") <= F.col("_tw_want") - F.col("_tw_before")).drop("_tw_rn")
+    return whole.unionByName(edge)
 
 
 def _sample_with_replacement(df: DataFrame, n, frac, seed, key) -> DataFrame:

@@ -44,15 +44,28 @@ def drop_rows(df: DataFrame, condition=None, indices=None, subset=None, keep="fi
     return drop_duplicates(df, subset, keep, order_by)
 
 
+# Positions within this distance of either end are found by top-k queries.
+NEAR_END_ROWS = 10_000
+
+
 def drop_positions(df: DataFrame, indices, order_by) -> DataFrame:
     """FLT-7: delete rows by position in ``order_by`` order; negatives count from the end.
 
-    Out-of-range positions raise (inside the job, without a separate count).
+    ``order_by`` is a total order, so its values identify a row.  Positions
+    near either end (the usual case) are read with two small top-k queries
+    and the rows are removed by an anti-join on the order columns with those
+    few keys; far positions use exact distributed positions.  Out-of-range
+    positions raise.
     """
     require_batch(df, "drop_rows(indices)")
     idx = [int(i) for i in as_list(indices)]
     if not idx:
         return df
+    keys = [c for c in as_list(order_by) if isinstance(c, str)]
+    front = [i for i in idx if i >= 0]
+    back = [-i - 1 for i in idx if i < 0]
+    if len(keys) == len(as_list(order_by)) and max(front + back) < NEAR_END_ROWS:
+        return _drop_near_ends(df, keys, front, back, idx)
     pos = with_position(df, order_by, total="_tw_n")
     n = F.col("_tw_n")
     lo, hi = min(idx), max(idx)
@@ -64,6 +77,28 @@ def drop_positions(df: DataFrame, indices, order_by) -> DataFrame:
         *[col(c) for c in df.columns])
 
 
+def _drop_near_ends(df: DataFrame, keys: list[str], front: list[int], back: list[int], idx) -> DataFrame:
+    from .selection import first_n
+    picked = []
+    for positions, asc in ((front, True), (back, False)):
+        if not positions:
+            continue
+        spec = order_columns(df, keys, ascending=asc, nulls_last=asc)
+        # a top-k of the order columns only: collected in order
+        rows = first_n(df.select(*[col(k) for k in keys]), spec, max(positions) + 1).collect()
+        if len(rows) <= max(positions):
+            raise OperatorError(f"row positions out of range: {idx}")
+        picked += [tuple(rows[p]) for p in positions]
+    schema = df.select(*[col(k) for k in keys]).schema
+    victims = df.sparkSession.createDataFrame(sorted(set(picked), key=repr), schema)
+    cond = None
+    for k in keys:
+        c = df[k].eqNullSafe(victims[k])
+        cond = c if cond is None else cond & c
+    # one row per requested position: a broadcast of a bounded list
+    return df.join(F.broadcast(victims), cond, "left_anti")
+
+
 def drop_duplicates(df: DataFrame, subset=None, keep="first", order_by=None) -> DataFrame:
     """WIN-4/5: one aggregate per key, so a hot key is pre-combined map-side.
 

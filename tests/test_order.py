@@ -232,3 +232,13 @@ def test_hash_prefix_sample_equals_full_sort(many_files):
     exp = round(0.13 * o.count())
     assert sorted(r.o_orderkey for r in frac.collect()) == sorted(
         r.o_orderkey for r in o.orderBy(h, "o_orderkey").limit(exp).collect())
+
+
+def test_drop_positions_near_ends_equals_positions(many_files, monkeypatch):
+    import tablewright.operators.cleaning as Cl
+    o = many_files.read.parquet(f"{SF001}/orders.parquet")
+    idx = [0, 3, 17, -1, -5]
+    a = sorted(r.o_orderkey for r in Cl.drop_rows(o, indices=idx, order_by=["o_totalprice", "o_orderkey"]).collect())
+    monkeypatch.setattr(Cl, "NEAR_END_ROWS", 0)
+    b = sorted(r.o_orderkey for r in Cl.drop_rows(o, indices=idx, order_by=["o_totalprice", "o_orderkey"]).collect())
+    assert a == b and len(a) == o.count() - 5

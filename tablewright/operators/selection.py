@@ -275,6 +275,16 @@ def slice_rows(df: DataFrame, start: int | None = 0, end: int | None = None,
     step = 1 if step is None else step
     if step == 0:
         raise OperatorError("slice step cannot be zero")
+    start0 = 0 if start is None else start
+    if step > 0 and start0 >= 0 and end is not None and 0 <= end <= TOPK_MAX:
+        # a slice of the first rows: a top-k, numbered inside the small result
+        spec = order_columns(df, order_by)
+        head = first_n(df, spec, end).withColumn(
+            "_tw_p", F.row_number().over(Window.orderBy(*order_columns(df, order_by))) - 1)
+        keep = (F.col("_tw_p") >= start0) & (F.pmod(F.col("_tw_p") - start0, F.lit(step)) == 0)
+        out = head.filter(keep)
+        return out.select(*[col(c) for c in df.columns],
+                          *([F.col("_tw_p").cast("long").alias(position)] if position else []))
     pos = with_position(df, order_by, total="_tw_n")
     p, n = F.col(POS), F.col("_tw_n")
 

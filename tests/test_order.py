@@ -242,3 +242,13 @@ def test_drop_positions_near_ends_equals_positions(many_files, monkeypatch):
     monkeypatch.setattr(Cl, "NEAR_END_ROWS", 0)
     b = sorted(r.o_orderkey for r in Cl.drop_rows(o, indices=idx, order_by=["o_totalprice", "o_orderkey"]).collect())
     assert a == b and len(a) == o.count() - 5
+
+
+def test_slice_head_path_equals_positions(many_files, monkeypatch):
+    from tablewright.operators import selection as Sel
+    o = many_files.read.parquet(f"{SF001}/orders.parquet")
+    a = sorted((r.o_orderkey, r.p) for r in Sel.slice_rows(o, 5, 300, 7, order_by="o_orderkey", position="p").collect())
+    monkeypatch.setattr(Sel, "TOPK_MAX", 10)
+    b = sorted((r.o_orderkey, r.p) for r in Sel.slice_rows(o, 5, 300, 7, order_by="o_orderkey", position="p").collect())
+    keys = sorted(r.o_orderkey for r in o.select("o_orderkey").collect())
+    assert a == b == sorted(zip(keys[5:300:7], range(5, 300, 7)))

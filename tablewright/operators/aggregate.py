@@ -314,13 +314,35 @@ def _numeric_long(wide: DataFrame, cols: list[str], keys: list[str], quart: Data
                       "p25", "p50", "p75", "max")
 
 
+def _grouped_text_describe(base: DataFrame, keys: list[str], text: list[str]) -> DataFrame:
+    """count, unique, top, freq of text columns per group (AGG-6 ``include="all"``).
+
+    Value counts per (group, column, value) are a partially aggregated
+    group-by; per (group, column) the most frequent value (smallest on ties)
+    is a ``max_by`` over (count, reversed value order) - no per-group sort.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
+                      for c in text])
+    long = base.select(*[col(k) for k in keys], F.inline(pairs)).filter(F.col("value").isNotNull())
+    vc = long.groupBy(*[col(k) for k in keys], "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # order: higher count first, then the smaller value (min_by over the negated count)
+    best = F.min_by(F.col("value"), F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v")))
+    g = vc.groupBy(*[col(k) for k in keys], "column").agg(
+        F.sum("n").cast("long").alias("count"), F.count(F.lit(1)).cast("long").alias("unique"),
+        best.alias("top"), F.max("n").cast("long").alias("freq"))
+    return g.select(*[col(k) for k in keys], "column", "count", "unique", "top", "freq",
+                    *[F.lit(None).cast("double").alias(x) for x in _NUM_STATS[1:]])
+
+
 def describe_stats(df: DataFrame, group_by=None, columns=None, approx: bool = False,
                    include_text: bool = True, strategy: str = "auto") -> DataFrame:
     """AGG-5/6: describe every column, one row per (group,) column.
 
     Numeric columns: count, mean, std, min, quartiles, max (one aggregate).
-    Other columns (whole-table describe): count, unique, top, freq from the
-    value-count table (top = most frequent, smallest value on ties).
+    Other columns: count, unique, top, freq from value counts (top = most
+    frequent, smallest value on ties); per group as well when
+    ``include_text`` (the ``include="all"`` form), else grouped describe
+    covers the numeric columns only.
     """
     require_batch(df, "describe_stats")
     keys = as_list(group_by)
@@ -332,11 +354,25 @@ def describe_stats(df: DataFrame, group_by=None, columns=None, approx: bool = Fa
     aggs = [e for i, c in enumerate(num) for e in _numeric_stat_exprs(c, i)]
     strat = "approx" if approx else strategy
     if keys:
-        if not num:
+        if not num and not include_text:
             raise OperatorError("grouped describe needs numeric columns")
-        wide = base.groupBy(*[col(k) for k in keys]).agg(*aggs)
-        quart = Q.quantile_wide(base, num, QUARTILES, ["p25", "p50", "p75"], keys, strat)
-        return _numeric_long(wide, num, keys, quart)
+        parts = []
+        if num:
+            wide = base.groupBy(*[col(k) for k in keys]).agg(*aggs)
+            quart = Q.quantile_wide(base, num, QUARTILES, ["p25", "p50", "p75"], keys, strat)
+            nl = _numeric_long(wide, num, keys, quart)
+            if not (include_text and text):
+                return nl
+            parts.append(nl.select(*[col(k) for k in keys], "column", "count",
+                                   F.lit(None).cast("long").alias("unique"),
+                                   F.lit(None).cast("string").alias("top"),
+                                   F.lit(None).cast("long").alias("freq"),
+                                   *[F.col(x) for x in _NUM_STATS[1:]]))
+        parts.append(_grouped_text_describe(base, keys, text))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     # whole table: one aggregate for the moments and distinct estimates of the
     # numeric columns and the non-null counts of the others (one row back)
     aggs = [e for i, c in enumerate(num) for e in _numeric_stat_exprs(c, i)]

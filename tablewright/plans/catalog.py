@@ -540,6 +540,24 @@ def q_describe_grouped(spark, d):
                                     columns=["l_quantity", "l_discount"]))
 
 
+@register("describe_grouped_all", " UNION ALL ".join(
+    [f"""SELECT o_orderstatus, 'o_totalprice' AS "column", count(o_totalprice) AS count,
+       NULL::BIGINT AS "unique", NULL::VARCHAR AS top, NULL::BIGINT AS freq,
+       round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS std,
+       round(min(o_totalprice), 6) AS min, round(quantile_cont(o_totalprice, 0.25), 6) AS p25,
+       round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.75), 6) AS p75,
+       round(max(o_totalprice), 6) AS max FROM orders GROUP BY o_orderstatus"""]
+    + [f"""SELECT o_orderstatus, '{c}' AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
+       arg_min({c}, (-n, {c})) AS top, max(n) AS freq,
+       NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS p25,
+       NULL::DOUBLE AS p50, NULL::DOUBLE AS p75, NULL::DOUBLE AS max
+       FROM (SELECT o_orderstatus, {c}, count(*) AS n FROM orders WHERE {c} IS NOT NULL
+             GROUP BY o_orderstatus, {c}) GROUP BY o_orderstatus""" for c in ("o_orderpriority",)]))
+def q_describe_grouped_all(spark, d):
+    o = table(spark, d, "orders").select("o_orderstatus", "o_totalprice", "o_orderpriority")
+    return rounded(A.describe_stats(o, group_by="o_orderstatus", include_text=True))
+
+
 EVENTS_N_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 

@@ -171,8 +171,13 @@ def predicate(condition, variables: dict | None = None) -> Column:
         raise OperatorError(f"Invalid condition: {condition}: {e}") from e
 
 
-def filter_rows(df: DataFrame, condition, variables: dict | None = None) -> DataFrame:
-    """FLT-1..3: keep rows where the predicate is true (NULL counts as false)."""
+def filter_rows(df: DataFrame, condition, variables: dict | None = None,
+                use_query: bool = True) -> DataFrame:
+    """FLT-1..3: keep rows where the predicate is true (NULL counts as false).
+
+    ``use_query`` (FLT-2: evaluate to a mask, then index) selects the same
+    rows; it is accepted for signature parity and has no effect.
+    """
     pred = predicate(condition, variables)
     out = df.filter(pred)
     out.schema  # analysis now: unknown columns fail at call time

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..order import POS, group_rank, largest_group, order_columns, with_position
+from ..order import group_rank, largest_group, order_columns, with_position
 from ..schema import OperatorError, as_list, col, require_batch, require_columns, require_numeric
 from .aggregate import _stat
 

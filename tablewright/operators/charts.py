@@ -6,12 +6,11 @@ All charts aggregate the full table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import (OperatorError, as_list, categorical_columns, col, dtype_of, family,
-                      is_datetime, is_numeric, numeric_columns, require_batch, require_columns,
-                      require_numeric)
+from ..schema import (OperatorError, as_list, col, dtype_of, family, is_numeric, numeric_columns,
+                      require_batch, require_columns, require_numeric)
 from . import quantile as Q
 from .aggregate import _stat, category_relation, chart_stats, corr_matrix, value_counts
 from .selection import sample_rows
@@ -309,5 +308,4 @@ def recommend_charts(df: DataFrame, k: int = MAX_RECOMMENDATIONS, approx: bool =
 
 
 __all__ = ["chart_data", "histogram", "box_stats", "scatter_data", "heatmap_data", "combo_data",
-           "fallback_groups", "dashboard", "suitability", "compatibility", "recommend_charts",
-           "categorical_columns", "is_datetime"]
+           "fallback_groups", "dashboard", "suitability", "compatibility", "recommend_charts"]

@@ -11,7 +11,6 @@ projection that Catalyst can push into the scan.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

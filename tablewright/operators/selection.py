@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..order import POS, order_columns, with_position
-from ..schema import (OperatorError, as_list, col, dtype_of, family, require_batch,
-                      require_columns)
+from ..schema import OperatorError, as_list, col, family, require_batch, require_columns
 
 DTYPE_FAMILIES = {"number", "bool", "datetime", "object"}
 # Fixed value: result rows handed to a caller at most (LIM-5).

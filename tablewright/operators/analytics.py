@@ -1,13 +1,16 @@
 """Time and user analytics (WIN-7..15).
 
 Ordered windows are written so that no single group has to sit in one
-task: rows get their rank inside their group from one global sort
-(``group_rank``), are cut into blocks of ``block_rows`` consecutive rows,
-and each block is windowed on its own.  Running totals then add the sum of
-earlier blocks (a table with one row per block); rolling windows copy the
-last ``k - 1`` rows of each block into the next one (a halo), so every row
-sees its full frame.  A user holding a third of all events is thus spread
-over many tasks.
+task.  Each operator first measures its largest group (``largest_group``):
+when every group has at most ``block_rows`` rows a plain Spark window is
+used.  Otherwise rows get their rank inside their group from one global
+sort (``group_rank``), are cut into blocks of ``block_rows`` consecutive
+rows, and each block is windowed on its own.  Running totals then add the
+sum of earlier blocks (a table with one row per block); rolling windows copy
+the last ``k - 1`` rows of each block into the next one (a halo), so every
+row sees its full frame; ntile and percent rank come from exact ranks and
+group sizes; growth joins each period to the one ranked before it.  A user
+holding a third of all events is thus spread over many tasks.
 """
 
 from __future__ import annotations

@@ -2,9 +2,9 @@
 
 Design rules:
 
-* every statistic of every column comes from **one** ``agg`` (one scan,
-  partial aggregation map-side); results are reshaped to long format with
-  ``stack``, never computed column by column;
+* the moments and counts of every column come from **one** ``agg`` (one
+  scan, partial aggregation map-side); results are reshaped to long format,
+  never computed column by column;
 * distinct counts and top values of many columns come from one unpivoted
   value-count table ``(column, value, count)``; its group-by is pre-combined
   on the map side, so a column with one dominant value costs little;
@@ -338,7 +338,8 @@ def describe_stats(df: DataFrame, group_by=None, columns=None, approx: bool = Fa
                    include_text: bool = True, strategy: str = "auto") -> DataFrame:
     """AGG-5/6: describe every column, one row per (group,) column.
 
-    Numeric columns: count, mean, std, min, quartiles, max (one aggregate).
+    Numeric columns: count, mean, std, min, max (one aggregate) and
+    quartiles (``operators.quantile``).
     Other columns: count, unique, top, freq from value counts (top = most
     frequent, smallest value on ties); per group as well when
     ``include_text`` (the ``include="all"`` form), else grouped describe
@@ -594,8 +595,8 @@ def schema_listing(df: DataFrame) -> DataFrame:
 def table_summary(df: DataFrame) -> dict:
     """AGG-8: rows, columns, dtypes, missing counts/percent, column lists, numeric describe.
 
-    Returns a dict of small DataFrames plus scalars; the row count and the
-    missing counts come from one aggregate.
+    Returns a dict of small DataFrames plus scalars (a row count, one
+    aggregate for the missing counts, the numeric describe).
     """
     from .cleaning import missing_counts
     require_batch(df, "table_summary")

@@ -84,9 +84,9 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS, color: str
 def box_stats(df: DataFrame, y: str, x: str | None = None, whisker: float = 1.5) -> DataFrame:
     """CHD-5: quartiles, whiskers (extreme values inside the 1.5 IQR fences), outliers.
 
-    Pass 1: quartiles per group (one aggregate).  Pass 2: the group table
-    (one row per group) is joined back and whiskers / outlier counts are
-    aggregated.
+    Pass 1: counts and quartiles per group (``operators.quantile``).
+    Pass 2: the group table (one row per group) is joined back and whiskers
+    / outlier counts are aggregated.
     """
     require_numeric(df, [y])
     keys = [x] if x else []

@@ -2,10 +2,10 @@
 
 FLT-6..9, WIN-1..6, FIL-1..3, REP-1..5, STR-6, OUT-1..5.
 
-Data-dependent parameters (means, quartiles, bounds) come from one
-aggregate over all requested columns; its single row is returned to the
-driver and used as literals, so the final plan is a plain filter or
-projection that Catalyst can push into the scan.
+Data-dependent parameters (means, quartiles, bounds) come from small
+aggregates over all requested columns (quartiles via ``operators.quantile``);
+their values are returned to the driver and used as literals, so the final
+plan is a plain filter or projection that Catalyst can push into the scan.
 """
 
 from __future__ import annotations
@@ -269,7 +269,11 @@ def _small_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
 
 def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by,
                   small_rows: int | None = None) -> DataFrame:
-    """ffill / bfill / linear interpolation from one positioned table."""
+    """ffill / bfill / linear interpolation.
+
+    Tables up to ``small_rows`` rows: plain windows over the whole table;
+    larger ones: one positioned table and the two-phase carry.
+    """
     require_batch(df, "ordered fill")
     small_rows = SMALL_TABLE_ROWS if small_rows is None else small_rows
     fwd, bwd = {}, {}

@@ -178,8 +178,9 @@ def create_interaction(df: DataFrame, col1: str, col2: str, new_name: str,
 def scale_numeric(df: DataFrame, columns=None, method: str = "standard") -> DataFrame:
     """MTH-5: standard (sample std), min-max or robust (median / IQR).
 
-    Statistics of all columns come from one aggregate; a degenerate
-    column (zero spread) becomes 0.
+    Means/stds or mins/maxes of all columns come from one aggregate, robust
+    quartiles from ``operators.quantile``; a degenerate column (zero spread)
+    becomes 0.
     """
     require_batch(df, "scale_numeric")
     cols = require_numeric(df, as_list(columns)) if columns else numeric_columns(df)

@@ -52,3 +52,27 @@ def test_human_number(spark):
     df = spark.createDataFrame([(1234567.0,), (-1500.0,), (12.345,), (None,)], "x double")
     got = [r.h for r in df.select(human_number(F.col("x")).alias("h")).collect()]
     assert got == ["1.23M", "-1.50K", f"{12.345:,.2f}", "N/A"]
+
+
+def test_cluster_settings_bounds():
+    from tablewright.session import cluster_settings
+    big = cluster_settings(100 * 2**40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 50 * 8000
+    small = cluster_settings(10 * 2**20, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert big["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == str(128 << 20)
+
+
+def test_largest_group(spark):
+    from tablewright.order import largest_group
+    df = spark.range(100).selectExpr("id % 3 AS k", "id")
+    assert largest_group(df, ["k"], 10) == 34
+    assert largest_group(df, [], 10) == 11  # stops after limit + 1 rows
+
+
+def test_json_records(spark):
+    import json
+    from tablewright.sources.files import to_json_records
+    df = spark.createDataFrame([(1, "a", None)], "k int, s string, x double")
+    rec = json.loads(to_json_records(df).first().record)
+    assert rec == {"k": 1, "s": "a"}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality_rules, simhash, substring_dedup, token_counts, url_filter
+from . import bpe, html_extract, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_counts, topk, url_filter
 from .common import load, ship
 
 #: The vocabulary file of the token queries.
@@ -23,6 +23,25 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates and copies of every document for the target weights, at the input's token total."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out, domains = mixing.mix(docs, load(spark, sf_dir, "labels"))
+    return out.select("_row.doc_id", F.col("_tokens").alias("n_tokens"), "rate", "copies",
+                      *[F.get("_p", i).alias(f"p_{k}") for i, k in enumerate(domains)])
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(load(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    out = html_extract.extract(pages, html_extract.fit(pages), ["page_id", "url"])
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,4 +79,38 @@ def _shipped(query):
 
 QUERIES = {name: _shipped(query) for name, query in dict(globals()).items() if name.startswith("op") and callable(query)}
 
-ORACLE: dict[str, str] = {}
+_WHITE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": """
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                          lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(len(w) - 49)) AS i, w FROM d WHERE len(w) >= 50),
+        x AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM s),
+        f AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h),
+        g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (
+                SELECT x.doc_id, unnest(range(x.i + 1, x.i + 51)) AS j FROM x JOIN f USING (h) WHERE x.doc_id > f.least) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(
+                   list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(gone, k)), lambda k: w[k]), ' ') END) AS kept_sha256
+        FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "op4_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS t FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        e AS (SELECT vec_id, unnest(t) AS w, unnest(range(len(t))) AS k FROM v),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.w * c.w)::BIGINT AS score FROM e q JOIN e c ON q.k = c.k
+              WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id GROUP BY q.vec_id, c.vec_id),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op6_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        x AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+        k AS (SELECT doc_id, line, i, translate(trim(line, {_WHITE}), {_UPPER}, {_LOWER}) AS key FROM x),
+        f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        j AS (SELECT k.doc_id, k.line, k.i, f.keeper IS NOT NULL AND f.keeper <> k.doc_id AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM j GROUP BY doc_id""",
+}

@@ -54,6 +54,15 @@ def hold(df: DataFrame, keep: list, **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
+def carried(df: DataFrame, columns: list[str]) -> tuple[list[Column], list[str], list[Column]]:
+    """Carry `columns` under names that clash with nothing: (to select, names, to name back).
+
+    They stay flat: fields of a struct are lost by the optimizer below several generators."""
+    names = [f"_c{i}" for i in range(len(columns))]
+    return [df[c].alias(n) for c, n in zip(columns, names, strict=True)], names, [
+        F.col(n).alias(c) for c, n in zip(columns, names, strict=True)]
+
+
 def literal_doubles(values: list[float]) -> Column:
     """A constant array<double>; the optimizer folds it into one literal."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, hold, strip_white
+from .common import ascii_lower, carried, cut, hold, strip_white
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -59,24 +59,23 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, prefix: str = "") -> DataFrame:
     """Add n_lines, n_dropped and kept_text (with `prefix`) to the documents."""
     names = [prefix + x for x in ("n_lines", "n_dropped", "kept_text")]
-    cols = [c for c in docs.columns if c not in names]
+    first, rest, back = carried(docs, [c for c in docs.columns if c not in names])
     text = F.coalesce(docs["text"], F.lit(""))
-    a = docs.select(F.struct(*[docs[c] for c in cols]).alias("_row"), text.alias("_text"),
-                    docs["doc_id"].alias("_id"), F.xxhash64(text).alias("_hash"))
-    b = bitmaps.select(F.col("doc_id").alias("_b_id"), F.col("row").alias("_b_row"), "keep")
+    a = docs.select(*first, text.alias("_text"), docs["doc_id"].alias("_id"), F.xxhash64(text).alias("_hash"))
+    b = bitmaps.select(F.col("doc_id").alias("_b_id"), F.col("row").alias("_b_row"), F.col("keep").alias("_keep"))
     # texts are the large side: they are streamed past a hash map of the bitmaps, never sorted
     a = a.join(b.hint("shuffle_hash"), (F.col("_id") == F.col("_b_id")) & (F.col("_hash") == F.col("_b_row")), "left")
-    a = hold(a, ["_row", "keep"], _lines=F.split("_text", "\n"))
+    a = hold(a, [*rest, "_keep"], _lines=F.split("_text", "\n"))
 
     def block(w):
-        part, bits = F.slice("_lines", w * 64 + 1, 64), F.element_at("keep", w)
+        part, bits = F.slice("_lines", w * 64 + 1, 64), F.element_at("_keep", w)
         return F.filter(part, lambda x, i: F.call_function("getbit", bits, i) == 1)
 
     n = F.size("_lines")
     blocks = F.transform(F.sequence(F.lit(0), F.expr("cast((size(_lines) - 1) div 64 as int)")), lambda w: F.when(
-        F.element_at("keep", w).isNull(), F.slice("_lines", w * 64 + 1, 64)).otherwise(block(w)))
-    a = hold(a, ["_row"], _n=n.cast("long"), _kept=F.when(F.col("keep").isNull(), F.col("_lines")).otherwise(F.flatten(blocks)))
-    return a.select(*[F.col("_row")[c].alias(c) for c in cols], F.col("_n").alias(names[0]),
+        F.element_at("_keep", w).isNull(), F.slice("_lines", w * 64 + 1, 64)).otherwise(block(w)))
+    a = hold(a, rest, _n=n.cast("long"), _kept=F.when(F.col("_keep").isNull(), F.col("_lines")).otherwise(F.flatten(blocks)))
+    return a.select(*back, F.col("_n").alias(names[0]),
                     (F.col("_n") - F.size("_kept")).cast("long").alias(names[1]),
                     F.array_join("_kept", "\n").alias(names[2]))
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hold, literal_doubles, words_of
+from .common import carried, cut, hold, literal_doubles, words_of
 
 #: Domain of a label row, in order; the first that fits holds.
 DOMAINS = {"toxic": "toxic = 1", "poor": "quality = 0", "good": "quality = 1"}
@@ -121,13 +121,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str] |
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     """The documents as a struct `_row`, `_tokens`, and `_p`: the posterior, to three decimals."""
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    a = tokens_and_buckets(docs, [row], model.n_buckets)
-    a = hold(a, ["_row", "_tokens", "_buckets"], **{f"_s{i}": s for i, s in enumerate(model.sums())}) if model.weights else a
+    first, rest, back = carried(docs, docs.columns)
+    a = tokens_and_buckets(docs, first, model.n_buckets)
+    a = hold(a, [*rest, "_tokens", "_buckets"], **{f"_s{i}": s for i, s in enumerate(model.sums())}) if model.weights else a
     p = model.posterior([F.col(f"_s{i}") for i in range(len(model.weights))], model.scale)
-    rest = [F.round(x, 3) for x in p[1:]]
-    first = F.greatest(F.round(F.lit(1.0) - sum(rest, F.lit(0.0)), 3), F.lit(0.0))
-    return hold(a, ["_row", "_tokens"], _p=F.array(first, *rest))
+    others = [F.round(x, 3) for x in p[1:]]
+    main = F.greatest(F.round(F.lit(1.0) - sum(others, F.lit(0.0)), 3), F.lit(0.0))
+    a = hold(a, [*rest, "_tokens"], _p=F.array(main, *others))
+    return a.select(F.struct(*back).alias("_row"), "_tokens", "_p")
 
 
 def _solve(m: list[list[float]], v: list[float]) -> list[float]:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hold, words_of
+from .common import carried, cut, hold, words_of
 
 #: Conditions may use these, all derived from the statistics.
 FEATURES = {
@@ -50,12 +50,13 @@ def text_statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> Da
     of one text and nothing is shuffled.  Within one text of n words, windows are
     compared by 64 - log2(n) bits of the hash of their three words.
     """
-    keep = docs.columns
+    names = {prefix + k for k in STATISTICS}
+    first, rest, back = carried(docs, [c for c in docs.columns if c not in names])
     t = F.coalesce(docs[text], F.lit(""))
-    a = hold(docs, [F.struct(*[docs[c] for c in keep]).alias("_row")], _text=t, _w=words_of(t))
+    a = hold(docs, first, _text=t, _w=words_of(t))
     n = F.size("_w")
     a = hold(
-        a, ["_row"], _n=n.cast("long"),
+        a, rest, _n=n.cast("long"),
         _chars=F.length(F.array_join("_w", "")).cast("long"),
         _symbols=(F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]", ""))).cast("long"),
         _lines=F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""),
@@ -64,7 +65,7 @@ def text_statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> Da
     # a window's hash gives its low bits to the window's place, so that plain longs are sorted
     bits = F.ceil(F.log2(F.greatest(F.col("_n"), F.lit(2)))).cast("int")
     a = hold(
-        a.withColumn("_bits", bits), ["_row", "_n", "_chars", "_symbols", "_bits"],
+        a.withColumn("_bits", bits), [*rest, "_n", "_chars", "_symbols", "_bits"],
         _dup=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         _s=F.sort_array(F.transform("_h", lambda h, i: _left(_right(h, F.col("_bits")), F.col("_bits")).bitwiseOR(i))))
 
@@ -73,15 +74,14 @@ def text_statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> Da
 
     twice = F.filter("_s", lambda x, i: same(x, F.get("_s", i - 1)) | same(x, F.get("_s", i + 1)))
     place = _left(F.lit(1).cast("long"), F.col("_bits")) - 1
-    a = hold(a, ["_row", "_n", "_chars", "_symbols", "_dup"],
+    a = hold(a, [*rest, "_n", "_chars", "_symbols", "_dup"],
              _at=F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(place).cast("int"))))
     covered = F.aggregate(
         F.transform("_at", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_at", j + 1) - p, F.lit(3)))),
         F.lit(0), lambda s, x: s + x)
     out = {"n_words": F.col("_n"), "word_chars": F.col("_chars"), "n_symbols": F.col("_symbols"),
            "n_dup_lines": F.col("_dup"), "n_repeat_words": covered.cast("long")}
-    out = {prefix + k: v for k, v in out.items()}
-    return hold(a, [F.col("_row")[c].alias(c) for c in keep if c not in out], **out)
+    return hold(a, back, **{prefix + k: v for k, v in out.items()})
 
 
 def base_failed(col=F.col) -> Column:

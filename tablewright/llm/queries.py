@@ -82,7 +82,46 @@ QUERIES = {name: _shipped(query) for name, query in dict(globals()).items() if n
 _WHITE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+def _reputation_sql(rules, min_good: float, z: float) -> str:
+    """The URL filter in SQL: hosts, level by level moments, posterior bounds, rules."""
+    def tail(n):
+        return f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+
+    def strength(groups):
+        return f"""(SELECT round(1 / least(greatest((s - v) / w, 0.001), 0.999) - 1, 6) FROM (
+            SELECT coalesce(sum(n * (k / n - m) ** 2), 0) AS s, sum(m * (1 - m)) AS v, nullif(sum(m * (1 - m) * (n - 1)), 0) AS w
+            FROM {groups} WHERE n > 0))"""
+
+    ends = " OR ".join(f"ends_with(host, '.{x}')" for x in url_filter.LONG_SUFFIXES)
+    cases = [(h + p, v, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')")
+             for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
+    rule, verdict = (" ".join(f"WHEN {c} THEN '{x[i]}'" for *x, c in cases) for i in (0, 1))
+    return f"""
+        WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+        p AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), {_UPPER}, {_LOWER}) AS host,
+                     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+        one AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels
+                WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+        c AS (SELECT host, CASE WHEN {ends} THEN {tail(3)} ELSE {tail(2)} END AS domain,
+                     CASE WHEN {ends} THEN {tail(2)} ELSE {tail(1)} END AS suffix, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k
+              FROM p LEFT JOIN one ON page_id = doc_id GROUP BY host),
+        s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM c) AS m FROM c GROUP BY suffix),
+        st0 AS (SELECT coalesce({strength("s0")}, 999) AS st),
+        s1 AS (SELECT suffix, (k + st * m) / (n + st) AS m FROM s0, st0),
+        d0 AS (SELECT c.suffix, domain, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM c JOIN s1 USING (suffix) GROUP BY c.suffix, domain),
+        st1 AS (SELECT coalesce({strength("d0")}, 999) AS st),
+        d1 AS (SELECT suffix, domain, (k + st * m) / (n + st) AS m FROM d0, st1),
+        h0 AS (SELECT host, n, k, m FROM c JOIN d1 USING (suffix, domain)),
+        st2 AS (SELECT coalesce({strength("h0")}, 999) AS st),
+        b AS (SELECT host, k + st * m AS a, n - k + st * (1 - m) AS b FROM h0, st2),
+        bad AS (SELECT host AS bad FROM b WHERE a / (a + b) + {z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) < {min_good})
+        SELECT page_id, host, path, CASE {rule} END AS rule,
+               CASE {verdict} WHEN bad IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+        FROM p LEFT JOIN bad ON host = bad"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_url_filter": _reputation_sql(url_filter.RULES, min_good=0.7, z=1.645),
     "op2_substring_dedup": """
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
                           lambda x: x <> '') AS w FROM documents),

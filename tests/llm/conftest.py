@@ -1,0 +1,24 @@
+import os
+import sys
+
+import pytest
+
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(os.path.dirname(HERE)), HERE]
+
+from llm_data import TEXTS  # noqa: E402
+
+from tablewright.llm.common import ship  # noqa: E402
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """TEXTS with extra columns whose names the operators use themselves."""
+    names = ["n_words", "keep", "row", "ids", "fp", "rate", "_w", "place", "host", "n_lines", "kept_text"]
+    rows = [(i, t, *[f"{c}{n}" for c in names]) for n, (i, t) in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)).repartition(3)

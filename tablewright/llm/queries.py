@@ -105,7 +105,7 @@ def _reputation_sql(rules, min_good: float, z: float) -> str:
         c AS (SELECT host, CASE WHEN {ends} THEN {tail(3)} ELSE {tail(2)} END AS domain,
                      CASE WHEN {ends} THEN {tail(2)} ELSE {tail(1)} END AS suffix, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k
               FROM p LEFT JOIN one ON page_id = doc_id GROUP BY host),
-        s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM c) AS m FROM c GROUP BY suffix),
+        s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 1) FROM c) AS m FROM c GROUP BY suffix),
         st0 AS (SELECT coalesce({strength("s0")}, 999) AS st),
         s1 AS (SELECT suffix, (k + st * m) / (n + st) AS m FROM s0, st0),
         d0 AS (SELECT c.suffix, domain, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM c JOIN s1 USING (suffix) GROUP BY c.suffix, domain),
@@ -121,7 +121,7 @@ def _reputation_sql(rules, min_good: float, z: float) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "op1_url_filter": _reputation_sql(url_filter.RULES, min_good=0.7, z=1.645),
+    "op1_url_filter": _reputation_sql(url_filter.RULES, min_good=0.5, z=1.645),
     "op2_substring_dedup": """
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
                           lambda x: x <> '') AS w FROM documents),

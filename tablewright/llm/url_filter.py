@@ -81,7 +81,7 @@ def host_posteriors(counts: DataFrame, z: float = 1.645) -> DataFrame:
     """Add mean and upper bound of the good rate to the hosts."""
     counts = cut(counts)
     total = counts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    mean = ((total["k"] or 0) + 1) / ((total["n"] or 0) + 2)
+    mean = ((total["k"] or 0) + 1) / ((total["n"] or 0) + 1)  # good, as long as no label says otherwise
     suffixes = counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("m", F.lit(mean))
     s = _strength(suffixes)
     suffixes = cut(suffixes.select("suffix", ((F.col("k") + s * F.col("m")) / (F.col("n") + s)).alias("m")))
@@ -95,7 +95,7 @@ def host_posteriors(counts: DataFrame, z: float = 1.645) -> DataFrame:
                         (a / (a + b) + z * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))).alias("upper"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = 0.7, z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = 0.5, z: float = 1.645) -> DataFrame:
     """(page_id, url, host, path, rule, verdict) of every page."""
     bad = host_posteriors(host_counts(pages, labels), z).where(F.col("upper") < min_good).select(F.col("host").alias("_bad"))
     out = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

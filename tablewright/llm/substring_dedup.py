@@ -12,9 +12,11 @@ window around the anchor can have).  A group's subtree is held as its sorted
 suffixes and the longest common prefixes of neighbours; an internal node of
 depth d is a run with d or more common words.  The repeat of a node is extended
 to the left by the tree of the reversed left words, and a window is removed
-where the node pair holds a smaller doc_id.  A group above `group_rows` gets the
-longest prefix instead, the whole window: its nodes are then keys of a plain
-aggregate with map-side combination, so no group outgrows a task.
+where the node pair holds a smaller doc_id.  In a group above `group_rows` equal
+surroundings of the anchor are first made one suffix, with map-side combination;
+if more than `group_rows` different ones are left, they get the longest prefix,
+the whole window, whose nodes are keys of a plain aggregate.  So no group
+outgrows a task, whether its members are alike or not.
 
 Documents of equal word sequences are one: all but the smallest doc_id are
 covered by windows that start in it.  Defined results: null or blank text has no
@@ -112,41 +114,52 @@ def scan(docs: DataFrame, window: int = 50, prefix: int = 16) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, n_words long, sha string, places array<int>, hashes array<long>")
 
 
-def _contexts(rows: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Suffix rows of the texts' chosen anchors: (hash, large, doc_id, row, place, left, words).
+def _digest(data: bytes) -> list[int]:
+    return np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), np.int64).tolist()
+
 
-    For a large group, one row for each window around the anchor: hash and hash2 are of
-    the whole window."""
+def _contexts(rows: DataFrame, window: int, prefix: int) -> DataFrame:
+    """Suffix rows of the texts' chosen anchors: hash, large, doc_id, row, place, and the words
+    around the anchor (`left` before it, `right` from it on) with their digest c1, c2."""
     reach = window - prefix
+    names = ("hash", "large", "c1", "c2", "doc_id", "row", "place", "left", "right", "words")
 
     def run(batches):
+        out = []
         for b in batches:
-            out = {k: [] for k in ("hash", "hash2", "large", "doc_id", "row", "place", "left", "words")}
-
-            def add(*row, out=out):
-                for c, v in zip(out.values(), row, strict=True):
-                    c.append(v)
-
             for r in b.to_pylist():
                 words = r["text"].encode("utf-8", "surrogatepass").split()
                 for p in r["at"]:
                     at, left = p["place"], min(reach, p["place"])
-                    if not p["large"]:
-                        add(p["hash"], 0, False, r["doc_id"], r["row"], at, left, b" ".join(words[at - left:at + window]))
-                        continue
-                    for s in range(at - left, min(at, len(words) - window) + 1):
-                        d = hashlib.blake2b(b" ".join(words[s:s + window]), digest_size=16).digest()
-                        a, c = np.frombuffer(d, np.int64).tolist()
-                        add(a, c, True, r["doc_id"], r["row"], s, 0, b"")
-                if len(out["hash"]) > 20_000:
-                    yield pa.RecordBatch.from_pydict(out, schema)
-                    out = {k: [] for k in out}
-                    add.__kwdefaults__["out"] = out
-            yield pa.RecordBatch.from_pydict(out, schema)
-
-    schema = pa.schema([("hash", pa.int64()), ("hash2", pa.int64()), ("large", pa.bool_()), ("doc_id", pa.int64()),
-                        ("row", pa.int64()), ("place", pa.int32()), ("left", pa.int32()), ("words", pa.binary())])
-    return rows.mapInArrow(run, "hash long, hash2 long, large boolean, doc_id long, row long, place int, left int, words binary")
+                    part = words[at - left:at + window]
+                    text = b" ".join(part)
+                    c = _digest(b"%d %s" % (left, text)) if p["large"] else (0, 0)
+                    out.append((p["hash"], p["large"], *c, r["doc_id"], r["row"], at, left, len(part) - left, text))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*out, strict=True), strict=True)), schema)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*out, strict=True), strict=True)), schema)
+
+    schema = pa.schema([("hash", pa.int64()), ("large", pa.bool_()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()),
+                        ("row", pa.int64()), ("place", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("words", pa.binary())])
+    return rows.mapInArrow(run, "hash long, large boolean, c1 long, c2 long, doc_id long, row long, place int, left int, right int, words binary")
+
+
+def _windows(contexts: DataFrame, window: int) -> DataFrame:
+    """Every window around the anchor of each context: its digest w1, w2, and how far left it starts."""
+
+    def run(batches):
+        for b in batches:
+            out = {k: [] for k in ("w1", "w2", "c1", "c2", "least", "o")}
+            for r in b.to_pylist():
+                words = r["words"].split(b" ")
+                for s in range(min(r["left"], len(words) - window) + 1):
+                    for c, v in zip(out.values(), (*_digest(b" ".join(words[s:s + window])), r["c1"], r["c2"], r["least"], r["left"] - s), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([(k, pa.int32() if k == "o" else pa.int64()) for k in out]))
+
+    return contexts.select("c1", "c2", "least", "left", "words").mapInArrow(run, "w1 long, w2 long, c1 long, c2 long, least long, o int")
 
 
 def _tree(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,23 +206,25 @@ def repeats_in(doc: np.ndarray, left: np.ndarray, words: list[bytes], window: in
     return first, last
 
 
-def _covered(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(doc_id, row, start, end) of removed words, from whole prefix groups."""
+def _in_trees(suffixes: DataFrame, ids: list[str], window: int, prefix: int) -> DataFrame:
+    """`ids` (longs) and (first, last) of `repeats_in`, from whole prefix groups: suffixes have
+    hash, doc_id, left, words."""
 
     def run(batches):
         for table, _ in whole_groups(batches, ["hash"]):
-            doc, place = table.column("doc_id").to_numpy(), table.column("place").to_numpy()
+            doc = table.column("doc_id").to_numpy()
             first, last = repeats_in(doc, table.column("left").to_numpy(), table.column("words").to_pylist(), window, prefix)
             hit = np.flatnonzero(last >= 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[hit]), pa.array(table.column("row").to_numpy()[hit]), pa.array((place - last)[hit].astype(np.int32)),
-                 pa.array((place - first + window)[hit].astype(np.int32))], ["doc_id", "row", "start", "end"])
+                [*[pa.array(table.column(c).to_numpy()[hit], pa.int64()) for c in ids], pa.array(first[hit].astype(np.int32)),
+                 pa.array(last[hit].astype(np.int32))], [*ids, "first", "last"])
 
     suffixes = suffixes.repartition("hash").sortWithinPartitions("hash")
-    return suffixes.select("hash", "doc_id", "row", "place", "left", "words").mapInArrow(run, "doc_id long, row long, start int, end int")
+    suffixes = suffixes.select("hash", "doc_id", "left", "words", *[c for c in ids if c != "doc_id"])
+    return suffixes.mapInArrow(run, ", ".join(f"{c} long" for c in ids) + ", first int, last int")
 
 
-def repeated_spans(docs: DataFrame, scanned: DataFrame, window: int = 50, prefix: int = 16, group_rows: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, scanned: DataFrame, window: int = 50, prefix: int = 16, group_rows: int = 2_000) -> DataFrame:
     """(doc_id, row, spans): word spans of `docs` covered by windows that also start in a
     smaller doc_id, for the smallest document of each word sequence.  `scanned` is `scan`'s."""
     usable = scanned.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
@@ -221,15 +236,30 @@ def repeated_spans(docs: DataFrame, scanned: DataFrame, window: int = 50, prefix
     chosen = rows.join(groups, "hash").groupBy("doc_id", "row").agg(F.collect_list(F.struct("place", "hash", "large")).alias("at"))
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("string"))
     found = cut(_contexts(texts.join(chosen.hint("shuffle_hash"), ["doc_id", "row"]), window, prefix))
-    small = _covered(found.where("not large"), window, prefix)
-    nodes = found.where("large").select("hash", "hash2", "doc_id", "row", "place")
-    least = nodes.groupBy("hash", "hash2").agg(F.min("doc_id").alias("least"))
-    large = nodes.join(least, ["hash", "hash2"]).where("doc_id > least").select(
-        "doc_id", "row", F.col("place").alias("start"), (F.col("place") + window).alias("end"))
+    small = _in_trees(found.where("not large"), ["doc_id", "row", "place"], window, prefix).select(
+        "doc_id", "row", (F.col("place") - F.col("last")).cast("int").alias("start"),
+        (F.col("place") - F.col("first") + window).cast("int").alias("end"))
+    # large groups: equal surroundings are one suffix, that of their smallest document
+    many = found.where("large")
+    contexts = cut(many.groupBy("hash", "c1", "c2").agg(
+        F.min("doc_id").alias("least"), F.first("left").alias("left"), F.first("words").alias("words")))
+    sizes = contexts.groupBy("hash").agg((F.count("*") > group_rows).alias("deep"))
+    contexts = contexts.join(sizes, "hash")
+    trees = _in_trees(contexts.where("not deep").withColumn("doc_id", F.col("least")), ["c1", "c2"], window, prefix)
+    nodes = _windows(contexts.where("deep"), window)
+    lowest = nodes.groupBy("w1", "w2").agg(F.min("least").alias("lowest"))
+    deep = nodes.join(lowest, ["w1", "w2"]).where("least > lowest").groupBy("c1", "c2").agg(
+        F.min("o").alias("first"), F.max("o").alias("last"))
+    # a later document of equal surroundings loses them whole, the first what its nodes say
+    hits = many.drop("words").join(contexts.select("c1", "c2", "least"), ["c1", "c2"]).join(trees.union(deep), ["c1", "c2"], "left")
+    copy = F.col("doc_id") > F.col("least")
+    large = hits.where(copy | F.col("last").isNotNull()).select(
+        "doc_id", "row", F.when(copy, F.col("place") - F.col("left")).otherwise(F.col("place") - F.col("last")).cast("int").alias("start"),
+        F.when(copy, F.col("place") + F.col("right")).otherwise(F.col("place") - F.col("first") + window).cast("int").alias("end"))
     return small.union(large).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50, prefix: int = 16, group_rows: int = 20_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 50, prefix: int = 16, group_rows: int = 2_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, sha): `kept` is the kept words joined by one space,
     or null where nothing was removed and `sha` alone is known; sha is its SHA-256."""
     scanned = cut(scan(docs, window, prefix))

@@ -7,6 +7,8 @@ built-in expressions and stays inside whole-stage codegen.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,6 +56,11 @@ def literal_pattern(text: str, case_insensitive: bool = False) -> str:
     return ("(?i)" if case_insensitive else "") + body
 
 
+def java_replacement(text: str) -> str:
+    """A replacement with back-references ``\\1`` as the regex engine writes them (``$1``)."""
+    return re.sub(r"\\(\d)", r"$\1", text.replace("$", "\\$"))
+
+
 def replace_text(c: Column, pattern: str, replacement: str = "", regex: bool = True,
                  case_insensitive: bool = False) -> Column:
     """STR-4: regex or literal replacement, optional ignore-case."""
@@ -64,7 +71,7 @@ def replace_text(c: Column, pattern: str, replacement: str = "", regex: bool = T
         pat = "(?i)" + pat
     elif case_insensitive:
         pat = literal_pattern(pattern, True)
-    java_repl = replacement if regex else replacement.replace("\\", "\\\\").replace("$", "\\$")
+    java_repl = java_replacement(replacement) if regex else replacement.replace("\\", "\\\\").replace("$", "\\$")
     return F.regexp_replace(c, pat, java_repl)
 
 

@@ -61,7 +61,7 @@ def _stat(fn: str, c: Column, approx: bool = False) -> Column:
 
 
 def group_by_agg(df: DataFrame, by, agg: dict, as_index: bool = False, sort: bool = False,
-                 approx: bool = False, strategy: str = "auto") -> DataFrame:
+                 approx: bool = False, strategy: str = "exact") -> DataFrame:
     """AGG-1..4: per column one function (keeps the name) or a list (``col_fn``).
 
     NULL keys are dropped, a sum over only NULLs is 0, std of one row is
@@ -69,9 +69,9 @@ def group_by_agg(df: DataFrame, by, agg: dict, as_index: bool = False, sort: boo
     """
     by = as_list(by)
     if not by:
-        raise OperatorError("Group-by columns cannot be empty")
+        raise OperatorError("name at least one column to group by")
     if not agg:
-        raise OperatorError("Aggregation mapping cannot be empty")
+        raise OperatorError("name at least one column to aggregate")
     require_columns(df, by, "Group-by column")
     require_columns(df, agg.keys(), "Aggregation column")
     specs = []
@@ -87,14 +87,13 @@ def group_by_agg(df: DataFrame, by, agg: dict, as_index: bool = False, sort: boo
                 raise OperatorError(f"'{fn}' needs a numeric column: {c}")
             specs.append((c, fn, c if single else f"{c}_{fn}"))
     keyed = df.filter(_all_not_null(by))
-    med_cols = sorted({c for c, fn, _ in specs if fn == "median"})
-    plan = Q.choose(keyed, med_cols, by, "approx" if approx else strategy) if med_cols else {}
+    approx = approx or strategy == "approx"
     exprs, late = [], []
     for c, fn, name in specs:
-        if fn == "median" and plan[c] == "sort":
-            late.append((c, name))  # exact medians of wide domains: by sorted rank
+        if fn == "median" and not approx:
+            late.append((c, name))  # exact medians come from value counts
             continue
-        e = _stat(fn, col(c), plan.get(c) == "approx")
+        e = _stat(fn, col(c), approx)
         if fn == "sum":
             e = F.coalesce(e, F.lit(0).cast(e_type(df, c)))
         exprs.append(e.alias(name))
@@ -102,7 +101,7 @@ def group_by_agg(df: DataFrame, by, agg: dict, as_index: bool = False, sort: boo
         exprs.append(F.count(F.lit(1)).alias("_tw_rows"))
     out = keyed.groupBy(*[col(b) for b in by]).agg(*exprs)
     if late:
-        meds = Q.quantile_table(keyed, sorted({c for c, _ in late}), [0.5], by, "sort")
+        meds = Q.quantile_table(keyed, sorted({c for c, _ in late}), [0.5], by)
         wide = meds.groupBy(*[col(b) for b in by]).agg(
             *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(name) for c, name in late])
         out = out.join(wide, by, "left")
@@ -135,6 +134,8 @@ def scalar_aggs(df: DataFrame, column: str | None = None, operations=("mean", "s
         for op in operations:
             if op == "count":
                 exprs.append(F.count(col(column)).alias("non_null_count"))
+            elif op == "median":  # exact, from value counts; one number
+                exprs.append(F.lit(Q.quantile_values(df, [column], [0.5])[column][0]).cast("double").alias(op))
             else:
                 exprs.append(_stat(op, col(column)).alias(op))
     return df.agg(*exprs)
@@ -274,7 +275,7 @@ def column_range(df: DataFrame, column: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns, qs=(0.25, 0.5, 0.75), approx: bool = False,
-              by=None, strategy: str = "auto") -> DataFrame:
+              by=None, strategy: str = "exact") -> DataFrame:
     """AGG-23: linear-interpolation quantiles, long format (by..., column, q, value).
 
     Exact by default; see ``operators.quantile`` for the per-column strategy.
@@ -335,7 +336,7 @@ def _grouped_text_describe(base: DataFrame, keys: list[str], text: list[str]) ->
 
 
 def describe_stats(df: DataFrame, group_by=None, columns=None, approx: bool = False,
-                   include_text: bool = True, strategy: str = "auto") -> DataFrame:
+                   include_text: bool = True, strategy: str = "exact") -> DataFrame:
     """AGG-5/6: describe every column, one row per (group,) column.
 
     Numeric columns: count, mean, std, min, max (one aggregate) and
@@ -377,15 +378,11 @@ def describe_stats(df: DataFrame, group_by=None, columns=None, approx: bool = Fa
     # whole table: one aggregate for the moments and distinct estimates of the
     # numeric columns and the non-null counts of the others (one row back)
     aggs = [e for i, c in enumerate(num) for e in _numeric_stat_exprs(c, i)]
-    if strat == "auto":
-        aggs += [F.approx_count_distinct(col(c)).alias(f"hll_{i}") for i, c in enumerate(num)]
     aggs += [F.count(col(c)).alias(f"tn_{i}") for i, c in enumerate(text)]
     row = base.agg(*aggs).first() if aggs else None
     parts = []
     if num:
-        plan = ({c: Q.pick(row[f"hll_{i}"]) for i, c in enumerate(num)} if strat == "auto"
-                else {c: strat for c in num})
-        quart = Q.quantile_wide(base, num, QUARTILES, ["p25", "p50", "p75"], None, plan)
+        quart = Q.quantile_wide(base, num, QUARTILES, ["p25", "p50", "p75"], None, strat)
         facts = base.sparkSession.createDataFrame(
             [(c, row[f"count_{i}"], row[f"mean_{i}"], row[f"std_{i}"], row[f"min_{i}"], row[f"max_{i}"])
              for i, c in enumerate(num)],
@@ -427,7 +424,7 @@ def _cardinality(n: Column, bounds) -> Column:
 
 def column_profile(df: DataFrame, columns=None, approx: bool = False,
                    cardinality=PROFILE_CARDINALITY, with_skew: bool = False,
-                   strategy: str = "auto") -> DataFrame:
+                   strategy: str = "exact") -> DataFrame:
     """AGG-9 (and AGG-10 with ``with_skew`` and chart cardinality classes).
 
     One row per column: dtype, kind, distinct and NULL counts, missing
@@ -449,12 +446,8 @@ def column_profile(df: DataFrame, columns=None, approx: bool = False,
                  F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
         if with_skew:
             aggs.append(adjusted_skewness(x).alias(f"skew{i}"))
-        if strat == "auto":
-            aggs.append(F.approx_count_distinct(x).alias(f"hll{i}"))
     row = df.agg(*aggs).first()
     n = row["_tw_n"]
-    plan = ({c: Q.pick(row[f"hll{i}"]) for i, c in enumerate(num)} if strat == "auto"
-            else {c: strat for c in num})
     facts = []
     for i, c in enumerate(cols):
         dt = dtype_of(df, c)
@@ -474,7 +467,7 @@ def column_profile(df: DataFrame, columns=None, approx: bool = False,
     prof = prof.join(F.broadcast(distinct), "column", "left").withColumn(
         "n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long"))
     if num:
-        quart = Q.quantile_wide(df, num, QUARTILES, ["q25", "median", "q75"], None, plan)
+        quart = Q.quantile_wide(df, num, QUARTILES, ["q25", "median", "q75"], None, strat)
         prof = prof.join(F.broadcast(quart), "column", "left")
     else:
         prof = prof.select("*", *[F.lit(None).cast("double").alias(q) for q in ("q25", "median", "q75")])

@@ -1,11 +1,9 @@
 """Time and user analytics (WIN-7..15).
 
 Ordered windows are written so that no single group has to sit in one
-task.  Each operator first measures its largest group (``largest_group``):
-when every group has at most ``block_rows`` rows a plain Spark window is
-used.  Otherwise rows get their rank inside their group from one global
-sort (``group_rank``), are cut into blocks of ``block_rows`` consecutive
-rows, and each block is windowed on its own.  Running totals then add the
+task, and one plan serves every size: rows get their rank inside their group
+from one global sort (``group_rank``), are cut into blocks of ``block_rows``
+consecutive rows, and each block is windowed on its own.  Running totals then add the
 sum of earlier blocks (a table with one row per block); rolling windows copy
 the last ``k - 1`` rows of each block into the next one (a halo), so every
 row sees its full frame; ntile and percent rank come from exact ranks and
@@ -18,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..order import group_rank, largest_group, order_columns, with_position
-from ..schema import OperatorError, as_list, col, require_batch, require_columns, require_numeric
-from .aggregate import _stat
+from ..order import group_rank, with_position
+from ..schema import OperatorError, as_list, col, dtype_of, is_numeric, require_batch, require_columns, require_numeric
+from .aggregate import _stat, group_by_agg
 
 RANK = "_tw_r"
 BLOCK = "_tw_blk"
@@ -36,15 +34,12 @@ def _ranked(df: DataFrame, partition_by, order_by, total: str | None = None) ->
 
 def running_total(df: DataFrame, value: str, order_by, partition_by=None, name: str = "running_total",
                   block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """WIN-10: cumulative sum in ``order_by`` order (per ``partition_by`` group)."""
+    """WIN-10: cumulative sum in ``order_by`` order (per ``partition_by`` group).
+
+    A NULL adds nothing: its row shows the total so far, NULL before the first value."""
     require_batch(df, "running_total")
     require_numeric(df, [value])
     pb = require_columns(df, as_list(partition_by))
-    if largest_group(df, pb, block_rows) <= block_rows:
-        # every group fits one task: a plain window is exact and cheaper
-        w = Window.partitionBy(*[col(p) for p in pb]).orderBy(*order_columns(df, order_by)).rowsBetween(
-            Window.unboundedPreceding, 0)
-        return df.select(*[col(c) for c in df.columns], F.sum(col(value)).over(w).alias(name))
     r = _ranked(df, pb, order_by).withColumn(BLOCK, F.floor(F.col(RANK) / F.lit(block_rows)))
     inside = Window.partitionBy(*[col(p) for p in pb], F.col(BLOCK)).orderBy(RANK).rowsBetween(
         Window.unboundedPreceding, 0)
@@ -53,13 +48,13 @@ def running_total(df: DataFrame, value: str, order_by, partition_by=None, name:
     before = Window.partitionBy(*[col(p) for p in pb]).orderBy(BLOCK).rowsBetween(
         Window.unboundedPreceding, -1)
     prefix = blocks.select(*[col(p).alias(f"_tw_k_{i}") for i, p in enumerate(pb)], F.col(BLOCK).alias("_tw_b2"),
-                           F.coalesce(F.sum("_tw_bs").over(before), F.lit(0)).alias("_tw_pre"))
+                           F.sum("_tw_bs").over(before).alias("_tw_pre"))
     cond = F.col(BLOCK) == F.col("_tw_b2")
     for i, p in enumerate(pb):
         cond = cond & col(p).eqNullSafe(F.col(f"_tw_k_{i}"))
     out = local.join(prefix, cond)
     return out.select(*[col(c) for c in df.columns],
-                      (F.col("_tw_loc") + F.col("_tw_pre")).alias(name))
+                      F.coalesce(F.col("_tw_loc") + F.col("_tw_pre"), F.col("_tw_loc"), F.col("_tw_pre")).alias(name))
 
 
 def rolling(df: DataFrame, value: str, window: int, order_by, partition_by=None, fn: str = "mean",
@@ -78,12 +73,6 @@ def rolling(df: DataFrame, value: str, window: int, order_by, partition_by=None,
     min_periods = window if min_periods is None else min_periods
     pb = require_columns(df, as_list(partition_by))
     x = col(value).cast("double")
-    if largest_group(df, pb, block_rows) <= block_rows:
-        # every group fits one task: a plain window is exact and cheaper
-        w = Window.partitionBy(*[col(p) for p in pb]).orderBy(*order_columns(df, order_by)).rowsBetween(
-            -(window - 1), 0)
-        stat = F.when(F.count(x).over(w) >= min_periods, _stat(fn, x).over(w))
-        return df.select(*[col(c) for c in df.columns], stat.alias(name or f"{value}_rolling_{fn}"))
     r = _ranked(df, pb, order_by).withColumn(BLOCK, F.floor(F.col(RANK) / F.lit(block_rows)))
     r = r.withColumn("_tw_halo", F.lit(False))
     # copy the last window-1 rows of each block into the next block
@@ -100,20 +89,16 @@ def rolling(df: DataFrame, value: str, window: int, order_by, partition_by=None,
 
 
 def ntile(df: DataFrame, value: str, n: int = 10, tie_break=None, partition_by=None,
-          name: str = "ntile", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+          name: str = "ntile") -> DataFrame:
     """WIN-11: bucket 1..n by rank, sizes differing by at most one (first buckets larger).
 
-    Groups larger than ``block_rows``: computed from the exact position and
-    row count, so no window has to hold a whole group (``ntile`` over a
-    window would); smaller groups use the plain window function.
+    Computed from the exact position and row count, so no window has to hold
+    a whole group (``ntile`` over a window would).
     """
     require_batch(df, "ntile")
     require_columns(df, [value])
     order = [value] + as_list(tie_break)
-    pb = require_columns(df, as_list(partition_by))
-    if largest_group(df, pb, block_rows) <= block_rows:
-        w = Window.partitionBy(*[col(p) for p in pb]).orderBy(*order_columns(df, order))
-        return df.select(*[col(c) for c in df.columns], F.ntile(n).over(w).cast("int").alias(name))
+    require_columns(df, as_list(partition_by))
     r = _ranked(df, partition_by, order, total="_tw_n")
     pos, total = F.col(RANK), F.col("_tw_n")
     q, rem = F.floor(total / n), F.pmod(total, F.lit(n))
@@ -123,22 +108,17 @@ def ntile(df: DataFrame, value: str, n: int = 10, tie_break=None, partition_by=N
     return r.select(*[col(c) for c in df.columns], bucket.cast("int").alias(name))
 
 
-def percent_rank(df: DataFrame, value: str, partition_by=None, name: str = "percent_rank",
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def percent_rank(df: DataFrame, value: str, partition_by=None, name: str = "percent_rank") -> DataFrame:
     """WIN-11: (rank - 1) / (rows - 1) with ties sharing the lowest rank; 0 for one row.
 
-    Groups larger than ``block_rows``: one global sort on (partition, value);
-    the start of each run of equal values (and of each partition) comes from
-    ``run_starts``, so neither a hot value nor a hot partition sits in one
-    task.  Smaller groups use the plain window function.
+    One global sort on (partition, value); the start of each run of equal
+    values (and of each partition) comes from ``run_starts``, so neither a hot
+    value nor a hot partition sits in one task.
     """
     from ..order import run_starts
     require_batch(df, "percent_rank")
     require_columns(df, [value])
     pb = require_columns(df, as_list(partition_by))
-    if largest_group(df, pb, block_rows) <= block_rows:
-        w = Window.partitionBy(*[col(p) for p in pb]).orderBy(col(value).asc_nulls_first())
-        return df.select(*[col(c) for c in df.columns], F.percent_rank().over(w).alias(name))
     keys = [col(p).asc_nulls_last() for p in pb] + [col(value).asc_nulls_first()]
     pos = with_position(df, keys, name=RANK, keep_partition=True, total="_tw_n")
     tie = run_starts(pos, pb + [value], RANK, "_tw_t")
@@ -152,15 +132,14 @@ def percent_rank(df: DataFrame, value: str, partition_by=None, name: str = "perc
 
 
 def growth_pct(df: DataFrame, time: str, value: str, by=None, agg: str = "sum",
-               first_zero: bool = True, name: str = "growth_pct",
-               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+               first_zero: bool = True, name: str = "growth_pct") -> DataFrame:
     """WIN-8: aggregate per (group, period), then percent change along periods.
 
     First period is 0 (``first_zero``); a zero base gives NULL, not inf.
-    The change runs on the aggregated table (one row per group and period):
-    a ``lag`` window when every group has at most ``block_rows`` periods,
-    else an equi-join of each period with the one ranked just before it, so
-    a series with billions of periods is not held by one task.
+    The change runs on the aggregated table (one row per group and period),
+    an equi-join of each period with the one ranked just before it, so a
+    series with billions of periods is not held by one task.  The sum of a
+    group without values is 0.
     """
     by = require_columns(df, as_list(by))
     require_columns(df, [time])
@@ -169,16 +148,16 @@ def growth_pct(df: DataFrame, time: str, value: str, by=None, agg: str = "sum",
     keyed = df
     for b in by:
         keyed = keyed.filter(col(b).isNotNull())
-    g = keyed.groupBy(*keys, col(time)).agg(_stat(agg, col(value)).alias(value))
+    if agg == "median":
+        g = group_by_agg(keyed, [*by, time], {value: agg})
+    else:
+        total = F.coalesce(F.sum(col(value)), F.lit(0)) if agg == "sum" else _stat(agg, col(value))
+        g = keyed.groupBy(*keys, col(time)).agg(total.alias(value))
 
     def change(cur: Column, prev: Column, first: Column) -> Column:
         out = F.try_divide((cur - prev) * 100.0, prev)
         return F.when(first, F.lit(0.0)).otherwise(out) if first_zero else out
 
-    if largest_group(g, by, block_rows) <= block_rows:
-        w = Window.partitionBy(*keys).orderBy(col(time))
-        prev = F.lag(col(value)).over(w)
-        return g.withColumn(name, change(col(value), prev, prev.isNull() & (F.row_number().over(w) == 1)))
     ranked = _ranked(g, by, [time])
     before = ranked.select(*[col(b).alias(f"_tw_p{i}") for i, b in enumerate(by)],
                            (F.col(RANK) + 1).alias("_tw_next"), col(value).alias("_tw_prev"))
@@ -203,28 +182,30 @@ def period_growth(df: DataFrame, ts: str, value: str, unit: str = "month", by=No
 def best_row_per_group(df: DataFrame, by, value: str, largest: bool = True, tie_break=None) -> DataFrame:
     """WIN-7: the full row with the max (min) ``value`` per group.
 
-    ``max_by``/``min_by`` over a struct of the row is a partial aggregate:
-    each task keeps one candidate per group, so a hot group costs no
-    shuffle volume.  Ties go to the smallest ``tie_break``; groups whose
-    value is all NULL give no row.
+    ``min_by`` over a struct of the row is a partial aggregate: each task keeps
+    one candidate per group (per group and value for the largest text or date),
+    so a hot group costs no shuffle volume.  Ties go to the smallest
+    ``tie_break``; groups whose value is all NULL give no row.
     """
     by = require_columns(df, as_list(by))
     require_columns(df, [value])
     tb = require_columns(df, as_list(tie_break))
     others = [c for c in df.columns if c not in by]
     row = F.struct(*[col(c) for c in others])
-    # order key: value first, then the tie-break reversed for max_by
-    tie_parts = []
-    for t in tb:
-        c = col(t)
-        tie_parts.append(-c if largest else c)
-    key = F.struct(col(value), *tie_parts)
-    pick = F.max_by(row, key) if largest else F.min_by(row, key)
+    ties = [col(t) for t in tb]
     base = df.filter(col(value).isNotNull())
     for b in by:
         base = base.filter(col(b).isNotNull())
-    agg = base.groupBy(*[col(b) for b in by]).agg(pick.alias("_tw_row"))
-    return agg.select(*[F.col(f"_tw_row.{c}").alias(c) if c in others else col(c)
+    keys = [col(b) for b in by]
+    if not largest:
+        agg = base.groupBy(*keys).agg(F.min_by(row, F.struct(col(value), *ties)).alias("_tw_row"))
+    elif is_numeric(dtype_of(df, value)):
+        agg = base.groupBy(*keys).agg(F.min_by(row, F.struct(-col(value), *ties)).alias("_tw_row"))
+    else:  # text and dates have no negative: the best row of each value, then of the largest value
+        best = base.groupBy(*keys, col(value).alias("_tw_v")).agg(
+            F.min_by(row, F.struct(F.lit(0), *ties)).alias("_tw_row"))
+        agg = best.groupBy(*keys).agg(F.max_by("_tw_row", "_tw_v").alias("_tw_row"))
+    return agg.select(*[F.col("_tw_row").getField(c).alias(c) if c in others else col(c)
                         for c in df.columns])
 
 
@@ -292,4 +273,6 @@ def trend(df: DataFrame, ts: str, value: str | None = None, unit: str = "day", f
     if value is None:
         return df.groupBy(period).agg(F.count(F.lit(1)).alias("count"))
     require_columns(df, [value])
+    if fn == "median":
+        return group_by_agg(df.withColumn("period", period), ["period"], {value: fn})
     return df.groupBy(period).agg(_stat(fn, col(value)).alias(value))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..schema import (OperatorError, as_list, col, dtype_of, family, is_numeric, numeric_columns,
                       require_batch, require_columns, require_numeric)
 from . import quantile as Q
-from .aggregate import _stat, category_relation, chart_stats, corr_matrix, value_counts
+from .aggregate import _stat, category_relation, chart_stats, corr_matrix, group_by_agg, value_counts
 from .selection import sample_rows
 
 # Chart kinds, aggregate names and limits of the chart layer.
@@ -48,8 +48,22 @@ def chart_data(df: DataFrame, chart_type: str, x: str, y: str | None = None,
         return df.select(*keys, col(y)).orderBy(*keys)
     if agg_func not in CHART_AGGS:
         raise OperatorError(f"Unsupported aggregation '{agg_func}'")
-    e = F.count(col(y)) if agg_func == "count" else _stat(agg_func, col(y))
-    return df.groupBy(*keys).agg(e.alias(y)).orderBy(*keys)
+    return _group_chart(df, [x, *as_list(color)], {y: y}, agg_func).orderBy(*keys)
+
+
+def _group_chart(df: DataFrame, by: list[str], outputs: dict[str, str], agg_func: str) -> DataFrame:
+    """Groups without a missing key, as charts draw them; the sum of no values is 0."""
+    keyed = df
+    for b in by:
+        keyed = keyed.filter(col(b).isNotNull())
+    if agg_func == "median":
+        out = group_by_agg(keyed, by, {c: "median" for c in outputs.values()})
+        return out.toDF(*by, *outputs)
+    def stat(c):
+        if agg_func == "sum":
+            return F.coalesce(F.sum(c), F.lit(0))
+        return F.count(c) if agg_func == "count" else _stat(agg_func, c)
+    return keyed.groupBy(*[col(b) for b in by]).agg(*[stat(col(c)).alias(n) for n, c in outputs.items()])
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS, color: str | None = None) -> DataFrame:
@@ -146,10 +160,10 @@ def heatmap_data(df: DataFrame, columns=None, x: str | None = None, y: str | Non
                  value: str | None = None) -> DataFrame:
     """CHD-7/8: correlation matrix, mean pivot (long), or mean / count per x.
 
-    * ``columns`` all numeric (two or more): correlation matrix;
+    * ``columns`` with two numeric ones or more: correlation matrix;
     * two categorical columns and a number: mean of the number per pair;
     * one categorical and a number: mean per category;
-    * only x and y: mean of numeric y per x, else row count per (x, y).
+    * only x and y: mean of numeric y per x, else row count per x.
     """
     if columns:
         cols = require_columns(df, columns)
@@ -157,14 +171,14 @@ def heatmap_data(df: DataFrame, columns=None, x: str | None = None, y: str | Non
         cats = [c for c in cols if c not in nums]
         if len(nums) == len(cols) and len(nums) >= 2:
             return corr_matrix(df, nums)
+        if len(nums) >= 2:
+            return corr_matrix(df, nums)
         if len(cats) >= 2 and nums:
             a, b = cats[0], cats[1]
             base = df.filter(col(a).isNotNull() & col(b).isNotNull())
             return base.groupBy(col(a), col(b)).agg(F.avg(col(nums[0])).alias(nums[0]))
         if len(cats) == 1 and nums:
             return category_relation(df, cats[0], nums[0]).select(cats[0], F.col("mean").alias(nums[0]))
-        if len(nums) >= 2:
-            return corr_matrix(df, nums)
         raise OperatorError("heatmap needs numeric columns, or categories and a number")
     if x is None or y is None:
         raise OperatorError("give columns, or x and y")
@@ -174,7 +188,7 @@ def heatmap_data(df: DataFrame, columns=None, x: str | None = None, y: str | Non
         return df.groupBy(col(x), col(y)).agg(F.avg(col(value)).alias(value))
     if is_numeric(dtype_of(df, y)):
         return df.filter(col(x).isNotNull()).groupBy(col(x)).agg(F.avg(col(y)).alias(y))
-    return df.groupBy(col(x), col(y)).agg(F.count(F.lit(1)).alias("count"))
+    return df.filter(col(x).isNotNull()).groupBy(col(x)).agg(F.count(F.lit(1)).alias("count"))
 
 
 def combo_data(df: DataFrame, x: str, y1: str, y2: str, color: str | None = None,
@@ -186,13 +200,17 @@ def combo_data(df: DataFrame, x: str, y1: str, y2: str, color: str | None = None
         return df.select(*keys, col(y1), col(y2)).orderBy(*keys)
     if agg_func not in CHART_AGGS:
         raise OperatorError(f"Unsupported aggregation '{agg_func}'")
-    f = (lambda c: F.count(c)) if agg_func == "count" else (lambda c: _stat(agg_func, c))
-    return df.groupBy(*keys).agg(f(col(y1)).alias(y1), f(col(y2)).alias(y2)).orderBy(*keys)
+    return _group_chart(df, [x, *as_list(color)], {y1: y1, y2: y2}, agg_func).orderBy(*keys)
 
 
-def fallback_groups(df: DataFrame, x: str, y: str, agg_func: str = "sum", k: int = FALLBACK_GROUPS) -> DataFrame:
-    """CHD-10: the first k groups (by x) of the aggregate."""
-    data = chart_data(df, "bar", x, y, agg_func)
+def fallback_groups(df: DataFrame, x: str, y: str | None = None, agg_func: str = "count",
+                    k: int = FALLBACK_GROUPS) -> DataFrame:
+    """CHD-10: the first k groups (by x) of the aggregate; without y, the group sizes."""
+    if y is None:
+        require_columns(df, [x])
+        data = df.filter(col(x).isNotNull()).groupBy(col(x)).agg(F.count(F.lit(1)).alias("count"))
+    else:
+        data = chart_data(df, "bar", x, y, agg_func)
     return data.orderBy(col(x)).limit(k)
 
 
@@ -222,7 +240,7 @@ def suitability(profile: DataFrame) -> DataFrame:
 
     Input: ``column_profile`` output.  Rules: bar needs a categorical
     column, rejected above 25 distinct values when its cardinality is
-    high; pie at most 10 distinct; line rejects high-cardinality text;
+    high; pie needs one too, of at most 10 distinct values; line rejects high-cardinality text;
     histogram / scatter / box need numbers.
     """
     kinds = F.array(*[F.lit(k) for k in ("bar", "pie", "line", "histogram", "scatter", "box")])
@@ -233,6 +251,7 @@ def suitability(profile: DataFrame) -> DataFrame:
     reason = (F.when((F.col("chart") == "bar") & ~cat, "bar needs a categorical column")
               .when((F.col("chart") == "bar") & high & (F.col("n_distinct") > BAR_MAX_CATEGORIES),
                     "too many categories for a bar chart")
+              .when((F.col("chart") == "pie") & ~cat, "pie needs a categorical column")
               .when((F.col("chart") == "pie") & (F.col("n_distinct") > PIE_MAX_CATEGORIES),
                     "too many categories for a pie chart")
               .when((F.col("chart") == "line") & cat & high, "high-cardinality text on a line chart")
@@ -258,8 +277,9 @@ def compatibility(df: DataFrame, chart_type: str, x: str | None = None, y: str |
         if n > limit:
             reason = f"{x} has {n} categories (at most {limit})"
     elif chart_type in ("line", "area"):
-        if y and fam(y) != "number":
-            reason = f"{y} must be numeric"
+        wrong = [c for c in (x, y) if c and fam(c) not in ("number", "datetime", "date")]
+        if wrong:
+            reason = f"{wrong[0]} must be numeric or a date"
     elif chart_type in ("scatter", "correlation", "heatmap"):
         if chart_type == "correlation" or chart_type == "heatmap":
             if len(numeric_columns(df)) < 2 and not (x and y):
@@ -278,8 +298,8 @@ def recommend_charts(df: DataFrame, k: int = MAX_RECOMMENDATIONS, approx: bool =
     """CHK-3: rule-based chart ranking from the chart statistics.
 
     date + number -> line; strongly correlated pair -> scatter;
-    category + number -> bar; number -> histogram; category with at most
-    10 values -> pie.  At most ``k`` in that order.
+    category (one of few values first) + number -> bar; number -> histogram;
+    category of low cardinality -> pie.  At most ``k`` in that order.
     """
     require_batch(df, "recommend_charts")
     stats = chart_stats(df, approx=approx).collect()
@@ -291,16 +311,19 @@ def recommend_charts(df: DataFrame, k: int = MAX_RECOMMENDATIONS, approx: bool =
         recs.append(("line", dates[0], nums[0], f"trend of {nums[0]} over {dates[0]}"))
     if len(nums) >= 2:
         from .aggregate import strong_correlations
-        strong = strong_correlations(df, nums, k=1).collect()
-        if strong:
-            s = strong[0]
+        place = {c: i for i, c in enumerate(nums)}
+        strong = sorted((sorted((place[r["col_x"]], place[r["col_y"]])), r["r"]) for r in strong_correlations(
+            df, nums, k=len(nums) * len(nums)).collect())
+        if strong:  # the first pair in column order
+            (i, j), r = strong[0]
+            s = {"col_x": nums[i], "col_y": nums[j], "r": r}
             recs.append(("scatter", s["col_x"], s["col_y"], f"correlation r={s['r']:.2f}"))
-    low_cats = [r for r in cats if r["cardinality"] in ("low", "medium")]
+    low_cats = [r for r in cats if r["cardinality"] in ("low", "medium")] or cats
     if low_cats and nums:
         recs.append(("bar", low_cats[0]["column"], nums[0], f"{nums[0]} by {low_cats[0]['column']}"))
     if nums:
         recs.append(("histogram", nums[0], None, f"distribution of {nums[0]}"))
-    pie = [r for r in cats if r["n_distinct"] <= PIE_MAX_CATEGORIES]
+    pie = [r for r in cats if r["cardinality"] == "low"]
     if pie:
         recs.append(("pie", pie[0]["column"], None, f"share of {pie[0]['column']}"))
     rows = [(i + 1, *r) for i, r in enumerate(recs[:k])]

@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.strings import STRING_OPERATIONS, literal_pattern, replace_text
-from ..order import POS, carry, largest_group, order_columns, with_position
-from ..schema import (OperatorError, as_list, col, dtype_of, is_numeric, is_string,
+from ..functions.strings import STRING_OPERATIONS, java_replacement, literal_pattern, replace_text
+from ..order import POS, carry, with_position
+from ..schema import (OperatorError, as_list, col, dtype_of, is_numeric, is_string, normalize_nan,
                       numeric_columns, require_batch, require_columns, require_numeric,
                       require_string)
 from .selection import predicate
@@ -43,28 +43,15 @@ def drop_rows(df: DataFrame, condition=None, indices=None, subset=None, keep="fi
     return drop_duplicates(df, subset, keep, order_by)
 
 
-# Positions within this distance of either end are found by top-k queries.
-NEAR_END_ROWS = 10_000
-
-
 def drop_positions(df: DataFrame, indices, order_by) -> DataFrame:
     """FLT-7: delete rows by position in ``order_by`` order; negatives count from the end.
 
-    ``order_by`` is a total order, so its values identify a row.  Positions
-    near either end (the usual case) are read with two small top-k queries
-    and the rows are removed by an anti-join on the order columns with those
-    few keys; far positions use exact distributed positions.  Out-of-range
-    positions raise.
+    Rows get exact distributed positions; out-of-range positions raise.
     """
     require_batch(df, "drop_rows(indices)")
     idx = [int(i) for i in as_list(indices)]
     if not idx:
         return df
-    keys = [c for c in as_list(order_by) if isinstance(c, str)]
-    front = [i for i in idx if i >= 0]
-    back = [-i - 1 for i in idx if i < 0]
-    if len(keys) == len(as_list(order_by)) and max(front + back) < NEAR_END_ROWS:
-        return _drop_near_ends(df, keys, front, back, idx)
     pos = with_position(df, order_by, total="_tw_n")
     n = F.col("_tw_n")
     lo, hi = min(idx), max(idx)
@@ -76,28 +63,6 @@ def drop_positions(df: DataFrame, indices, order_by) -> DataFrame:
         *[col(c) for c in df.columns])
 
 
-def _drop_near_ends(df: DataFrame, keys: list[str], front: list[int], back: list[int], idx) -> DataFrame:
-    from .selection import first_n
-    picked = []
-    for positions, asc in ((front, True), (back, False)):
-        if not positions:
-            continue
-        spec = order_columns(df, keys, ascending=asc, nulls_last=asc)
-        # a top-k of the order columns only: collected in order
-        rows = first_n(df.select(*[col(k) for k in keys]), spec, max(positions) + 1).collect()
-        if len(rows) <= max(positions):
-            raise OperatorError(f"row positions out of range: {idx}")
-        picked += [tuple(rows[p]) for p in positions]
-    schema = df.select(*[col(k) for k in keys]).schema
-    victims = df.sparkSession.createDataFrame(sorted(set(picked), key=repr), schema)
-    cond = None
-    for k in keys:
-        c = df[k].eqNullSafe(victims[k])
-        cond = c if cond is None else cond & c
-    # one row per requested position: a broadcast of a bounded list
-    return df.join(F.broadcast(victims), cond, "left_anti")
-
-
 def drop_duplicates(df: DataFrame, subset=None, keep="first", order_by=None) -> DataFrame:
     """WIN-4/5: one aggregate per key, so a hot key is pre-combined map-side.
 
@@ -114,7 +79,7 @@ def drop_duplicates(df: DataFrame, subset=None, keep="first", order_by=None) ->
         agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tw_cnt"),
                                     F.any_value(row).alias("_tw_row"))
         out = agg.filter(F.col("_tw_cnt") == 1)
-        return out.select(*[F.col(f"_tw_row.{c}").alias(c) if c in others else col(c)
+        return out.select(*[F.col("_tw_row").getField(c).alias(c) if c in others else col(c)
                             for c in df.columns])
     if keep not in ("first", "last"):
         raise OperatorError("keep must be 'first', 'last' or False")
@@ -128,7 +93,7 @@ def drop_duplicates(df: DataFrame, subset=None, keep="first", order_by=None) ->
     row = F.struct(*[col(c) for c in others])
     pick = F.min_by(row, order_key) if keep == "first" else F.max_by(row, order_key)
     agg = df.groupBy(*keys).agg(pick.alias("_tw_row"))
-    return agg.select(*[F.col(f"_tw_row.{c}").alias(c) if c in others else col(c)
+    return agg.select(*[F.col("_tw_row").getField(c).alias(c) if c in others else col(c)
                         for c in df.columns])
 
 
@@ -195,12 +160,11 @@ def _fill_stats(df: DataFrame, plan: dict[str, str]) -> dict:
 
 def fill_missing(df: DataFrame, value=None, method: str | None = None, values: dict | None = None,
                  methods: dict | None = None, interpolate_method: str | None = None,
-                 columns=None, order_by=None, strict: bool = False,
-                 small_rows: int | None = None) -> DataFrame:
+                 columns=None, order_by=None, strict: bool = False) -> DataFrame:
     """FIL-1/2, WIN-1..3: constants, statistics or order-based fills.
 
-    Per-column settings win over global ones and a value wins over a
-    method.  ``strict`` raises when a listed column has no setting (the
+    A value, per column or global, wins over any method, and then a
+    column's own setting over the global one.  NaN counts as missing.  ``strict`` raises when a listed column has no setting (the
     reference raises when such a column holds nulls).  Order-based fills
     need ``order_by`` (a total order).
     """
@@ -212,10 +176,10 @@ def fill_missing(df: DataFrame, value=None, method: str | None = None, values: d
     for c in targets:
         if c in values:
             const[c] = values[c]
-        elif c in methods:
-            plan[c] = methods[c]
         elif value is not None:
             const[c] = value
+        elif c in methods:
+            plan[c] = methods[c]
         elif method is not None:
             plan[c] = method
         elif strict:
@@ -227,7 +191,7 @@ def fill_missing(df: DataFrame, value=None, method: str | None = None, values: d
             raise OperatorError(f"Method '{m}' needs a numeric column: {c}")
     if "interpolate" in plan.values() and interpolate_method not in (None, "linear"):
         raise OperatorError("only linear interpolation is supported")
-    out = df
+    df = out = normalize_nan(df, targets)
     stats = _fill_stats(df, {c: m for c, m in plan.items() if m in ("mean", "median", "mode")})
     exprs = {}
     for c, v in const.items():
@@ -241,64 +205,34 @@ def fill_missing(df: DataFrame, value=None, method: str | None = None, values: d
     if ordered:
         if order_by is None:
             raise OperatorError("ffill / bfill / interpolate need order_by")
-        out = _ordered_fill(out, ordered, order_by, small_rows)
+        out = _ordered_fill(out, ordered, order_by)
     return out
 
 
-# Tables up to this many rows are filled with plain windows (one task);
-# larger ones through positions and the two-phase carry.
-SMALL_TABLE_ROWS = 1 << 20
-
-
-def _small_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
-    """The same fills as plain windows over the whole (small) table."""
-    spec = order_columns(df, order_by)
-    rev = order_columns(df, order_by, ascending=False, nulls_last=False)
-    up = Window.orderBy(*spec).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(*rev).rowsBetween(Window.unboundedPreceding, 0)
-    base = df.withColumn(POS, F.row_number().over(Window.orderBy(*spec)) - 1)
-    fwd, bwd = {}, {}
-    for c, m in plan.items():
-        pair = F.when(col(c).isNotNull(), F.struct(F.col(POS).alias("p"), col(c).cast("double").alias("v")))
-        if m in ("ffill", "interpolate"):
-            fwd[f"_tw_f_{c}"] = F.last(col(c) if m == "ffill" else pair, ignorenulls=True).over(up)
-        if m in ("bfill", "interpolate"):
-            bwd[f"_tw_b_{c}"] = F.last(col(c) if m == "bfill" else pair, ignorenulls=True).over(down)
-    return base.select("*", *[e.alias(k) for k, e in {**fwd, **bwd}.items()])
-
-
-def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by,
-                  small_rows: int | None = None) -> DataFrame:
-    """ffill / bfill / linear interpolation.
-
-    Tables up to ``small_rows`` rows: plain windows over the whole table;
-    larger ones: one positioned table and the two-phase carry.
-    """
+def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
+    """ffill / bfill / linear interpolation: one positioned table and the two-phase carry."""
     require_batch(df, "ordered fill")
-    small_rows = SMALL_TABLE_ROWS if small_rows is None else small_rows
     fwd, bwd = {}, {}
+    number = {c: i for i, c in enumerate(plan)}
     for c, m in plan.items():
         if m == "ffill":
-            fwd[f"_tw_f_{c}"] = col(c)
+            fwd[f"_tw_f_{number[c]}"] = col(c)
         elif m == "bfill":
-            bwd[f"_tw_b_{c}"] = col(c)
+            bwd[f"_tw_b_{number[c]}"] = col(c)
         else:  # linear: previous and next (position, value)
             pair = F.when(col(c).isNotNull(), F.struct(F.col(POS).alias("p"),
                                                        col(c).cast("double").alias("v")))
-            fwd[f"_tw_f_{c}"] = pair
-            bwd[f"_tw_b_{c}"] = pair
-    if largest_group(df, [], small_rows) <= small_rows:
-        cur = _small_fill(df, plan, order_by)
-    else:
-        cur = carry(df, order_by, fwd, bwd)
+            fwd[f"_tw_f_{number[c]}"] = pair
+            bwd[f"_tw_b_{number[c]}"] = pair
+    cur = carry(df, order_by, fwd, bwd)
     exprs = {}
     for c, m in plan.items():
         if m == "ffill":
-            exprs[c] = F.coalesce(col(c), F.col(f"_tw_f_{c}"))
+            exprs[c] = F.coalesce(col(c), F.col(f"_tw_f_{number[c]}"))
         elif m == "bfill":
-            exprs[c] = F.coalesce(col(c), F.col(f"_tw_b_{c}"))
+            exprs[c] = F.coalesce(col(c), F.col(f"_tw_b_{number[c]}"))
         else:
-            prev, nxt = F.col(f"_tw_f_{c}"), F.col(f"_tw_b_{c}")
+            prev, nxt = F.col(f"_tw_f_{number[c]}"), F.col(f"_tw_b_{number[c]}")
             frac = (F.col(POS) - prev["p"]) / (nxt["p"] - prev["p"])
             line = prev["v"] + (nxt["v"] - prev["v"]) * frac
             # leading NULLs stay NULL, trailing NULLs take the last value
@@ -354,7 +288,9 @@ def replace_values(df: DataFrame, to_replace: dict, value=None, regex: bool = Fa
     every key to one value.
     """
     if not to_replace:
-        raise OperatorError("to_replace cannot be empty")
+        raise OperatorError("give at least one column to replace in")
+    if any(k is None for m in to_replace.values() for k in m):
+        raise OperatorError("a missing value is filled with fill_missing, not replaced")
     require_columns(df, to_replace.keys())
     exprs = {}
     for c, mapping in to_replace.items():
@@ -373,19 +309,25 @@ def replace_values(df: DataFrame, to_replace: dict, value=None, regex: bool = Fa
                 pat = old if regex else literal_pattern(str(old), True)
                 if regex and case_insensitive:
                     pat = "(?i)" + pat
-                repl = str(new) if regex else str(new).replace("\\", "\\\\").replace("$", "\\$")
+                repl = java_replacement(str(new)) if regex else str(new).replace("\\", "\\\\").replace("$", "\\$")
                 cur = F.regexp_replace(cur, pat, repl)
             exprs[c] = cur
             continue
-        fits = {k: v for k, v in mapping.items() if _key_fits(k, dt) and k is not None}
+        fits = {k: v for k, v in mapping.items() if _key_fits(k, dt)}
         if not fits:
             continue
+        if not all(_key_fits(v, dt) for v in fits.values()):
+            if not all(isinstance(v, str) for v in fits.values()):
+                raise OperatorError(f"the new values for '{c}' are of several types")
+            cur_out = cur.cast("string")  # numbers replaced by text: the column becomes text
+        else:
+            cur_out = cur
         expr = None
         for old, new in fits.items():
             new_lit = F.lit(new)
             expr = (F.when(cur == F.lit(old), new_lit) if expr is None
                     else expr.when(cur == F.lit(old), new_lit))
-        exprs[c] = expr.otherwise(cur)
+        exprs[c] = expr.otherwise(cur_out)
     return df.withColumns(exprs) if exprs else df
 
 
@@ -424,7 +366,7 @@ def clean_strings(df: DataFrame, columns, operation: str = "strip", operations=N
 # ------------------------------------------------------------------- outliers
 
 def outlier_bounds(df: DataFrame, columns, method: str = "iqr", threshold: float = 1.5,
-                   approx: bool = False, strategy: str = "auto") -> dict[str, dict]:
+                   approx: bool = False, strategy: str = "exact") -> dict[str, dict]:
     """OUT-1/2/5: bounds of every column (exact quartiles, or mean and std)."""
     from . import quantile as Q
     cols = require_numeric(df, as_list(columns))

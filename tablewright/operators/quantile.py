@@ -1,17 +1,11 @@
 """Exact quantiles that scale (AGG-23 and every operator needing quartiles).
 
-Spark's exact ``percentile`` keeps one value->count map per group in one
-task; that is cheap for a small value domain and fatal for a column with
-billions of distinct values.  ``strategy`` picks per column:
-
-* ``"map"``   - ``percentile`` inside one aggregate (one pass);
-* ``"sort"``  - exact by position: one distributed sort of the column
-  (``with_position`` / ``group_rank``), then only the rows at the two ranks
-  around each quantile are kept and interpolated - nothing holds a whole
-  group;
-* ``"approx"`` - ``percentile_approx`` (bounded sketch);
-* ``"auto"``  - ``map`` where a HyperLogLog estimate of the distinct values
-  (per group) is at most ``MAP_LIMIT``, else ``sort``.
+Values are first counted per (group, column, value) with map-side combination,
+so a value that a third of all rows share is one row.  The counts are then
+cumulated over the sorted distinct values (``analytics.running_total``, in
+blocks), and a quantile is read off the rows whose cumulated range holds the two
+ranks around it.  Neither a group nor a column has to fit a task.
+``strategy="approx"`` uses ``percentile_approx`` (a bounded sketch) instead.
 
 Interpolation is linear between the two closest ranks, as pandas'
 ``quantile`` and SQL's ``quantile_cont`` do.
@@ -24,13 +18,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..order import group_rank, with_position
 from ..schema import OperatorError, as_list, col
 
-# Largest per-group distinct count kept in an exact percentile map (measured:
-# beyond ~200k distinct values the sort path is faster even on one machine).
-MAP_LIMIT = 200_000
-STRATEGIES = ("auto", "map", "sort", "approx")
+STRATEGIES = ("exact", "approx")
 
 
 def _not_null(cols) -> Column:
@@ -40,106 +30,68 @@ def _not_null(cols) -> Column:
     return cond
 
 
-def choose(df: DataFrame, columns: list[str], by=None, strategy: str = "auto") -> dict[str, str]:
-    """Strategy per column (one HyperLogLog pass for ``auto``).
-
-    ``strategy`` may also be a ready {column: strategy} dict.
-    """
-    if isinstance(strategy, dict):
-        return {c: strategy[c] for c in columns}
-    if strategy not in STRATEGIES:
-        raise OperatorError(f"strategy must be one of {', '.join(STRATEGIES)}")
-    if strategy != "auto":
-        return {c: strategy for c in columns}
-    by = as_list(by)
-    est = [F.approx_count_distinct(col(c)).alias(f"_tw{i}") for i, c in enumerate(columns)]
-    if by:
-        per_group = df.groupBy(*[col(b) for b in by]).agg(*est)
-        row = per_group.agg(*[F.max(f"_tw{i}").alias(f"_tw{i}") for i in range(len(columns))]).first()
-    else:
-        row = df.agg(*est).first()
-    return {c: pick(row[f"_tw{i}"]) for i, c in enumerate(columns)}
-
-
-def pick(distinct_estimate) -> str:
-    """``map`` for a small value domain, ``sort`` for a wide one."""
-    return "map" if (distinct_estimate or 0) <= MAP_LIMIT else "sort"
-
-
-def _map_table(df: DataFrame, columns: list[str], qs: list[float], by: list[str], approx: bool) -> DataFrame:
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    aggs = []
-    for i, c in enumerate(columns):
-        x = col(c).cast("double")
-        aggs.append((F.percentile_approx(x, [float(q) for q in qs], 10000) if approx
-                     else F.percentile(x, qarr)).alias(f"_tw{i}"))
-    base = df.filter(_not_null(by)) if by else df
-    wide = base.groupBy(*[col(b) for b in by]).agg(*aggs) if by else base.agg(*aggs)
-    long = wide.select(*[col(b) for b in by], F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"_tw{i}").alias("_tw_vals"))
-        for i, c in enumerate(columns)])))
-    return long.select(*[col(b) for b in by], "column", F.posexplode(F.col("_tw_vals"))).select(
-        *[col(b) for b in by], "column",
-        F.element_at(qarr, F.col("pos") + 1).alias("q"), F.col("col").alias("value"))
-
-
-def _sort_table(df: DataFrame, c: str, qs: list[float], by: list[str]) -> DataFrame:
-    """Exact quantiles of one column from its sorted ranks."""
-    v = col(c).cast("double")
-    base = df.filter(v.isNotNull() & _not_null(by)).select(*[col(b) for b in by], v.alias("_tw_v"))
-    if by:
-        r = group_rank(base, by, ["_tw_v"], name="_tw_r", size="_tw_n")
-    else:
-        r = with_position(base, ["_tw_v"], name="_tw_r", total="_tw_n")
-    rank, n = F.col("_tw_r"), F.col("_tw_n")
+def _sketch_table(df: DataFrame, columns: list[str], qs: list[float], by: list[str]) -> DataFrame:
+    aggs = [F.percentile_approx(col(c).cast("double"), qs, 10000).alias(f"_tw{i}") for i, c in enumerate(columns)]
+    keys = [col(b) for b in by]
+    wide = df.filter(_not_null(by)).groupBy(*keys).agg(*aggs) if by else df.agg(*aggs)
+    long = wide.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"_tw{i}").alias("_tw_vals")) for i, c in enumerate(columns)])))
+    return long.select(*keys, "column", F.posexplode(F.col("_tw_vals"))).select(
+        *keys, "column", F.element_at(F.array(*map(F.lit, qs)), F.col("pos") + 1).alias("q"), F.col("col").alias("value"))
+
+
+def _exact_table(df: DataFrame, columns: list[str], qs: list[float], by: list[str]) -> DataFrame:
+    """Quantiles read off the cumulated counts of the distinct values."""
+    from .analytics import running_total
+    names = [f"_tw_k{i}" for i in range(len(by))] + ["_tw_c"]
+    cells = df.filter(_not_null(by)).select(
+        *[col(b).alias(k) for b, k in zip(by, names)],
+        F.inline(F.array(*[F.struct(F.lit(c).alias("_tw_c"), col(c).cast("double").alias("_tw_v")) for c in columns])))
+    counts = cells.filter(F.col("_tw_v").isNotNull()).groupBy(*names, "_tw_v").agg(F.count(F.lit(1)).alias("_tw_n"))
+    upto = running_total(counts, "_tw_n", ["_tw_v"], names, name="_tw_to")
+    sizes = upto.groupBy(*names).agg(F.max("_tw_to").alias("_tw_all"))
+    at = upto.join(sizes, names)
+    start, end = F.col("_tw_to") - F.col("_tw_n"), F.col("_tw_to")
+
+    def holds(rank):
+        return (start <= rank) & (rank < end)
+
+    ranks = [(F.col("_tw_all") - 1) * F.lit(q) for q in qs]
     need = F.lit(False)
-    for q in qs:
-        h = (n - 1) * F.lit(float(q))
-        need = need | (rank == F.floor(h)) | (rank == F.ceil(h))
-    picked = r.filter(need)
-    aggs = [F.max(n).alias("_tw_n")]
-    for i, q in enumerate(qs):
-        h = (n - 1) * F.lit(float(q))
-        aggs += [F.max(F.when(rank == F.floor(h), F.col("_tw_v"))).alias(f"lo{i}"),
-                 F.max(F.when(rank == F.ceil(h), F.col("_tw_v"))).alias(f"hi{i}")]
-    g = picked.groupBy(*[col(b) for b in by]).agg(*aggs) if by else picked.agg(*aggs)
+    for h in ranks:
+        need = need | holds(F.floor(h)) | holds(F.ceil(h))
+    aggs = []
+    for i, h in enumerate(ranks):
+        aggs += [F.max(F.when(holds(F.floor(h)), F.col("_tw_v"))).alias(f"_tw_lo{i}"),
+                 F.max(F.when(holds(F.ceil(h)), F.col("_tw_v"))).alias(f"_tw_hi{i}")]
+    g = at.filter(need).groupBy(*names).agg(F.max("_tw_all").alias("_tw_all"), *aggs)
     structs = []
-    for i, q in enumerate(qs):
-        h = (F.col("_tw_n") - 1) * F.lit(float(q))
+    for i, (q, h) in enumerate(zip(qs, ranks)):
         lo, hi = F.floor(h), F.ceil(h)
-        val = F.when(lo == hi, F.col(f"lo{i}")).otherwise(
-            (hi - h) * F.col(f"lo{i}") + (h - lo) * F.col(f"hi{i}"))
-        structs.append(F.struct(F.lit(c).alias("column"), F.lit(float(q)).alias("q"), val.alias("value")))
-    return g.filter(F.col("_tw_n").isNotNull()).select(*[col(b) for b in by], F.inline(F.array(*structs)))
+        value = F.when(lo == hi, F.col(f"_tw_lo{i}")).otherwise(
+            (hi - h) * F.col(f"_tw_lo{i}") + (h - lo) * F.col(f"_tw_hi{i}"))
+        structs.append(F.struct(F.lit(q).alias("q"), value.alias("value")))
+    out = g.select(*[F.col(k).alias(b) for b, k in zip(by, names)], F.col("_tw_c").alias("column"), F.inline(F.array(*structs)))
+    if by:
+        return out
+    # whole table: every column has its rows, NULL where it has no values
+    axis = df.sparkSession.createDataFrame([(c, q) for c in columns for q in qs], "_tw_c string, _tw_q double")
+    return axis.join(out, (F.col("_tw_c") == F.col("column")) & (F.col("_tw_q") == F.col("q")), "left").select(
+        F.col("_tw_c").alias("column"), F.col("_tw_q").alias("q"), "value")
 
 
-def quantile_table(df: DataFrame, columns, qs, by=None, strategy: str = "auto") -> DataFrame:
+def quantile_table(df: DataFrame, columns, qs, by=None, strategy: str = "exact") -> DataFrame:
     """Long ``(by..., column, q, value)`` of exact (or approximate) quantiles."""
-    cols = as_list(columns)
-    by = as_list(by)
+    if strategy not in STRATEGIES:
+        raise OperatorError(f"strategy must be one of {', '.join(STRATEGIES)}")
     qs = [float(q) for q in qs]
     if any(not (0.0 <= q <= 1.0) or math.isnan(q) for q in qs):
         raise OperatorError("quantiles must be in [0, 1]")
-    plan = choose(df, cols, by, strategy)
-    parts = []
-    mapped = [c for c in cols if plan[c] in ("map", "approx")]
-    if mapped:
-        approx = [c for c in mapped if plan[c] == "approx"]
-        exact = [c for c in mapped if plan[c] == "map"]
-        if exact:
-            parts.append(_map_table(df, exact, qs, by, False))
-        if approx:
-            parts.append(_map_table(df, approx, qs, by, True))
-    for c in cols:
-        if plan[c] == "sort":
-            parts.append(_sort_table(df, c, qs, by))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    table = _sketch_table if strategy == "approx" else _exact_table
+    return table(df, as_list(columns), qs, as_list(by))
 
 
-def quantile_values(df: DataFrame, columns, qs, strategy: str = "auto") -> dict[str, list]:
+def quantile_values(df: DataFrame, columns, qs, strategy: str = "exact") -> dict[str, list]:
     """Whole-table quantiles as Python numbers ({column: [value per q]})."""
     cols = as_list(columns)
     qs = [float(q) for q in qs]
@@ -150,7 +102,7 @@ def quantile_values(df: DataFrame, columns, qs, strategy: str = "auto") -> dict[
     return out
 
 
-def quantile_wide(df: DataFrame, columns, qs, names, by=None, strategy: str = "auto") -> DataFrame:
+def quantile_wide(df: DataFrame, columns, qs, names, by=None, strategy: str = "exact") -> DataFrame:
     """``(by..., column, <name per q>)``: one row per (group, column)."""
     by = as_list(by)
     long = quantile_table(df, columns, qs, by, strategy)

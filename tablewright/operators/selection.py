@@ -14,35 +14,19 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..order import POS, order_columns, with_position
+from ..order import POS, group_rank, order_columns, with_position
 from ..schema import OperatorError, as_list, col, family, require_batch, require_columns
 
 DTYPE_FAMILIES = {"number", "bool", "datetime", "object"}
 # Fixed value: result rows handed to a caller at most (LIM-5).
 MAX_RESULT_ROWS = 100_000
-# Largest n answered by a top-k plan (each task keeps n rows, one task merges
-# them); beyond it the first n rows come from exact distributed positions.
-TOPK_MAX = 100_000
-# Largest per-group n for which Spark inserts a partial per-group limit
-# (spark.sql.optimizer.windowGroupLimitThreshold default).
-GROUP_LIMIT_MAX = 1000
 
 
 def first_n(df: DataFrame, sort_cols: list, n: int, offset: int = 0) -> DataFrame:
-    """Rows [offset, offset + n) of ``df`` in ``sort_cols`` order.
+    """Rows [offset, offset + n) of ``df`` in ``sort_cols`` order (Spark's own top-k)."""
+    ordered = df.orderBy(*sort_cols)
+    return (ordered.offset(offset) if offset else ordered).limit(n)
 
-    Small requests are a top-k plan; large ones filter on the exact row
-    position, so no task holds or merges n rows.
-    """
-    if offset + n <= TOPK_MAX:
-        ordered = df.orderBy(*sort_cols)
-        return (ordered.offset(offset) if offset else ordered).limit(n)
-    pos = with_position(df, sort_cols)
-    return pos.filter((F.col(POS) >= offset) & (F.col(POS) < offset + n)).select(
-        *[col(c) for c in df.columns])
-
-
-# ---------------------------------------------------------------- projections
 
 def _match_names(df: DataFrame, names, case_insensitive: bool) -> list[str]:
     out = []
@@ -154,16 +138,15 @@ def predicate(condition, variables: dict | None = None) -> Column:
         return condition
     if not isinstance(condition, str) or not condition.strip():
         raise OperatorError("condition must be a non-empty SQL predicate or a Column")
-    text = condition
-    if variables:
-        def sub(m):
-            key = m.group(1)
-            if key not in variables:
-                raise OperatorError(f"Unknown variable @{key}")
-            return sql_literal(variables[key])
-        text = re.sub(r"@([A-Za-z_][A-Za-z0-9_]*)", sub, text)
-    elif "@" in text and re.search(r"@[A-Za-z_]", text):
-        raise OperatorError("condition uses @variables but none were given")
+    def sub(m):
+        key = m.group(1)
+        if key is None:  # quoted text stays as it is
+            return m.group(0)
+        if key not in (variables or {}):
+            raise OperatorError(f"Unknown variable @{key}")
+        return sql_literal(variables[key])
+
+    text = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|@([A-Za-z_][A-Za-z0-9_]*)""", sub, condition)
     try:
         return F.expr(text)
     except Exception as e:  # parse errors surface here, before any job
@@ -279,16 +262,6 @@ def slice_rows(df: DataFrame, start: int | None = 0, end: int | None = None,
     step = 1 if step is None else step
     if step == 0:
         raise OperatorError("slice step cannot be zero")
-    start0 = 0 if start is None else start
-    if step > 0 and start0 >= 0 and end is not None and 0 <= end <= TOPK_MAX:
-        # a slice of the first rows: a top-k, numbered inside the small result
-        spec = order_columns(df, order_by)
-        head = first_n(df, spec, end).withColumn(
-            "_tw_p", F.row_number().over(Window.orderBy(*order_columns(df, order_by))) - 1)
-        keep = (F.col("_tw_p") >= start0) & (F.pmod(F.col("_tw_p") - start0, F.lit(step)) == 0)
-        out = head.filter(keep)
-        return out.select(*[col(c) for c in df.columns],
-                          *([F.col("_tw_p").cast("long").alias(position)] if position else []))
     pos = with_position(df, order_by, total="_tw_n")
     p, n = F.col(POS), F.col("_tw_n")
 
@@ -367,6 +340,8 @@ def smallest_by_hash(df: DataFrame, h: Column, key: list[str], n: int | None = N
             continue
         cut, rest = b, want - cum
         break
+    if want > total:
+        raise OperatorError(f"cannot draw {want} rows from {total}")
     if cut is None:
         return df
     whole = df.filter(bucket < F.lit(cut))
@@ -404,27 +379,14 @@ def sample_rows(df: DataFrame, n: int | None = None, frac: float | None = None,
     require_columns(df, key)
     h = sample_key(key, seed)
     if replace:
-        return _sample_with_replacement(df, n, frac, seed, key)
+        return _sample_with_replacement(df, n, frac, seed, key, by)
     if by is None:
-        if n is not None and n <= TOPK_MAX:
-            # small n: top-k plan (each task keeps its n smallest keys)
-            return first_n(df, [h, *[col(k) for k in key]], n)
-        # large n or a fraction: hash-prefix counts, no sort of the table
+        # hash-prefix counts, no sort of the table
         hashed = df.withColumn("_tw_h", h)
         out = smallest_by_hash(hashed, F.col("_tw_h"), key, n=n, frac=frac)
         return out.select(*[col(c) for c in df.columns])
     require_columns(df, [by])
     base = df.filter(col(by).isNotNull()).withColumn("_tw_h", h)
-    if n is not None and n <= GROUP_LIMIT_MAX:
-        # row_number() <= n: Spark adds a partial per-group limit before the
-        # shuffle, so each task ships at most n rows per group (hot groups too)
-        w = Window.partitionBy(col(by)).orderBy(F.col("_tw_h"), *[col(k) for k in key])
-        top = base.withColumn("_tw_rn", F.row_number().over(w)).filter(F.col("_tw_rn") <= n)
-        # a group with fewer than n rows keeps fewer than n: raised by the job
-        top = top.withColumn("_tw_got", F.count(F.lit(1)).over(Window.partitionBy(col(by))))
-        check = F.when(F.col("_tw_got") < F.lit(n), F.raise_error(
-            F.lit(f"a group of '{by}' has fewer than {n} rows")).cast("boolean")).otherwise(F.lit(True))
-        return top.filter(check).select(*[col(c) for c in df.columns])
     return _stratified_by_hash(base, by, key, n, frac).select(*[col(c) for c in df.columns])
 
 
@@ -461,8 +423,23 @@ def _stratified_by_hash(base: DataFrame, by: str, key: list[str], n: int | None,
     return whole.unionByName(edge)
 
 
-def _sample_with_replacement(df: DataFrame, n, frac, seed, key) -> DataFrame:
+def _draw(seed, *parts: Column) -> Column:
+    """A reproducible number from the draw and the seed: 15 hex digits of their md5."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def _sample_with_replacement(df: DataFrame, n, frac, seed, key, by=None) -> DataFrame:
+    """n draws (per ``by`` group), each a seeded position in ``key`` order."""
     spark = df.sparkSession
+    if by is not None:
+        require_columns(df, [by])
+        pos = group_rank(df.filter(col(by).isNotNull()), [by], key, name=POS, size="_tw_n")
+        want = F.lit(n) if n is not None else F.bround(F.col("_tw_n") * F.lit(frac), 0).cast("long")
+        groups = pos.select(col(by).alias("_tw_g"), "_tw_n").distinct()
+        draws = groups.filter(want > 0).select("_tw_g", "_tw_n", F.explode(F.sequence(F.lit(0).cast("long"), want - 1)).alias("_tw_draw"))
+        draws = draws.select("_tw_g", F.pmod(_draw(seed, F.col("_tw_g"), F.col("_tw_draw")), F.col("_tw_n")).alias("_tw_p"))
+        return pos.join(draws, (col(by) == F.col("_tw_g")) & (F.col(POS) == F.col("_tw_p"))).select(*[col(c) for c in df.columns])
     pos = with_position(df, key, total="_tw_n")
     first = pos.select("_tw_n").limit(1).first()
     total = first[0] if first else 0
@@ -473,5 +450,5 @@ def _sample_with_replacement(df: DataFrame, n, frac, seed, key) -> DataFrame:
     # one seeded uniform position per draw, independent of partitioning
     picks = spark.range(n).select(
         F.col("id").alias("_tw_draw"),
-        F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(total)).alias(POS))
+        F.pmod(_draw(seed, F.col("id")), F.lit(total)).alias(POS))
     return pos.join(picks, POS).select(*[col(c) for c in df.columns])

@@ -19,7 +19,7 @@ from ..functions.strings import strip, title_case
 from ..schema import (OperatorError, as_list, col, dtype_of, is_datetime, is_numeric, is_string,
                       numeric_columns, require_batch, require_columns, require_numeric)
 from . import quantile as Q
-from .aggregate import _stat
+from .aggregate import _stat, group_by_agg
 
 # Aggregate functions of pivot_table.
 PIVOT_AGGS = ["mean", "sum", "count", "min", "max", "median", "std"]
@@ -55,8 +55,11 @@ def pivot_table(df: DataFrame, index, columns: str, values=None, aggfunc: str =
     pivots = _distinct_sorted(keyed, columns)
     exprs = []
     for v in vals:
-        e = _stat(aggfunc, col(v))
+        e = F.coalesce(F.sum(col(v)), F.lit(0)) if aggfunc == "sum" else _stat(aggfunc, col(v))
         exprs.append(e.alias(v))
+    if aggfunc == "median":  # exact medians come from value counts, one per cell
+        keyed = group_by_agg(keyed, [*index, columns], {v: "median" for v in vals})
+        exprs = [F.first(col(v)).alias(v) for v in vals]
     grouped = keyed.groupBy(*[col(c) for c in index]).pivot(columns, pivots).agg(*exprs)
     # Spark names: "<pivot>_<value>" for several aggregates, "<pivot>" for one
     out = [col(c) for c in index]
@@ -205,7 +208,8 @@ def scale_numeric(df: DataFrame, columns=None, method: str = "standard") -> Data
         else:
             qs = quart[c]
             center, spread = (None, None) if qs[1] is None else (qs[1], qs[2] - qs[0])
-        if center is None:
+        if center is None:  # no values at all
+            exprs[c] = F.lit(0.0)
             continue
         if spread is None or spread == 0 or (isinstance(spread, float) and math.isnan(spread)):
             exprs[c] = F.when(x.isNotNull(), F.lit(0.0)).otherwise(F.lit(0.0))

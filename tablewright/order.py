@@ -110,12 +110,6 @@ def _file_order(name: str):
     return (int(m.group(1)) if m else -1, name)
 
 
-def _literal_map(pairs: list[tuple]) -> Column:
-    if not pairs:
-        return F.create_map().cast("map<string,bigint>")
-    return F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(v))])
-
-
 def with_position(df: DataFrame, order_by, ascending=True, name: str = POS,
                   total: str | None = None, keep_partition: bool = False) -> DataFrame:
     """Add the exact 0-based position of every row in ``order_by`` order.
@@ -124,7 +118,14 @@ def with_position(df: DataFrame, order_by, ascending=True, name: str = POS,
     ``keep_partition`` keeps the 0-based file (block) number as ``PID``.
     """
     spec = order_columns(df, order_by, ascending)
-    ordered = freeze(df.orderBy(*spec), "order")
+    # equal keys go on by input place, so that a hot key is spread over range partitions too
+    tied = df.withColumn("_tw_tie", F.monotonically_increasing_id()).orderBy(*spec, "_tw_tie").drop("_tw_tie")
+    return number_rows(tied, name, total, keep_partition)
+
+
+def number_rows(df: DataFrame, name: str = POS, total: str | None = None, keep_partition: bool = False) -> DataFrame:
+    """Number the rows of a sorted table (0-based) in the order they are in."""
+    ordered = freeze(df, "order")
     fname = F.col("_metadata.file_name")
     counts = sorted(((r[0], r[1]) for r in ordered.groupBy(fname.alias("f")).count().collect()),
                     key=lambda fc: _file_order(fc[0]))
@@ -133,19 +134,10 @@ def with_position(df: DataFrame, order_by, ascending=True, name: str = POS,
         offsets.append((f, acc, i))
         acc += n
     extra = [F.lit(acc).cast("long").alias(total)] if total else []
-    if len(offsets) <= LITERAL_FILES_MAX:
-        # few files: the offsets travel inside the plan as one literal map
-        cols = [F.col("*"),
-                (F.element_at(_literal_map([(f, o) for f, o, _ in offsets]), fname).cast("long")
-                 + F.col("_metadata.row_index")).alias(name), *extra]
-        if keep_partition:
-            cols.append(F.element_at(_literal_map([(f, i) for f, _, i in offsets]), fname)
-                        .cast("int").alias(PID))
-        return ordered.select(*cols)
-    # many files: a table with one row per file, broadcast once per executor
+    # one row per written file; Spark decides from its size how to join it
     offs = df.sparkSession.createDataFrame(offsets, "_tw_f string, _tw_off long, _tw_fi int")
     tagged = ordered.select(F.col("*"), fname.alias("_tw_fn"), F.col("_metadata.row_index").alias("_tw_ri"))
-    joined = tagged.join(F.broadcast(offs), F.col("_tw_fn") == F.col("_tw_f"))
+    joined = tagged.join(offs, F.col("_tw_fn") == F.col("_tw_f"))
     cols = [col(c) for c in df.columns] + [(F.col("_tw_off") + F.col("_tw_ri")).alias(name), *extra]
     if keep_partition:
         cols.append(F.col("_tw_fi").alias(PID))
@@ -189,7 +181,7 @@ def carry(df: DataFrame, order_by, forward: dict[str, Column] | None = None,
     carried_in = edges.select(
         PID, *[F.last(k, ignorenulls=True).over(before).alias(k + "_in") for k in fk],
         *[F.last(k, ignorenulls=True).over(after).alias(k + "_in") for k in bk])
-    joined = inside.join(F.broadcast(carried_in), PID)
+    joined = inside.join(carried_in, PID)
     return joined.select(
         *[col(c) for c in df.columns], F.col(POS),
         *[F.coalesce(F.col(k + "_loc"), F.col(k + "_in")).alias(names[k]) for k in {**fk, **bk}])

@@ -357,10 +357,8 @@ SELECT *, row_number() OVER (ORDER BY o_orderpriority ASC NULLS LAST, o_totalpri
 FROM orders""")
 def q_sort_multi(spark, d):
     o = table(spark, d, "orders")
-    S.sort_data(o, ["o_orderpriority", "o_totalprice", "o_orderkey"], [True, False, True])
-    from ..order import order_columns
-    spec = order_columns(o, ["o_orderpriority", "o_totalprice", "o_orderkey"], [True, False, True])
-    return with_position(o, spec, name="pos")
+    from ..order import number_rows
+    return number_rows(S.sort_data(o, ["o_orderpriority", "o_totalprice", "o_orderkey"], [True, False, True]), "pos")
 
 
 @register("head_rows", "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 10")
@@ -453,7 +451,10 @@ def q_sample_stratified_frac(spark, d):
                          key="o_orderkey")
 
 
-@register("sample_replace")
+@register("sample_replace", """
+WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders),
+d AS (SELECT CAST('0x' || substr(md5(i || '|7'), 1, 15) AS BIGINT) % (SELECT count(*) FROM orders) AS p FROM range(500) t(i))
+SELECT o.* EXCLUDE (p) FROM o JOIN d USING (p)""")
 def q_sample_replace(spark, d):
     return S.sample_rows(table(spark, d, "orders"), n=500, random_state=7, replace=True, key="o_orderkey")
 
@@ -1049,6 +1050,15 @@ def q_rolling_global(spark, d):
     return rounded(out.drop("o_orderdate"), 2)
 
 
+@register("running_total_nulls", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 > 0 AND event_id > 4 THEN value END AS v FROM events)
+SELECT event_id, v, round(sum(v) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS running_total FROM e""")
+def q_running_total_nulls(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(
+        (F.col("event_id") % 3 > 0) & (F.col("event_id") > 4), F.col("value")).alias("v"))
+    return W.running_total(e, "v", ["event_id"]).select("event_id", "v", F.round("running_total", 4).alias("running_total"))
+
+
 @register("running_total", """
 SELECT event_id, user_id, value,
        round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
@@ -1601,11 +1611,10 @@ def q_chart_heatmap_xy(spark, d):
 
 
 @register("chart_heatmap_count", """
-SELECT c_mktsegment, c_nationkey, count(*) AS count FROM customer GROUP BY 1, 2""")
+SELECT c_mktsegment, count(*) AS count FROM customer GROUP BY 1""")
 def q_chart_heatmap_count(spark, d):
     c = table(spark, d, "customer").withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
-    out = C.heatmap_data(c, x="c_mktsegment", y="c_nationkey")
-    return out.withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+    return C.heatmap_data(c, x="c_mktsegment", y="c_nationkey")
 
 
 @register("chart_combo", """
@@ -1655,6 +1664,7 @@ c AS (SELECT unnest(['bar', 'pie', 'line', 'histogram', 'scatter', 'box']) AS ch
 r AS (SELECT "column", chart,
         CASE WHEN chart = 'bar' AND kind <> 'categorical' THEN 'bar needs a categorical column'
              WHEN chart = 'bar' AND card = 'high' AND nd > 25 THEN 'too many categories for a bar chart'
+             WHEN chart = 'pie' AND kind <> 'categorical' THEN 'pie needs a categorical column'
              WHEN chart = 'pie' AND nd > 10 THEN 'too many categories for a pie chart'
              WHEN chart = 'line' AND kind = 'categorical' AND card = 'high'
                THEN 'high-cardinality text on a line chart'
@@ -1689,11 +1699,11 @@ WITH s AS (SELECT corr(l_quantity, l_extendedprice) AS r, count(DISTINCT l_retur
 recs AS (
   SELECT 1 AS o, 'line' AS chart, 'l_shipdate' AS x, 'l_quantity' AS y,
          'trend of l_quantity over l_shipdate' AS reason FROM s
-  UNION ALL SELECT 2, 'scatter', 'l_extendedprice', 'l_quantity', 'correlation r=' || printf('%.2f', r)
+  UNION ALL SELECT 2, 'scatter', 'l_quantity', 'l_extendedprice', 'correlation r=' || printf('%.2f', r)
   FROM s WHERE abs(r) > 0.5
   UNION ALL SELECT 3, 'bar', 'l_returnflag', 'l_quantity', 'l_quantity by l_returnflag' FROM s WHERE nd < 50
   UNION ALL SELECT 4, 'histogram', 'l_quantity', NULL, 'distribution of l_quantity' FROM s
-  UNION ALL SELECT 5, 'pie', 'l_returnflag', NULL, 'share of l_returnflag' FROM s WHERE nd <= 10)
+  UNION ALL SELECT 5, 'pie', 'l_returnflag', NULL, 'share of l_returnflag' FROM s WHERE nd < 10)
 SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS rank, chart, x, y, reason FROM recs""")
 def q_chart_recommendation(spark, d):
     li = table(spark, d, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag")
@@ -1712,12 +1722,26 @@ def io_path(spark: SparkSession, name: str) -> str:
 
 
 @register("csv_roundtrip", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT * FROM orders""")
 def q_csv_roundtrip(spark, d):
     from ..sources.files import read_table, write_csv
     path = io_path(spark, "orders.csv")
-    write_csv(table(spark, d, "orders").drop("o_orderdate"), path)
-    return read_table(spark, path, fmt="csv")
+    write_csv(table(spark, d, "orders"), path)
+    return read_table(spark, path, fmt="csv", types={"o_orderdate": "timestamp_ntz"})
+
+
+@register("csv_missing_words", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS o_totalprice,
+       o_orderstatus || chr(10) || '"' || o_orderpriority || '", x' AS note FROM orders""")
+def q_csv_missing_words(spark, d):
+    """Missing-value words in numbers; line breaks, quotes and delimiters in quoted text."""
+    from ..sources.files import read_csv, write_csv
+    path = io_path(spark, "words.csv")
+    words = F.element_at(F.array(*map(F.lit, ["NA", "NaN", "null", "N/A"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    write_csv(table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice").cast("string")).otherwise(words).alias("o_totalprice"),
+        F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('", x')).alias("note")), path)
+    return read_csv(spark, path)
 
 
 @register("csv_bad_rows", """
@@ -1789,8 +1813,7 @@ def q_multi_step_plan(spark, d):
 SELECT event_id, CASE WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS event_type, value
 FROM events WHERE value > 100""")
 def q_stream(spark, d):
-    import uuid
-    from ..streaming.rowwise import apply_rowwise, read_stream, run_to_memory
+    from ..streaming.rowwise import apply_rowwise, read_stream, run_to_files
     src = table(spark, d, "events")
     stream = read_stream(spark, f"{d.rstrip('/')}/events.parquet", src.schema)
     out = apply_rowwise(stream, [
@@ -1798,9 +1821,7 @@ def q_stream(spark, d):
         {"op": "replace_values", "args": {"to_replace": {"event_type": {"click": "tap"}}}},
         {"op": "select_columns", "args": {"columns": ["event_id", "event_type", "value"]}},
     ])
-    name = f"tw_stream_{uuid.uuid4().hex[:8]}"
-    run_to_memory(out, name, io_path(spark, "stream-ckpt"))
-    return spark.table(name)
+    return run_to_files(out, io_path(spark, "stream-out"), io_path(spark, "stream-ckpt"))
 
 
 # =====================================================================
@@ -1820,7 +1841,8 @@ def q_replace_change_counts(spark, d):
     return K.change_counts(o, after, ["o_orderstatus", "o_orderpriority"], key="o_orderkey")
 
 
-CATALOGUE_TABLES = ["customer", "lineitem", "nation", "orders", "part", "region", "supplier"]
+CATALOGUE_TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
+                    "nation", "orders", "pages", "part", "region", "supplier"]
 
 
 @register("table_catalogue", " UNION ALL ".join(

@@ -2,22 +2,24 @@
 
 A version is one Parquet folder per table under ``{root}/{version}/``; the
 lineage is a small append-only Parquet table ``{root}/_lineage`` with one
-row per event (save, branch, delete).  The current state of the graph is a
-query over that log, so history is never rewritten.
+row per event (save, branch, delete), numbered in sequence.  The current state
+of the graph is a query over that log, so history is never rewritten, and every
+save has a folder of its own.  All access goes through Spark, so the root may be
+on any file system that Spark reads.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import OperatorError
 
 LINEAGE_SCHEMA = ("version string, parent string, operation string, query string, "
-                  "tables string, event string, ts timestamp_ntz")
+                  "tables string, event string, ts timestamp_ntz, seq long, home string")
 
 
 class SnapshotStore:
@@ -31,8 +33,11 @@ class SnapshotStore:
     def _lineage_path(self) -> str:
         return f"{self.root}/_lineage"
 
-    def _table_path(self, version: str, table: str) -> str:
-        return f"{self.root}/{version}/{table}"
+    def _table_path(self, home: str, table: str) -> str:
+        return f"{self.root}/{home}/{table}"
+
+    def _next(self) -> int:
+        return (self.log().agg(F.max("seq")).first()[0] or 0) + 1
 
     def _append(self, rows: list[tuple]) -> None:
         df = self.spark.createDataFrame(rows, LINEAGE_SCHEMA)
@@ -41,16 +46,18 @@ class SnapshotStore:
     # -- log
     def log(self) -> DataFrame:
         """Every lineage event (VER-8's operation log)."""
-        if not os.path.exists(self._lineage_path().replace("file:", "")):
+        try:
+            return self.spark.read.schema(LINEAGE_SCHEMA).parquet(self._lineage_path())
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], LINEAGE_SCHEMA)
-        return self.spark.read.parquet(self._lineage_path())
 
     def versions(self) -> DataFrame:
-        """VER-3: live versions: saved or branched and not deleted afterwards."""
-        log = self.log()
-        deleted = log.filter(F.col("event") == "delete").select("version")
-        live = log.filter(F.col("event").isin("save", "branch")).join(deleted, "version", "left_anti")
-        return live.select("version", "parent", "operation", "query", "tables", "ts", "event")
+        """VER-3: live versions: those whose last event is a save or a branch."""
+        names = ["parent", "operation", "query", "tables", "ts", "event", "seq", "home"]
+        last = self.log().groupBy("version").agg(F.max_by(F.struct(*names), "seq").alias("e"))
+        return last.filter(F.col("e.event") != "delete").select("version", "e.*")
 
     def edges(self) -> DataFrame:
         """VER-3: (parent, child) edges between live versions."""
@@ -60,7 +67,7 @@ class SnapshotStore:
             .join(ids, "parent", "left_semi")
 
     def current(self) -> str | None:
-        row = self.versions().orderBy(F.col("ts").desc(), F.col("version").desc()).limit(1).collect()
+        row = self.versions().orderBy(F.col("seq").desc()).limit(1).collect()
         return row[0]["version"] if row else None
 
     # -- actions
@@ -70,14 +77,21 @@ class SnapshotStore:
         if not tables:
             raise OperatorError("nothing to save")
         if version is None:
+            known = {r["version"] for r in self.log().select("version").distinct().collect()}
             n = self.log().filter(F.col("event") == "save").count()
+            while f"v{n}" in known:
+                n += 1
             version = f"v{n}"
+        elif self.versions().filter(F.col("version") == version).count():
+            raise OperatorError(f"version '{version}' is already saved; delete it first")
         if parent is None:
             parent = self.current()
+        seq = self._next()
+        home = f"{version}-{seq}"  # a folder of its own: nothing is written over
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(self._table_path(version, name))
+            df.write.mode("errorifexists").parquet(self._table_path(home, name))
         self._append([(version, parent, operation, query, ",".join(sorted(tables)), "save",
-                       _dt.datetime.now())])
+                       _dt.datetime.now(), seq, home)])
         return version
 
     def load_version(self, version: str) -> dict[str, DataFrame]:
@@ -87,23 +101,23 @@ class SnapshotStore:
             raise OperatorError(f"Unknown version '{version}'")
         src = rows[0]
         names = (src["tables"] or "").split(",")
-        home = src["parent"] if src["event"] == "branch" else version
-        return {n: self.spark.read.parquet(self._table_path(home, n)) for n in names if n}
+        return {n: self.spark.read.parquet(self._table_path(src["home"], n)) for n in names if n}
 
     def create_branch(self, source: str, name: str | None = None) -> str:
         """VER-4: a new version pointing at an older one's data (no copy)."""
         rows = self.versions().filter(F.col("version") == source).collect()
         if not rows:
             raise OperatorError(f"Unknown version '{source}'")
-        data_home = rows[0]["parent"] if rows[0]["event"] == "branch" else source
         name = name or f"{source}-branch"
-        self._append([(name, data_home, f"branch of {source}", "", rows[0]["tables"], "branch",
-                       _dt.datetime.now())])
+        if self.versions().filter(F.col("version") == name).count():
+            raise OperatorError(f"version '{name}' is already there")
+        self._append([(name, source, f"branch of {source}", "", rows[0]["tables"], "branch",
+                       _dt.datetime.now(), self._next(), rows[0]["home"])])
         return name
 
     def delete_version(self, version: str) -> None:
         """VER-6: remove a version and its edges from the graph."""
-        self._append([(version, None, "delete", "", "", "delete", _dt.datetime.now())])
+        self._append([(version, None, "delete", "", "", "delete", _dt.datetime.now(), self._next(), None)])
 
     def prune(self, keep: int) -> list[str]:
         """VER-5: keep the newest ``keep`` versions; returns the removed ids."""
@@ -111,7 +125,8 @@ class SnapshotStore:
         gone = [r["version"] for r in ranked.filter(~F.col("kept")).collect()]
         if gone:
             now = _dt.datetime.now()
-            self._append([(v, None, "prune", "", "", "delete", now) for v in gone])
+            seq = self._next()
+            self._append([(v, None, "prune", "", "", "delete", now, seq + i, None) for i, v in enumerate(gone)])
         return gone
 
     def search(self, text: str, n: int = 10) -> DataFrame:
@@ -127,12 +142,18 @@ class SnapshotStore:
         return self.load_version(rows[0]["parent"])
 
 
+def _newest(versions: DataFrame) -> list:
+    if "seq" in versions.columns:
+        return [F.col("seq").desc()]
+    return [F.col("ts").desc(), F.col("version").desc()]
+
+
 def prune_plan(versions: DataFrame, keep: int) -> DataFrame:
-    """Mark the newest ``keep`` versions (by time, then id) as kept.
+    """Mark the newest ``keep`` versions (by sequence, else time and id) as kept.
 
     The lineage table has one row per version, small by construction.
     """
-    w = Window.orderBy(F.col("ts").desc(), F.col("version").desc())
+    w = Window.orderBy(*_newest(versions))
     return versions.withColumn("_tw_rn", F.row_number().over(w)).withColumn(
         "kept", F.col("_tw_rn") <= keep).drop("_tw_rn")
 
@@ -146,4 +167,4 @@ def prune_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
 
 def search_lineage(versions: DataFrame, text: str, n: int = 10) -> DataFrame:
     return (versions.filter(F.instr(F.lower(F.col("operation")), text.lower()) > 0)
-            .orderBy(F.col("ts").desc(), F.col("version").desc()).limit(n))
+            .orderBy(*_newest(versions)).limit(n))

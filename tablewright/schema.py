@@ -119,11 +119,11 @@ def col(name: str) -> Column:
     return F.col(q(name))
 
 
-def normalize_nan(df: DataFrame) -> DataFrame:
-    """Turn floating NaN into NULL once, so only NULL means missing."""
+def normalize_nan(df: DataFrame, columns=None) -> DataFrame:
+    """Turn floating NaN into NULL (in ``columns``), so only NULL means missing."""
     exprs = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and (columns is None or f.name in columns):
             c = col(f.name)
             exprs.append(F.when(F.isnan(c), F.lit(None).cast(f.dataType))
                          .otherwise(c).alias(f.name))

@@ -10,7 +10,6 @@ from __future__ import annotations
 import csv
 import io
 import os
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +22,10 @@ CANDIDATE_DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_LINES = 5
 DEFAULT_DELIMITER = ","
 
+# The words that mean a missing cell in delimited text.
+MISSING_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 FORMATS = {
     ".csv": "csv", ".tsv": "csv", ".txt": "csv",
     ".parquet": "parquet", ".pq": "parquet",
@@ -72,14 +75,14 @@ def _header(spark: SparkSession, path: str, sep: str, encoding: str | None) -> l
     return next(csv.reader(io.StringIO(first[0].value), delimiter=sep))
 
 
-def _infer_types(df: DataFrame) -> DataFrame:
+def _infer_types(df: DataFrame, names: list[str]) -> DataFrame:
     """Cast text columns to long / double / boolean when every value parses.
 
     One aggregate computes, for every column, how many non-null values
     fail each cast; the narrowest type without failures wins.
     """
     checks = []
-    for name in df.columns:
+    for name in names:
         c = col(name)
         checks += [
             F.sum(F.when(c.isNotNull() & F.expr(f"try_cast({_q(name)} as bigint)").isNull(), 1)
@@ -96,7 +99,9 @@ def _infer_types(df: DataFrame) -> DataFrame:
     out = []
     for name in df.columns:
         c = col(name)
-        if row[f"{name}\x00n"] == 0:
+        if name not in names:
+            out.append(c.alias(name))
+        elif row[f"{name}\x00n"] == 0:
             out.append(c.alias(name))
         elif row[f"{name}\x00long"] == 0:
             out.append(F.expr(f"try_cast({_q(name)} as bigint)").alias(name))
@@ -113,9 +118,10 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None,
+def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None = None,
              encoding: str | None = None, skip_long_rows: bool = True,
-             infer_types: bool = True, header: bool | list[str] = True) -> DataFrame:
+             infer_types: bool = True, header: bool | list[str] = True,
+             types: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame:
     """Delimited text with a header row (SRC-1..3).
 
     Rows with more fields than the header are skipped and short rows are
@@ -124,22 +130,33 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None,
     as text with one extra overflow column, rows that fill it are dropped,
     and types are inferred from the kept rows only.  ``header`` may also be
     the list of column names of header-less files (e.g. part files).
+    ``MISSING_WORDS`` are NULL.  Several paths are one scan with one
+    inference (the first one's header holds).  ``types`` names the type of
+    columns that should not be inferred.  ``multi_line`` lets quoted cells
+    hold line breaks; Spark then reads a file in one task, so turn it off for
+    single huge files that have none.
     """
-    sep = delimiter or sniff_delimiter(spark, path, encoding)
-    names = list(header) if isinstance(header, (list, tuple)) else _header(spark, path, sep, encoding)
+    first = path[0] if isinstance(path, list) else path
+    sep = delimiter or sniff_delimiter(spark, first, encoding)
+    names = list(header) if isinstance(header, (list, tuple)) else _header(spark, first, sep, encoding)
     if not names:
         raise OperatorError(f"No columns in {path}")
     fields = [T.StructField(n, T.StringType()) for n in names]
     if skip_long_rows:
         fields.append(T.StructField(_OVERFLOW, T.StringType()))
     reader = (spark.read.option("header", header is True).option("sep", sep)
-              .option("mode", "PERMISSIVE").schema(T.StructType(fields)))
+              .option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"')
+              .schema(T.StructType(fields)))
     if encoding:
         reader = reader.option("encoding", encoding)
     df = reader.csv(path)
     if skip_long_rows:
         df = df.filter(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
-    return _infer_types(df) if infer_types else df
+    df = df.select(*[F.when(~col(c).isin(MISSING_WORDS), col(c)).alias(c) for c in names])
+    types = types or {}
+    if infer_types:
+        df = _infer_types(df, [c for c in names if c not in types])
+    return df.withColumns({c: col(c).cast(t) for c, t in types.items()}) if types else df
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
@@ -204,7 +221,7 @@ def drop_empty(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK-1: header, no index."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -220,7 +237,7 @@ def to_json_records(df: DataFrame, name: str = "record") -> DataFrame:
 def union_files(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
     """Same-schema files as one table: a single multi-path scan."""
     if fmt == "csv":
-        return reduce(DataFrame.unionByName, [read_csv(spark, p) for p in paths])
+        return read_csv(spark, list(paths))
     return spark.read.format(fmt).load(paths)
 
 

@@ -11,8 +11,6 @@ row-wise steps over it.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.steps import REGISTRY
@@ -25,16 +23,18 @@ ROWWISE_OPERATORS = [
 ]
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files arriving in folder ``path`` as a stream (schema required).
 
     A single file is read as the stream of its folder filtered to that name.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    local = path.replace("file:", "", 1)
-    if os.path.isfile(local):
-        reader = reader.option("pathGlobFilter", os.path.basename(local))
-        path = os.path.dirname(path.rstrip("/"))
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    files = spark.read.parquet(path).inputFiles()
+    if len(files) == 1 and files[0].rstrip("/").endswith("/" + path.rstrip("/").rpartition("/")[2]):  # a file, not a folder
+        folder, _, name = path.rstrip("/").rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
@@ -48,9 +48,9 @@ def apply_rowwise(stream: DataFrame, steps: list[dict]) -> DataFrame:
     return out
 
 
-def run_to_memory(stream: DataFrame, name: str, checkpoint: str):
-    """Run a stream once over all available input into a memory table."""
-    q = (stream.writeStream.format("memory").queryName(name).outputMode("append")
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream once over all available input into Parquet files, and read them."""
+    q = (stream.writeStream.format("parquet").option("path", path).outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return q
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -41,11 +41,10 @@ def test_ffill_bfill_across_blocks(many_files):
     e = many_files.read.parquet(f"{SF001}/events.parquet").select(
         "event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
     pdf = e.toPandas().sort_values("event_id").reset_index(drop=True)
-    for small in (0, None):  # distributed carry, then the plain-window path
-        f = K.fill_missing(e, method="ffill", order_by="event_id", small_rows=small).toPandas()
-        b = K.fill_missing(e, method="bfill", order_by="event_id", small_rows=small).toPandas()
-        assert nn(f.sort_values("event_id")["value"]) == nn(pdf["value"].ffill())
-        assert nn(b.sort_values("event_id")["value"]) == nn(pdf["value"].bfill())
+    f = K.fill_missing(e, method="ffill", order_by="event_id").toPandas()
+    b = K.fill_missing(e, method="bfill", order_by="event_id").toPandas()
+    assert nn(f.sort_values("event_id")["value"]) == nn(pdf["value"].ffill())
+    assert nn(b.sort_values("event_id")["value"]) == nn(pdf["value"].bfill())
 
 
 def test_interpolate_matches_pandas(many_files):
@@ -53,12 +52,10 @@ def test_interpolate_matches_pandas(many_files):
         "event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"))
     pdf = e.toPandas().sort_values("event_id").reset_index(drop=True)
     exp = pdf["value"].interpolate(method="linear").tolist()
-    for small in (0, None):
-        got = K.fill_missing(e, methods={"value": "interpolate"}, order_by="event_id",
-                             small_rows=small).toPandas()
-        got = got.sort_values("event_id")["value"].tolist()
-        for g, x in zip(got, exp):
-            assert (g is None or g != g) if x != x else g == pytest.approx(x)
+    got = K.fill_missing(e, methods={"value": "interpolate"}, order_by="event_id").toPandas()
+    got = got.sort_values("event_id")["value"].tolist()
+    for g, x in zip(got, exp):
+        assert (g is None or g != g) if x != x else g == pytest.approx(x)
 
 
 def test_rolling_with_small_blocks_matches_pandas(events):
@@ -81,14 +78,26 @@ def test_running_total_small_blocks(events):
 
 
 def test_ntile_matches_definition(events):
-    for block in (5, 1 << 20):  # position path, then the plain window
-        out = W.ntile(events, "value", 7, tie_break="event_id", block_rows=block).toPandas()
-        out = out.sort_values(["value", "event_id"])
-        n = len(out)
-        q, r = divmod(n, 7)
-        sizes = [q + 1] * r + [q] * (7 - r)
-        exp = [b + 1 for b, s in enumerate(sizes) for _ in range(s)]
-        assert out["ntile"].tolist() == exp
+    out = W.ntile(events, "value", 7, tie_break="event_id").toPandas()
+    out = out.sort_values(["value", "event_id"])
+    n = len(out)
+    q, r = divmod(n, 7)
+    sizes = [q + 1] * r + [q] * (7 - r)
+    exp = [b + 1 for b, s in enumerate(sizes) for _ in range(s)]
+    assert out["ntile"].tolist() == exp
+
+
+def test_running_total_nulls_in_small_blocks(spark):
+    """A NULL adds nothing and shows the total so far, whatever the block size."""
+    values = [None, 1.0, 2.0, None, None, 5.0, None, -1.0, None, None, 4.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double").repartition(3)
+    want, total = [], None
+    for v in values:
+        total = total if v is None else (total or 0.0) + v
+        want.append(total)
+    for block in (1, 2, 3, 4, 100):
+        out = W.running_total(df, "v", ["i"], block_rows=block).orderBy("i")
+        assert [r.running_total for r in out.collect()] == want
 
 
 def test_percent_rank_paths_agree(many_files):
@@ -96,7 +105,7 @@ def test_percent_rank_paths_agree(many_files):
                                                                       "l_returnflag", "l_quantity")
     for pb in (None, "l_returnflag"):
         a = sorted((r.l_orderkey, r.l_linenumber, r.l_returnflag, r.l_quantity, round(r.percent_rank, 12))
-                   for r in W.percent_rank(li, "l_quantity", pb, block_rows=50).collect())
+                   for r in W.percent_rank(li, "l_quantity", pb).collect())
         b = sorted((r.l_orderkey, r.l_linenumber, r.l_returnflag, r.l_quantity, round(r.percent_rank, 12))
                    for r in W.percent_rank(li, "l_quantity", pb).collect())
         assert a == b
@@ -193,32 +202,31 @@ def test_salted_join_equals_plain_join(many_files):
     assert J.heavy_keys(left, ["k"], 1 / 8) == [(7,)]
 
 
-def test_positions_with_broadcast_offsets(many_files, monkeypatch):
-    """The many-files path (offsets as a broadcast table) gives the same positions."""
-    import tablewright.order as O
+def test_positions_with_total_and_file(many_files):
+    """Positions of one row per value, with the total and the file number."""
     e = many_files.read.parquet(f"{SF001}/events.parquet")
     a = {r.event_id: r.p for r in with_position(e, ["value", "event_id"], name="p").collect()}
-    monkeypatch.setattr(O, "LITERAL_FILES_MAX", 1)
     got = with_position(e, ["value", "event_id"], name="p", total="n", keep_partition=True)
     b = {r.event_id: r.p for r in got.collect()}
     assert a == b and got.select("n").distinct().count() == 1
     f = K.fill_missing(e.select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value")),
-                       method="ffill", order_by="event_id", small_rows=0).count()
+                       method="ffill", order_by="event_id").count()
     assert f == e.count()
 
 
 def test_growth_paths_agree(many_files):
-    """Positional self-join (tiny blocks) and lag window give the same growth."""
+    """The join of each period with the one before equals pandas' percent change."""
     o = many_files.read.parquet(f"{SF001}/orders.parquet").withColumn(
         "m", F.date_trunc("month", "o_orderdate"))
 
-    def rows(by, block):
-        out = W.growth_pct(o, "m", "o_totalprice", by=by, agg="count", block_rows=block)
-        return sorted((r.m, r["o_orderpriority"] if by else None, round(r.growth_pct, 9)) for r in out.collect())
-
-    for by in (None, "o_orderpriority"):
-        a, b = rows(by, 5), rows(by, 1 << 20)
-        assert a == b and len(a) > 10
+    pdf = o.select("m", "o_orderpriority", "o_totalprice").toPandas()
+    for by in ([], ["o_orderpriority"]):
+        got = {tuple(r[c] for c in [*by, "m"]): r.growth_pct for r in W.growth_pct(
+            o, "m", "o_totalprice", by=by, agg="count").collect()}
+        n = pdf.groupby([*by, "m"]).size()
+        pct = (n.groupby(level=by).pct_change() if by else n.pct_change()).fillna(0) * 100
+        want = {k if isinstance(k, tuple) else (k,): v for k, v in pct.items()}
+        assert len(got) > 10 and got == {k: pytest.approx(v) for k, v in want.items()}
 
 
 def test_hash_prefix_sample_equals_full_sort(many_files):

@@ -1,5 +1,6 @@
-"""The sort-based exact quantiles equal the percentile map and pandas."""
+"""Quantiles from cumulated value counts equal pandas', with and without groups."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -11,49 +12,38 @@ from conftest import SF001
 QS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 
-def as_dict(df, keys):
-    return {tuple(r[k] for k in keys): r["value"] for r in df.collect()}
-
-
-def test_sort_equals_map_ungrouped(many_files):
+def test_whole_table_equals_pandas(many_files):
     li = many_files.read.parquet(f"{SF001}/lineitem.parquet")
     cols = ["l_extendedprice", "l_quantity", "l_discount"]
-    s = as_dict(Q.quantile_table(li, cols, QS, strategy="sort"), ["column", "q"])
-    m = as_dict(Q.quantile_table(li, cols, QS, strategy="map"), ["column", "q"])
-    assert s.keys() == m.keys()
-    for k in s:
-        assert s[k] == pytest.approx(m[k], rel=1e-12, abs=1e-9)
-
-
-def test_sort_equals_pandas_grouped(many_files):
-    o = many_files.read.parquet(f"{SF001}/orders.parquet")
-    s = as_dict(Q.quantile_table(o, ["o_totalprice"], QS, by="o_orderpriority", strategy="sort"),
-                ["o_orderpriority", "q"])
-    pdf = o.select("o_orderpriority", "o_totalprice").toPandas()
-    for (g, q), v in s.items():
-        exp = pdf.loc[pdf.o_orderpriority == g, "o_totalprice"].quantile(q)
-        assert v == pytest.approx(exp, rel=1e-12)
-
-
-def test_group_by_median_sort(many_files):
-    li = many_files.read.parquet(f"{SF001}/lineitem.parquet")
-    a = {r.l_returnflag: r.l_extendedprice for r in
-         A.group_by_agg(li, "l_returnflag", {"l_extendedprice": "median"}, strategy="sort").collect()}
-    b = {r.l_returnflag: r.l_extendedprice for r in
-         A.group_by_agg(li, "l_returnflag", {"l_extendedprice": "median"}, strategy="map").collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert a[k] == pytest.approx(b[k])
-
-
-def test_describe_sort_strategy(many_files):
-    p = many_files.read.parquet(f"{SF001}/part.parquet")
-    rows = {r.column: r for r in A.describe_stats(p, strategy="sort").collect()}
-    pdf = p.toPandas()
-    assert rows["p_retailprice"].p25 == pytest.approx(pdf.p_retailprice.quantile(0.25))
-    assert rows["p_size"].p75 == pytest.approx(pdf.p_size.quantile(0.75))
-
-
-def test_auto_picks_map_for_small_domains(spark):
-    df = spark.createDataFrame(pd.DataFrame({"a": [1.0, 2.0, 2.0, 3.0]}))
-    assert Q.choose(df, ["a"]) == {"a": "map"}
+    got = {(r["column"], r["q"]): r["value"] for r in Q.quantile_table(li, cols, QS).collect()}
+    pdf = li.select(cols).toPandas()
+    assert got.keys() == {(c, q) for c in cols for q in QS}
+    for (c, q), v in got.items():
+        assert v == pytest.approx(pdf[c].quantile(q), rel=1e-12, abs=1e-9)
+
+
+def test_grouped_equals_pandas_with_nulls(spark):
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 500), "v": rng.integers(0, 9, 500).astype(float)})
+    pdf.loc[pdf.index % 7 == 0, "v"] = np.nan
+    pdf.loc[pdf.g == "c", "v"] = np.where(pdf.loc[pdf.g == "c", "v"].isna(), np.nan, 4.0)
+    df = spark.createDataFrame([(g, None if np.isnan(v) else v) for g, v in pdf.itertuples(index=False)]
+                               + [(None, 1.0), ("none", None)], "g string, v double")
+    got = {(r["g"], r["q"]): r["value"] for r in Q.quantile_table(df, ["v"], QS, by="g").collect()}
+    assert got == {(g, q): pytest.approx(x.v.quantile(q)) for g, x in pdf.groupby("g") for q in QS}
+    med = {r["g"]: r["v"] for r in A.group_by_agg(df, "g", {"v": "median"}).collect()}
+    assert med == {**{g: pytest.approx(x.v.median()) for g, x in pdf.groupby("g")}, "none": None}
+
+
+def test_empty_column_and_describe(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "a int, b double")
+    assert Q.quantile_values(df, ["a", "b"], [0.5]) == {"a": [1.5], "b": [None]}
+    rows = {r.column: r for r in A.describe_stats(df).collect()}
+    assert rows["a"].p25 == pytest.approx(1.25) and rows["b"].p50 is None
+
+
+def test_hot_value_is_one_row(spark):
+    """60 % equal values: the cumulated table has one row a distinct value."""
+    df = spark.range(20_000).selectExpr("cast(if(id % 5 < 3, 7, id) as double) AS v")
+    want = df.toPandas().v.quantile([0.25, 0.5, 0.75]).tolist()
+    assert Q.quantile_values(df, ["v"], [0.25, 0.5, 0.75])["v"] == pytest.approx(want)

@@ -47,3 +47,20 @@ def test_naming_rule(spark):
     assert list(name_tables([df])) == ["current"]
     assert list(name_tables([df, df])) == ["table_0", "table_1"]
     assert list(name_tables([df, df], ["x", None])) == ["x", "table_1"]
+
+
+def test_csv_missing_words_and_quoted_breaks(spark, tmp_path):
+    p = tmp_path / "m.csv"
+    p.write_text('a,b,t\n1,NA,"x\ny"\n2,3.5,"say ""hi"", n"\n3,NaN,null\n')
+    out = read_csv(spark, str(p))
+    assert dict(out.dtypes) == {"a": "bigint", "b": "double", "t": "string"}
+    assert [tuple(r) for r in out.orderBy("a").collect()] == [(1, None, "x\ny"), (2, 3.5, 'say "hi", n'), (3, None, None)]
+
+
+def test_union_of_csv_files_has_one_inference(spark, tmp_path):
+    from tablewright.sources.files import union_files
+    (tmp_path / "a.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "b.csv").write_text("k,v\n2,x\n")
+    out = union_files(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "csv")
+    assert dict(out.dtypes) == {"k": "bigint", "v": "string"}
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "2"), (2, "x")]

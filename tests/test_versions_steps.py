@@ -2,9 +2,12 @@
 
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tablewright.plans.steps import run_steps
+from tablewright.schema import OperatorError
 from tablewright.plans.versions import SnapshotStore, prune_edges, prune_plan
 
 from conftest import SF0001
@@ -35,6 +38,21 @@ def test_snapshot_lifecycle(spark, tmp_path):
     assert {r.version for r in store.versions().collect()} == {"v2", "v0-b"}
     store.delete_version("v2")
     assert {r.version for r in store.versions().collect()} == {"v0-b"}
+    # a deleted name can be saved again, a live one cannot be written over
+    store.save_version({"orders": o.limit(3)}, version="v2")
+    assert store.load_version("v2")["orders"].count() == 3
+    with pytest.raises(OperatorError):
+        store.save_version({"orders": o}, version="v2")
+
+
+def test_snapshots_through_a_uri_and_a_fresh_store(spark, tmp_path):
+    root = f"file:{tmp_path}/shared"
+    o = spark.read.parquet(f"{SF0001}/orders.parquet")
+    assert SnapshotStore(spark, root).save_version({"t": o}) == "v0"
+    assert SnapshotStore(spark, root).save_version({"t": o.limit(5)}) == "v1"
+    store = SnapshotStore(spark, root)
+    assert store.load_version("v0")["t"].count() == o.count() and store.load_version("v1")["t"].count() == 5
+    assert store.undo()["t"].count() == o.count()
 
 
 def test_steps_are_lazy_and_chained(spark):
@@ -49,10 +67,10 @@ def test_steps_are_lazy_and_chained(spark):
     assert env["top"].first().l_quantity == exp.q
 
 
-def test_stream_memory_sink(spark, tmp_path):
-    from tablewright.streaming.rowwise import apply_rowwise, read_stream, run_to_memory
+def test_stream_into_files(spark, tmp_path):
+    from tablewright.streaming.rowwise import apply_rowwise, read_stream, run_to_files
     e = spark.read.parquet(f"{SF0001}/events.parquet")
     s = read_stream(spark, f"{SF0001}/events.parquet", e.schema)
     out = apply_rowwise(s, [{"op": "filter_rows", "args": {"condition": "value > 100"}}])
-    run_to_memory(out, "tw_test_stream", str(tmp_path / "ck"))
-    assert spark.table("tw_test_stream").count() == e.filter("value > 100").count()
+    got = run_to_files(out, str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert got.count() == e.filter("value > 100").count()

@@ -1,4 +1,8 @@
-"""Texts and small references shared by the tests."""
+"""Texts, fixtures and small references shared by the tests."""
+
+import pytest
+
+from tablewright.llm.common import ship
 
 WHITE = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -22,3 +26,16 @@ def words(text):
 
 def key(line):
     return line.strip(WHITE).translate(LOWER)
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """TEXTS with extra columns whose names the operators use themselves."""
+    names = ["n_words", "keep", "row", "ids", "fp", "rate", "_w", "place", "host", "n_lines", "kept_text"]
+    rows = [(i, t, *[f"{c}{n}" for c in names]) for n, (i, t) in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)).repartition(3)

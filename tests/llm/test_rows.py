@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from llm_data import TEXTS
+from llm_data import TEXTS, shipped  # noqa: F401
 from tablewright.llm import html_extract, line_dedup, mixing, quality_rules, simhash, topk, url_filter
 
 from test_texts import component_answer, line_answer, sha, slow_fingerprint, statistics

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tablewright.llm import bpe, line_dedup, quality_rules, simhash, substring_dedup, token_counts
 
-from llm_data import LOWER, TEXTS, key, words
+from llm_data import LOWER, TEXTS, docs, key, shipped, words  # noqa: F401
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)

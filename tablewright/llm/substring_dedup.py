@@ -224,7 +224,7 @@ def _in_trees(suffixes: DataFrame, ids: list[str], window: int, prefix: int) ->
     return suffixes.mapInArrow(run, ", ".join(f"{c} long" for c in ids) + ", first int, last int")
 
 
-def repeated_spans(docs: DataFrame, scanned: DataFrame, window: int = 50, prefix: int = 16, group_rows: int = 2_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, scanned: DataFrame, window: int = 50, prefix: int = 16, group_rows: int = 500) -> DataFrame:
     """(doc_id, row, spans): word spans of `docs` covered by windows that also start in a
     smaller doc_id, for the smallest document of each word sequence.  `scanned` is `scan`'s."""
     usable = scanned.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
@@ -259,7 +259,7 @@ def repeated_spans(docs: DataFrame, scanned: DataFrame, window: int = 50, prefix
     return small.union(large).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50, prefix: int = 16, group_rows: int = 2_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 50, prefix: int = 16, group_rows: int = 500) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, sha): `kept` is the kept words joined by one space,
     or null where nothing was removed and `sha` alone is known; sha is its SHA-256."""
     scanned = cut(scan(docs, window, prefix))

@@ -14,7 +14,9 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = url_filter.filter_urls(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
+    """Labels belong to the document whose number the url's path ends in."""
+    key = url_filter.document_number(F.col("url"))
+    out = url_filter.filter_urls(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"), key=key)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 

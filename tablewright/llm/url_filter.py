@@ -1,6 +1,8 @@
 """URL filter: explicit rules first, then empirical-Bayes host reputation.
 
-A page is good if its label has quality 1 and toxic 0.  Good rates are shrunk
+A page's label is that of the document its `key` names: the page_id unless another
+expression is given, such as `document_number` of the url.  A page is good if its
+label has quality 1 and toxic 0.  Good rates are shrunk
 level by level through beta priors: all pages to suffix, suffix to registered
 domain, domain to host.  The prior strength of a level is the beta-binomial
 moment estimate from the spread of its groups around their parents' means.  A
@@ -8,7 +10,8 @@ host is blocked if the upper posterior bound of its good rate is below
 `min_good`; a host without labels has its parents' posterior.
 
 Defined results: a null url, or one without "://", has empty host and path and
-belongs to the host ""; null labels and labels of unknown pages are ignored;
+belongs to the host ""; null labels and labels of unknown pages are ignored, and
+a page with a null key has no label;
 several labels of one id count once, the worst of them; repeated pages are each
 judged.  Hosts are joined back by a shuffle join that adaptive execution splits
 at hot hosts; only blocked hosts take part.
@@ -36,6 +39,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def document_number(url: Column) -> Column:
+    """The number that the last segment of the url's path is, before any extension; null if it is none."""
+    return F.regexp_extract(path_of(url), r"(?s)/([0-9]+)(?:\.[^/]*)?/?$", 1).try_cast("bigint")
+
+
 def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, else null."""
     out = None
@@ -56,13 +64,15 @@ def _domain(host: Column) -> Column:
     return F.when(long, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
-def host_counts(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, domain, suffix, n, k) of every host: labelled pages and good ones."""
+def host_counts(pages: DataFrame, labels: DataFrame, key: Column | None = None) -> DataFrame:
+    """(host, domain, suffix, n, k) of every host: labelled pages and good ones.
+
+    `key` is the doc_id of a page's label; page_id if none is given."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     one = one.groupBy(F.col("doc_id").alias("_id")).agg(
         F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("long")).alias("good"))
-    seen = pages.select("page_id", host_of(F.col("url")).alias("host"))
-    seen = seen.join(one, seen["page_id"] == one["_id"], "left")
+    seen = pages.select((F.col("page_id") if key is None else key).alias("_key"), host_of(F.col("url")).alias("host"))
+    seen = seen.join(one, seen["_key"] == one["_id"], "left")
     seen = seen.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
     return seen.select("host", _domain(F.col("host")).alias("domain"), _suffix(F.col("host")).alias("suffix"), "n", "k")
 
@@ -95,9 +105,10 @@ def host_posteriors(counts: DataFrame, z: float = 1.645) -> DataFrame:
                         (a / (a + b) + z * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))).alias("upper"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = 0.5, z: float = 1.645) -> DataFrame:
-    """(page_id, url, host, path, rule, verdict) of every page."""
-    bad = host_posteriors(host_counts(pages, labels), z).where(F.col("upper") < min_good).select(F.col("host").alias("_bad"))
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = 0.5, z: float = 1.645,
+                key: Column | None = None) -> DataFrame:
+    """(page_id, url, host, path, rule, verdict) of every page; `key` as in `host_counts`."""
+    bad = host_posteriors(host_counts(pages, labels, key), z).where(F.col("upper") < min_good).select(F.col("host").alias("_bad"))
     out = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     out = out.join(bad, F.col("host") == F.col("_bad"), "left")
     hit = matched_rule(F.col("host"), F.col("path"), rules)

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from llm_data import TEXTS, shipped  # noqa: F401
-from tablewright.llm import html_extract, line_dedup, mixing, quality_rules, simhash, topk, url_filter
+from tablewright.llm import html_extract, line_dedup, mixing, quality_rules, queries, simhash, topk, url_filter
 
 from test_texts import component_answer, line_answer, sha, slow_fingerprint, statistics
 
@@ -51,6 +51,24 @@ def test_url_reputation(spark):
     assert {r["host"]: r["verdict"] for r in out.collect()} == {h: "block" if "spam" in h else "allow" for h in {p[2] for p in pages}}
 
 
+def test_url_labels_by_document_number(spark, tmp_path):
+    """Labels follow the number in the url's path where page_id names another document."""
+    hosts = [f"h{i}.good{i % 5}.test" for i in range(30)] + [f"b{i}.spam.test" for i in range(10)]
+    ends = ["", "/", ".html", "?page=7&ref=x", "#top", "/?utm_source=feed"]
+    named = list(enumerate(h for h in hosts for _ in range(40)))
+    pages = [(1599 - k, f"http://{h}/en/{k}{ends[k % 6]}", "<p>") for k, h in named]  # page_id mirrors the numbers
+    labels = [(k, int("good" in h), 0) for k, h in named]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = queries.op1_url_filter(spark, str(tmp_path)).collect()
+    assert len(out) == len(pages)
+    assert {r["host"]: r["verdict"] for r in out} == {h: "block" if "spam" in h else "allow" for h in hosts}
+    urls = [("http://a/en/12", 12), ("http://a/12.html?x=3", 12), ("http://a/12/#4", 12), ("http://a/12/x", None), ("http://12", None),
+            (None, None), ("no scheme/12", None), ("http://a/x12", None), ("http://a/99999999999999999999", None)]
+    got = spark.createDataFrame(urls, "url string, want long").withColumn("got", url_filter.document_number(F.col("url"))).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     base = [rng.normal(size=8).tolist() for _ in range(30)]

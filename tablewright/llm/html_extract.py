@@ -34,6 +34,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style noscript template iframe svg canvas object title head select textarea button".split())
 RAW = frozenset("script style textarea title iframe".split())
+#: Start tags that may stand in head; any other, or text, closes it.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 CONTENT_TAGS = frozenset(["article", "main"])
 OTHER_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 CONTENT_TOKENS = frozenset("article main content post entry story body".split())
@@ -72,6 +74,8 @@ class Page:
 
         def add(text):
             nonlocal links
+            if stack[-1] == "head" and text.strip(" \t\n\f\r"):
+                pop()
             if text and not silent:
                 run.append(text)
                 links += len(text) if anchors else 0
@@ -105,6 +109,13 @@ class Page:
                 elif name == "br" or name in BLOCK:
                     add(" ")
                 continue
+            if opened.get("head"):
+                if name == "head":
+                    continue
+                if name == "body":
+                    self._close(stack, {"head"}, {"template"}, pop)
+                elif stack[-1] == "head" and name not in HEAD:
+                    pop()
             if name in BLOCK:
                 if opened.get("p") and name not in ("button", "label", "option"):
                     self._close(stack, {"p"}, {"button", "td", "th", "li", "div", "article", "section"} if name != "p" else {"td", "th", "li"}, pop)

@@ -118,6 +118,21 @@ def test_html(spark):
     assert html_extract.extract(none, html_extract.fit(none), ["page_id"]).collect() == []
 
 
+@pytest.mark.parametrize("start", [
+    "<html><head><title>T</title><body><nav>Home</nav>", "<html><head><title>T</title><meta charset=x><link href=y><nav>Home</nav>",
+    "<head><noscript><link href=x></noscript><script>var a;</script>\n<body>", "<head><head><title>T</title><body>",
+    "<head><noscript><body>", "<html><head><title>T</title></head><body>"])
+def test_html_head_without_end_tag(start):
+    """<body>, or the first tag that cannot stand in head, ends it: the article is read."""
+    page = html_extract.Page(f"{start}<article><h1>Head</h1><p>{LONG}</article>")
+    assert [t for t in page.text if t and t != "Home"] == ["Head", LONG.strip()]
+    assert html_extract.extract_texts([f"{start}<article><h1>Head</h1><p>{LONG}</article>"], None) == [f"Head\n\n{LONG.strip()}"]
+
+
+def test_html_text_ends_head():
+    assert [t for t in html_extract.Page("<head><title>T</title> \n<style>p{}</style>Bare text<p>More").text if t] == ["Bare text", "More"]
+
+
 def test_html_decoding_is_consistent():
     page = html_extract.Page(PAGE)
     rng = np.random.default_rng(0)

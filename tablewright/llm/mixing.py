@@ -1,14 +1,17 @@
 """Mixing to target weights with soft domain membership.
 
-A naive-Bayes classifier, fitted on a bounded sample of labelled documents, gives
-every document a posterior over the domains.  With t tokens and posterior p a
-document adds t * p[k] tokens to domain k; projected-gradient least squares finds
-rates x >= `min_rate` (0 unless asked otherwise) for which the expected totals
-sum(x * t * p[k]) match weight[k] * total.  The residual is whitened by the
-domains' Gram matrix, so the gradient step is 1.  A document's gradient depends on
-its posterior alone, so documents of equal posterior (three decimals) are summed
-first and an iteration reads that table; its numbers per domain are all the
-driver sees.  A rate is the fold of the steps over the document's own posterior.
+A naive-Bayes classifier, fitted on a bounded sample of labelled documents dealt out
+by domain, gives every document a posterior over the domains.  With t tokens and
+posterior p a document adds t * p[k] tokens to domain k; projected-gradient least
+squares finds rates x >= `min_rate` (0 unless asked otherwise) for which the expected
+totals sum(x * t * p[k]) match weight[k] * total.  The residual is whitened by the
+domains' Gram matrix.  Steps are summed before the projection, so that a rate is one
+projected step, max(min_rate, start - p . shift); they are accelerated by the Gram
+matrix of the rows above the bound, and an ever smaller pull towards `start` ends the
+fit where targets are met or the projected gradient is 1e-8 of the rates.  A document's
+gradient depends on its posterior alone, so documents of equal posterior (three
+decimals) are summed first and an iteration reads that table; its numbers per domain
+are all the driver sees.
 
 Defined results: null text has no tokens and the prior as its posterior; labels
 that are null or have no document are ignored; a domain with under `min_labels`
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,27 +77,41 @@ class Classifier:
         return [F.lit(1.0) / total, *[o / total for o in odds]]
 
 
+def _quotas(sizes: dict[str, int], rows: int) -> dict[str, int]:
+    """`rows` dealt to the domains: small ones whole, what they leave equally to the others."""
+    out = {}
+    for n, k in enumerate(sorted(sizes, key=lambda k: (sizes[k], k))):
+        out[k] = min(sizes[k], (rows - sum(out.values())) // (len(sizes) - n))
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, domains: dict[str, str], max_rows: int, n_buckets: int) -> DataFrame:
-    """(domain, part, _buckets) of at most `max_rows` labelled documents, those of the smallest
-    hash of doc_id; the label side of the join has at most that many rows and is broadcast."""
+    """(domain, part, share, _buckets) of at most `max_rows` labelled documents, those of the
+    smallest hash of doc_id in each domain; `share` is the part of the domain's labels taken.
+    The label side of the join has at most that many rows and is broadcast."""
     of = F.coalesce(*[F.when(F.expr(c), F.lit(k)) for k, c in domains.items()])
     one = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), of.alias("domain"))
-    one = one.where("domain is not null").groupBy("_id").agg(F.max("domain").alias("domain"))
-    one = one.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    one = cut(one.where("domain is not null").groupBy("_id").agg(F.max("domain").alias("domain")))
+    sizes = {r["domain"]: r["count"] for r in one.groupBy("domain").count().collect()}
+    parts = [one.where(F.col("domain") == k).orderBy(F.xxhash64("_id"), "_id").limit(n).withColumn("share", F.lit(n / sizes[k]))
+             for k, n in _quotas(sizes, max_rows).items()]
+    one = reduce(DataFrame.unionAll, parts, one.limit(0).withColumn("share", F.lit(1.0)))
     rows = docs.select("doc_id", "text").join(F.broadcast(one), F.col("doc_id") == F.col("_id"))
-    rows = tokens_and_buckets(rows, [F.col("domain"), F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)).alias("part")], n_buckets)
-    return rows.select("domain", "part", "_buckets")
+    rows = tokens_and_buckets(rows, ["domain", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)).alias("part"), "share"], n_buckets)
+    return rows.select("domain", "part", "share", "_buckets")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, max_rows: int = 20_000,
                    n_buckets: int = 4096, min_labels: int = 20) -> Classifier:
     """Naive Bayes on the distinct words of the sample; a quarter of it picks the scale.
+    Priors and losses count a row 1 / share times, as if no label had been left out.
 
     The driver gets the counts per bucket and domain: n_buckets rows."""
     sample = cut(labelled_sample(docs, labels, domains or DOMAINS, max_rows, n_buckets).coalesce(8))
     train = sample.where("part > 0")
-    size = {r["domain"]: r["count"] for r in train.groupBy("domain").count().collect()}
-    names = sorted((k for k, n in size.items() if n >= min_labels), key=lambda k: (-size[k], k))
+    seen = train.groupBy("domain").agg(F.count("*").alias("n"), F.sum(1 / F.col("share")).alias("all")).collect()
+    size = {r["domain"]: r["all"] for r in seen if r["n"] >= min_labels}
+    names = sorted(size, key=lambda k: (-size[k], k))
     if len(names) < 2:
         return Classifier(names or ["all"], [], [])
     counts = train.select("domain", F.explode("_buckets").alias("bucket")).groupBy("bucket").agg(
@@ -107,13 +125,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str] |
 
     weights = [[weight(i, b) for b in range(n_buckets)] for i in range(1, len(names))]
     model = Classifier(names, [round(math.log(size[k] / size[names[0]]), 6) for k in names[1:]], weights)
-    held = hold(sample.where((F.col("part") == 0) & F.col("domain").isin(names)), ["domain", "_buckets"],
+    held = hold(sample.where((F.col("part") == 0) & F.col("domain").isin(names)), ["domain", "share", "_buckets"],
                 **{f"_s{i}": s for i, s in enumerate(model.sums())})
     sums = [F.col(f"_s{i}") for i in range(len(weights))]
     losses = []
     for scale in SCALES:
         p = model.posterior(sums, scale)
-        losses.append(F.sum(-F.log(F.greatest(F.coalesce(*[F.when(F.col("domain") == k, x) for k, x in zip(names, p, strict=True)]), F.lit(1e-12)))))
+        own = F.coalesce(*[F.when(F.col("domain") == k, x) for k, x in zip(names, p, strict=True)])
+        losses.append(F.sum(-F.log(F.greatest(own, F.lit(1e-12))) / F.col("share")))
     loss = held.agg(*[x.alias(f"l{i}") for i, x in enumerate(losses)]).first()
     best = min(range(len(SCALES)), key=lambda i: (loss[i] if loss[i] is not None else 0.0, i))
     return Classifier(names, model.prior, weights, SCALES[best])
@@ -132,10 +151,9 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def _solve(m: list[list[float]], v: list[float]) -> list[float]:
-    """Gaussian elimination with pivots; a small ridge keeps domains that hardly differ from blowing up."""
+    """Gaussian elimination with pivots."""
     n = len(v)
-    ridge = 1e-3 * max(m[i][i] for i in range(n))
-    a = [[*(m[i][j] + ridge * (i == j) for j in range(n)), v[i]] for i in range(n)]
+    a = [[*m[i], v[i]] for i in range(n)]
     for i in range(n):
         k = max(range(i, n), key=lambda r: abs(a[r][i]))
         a[i], a[k] = a[k], a[i]
@@ -148,40 +166,35 @@ def _solve(m: list[list[float]], v: list[float]) -> list[float]:
     return out
 
 
+def _dot(x: list[float], y: list[float]) -> float:
+    return sum(a * b for a, b in zip(x, y, strict=True))
+
+
 @dataclass(frozen=True)
 class Rates:
-    """The steps of the fit: a rate is `start`, folded over them with the document's posterior."""
+    """A rate is `start` less the document's posterior times `shift`, and no less than `min_rate`."""
 
     start: float
-    steps: list[list[float]]
+    shift: list[float]
     min_rate: float
 
     def column(self, p: Column) -> Column:
-        if not self.steps:
-            return F.lit(float(self.start))
-        by_domain = [literal_doubles(list(s)) for s in zip(*self.steps, strict=True)]
-
-        def step(x, i):
-            moved = sum((F.get(p, k) * F.get(s, i) for k, s in enumerate(by_domain)), F.lit(0.0))
-            return F.greatest(x - moved, F.lit(float(self.min_rate)))
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(len(self.steps) - 1)), F.lit(float(self.start)), step)
+        moved = sum((F.get(p, k) * F.lit(float(x)) for k, x in enumerate(self.shift)), F.lit(0.0))
+        return F.greatest(F.lit(float(self.start)) - moved, F.lit(float(self.min_rate))) if self.shift else F.lit(float(self.start))
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | str | None = None,
-              min_rate: float = 0.0, max_steps: int = 30, tolerance: float = 2e-3) -> Rates:
+              min_rate: float = 0.0, max_steps: int = 100, tolerance: float = 1e-6) -> Rates:
     """Rates for `members` (_tokens, _p).  `total`: the token total to reach; None: as many as
-    there are; "cover": the least total at which no domain has more tokens than its target."""
+    there are; "cover": the least total at which no domain has more tokens than its target.
+
+    `max_steps` is for each of seven pulls; a fit ends by its gradient long before."""
     table = members.groupBy("_p").agg(F.sum("_tokens").cast("double").alias("_t"))
     table = cut(table.where("_t > 0").coalesce(8))  # at most one row for each posterior of three decimals
     k = len(domains)
     p = [F.get("_p", i) for i in range(k)]
-
-    def totals(x):
-        row = table.agg(*[F.sum(F.col("_t") * x * p[i]).alias(f"s{i}") for i in range(k)]).first()
-        return [row[i] or 0.0 for i in range(k)]
-
-    now = totals(F.lit(1.0))
+    row = table.agg(*[F.sum(F.col("_t") * p[i]).alias(f"s{i}") for i in range(k)]).first()
+    now = [row[i] or 0.0 for i in range(k)]
     use = [i for i in range(k) if now[i] > 1e-9 * max(sum(now), 1.0) and targets.get(domains[i], 0.0) > 0]
     if not use:
         return Rates(1.0, [], min_rate)
@@ -190,22 +203,49 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     goal = sum(now) if total is None else max(now[i] / weight[i] for i in use) if total == "cover" else float(total)
     if k < 2:
         return Rates(max(goal / now[0], min_rate), [], min_rate)
-    gram = table.agg(*[F.sum(F.col("_t") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-    gram = [[gram[i * k + j] for j in use] for i in use]
-    start, steps, last = max(1.0, min_rate), [], math.inf
-    now = [start * x for x in now]
-    for n in range(max_steps):
-        off = [now[i] - weight[i] * goal for i in use]
-        move = _solve(gram, off)
-        error = sum(x * y for x, y in zip(off, move, strict=True))  # the whitened squares
-        if max(map(abs, off)) <= tolerance * goal or error > 0.97 * last:  # met, or as near as rates can come
+    start, n = max(1.0, min_rate), len(use)
+
+    def states(shifts):
+        """(residuals, half the squared way from start, Gram matrix above the bound) of each shift."""
+        each = F.array(*[F.struct(F.lit(j).alias("j"), literal_doubles(x).alias("x")) for j, x in enumerate(shifts)])
+        rows = table.select("_t", "_p", F.explode(each).alias("_s"))
+        rows = rows.select("_t", "_p", "_s.j", (F.lit(start) - sum((p[i] * F.get("_s.x", m) for m, i in enumerate(use)), F.lit(0.0))).alias("_r"))
+        x = F.greatest("_r", F.lit(float(min_rate)))
+        free = F.when(F.col("_r") > min_rate, F.col("_t")).otherwise(0.0)
+        got = rows.groupBy("j").agg(
+            F.sum(F.col("_t") * (x - start) ** 2 / 2).alias("way"), *[F.sum(F.col("_t") * x * p[i]).alias(f"s{i}") for i in use],
+            *[F.sum(free * p[a] * p[b]).alias(f"g{a}_{b}") for a in use for b in use]).collect()
+        return [([r[f"s{i}"] - weight[i] * goal for i in use], r["way"], [[r[f"g{a}_{b}"] for b in use] for a in use])
+                for r in sorted(got, key=lambda r: r["j"])]
+
+    all_rows = table.agg(*[F.sum(F.col("_t") * p[a] * p[b]).alias(f"g{a}_{b}") for a in use for b in use]).first()
+    # a small ridge, in each domain's own measure, keeps domains that hardly differ from blowing up
+    white = [[all_rows[f"g{a}_{b}"] * (1.001 if a == b else 1.0) for b in use] for a in use]
+    shift = [0.0] * n
+    at = states([shift])[0]
+    best = (_dot(at[0], _solve(white, at[0])), shift)
+    for pull in [10.0 ** -e for e in range(2, 9)]:
+        def rest(shift, off):  # the gradient of the summed steps, and what it is the gradient of
+            back = [pull * _dot(r, shift) for r in white]
+            return [x - y for x, y in zip(off, back, strict=True)], _dot(shift, off) - _dot(shift, back) / 2
+
+        for _ in range(max_steps):
+            slope, height = rest(shift, at[0])
+            if max(map(abs, slope)) <= 1e-3 * tolerance * goal:
+                break
+            move = _solve([[x + pull * y for x, y in zip(f, w, strict=True)] for f, w in zip(at[2], white, strict=True)], slope)
+            tried = [[x + 0.5 ** e * y for x, y in zip(shift, move, strict=True)] for e in range(20)]
+            found = states(tried)
+            heights = [rest(x, f[0])[1] + f[1] for x, f in zip(tried, found, strict=True)]
+            j = max(range(len(tried)), key=lambda i: heights[i])
+            if not heights[j] > height + at[1]:  # as high as doubles can tell
+                break
+            shift, at = tried[j], found[j]
+            best = min(best, (_dot(at[0], _solve(white, at[0])), shift))  # the whitened squares
+        if all(abs(x) <= tolerance * weight[i] * goal for i, x in zip(use, at[0], strict=True)):
             break
-        last = error
-        move = dict(zip(use, move, strict=True))
-        # where bounds hold, a longer step (below 2) converges faster
-        steps = [*steps, [round((1.5 if n else 1.0) * move.get(i, 0.0), 12) for i in range(k)]]
-        now = totals(Rates(start, steps, min_rate).column(F.col("_p")))
-    return Rates(start, steps, min_rate)
+    whole = dict(zip(use, best[1], strict=True))
+    return Rates(start, [whole.get(i, 0.0) for i in range(k)], min_rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | str | None = None,

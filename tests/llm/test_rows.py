@@ -183,6 +183,62 @@ def test_mixing(spark, total, min_rate):
     assert all(abs(copies[d] / sum(copies.values()) - targets[d]) < 0.06 for d in domains)
 
 
+def drawn(shares, sharp, n=2000):
+    """Tokens and posteriors (three decimals) of documents of three domains."""
+    rng = np.random.default_rng(0)
+    kind = rng.choice(3, n, p=shares)
+    p = np.exp(rng.normal(0, 0.5, (n, 3)) + sharp * np.eye(3)[kind]) * shares
+    p = np.round(p / p.sum(axis=1, keepdims=True), 3)
+    p[:, 0] = np.maximum(np.round(1 - p[:, 1] - p[:, 2], 3), 0)
+    return rng.integers(20, 2000, n).astype(float), p
+
+
+@pytest.mark.parametrize("shares,sharp,total,met", [
+    ((0.998, 0.001, 0.001), 3.0, None, False), ((0.98, 0.01, 0.01), 2.0, None, True), ((0.98, 0.01, 0.01), 2.0, "cover", False),
+    ((0.76, 0.127, 0.113), 0.1, "cover", False), ((0.76, 0.127, 0.113), 0.1, None, True)])
+def test_rates_against_brute_force(spark, shares, sharp, total, met):
+    """Rare domains and the cover case come as near to the targets as a long plain solve."""
+    t, p = drawn(np.array(shares), sharp)
+    want = np.array([0.85, 0.07, 0.08])
+    least = 1.0 if total else 0.0
+    now = p.T @ t
+    goal = (now / want).max() if total else now.sum()
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "_tokens long, _p array<double>")
+    rates = mixing.fit_rates(members, ["a", "b", "c"], dict(zip("abc", want.tolist(), strict=True)), total=total, min_rate=least)
+    x = np.array([r[0] for r in members.select(rates.column(F.col("_p"))).collect()])
+    gram = (p * t[:, None]).T @ p
+    white = np.linalg.inv(gram + 1e-3 * np.diag(np.diag(gram)))
+
+    def error(x):
+        off = p.T @ (t * x) - want * goal
+        return off @ white @ off
+
+    slow, ahead, q = np.ones(len(t)), np.ones(len(t)), 1.0
+    for _ in range(20_000):  # projected gradient with momentum
+        step = np.maximum(ahead - p @ (white @ (p.T @ (t * ahead) - want * goal)), least)
+        if error(step) > error(slow):
+            q, ahead = 1.0, slow
+            step = np.maximum(ahead - p @ (white @ (p.T @ (t * ahead) - want * goal)), least)
+        r = (1 + math.sqrt(1 + 4 * q * q)) / 2
+        slow, ahead, q = step, step + (q - 1) / r * (step - slow), r
+    assert x.min() >= least
+    assert error(x) <= 1.001 * error(slow) + 1e-9 * goal
+    if met:
+        assert np.allclose(p.T @ (t * x), want * goal, rtol=1e-4)
+
+
+def test_label_sample_is_dealt_by_domain(spark):
+    """A domain of one label in a hundred keeps all its labels in a sample a tenth of them, and the prior is that of all."""
+    rows = [(i, ("rare" if i % 100 == 0 else "good") + f"{i % 7} word") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 100 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    sample = mixing.labelled_sample(docs, labels, mixing.DOMAINS, 1000, 64)
+    assert {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()} == {"toxic": 100, "good": 900}
+    model = mixing.fit_classifier(docs, labels, max_rows=1000)
+    assert model.domains == ["good", "toxic"] and abs(model.prior[0] - math.log(1 / 99)) < 0.3
+    assert mixing._quotas({"a": 5, "b": 50, "c": 900}, 100) == {"a": 5, "b": 47, "c": 48}
+
+
 def test_mixing_without_labels(spark):
     docs, labels = labelled(spark, 20)
     out, domains = mixing.mix(docs, labels.limit(0))

@@ -39,11 +39,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
+    """One document, that of the smallest doc_id, of each group of near duplicates; rows go by
+    doc_id and text, and of rows equal in both one stays.  Rows without doc_id take no part."""
     ship(spark)
-    groups = simhash.near_duplicates(docs, shingle=4, distance=4)
-    first = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(first, docs["doc_id"].cast("long") == first["_copy"], "left_anti").select(docs.columns)
+    gone, repeated = simhash.copies(docs, shingle=4, distance=4)
+    row = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+    def keyed(names):
+        names = names.select(F.col("doc_id").alias("_copy"), F.col("row").alias("_row"))
+        return names, (docs["doc_id"].cast("long") == names["_copy"]) & (row == names["_row"])
+
+    once = docs.join(*keyed(gone.unionByName(repeated)), "left_anti")
+    first = docs.join(*keyed(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(first).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

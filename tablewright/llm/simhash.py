@@ -51,16 +51,34 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """(doc_id, fp), or another `key` of type `kind`: fp is the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
-
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [key, "fp"])
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast(kind), F.col("text").cast("string"))
+    return rows.mapInArrow(run, f"{key} {kind}, fp long")
+
+
+def copies(docs: DataFrame, shingle: int = 4, distance: int = 4, cell_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Rows of documents that may share a doc_id: those to remove so that one document, that of the
+    smallest doc_id, stays of each group of near duplicates, and those to keep that occur more than
+    once; both (doc_id, row) where `row` is a hash of the text.  Here a group links fingerprints,
+    so that two texts under one doc_id belong to groups of their own."""
+    marked = docs.where(F.col("doc_id").isNotNull()).select(
+        F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row")).alias("_id"), "text")
+    rows = cut(fingerprints(marked, shingle, "_id", "struct<doc_id:long,row:long>").groupBy("_id").agg(
+        F.first("fp").alias("fp"), F.count("*").alias("n")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("_id").alias("least")).withColumn("first", F.col("fp")))
+    found = components(links(nodes.select("fp", "first"), distance, cell_rows=cell_rows), nodes)
+    named = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    keepers = named.groupBy("component").agg(F.min("least").alias("keeper"))
+    out = cut(rows.join(named.join(keepers, "component").select("fp", "keeper"), "fp"))
+    return (out.where(F.col("_id") != F.col("keeper")).select("_id.*"),
+            out.where((F.col("_id") == F.col("keeper")) & (F.col("n") > 1)).select("_id.*"))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:

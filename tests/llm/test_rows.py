@@ -129,6 +129,20 @@ def test_html_head_without_end_tag(start):
     assert html_extract.extract_texts([f"{start}<article><h1>Head</h1><p>{LONG}</article>"], None) == [f"Head\n\n{LONG.strip()}"]
 
 
+def test_near_duplicates_of_repeated_ids(spark, tmp_path):
+    """Texts under one doc_id are told apart: a copy goes, the other text stays, equal rows stay once."""
+    rng = np.random.default_rng(5)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 300)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, a), (7, c), (7, c), (8, c), (5, b), (2, b + " more"), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    near = bin(slow_fingerprint(b) ^ slow_fingerprint(b + " more")).count("1") <= 4
+    want = [(3, a), (7, c), (2, b + " more"), (None, a), (None, a)] + ([] if near else [(5, b)])
+    assert Counter(map(tuple, out)) == Counter(want)
+    docs = spark.createDataFrame([(5, a), (5, b), (3, a)], "doc_id long, text string")
+    assert Counter(map(tuple, corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())) == Counter([(3, a), (5, b)])
+
+
 def test_html_text_ends_head():
     assert [t for t in html_extract.Page("<head><title>T</title> \n<style>p{}</style>Bare text<p>More").text if t] == ["Bare text", "More"]
 

@@ -107,7 +107,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str] |
     Priors and losses count a row 1 / share times, as if no label had been left out.
 
     The driver gets the counts per bucket and domain: n_buckets rows."""
-    sample = cut(labelled_sample(docs, labels, domains or DOMAINS, max_rows, n_buckets).coalesce(8))
+    sample = cut(labelled_sample(docs, labels, domains or DOMAINS, max_rows, n_buckets).repartition(8))
     train = sample.where("part > 0")
     seen = train.groupBy("domain").agg(F.count("*").alias("n"), F.sum(1 / F.col("share")).alias("all")).collect()
     size = {r["domain"]: r["all"] for r in seen if r["n"] >= min_labels}

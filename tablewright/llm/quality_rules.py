@@ -143,7 +143,7 @@ def learn_rules(sample: DataFrame, n_bins: int = 32, max_rules: int = 8, max_con
     (n_bins + 1) rows a step.  A rule must keep a Laplace precision of
     `min_precision` on the rows that did not grow it.
     """
-    sample = cut(sample.coalesce(4))
+    sample = cut(sample.repartition(4))  # after the scan of all documents, which keeps its own tasks
     names = list(FEATURES)
     marks = [(i + 1) / (n_bins + 1) for i in range(n_bins)]
     got = sample.agg(*[F.percentile(k, F.array(*map(F.lit, marks))).alias(k) for k in names]).first()

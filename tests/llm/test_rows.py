@@ -143,6 +143,21 @@ def test_near_duplicates_of_repeated_ids(spark, tmp_path):
     assert Counter(map(tuple, corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())) == Counter([(3, a), (5, b)])
 
 
+def test_samples_are_gathered_after_the_scan(spark, monkeypatch):
+    """The join with the labels keeps the scan's own tasks; only the sample is dealt to a few."""
+    docs, labels = labelled(spark, 20)
+    plans = []
+
+    def seen(df):
+        plans.append(spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))
+        raise StopIteration
+
+    monkeypatch.setattr(quality_rules, "cut", seen)
+    with pytest.raises(StopIteration):
+        quality_rules.learn_rules(quality_rules.labelled_sample(docs, labels))
+    assert "Coalesce" not in plans[0] and "RoundRobinPartitioning(4)" in plans[0]
+
+
 def test_html_text_ends_head():
     assert [t for t in html_extract.Page("<head><title>T</title> \n<style>p{}</style>Bare text<p>More").text if t] == ["Bare text", "More"]
 

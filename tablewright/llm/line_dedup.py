@@ -1,9 +1,10 @@
 """Line dedup: range-partitioned line hashes, first occurrences, keep bitmaps.
 
-Long lines become (hash, document, place) rows, range-partitioned and sorted by
-hash, document and place, so that a line found in a third of all documents is
-spread over many partitions.  The first row of each (hash, document) run is
-streamed into per-hash facts (documents, keeper) by partial aggregation, and
+Long lines become (hash, document, place) rows, range-partitioned by hash and
+document, so that a line found in a third of all documents is spread over many
+partitions.  A hash aggregate makes each (hash, document) run one row (it needs no
+order, so Spark drops the sort above it), partial aggregation makes of these the
+per-hash facts (documents, keeper), and
 what is dropped comes back as a bitmap of 64 lines a word, of which only words
 with a dropped line are stored.  Texts never move until a bitmap is applied.
 

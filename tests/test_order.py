@@ -100,15 +100,18 @@ def test_running_total_nulls_in_small_blocks(spark):
         assert [r.running_total for r in out.collect()] == want
 
 
-def test_percent_rank_paths_agree(many_files):
+def test_percent_rank_equals_definition(many_files):
+    """(rows below) / (rows - 1), as SQL's percent_rank; pandas' min rank gives the rows below."""
     li = many_files.read.parquet(f"{SF001}/lineitem.parquet").select("l_orderkey", "l_linenumber",
                                                                       "l_returnflag", "l_quantity")
+    pdf = li.toPandas()
     for pb in (None, "l_returnflag"):
-        a = sorted((r.l_orderkey, r.l_linenumber, r.l_returnflag, r.l_quantity, round(r.percent_rank, 12))
-                   for r in W.percent_rank(li, "l_quantity", pb).collect())
-        b = sorted((r.l_orderkey, r.l_linenumber, r.l_returnflag, r.l_quantity, round(r.percent_rank, 12))
-                   for r in W.percent_rank(li, "l_quantity", pb).collect())
-        assert a == b
+        got = sorted((r.l_returnflag, r.l_quantity, round(r.percent_rank, 12))
+                     for r in W.percent_rank(li, "l_quantity", pb).collect())
+        values = pdf.groupby(pb)["l_quantity"] if pb else pdf["l_quantity"]
+        size = values.transform("size") if pb else len(pdf)
+        want = ((values.rank(method="min") - 1) / (size - 1)).round(12)
+        assert got == sorted(zip(pdf.l_returnflag, pdf.l_quantity, want))
 
 
 def test_group_rank(events):
@@ -172,21 +175,22 @@ def test_hot_key_third_of_rows(many_files):
     assert [None if x != x else x for x in exp] == [None if (g is None or g != g) else g for g in got]
 
 
-def test_large_n_uses_positions(spark, monkeypatch):
-    """Above the top-k limit the first rows come from positions; same answer."""
+def test_first_rows_equal_pandas(spark):
+    """Largest rows, a page and a stratified sample against pandas and the md5 rule."""
+    import hashlib
     from tablewright.operators import selection as Sel
     o = spark.read.parquet(f"{SF001}/orders.parquet")
-    small = sorted(r.o_orderkey for r in Sel.nlargest(o, 40, "o_totalprice", tie_break="o_orderkey").collect())
-    page = sorted(r.o_orderkey for r in Sel.page(o, 3, 7, ["o_totalprice", "o_orderkey"]).collect())
-    strat = sorted(r.o_orderkey for r in Sel.sample_rows(o, n=5, by="o_orderpriority", key="o_orderkey",
-                                                          random_state=2).collect())
-    monkeypatch.setattr(Sel, "TOPK_MAX", 10)
-    monkeypatch.setattr(Sel, "GROUP_LIMIT_MAX", 2)
-    big = sorted(r.o_orderkey for r in Sel.nlargest(o, 40, "o_totalprice", tie_break="o_orderkey").collect())
-    page2 = sorted(r.o_orderkey for r in Sel.page(o, 3, 7, ["o_totalprice", "o_orderkey"]).collect())
-    strat2 = sorted(r.o_orderkey for r in Sel.sample_rows(o, n=5, by="o_orderpriority", key="o_orderkey",
-                                                           random_state=2).collect())
-    assert small == big and page == page2 and strat == strat2
+    pdf = o.select("o_orderkey", "o_totalprice", "o_orderpriority").toPandas()
+    top = pdf.sort_values(["o_totalprice", "o_orderkey"], ascending=[False, True]).head(40)
+    got = Sel.nlargest(o, 40, "o_totalprice", tie_break="o_orderkey").collect()
+    assert sorted(r.o_orderkey for r in got) == sorted(top.o_orderkey)
+    third = pdf.sort_values(["o_totalprice", "o_orderkey"]).iloc[14:21]
+    page = Sel.page(o, 3, 7, ["o_totalprice", "o_orderkey"]).collect()
+    assert sorted(r.o_orderkey for r in page) == sorted(third.o_orderkey)
+    pdf["h"] = [hashlib.md5(f"{k}|2".encode()).hexdigest() for k in pdf.o_orderkey]
+    want = pdf.sort_values(["h", "o_orderkey"]).groupby("o_orderpriority").head(5)
+    strat = Sel.sample_rows(o, n=5, by="o_orderpriority", key="o_orderkey", random_state=2).collect()
+    assert sorted(r.o_orderkey for r in strat) == sorted(want.o_orderkey)
 
 
 def test_salted_join_equals_plain_join(many_files):
@@ -242,21 +246,19 @@ def test_hash_prefix_sample_equals_full_sort(many_files):
         r.o_orderkey for r in o.orderBy(h, "o_orderkey").limit(exp).collect())
 
 
-def test_drop_positions_near_ends_equals_positions(many_files, monkeypatch):
+def test_drop_positions_equals_pandas(many_files):
     import tablewright.operators.cleaning as Cl
     o = many_files.read.parquet(f"{SF001}/orders.parquet")
     idx = [0, 3, 17, -1, -5]
-    a = sorted(r.o_orderkey for r in Cl.drop_rows(o, indices=idx, order_by=["o_totalprice", "o_orderkey"]).collect())
-    monkeypatch.setattr(Cl, "NEAR_END_ROWS", 0)
-    b = sorted(r.o_orderkey for r in Cl.drop_rows(o, indices=idx, order_by=["o_totalprice", "o_orderkey"]).collect())
-    assert a == b and len(a) == o.count() - 5
+    got = sorted(r.o_orderkey for r in Cl.drop_rows(o, indices=idx, order_by=["o_totalprice", "o_orderkey"]).collect())
+    pdf = o.select("o_orderkey", "o_totalprice").toPandas().sort_values(["o_totalprice", "o_orderkey"])
+    keep = [k for i, k in enumerate(pdf.o_orderkey) if i not in {x % len(pdf) for x in idx}]
+    assert got == sorted(keep) and len(got) == len(pdf) - 5
 
 
-def test_slice_head_path_equals_positions(many_files, monkeypatch):
+def test_slice_equals_positions(many_files):
     from tablewright.operators import selection as Sel
     o = many_files.read.parquet(f"{SF001}/orders.parquet")
     a = sorted((r.o_orderkey, r.p) for r in Sel.slice_rows(o, 5, 300, 7, order_by="o_orderkey", position="p").collect())
-    monkeypatch.setattr(Sel, "TOPK_MAX", 10)
-    b = sorted((r.o_orderkey, r.p) for r in Sel.slice_rows(o, 5, 300, 7, order_by="o_orderkey", position="p").collect())
     keys = sorted(r.o_orderkey for r in o.select("o_orderkey").collect())
-    assert a == b == sorted(zip(keys[5:300:7], range(5, 300, 7)))
+    assert a == sorted(zip(keys[5:300:7], range(5, 300, 7)))

@@ -5,19 +5,23 @@ leaves are the ranks of its adjacent pairs.  A node keeps rank and place in one
 number, so the root is the leftmost pair of the lowest rank; a merge updates
 three leaves and the paths above them, and the piece is done when the root has
 no rank.  The trees of many pieces of like length are held as the columns of
-one matrix and are worked in step.  A text is cut where no piece can cross, and
-the ids of chunks met before in a task's process come from a cache of bounded
-size; decoding reads nothing but ids.
+one matrix and are worked in step; a few long pieces are worked one by one, each
+in a flat tree, in n log n steps.  Pieces of a text are found by one call of the
+pattern, and the ids of pieces met before in a task come from a cache bounded in
+bytes, of which the older half goes when it is full and all at the task's end.
+Decoding reads nothing but ids.
 
 Defined results: null text is the empty text and has no ids; special tokens
 written in a text become their ids, as the public tokenizers library does by
-default; repeated rows are each encoded.
+default; repeated rows are each encoded.  Memory holds one text, its ids and one
+step of pieces; a text without white space is one step.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,14 @@ from pyspark.sql import functions as F
 #: The split pattern of the vocabulary's byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: White space of the pattern, and the chunks between which pieces never join:
-#: a piece has white space before other characters only, so one always starts
-#: where white space follows something else.
+#: White space of the pattern.  A piece has white space before other characters
+#: only, so one always starts where white space follows something else, and no
+#: special token holds white space: a text can be cut there.
 SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+STABLE = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
+
+#: Names of the library's own columns in a task; an input column of the same name is refused.
+TEXT, IDS = "_tw_bpe_text", "_tw_bpe_ids"
 
 _NONE = np.int64(1) << np.int64(62)
 
@@ -47,7 +54,7 @@ def byte_alphabet() -> list[str]:
 class Vocabulary:
     """A byte-level BPE vocabulary file (.json of the public tokenizers library)."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_bytes: int = 24 << 20):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         vocab, merges = file["model"]["vocab"], file["model"]["merges"]
@@ -63,8 +70,10 @@ class Vocabulary:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.rank_of = {k: r for k, r in zip(keys.tolist(), range(len(keys)), strict=True)}
+        self.merged_list = self.merged.tolist()
         self.cache: dict[str, bytes] = {}
-        self.cache_size = cache_size
+        self.cache_bytes, self.cached = cache_bytes, 0
         top = max(self.bytes) + 1
         self.token_len = np.array([len(self.bytes.get(i, b"")) for i in range(top)], np.int64)
         self.token_at = np.cumsum(self.token_len) - self.token_len
@@ -139,26 +148,79 @@ class Vocabulary:
             group, most = np.flatnonzero(size == power), max(1, (1 << 19) >> power)
             for at in range(0, len(group), most):
                 part = group[at:at + most].tolist()
+                if power > 7 and len(part) < 32:  # lone long pieces
+                    for i in part:
+                        out[i] = self.merge_one(raw[i])
+                    continue
                 ids, n = self.merge([raw[i] for i in part])
                 data, ends = ids.tobytes(), (4 * np.cumsum(n)).tolist()
                 for i, x, y in zip(part, [0, *ends], ends, strict=False):
                     out[i] = data[x:y]
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids (int32, as bytes) of all `chunks` into the cache."""
-        if len(self.cache) + len(chunks) > self.cache_size:
-            keep = {c: self.cache[c] for c in chunks if c in self.cache}
-            self.cache.clear()
-            self.cache |= keep
-        new = [c for c in chunks if c not in self.cache]
-        parts = [self.pieces(c) for c in new]
-        known = dict.fromkeys(p for ps in parts for p in ps)
-        fresh = list(known)
-        known = dict(zip(fresh, self.merge_all(fresh), strict=True))
-        known |= {"\0" + t: np.int32(i).tobytes() for t, i in self.special.items()}
-        for c, ps in zip(new, parts, strict=True):
-            self.cache[c] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+    def merge_one(self, piece: bytes) -> bytes:
+        """Ids (int32, as bytes) of one piece, through a flat segment tree."""
+        n, rank_of, merged = len(piece), self.rank_of, self.merged_list
+        leaves = 1 << max(1, (n - 1).bit_length())
+        none = 1 << 62
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
+        first = self.rank(ids[:-1], ids[1:])
+        level = np.full(leaves, none, np.int64)
+        level[:n - 1] = np.where(first < _NONE, first << 32 | np.arange(n - 1), none)
+        levels = [level]
+        while len(level) > 1:
+            level = np.minimum(level[::2], level[1::2])
+            levels.append(level)
+        tree = np.concatenate([[none], *levels[::-1]]).tolist()
+        ids, after, before = [*ids.tolist(), -1], list(range(1, n + 2)), list(range(-1, n))
+
+        def update(at):
+            """Recompute the leaf `at` and the path above it, up to the first node that stays."""
+            a, b = ids[at], ids[after[at]] if after[at] < n else -1
+            rank = rank_of.get(a << 32 | b) if a >= 0 and b >= 0 else None
+            node = at + leaves
+            value = none if rank is None else rank << 32 | at
+            while tree[node] != value:
+                tree[node] = value
+                node >>= 1
+                if not node:
+                    break
+                value = min(tree[2 * node], tree[2 * node + 1])
+
+        while tree[1] < none:
+            rank, at = tree[1] >> 32, tree[1] & 0xFFFFFFFF
+            gone = after[at]
+            ids[at], ids[gone] = merged[rank], -1
+            after[at] = follow = after[gone]
+            if follow < n:
+                before[follow] = at
+            update(gone)
+            update(at)
+            if before[at] >= 0:
+                update(before[at])
+        return np.array([i for i in ids if i >= 0], np.int32).tobytes()
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids (int32, as bytes) of all `pieces`, from the cache where they are there."""
+        cache = self.cache
+        new = [p for p in pieces if p not in cache]
+        special = [p for p in new if p[0] == "\0" and p[1:] in self.special]
+        fresh = [p for p in new if not (p[0] == "\0" and p[1:] in self.special)]
+        found = dict(zip(fresh, self.merge_all(fresh), strict=True))
+        found |= {p: np.int32(self.special[p[1:]]).tobytes() for p in special}
+        known = {p: cache[p] for p in pieces if p in cache} | found
+        for p, ids in found.items():
+            if len(p) <= 64:  # long pieces seldom come again
+                cache[p] = ids
+                self.cached += 200 + len(p) + len(ids)
+        while self.cached > self.cache_bytes:
+            for p in list(islice(cache, len(cache) // 2 + 1)):
+                self.cached -= 200 + len(p) + len(cache.pop(p))
+        return known
+
+    def forget(self) -> None:
+        """Empty the cache: workers live on after their tasks."""
+        self.cache, self.cached = {}, 0
 
     def pieces(self, text: str) -> list[str]:
         """The text's pieces; a special token is one, marked by a leading NUL."""
@@ -169,16 +231,29 @@ class Vocabulary:
             out += ["\0" + part] if i % 2 else self.split.findall(part)
         return out
 
-    def encode_batch(self, texts: list[str], step: int = 1 << 22) -> list[bytes]:
+    def encode_batch(self, texts: list[str], step: int = 1 << 19) -> list[bytes]:
         """Ids (int32, as bytes) of each text, worked in steps of about `step` characters."""
-        out, held, size = [], [], 0
+        out, held, size = [b""] * len(texts), [], 0
+
+        def flush():
+            known = self.learn(set().union(*(p for _, p in held)))
+            for i, pieces in held:
+                out[i] += b"".join(map(known.__getitem__, pieces))
+            held.clear()
+
         for i, t in enumerate(texts):
-            held.append(CHUNK.findall(t))
-            size += len(t)
-            if size >= step or i + 1 == len(texts):
-                self.learn(set().union(*held))
-                out += [b"".join(map(self.cache.__getitem__, cs)) for cs in held]
-                held, size = [], 0
+            at = 0
+            while at < len(t):
+                cut = STABLE.search(t, at + step) if len(t) - at > step else None
+                end = cut.start() if cut else len(t)
+                held.append((i, self.pieces(t[at:end])))
+                size += end - at
+                at = end
+                if size >= step:
+                    flush()
+                    size = 0
+        if held:
+            flush()
         return out
 
     def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
@@ -212,17 +287,18 @@ def _struct_of(batch: pa.RecordBatch, name: str):
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """`keep` (default: all columns but `ids`) and the text's ids as array<int>."""
     keep = [c for c in docs.columns if c != ids] if keep is None else keep
-    rows = docs.select(*[docs[c] for c in keep if c != ids], F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text"))
-    schema = rows.drop("__text").withColumn(ids, F.array().cast("array<int>")).schema
+    rows = docs.select(*[docs[c] for c in keep if c != ids], F.coalesce(docs[text].cast("string"), F.lit("")).alias(TEXT))
+    schema = rows.drop(TEXT).withColumn(ids, F.array().cast("array<int>")).schema
 
     def run(batches):
         voc = vocabulary(path)
         for b in batches:
-            got = voc.encode_batch(_struct_of(b, "__text").to_pylist())
+            got = voc.encode_batch(_struct_of(b, TEXT).to_pylist())
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got]))).astype(np.int32)
             col = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
-            cols = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*cols, col], [n for n in b.schema.names if n != "__text"] + [ids])
+            cols = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != TEXT]
+            yield pa.RecordBatch.from_arrays([*cols, col], [n for n in b.schema.names if n != TEXT] + [ids])
+        voc.forget()
 
     return rows.mapInArrow(run, schema)
 
@@ -230,17 +306,17 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """`keep` (default: all columns but `text`) and the text of the ids (null: empty)."""
     keep = [c for c in rows.columns if c != text] if keep is None else keep
-    rows = rows.select(*[rows[c] for c in keep if c != text], F.coalesce(rows[ids], F.array().cast("array<int>")).alias("__ids"))
-    schema = rows.drop("__ids").withColumn(text, F.lit("")).schema
+    rows = rows.select(*[rows[c] for c in keep if c != text], F.coalesce(rows[ids], F.array().cast("array<int>")).alias(IDS))
+    schema = rows.drop(IDS).withColumn(text, F.lit("")).schema
 
     def run(batches):
         voc = vocabulary(path)
         for b in batches:
-            col = _struct_of(b, "__ids")
+            col = _struct_of(b, IDS)
             flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
             got = voc.decode_batch(flat[ends[0]:ends[-1]], np.diff(ends))
-            cols = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != "__ids"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.string())], [n for n in b.schema.names if n != "__ids"] + [text])
+            cols = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != IDS]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.string())], [n for n in b.schema.names if n != IDS] + [text])
 
     return rows.mapInArrow(run, schema)
 

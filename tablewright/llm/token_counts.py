@@ -16,7 +16,6 @@ spell; repeated rows are each counted.
 from __future__ import annotations
 
 import json
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, SPACE, byte_alphabet
-
-_STABLE = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
+from .bpe import PATTERN, STABLE, TEXT, byte_alphabet
 
 
 class Counter:
@@ -75,7 +72,7 @@ class Counter:
     def _splice(self, text, begin, cut, end, left, right):
         """Token numbers of the first stable common boundary in text[cut:end], or None."""
         shift = len(text[begin:cut].encode("utf-8", "surrogatepass"))
-        for m in _STABLE.finditer(text, cut, end):
+        for m in STABLE.finditer(text, cut, end):
             if m.start() <= cut:
                 continue
             b = len(text[cut:m.start()].encode("utf-8", "surrogatepass"))
@@ -99,15 +96,15 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", name: str = "n_
                  chunk_chars: int = 1 << 15, overlap_chars: int = 256) -> DataFrame:
     """`keep` (default: all columns but `name`) and the number of tokens of the whole text."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != name]
-    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text"))
-    schema = rows.drop("__text").withColumn(name, F.lit(0).cast("long")).schema
+    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text].cast("string"), F.lit("")).alias(TEXT))
+    schema = rows.drop(TEXT).withColumn(name, F.lit(0).cast("long")).schema
 
     def run(batches):
         c = counter(path, chunk_chars, overlap_chars)
         for b in batches:
-            texts = b.column(b.schema.names.index("__text"))
+            texts = b.column(b.schema.names.index(TEXT))
             n = pa.array([c.count(t.as_py()) for t in texts], pa.int64())
-            names = [x for x in b.schema.names if x != "__text"]
+            names = [x for x in b.schema.names if x != TEXT]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(x)) for x in names], n], [*names, name])
 
     return rows.mapInArrow(run, schema)

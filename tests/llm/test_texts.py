@@ -136,10 +136,26 @@ def _fuzz(n, size):
 
 def test_bpe_fuzz():
     texts = _fuzz(500, 40)
-    voc = bpe.Vocabulary(PATH, cache_size=100)
+    voc = bpe.Vocabulary(PATH, cache_bytes=20_000)
     for step in (1, 1 << 20):
         got = [np.frombuffer(x, np.int32).tolist() for x in voc.encode_batch(texts, step)]
         assert got == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+        assert voc.cached <= 20_000 and voc.cached == sum(200 + len(p) + len(x) for p, x in voc.cache.items())
+    voc.forget()
+    assert not voc.cache
+
+
+def test_bpe_long_pieces():
+    """Unbroken pieces, alone and many, equal the library; the flat tree needs n log n steps."""
+    rng = np.random.default_rng(4)
+    texts = ["a" * 20_000, "".join(map(chr, rng.integers(97, 123, 30_000))), "é" * 3001, "".join(map(chr, rng.integers(97, 100, 129)))]
+    texts += ["".join(map(chr, rng.integers(97, 100, 200 + i))) for i in range(50)]
+    voc = bpe.Vocabulary(PATH)
+    got = [np.frombuffer(x, np.int32).tolist() for x in voc.encode_batch(texts)]
+    assert got == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    for n in (1, 2, 3, 7, 8, 9):
+        piece = ("lo" * n)[:n + 1].encode()
+        assert voc.merge_one(piece) == voc.merge_all([piece.decode()])[0]
 
 
 def test_token_counts(docs):

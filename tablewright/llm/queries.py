@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_counts, topk, url_filter
+from . import (bpe, clustering, html_extract, license_scan, line_dedup, mixing, quality_rules, simhash, spelling, substring_dedup,
+               token_counts, topk, url_filter)
 from .common import load, ship
 
 #: The vocabulary file of the token queries.
@@ -70,6 +71,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = clustering.cluster(clustering.quantized(load(spark, sf_dir, "embeddings")), k=8, rounds=10, seed=3)
+    return clustering.with_inertia(found, centroids)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(load(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -122,7 +136,91 @@ def _reputation_sql(rules, min_good: float, z: float) -> str:
         FROM p LEFT JOIN bad ON host = bad"""
 
 
+
+
+def _license_sql() -> str:
+    """Phrases by place, and containment of every template in every block, all pairs."""
+    def words(text):
+        return [w.decode() for w in license_scan.words_of(text)]
+
+    step = max(len(words(t)) for _, t in license_scan.TEMPLATES)
+    rows = ", ".join(f"('{label}', {sorted(set(words(t)))})" for label, t in license_scan.TEMPLATES)
+    phrases = ", ".join(f"('{label}', '{p}', {len(words(p))})" for p, label in license_scan.PHRASES.items())
+    share = license_scan.THRESHOLD
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}),
+                          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        p(label, phrase, n) AS (VALUES {phrases}),
+        i AS (SELECT r, w, unnest(range(len(w))) AS place FROM d),
+        base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
+                 FROM i JOIN p ON array_to_string(w[place + 1:place + n], ' ') = phrase GROUP BY r),
+        t(label, t) AS (VALUES {rows}),
+        b AS (SELECT r, list_distinct(w[k * {step} + 1:(k + 2) * {step}]) AS b FROM (
+                SELECT r, w, unnest(range((len(w) + {step} - 1) // {step})) AS k FROM d)),
+        f AS (SELECT r, label, len(list_intersect(b, t)) / len(t) AS score FROM b JOIN t
+                ON {share.denominator} * len(list_intersect(b, t)) >= {share.numerator} * len(t)),
+        best AS (SELECT r, list(DISTINCT label) AS labels, max(score) AS score FROM f GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+               coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ',') AS labels,
+               CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best.score, 0.0)::DOUBLE END AS score
+        FROM d LEFT JOIN base USING (r) LEFT JOIN best USING (r)"""
+
+
+def _centroid_sql(k: int, rounds: int, seed: int, size: int = 64) -> str:
+    """Lloyd's rounds, one after the other, over all distances."""
+    def near(n):
+        return f"""(SELECT r, min({{'d': d, 'c': c}}) AS best FROM (SELECT r, c, list_sum(list_transform(list_zip(k.v, m.v),
+                    lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM k, m{n} m) GROUP BY r)"""
+
+    steps = [f"""m{n + 1} AS MATERIALIZED (SELECT m.c, coalesce(s.v, m.v) AS v FROM m{n} m LEFT JOIN (
+            SELECT c, list(v ORDER BY i) AS v FROM (
+                SELECT best.c AS c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS v
+                FROM {near(n)} JOIN (SELECT r, unnest(v) AS x, unnest(range({size})) AS i FROM k) USING (r) GROUP BY best.c, i) GROUP BY c) s USING (c))""" for n in range(rounds)]
+    return f"""
+        WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+        m0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1)::INTEGER AS c, v
+            FROM (SELECT vec_id, v FROM k ORDER BY sha256('{seed}:' || vec_id), v LIMIT {k})),
+        {", ".join(steps)},
+        a AS (SELECT r, best.c AS cluster, best.d AS distance FROM {near(rounds)})
+        SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+               (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+        FROM k JOIN a USING (r) JOIN m{rounds} m ON m.c = a.cluster"""
+
+
+def _spelling_sql(least: int, factor: int) -> str:
+    """Near words by what is left when each place is taken out; the crc32 byte by byte."""
+    table = []
+    for n in range(256):  # the table of the reversed polynomial, by its rule
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return f"""
+        WITH RECURSIVE t AS (SELECT {table}::BIGINT[] AS t),
+        d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+        c AS (SELECT doc_id, run, count(*) AS n, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS h FROM d WHERE length(run) >= {least} GROUP BY doc_id, run),
+        s AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                  lambda crc, b: xor(crc >> 8, t[xor(crc & 255, b) + 1])), 4294967295) AS crc FROM c, t),
+        o AS (SELECT CASE WHEN crc % 31 = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM s),
+        v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= {least} GROUP BY word HAVING sum(n) >= 2),
+        x AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+        e AS (SELECT a.word AS word, a.n AS n, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+              UNION SELECT v.word, v.n, x.word, x.n FROM v JOIN x ON v.word = x.rest
+              UNION SELECT x.word, x.n, v.word, v.n FROM v JOIN x ON v.word = x.rest),
+        b AS MATERIALIZED (SELECT word, n, count(*) AS n_near, min({{'m': -near_n, 'w': near}}) AS best FROM e GROUP BY word, n),
+        f AS MATERIALIZED (SELECT word, n_near, CASE WHEN -best.m >= {factor} * n THEN best.w END AS form, CASE WHEN -best.m >= {factor} * n THEN -best.m END AS form_n FROM b),
+        r AS (SELECT word, form AS root, 1 AS hop FROM f WHERE form IS NOT NULL
+              UNION ALL SELECT r.word, f.form, hop + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL),
+        z AS (SELECT word, arg_max(root, hop) AS root FROM r GROUP BY word)
+        SELECT v.word, form, coalesce(root, v.word) AS root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+        FROM v LEFT JOIN f ON v.word = f.word LEFT JOIN z ON v.word = z.word"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_license_scan": _license_sql(),
+    "op12_centroids": _centroid_sql(k=8, rounds=10, seed=3),
+    "op13_spelling": _spelling_sql(spelling.LEAST, spelling.FACTOR),
     "op1_url_filter": _reputation_sql(url_filter.RULES, min_good=0.5, z=1.645),
     "op2_substring_dedup": """
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),

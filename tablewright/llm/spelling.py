@@ -148,20 +148,19 @@ class Acceptors:
                     yield x + y, x + d + y
 
 
-def near_in_partition(words: list[str], chunk: list[int], length: int, shared: str, backwards: bool):
+def near_in_partition(words: list[str], chunk: list[int], i: int, j: int, length: int, shared: str, backwards: bool):
     """Near pairs of one partition: words of `length` and `length` + 1 code points that all begin
-    (or end) with `shared`, of one chunk or of two that are composed with each other."""
+    (or end) with `shared`, one of chunk `i` and one of chunk `j`."""
     m = length // 2
     fst, cut_off = Acceptors(), len(shared)
     sets: dict[tuple[int, bool], list[str]] = {}
     for w, c in zip(words, chunk, strict=True):
         sets.setdefault((c, len(w) > length), []).append(w[len(w) - cut_off - 1::-1] if backwards else w[cut_off:])
     start = {k: fst.add(sorted(v)) for k, v in sets.items()}
-    ids = sorted({c for c, _ in start})
     jobs = []
-    if (ids[0], False) in start and (ids[-1], False) in start:
-        jobs.append(fst.replaced(start[ids[0], False], start[ids[-1], False]))
-    for short, long in {(ids[0], ids[-1]), (ids[-1], ids[0])}:
+    if (i, False) in start and (j, False) in start:
+        jobs.append(fst.replaced(start[i, False], start[j, False]))
+    for short, long in {(i, j), (j, i)}:
         if (short, False) in start and (long, True) in start:
             jobs.append(fst.inserted(start[short, False], start[long, True]))
     for job in jobs:
@@ -196,13 +195,13 @@ def near_pairs(words: DataFrame, chunk_rows: int = 5000, least: int = LEAST) ->
 
     def run(batches):
         for table, group in whole_groups(batches, by):
-            cols = {c: table.column(c).to_pylist() for c in ("word", "n", "chunk", "length", "backwards", "shared")}
+            cols = {c: table.column(c).to_pylist() for c in table.column_names}
             out: dict[str, list] = {"a": [], "a_n": [], "b": [], "b_n": []}
             ends = [*(group[1:] != group[:-1]).nonzero()[0] + 1, len(group)]
             at = 0
             for end in ends:
                 words, count = cols["word"][at:end], dict(zip(cols["word"][at:end], cols["n"][at:end], strict=True))
-                for u, v in near_in_partition(words, cols["chunk"][at:end], cols["length"][at], cols["shared"][at], cols["backwards"][at]):
+                for u, v in near_in_partition(words, cols["chunk"][at:end], *(cols[c][at] for c in ("i", "j", "length", "shared", "backwards"))):
                     for name, value in zip(out, (u, count[u], v, count[v]), strict=True):
                         out[name].append(value)
                 at = end

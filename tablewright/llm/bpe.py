@@ -19,6 +19,7 @@ step of pieces; a text without white space is one step.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from itertools import islice
@@ -29,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, sliced, text_bytes
+
 #: The split pattern of the vocabulary's byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,6 +44,9 @@ STABLE = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 #: Names of the library's own columns in a task; an input column of the same name is refused.
 TEXT, IDS = "_tw_bpe_text", "_tw_bpe_ids"
 
+#: Bytes of texts or ids that a task works at once.
+SLICE = 4 << 20
+
 _NONE = np.int64(1) << np.int64(62)
 
 
@@ -51,17 +57,41 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+class Decoder:
+    """The bytes of every token of a vocabulary file, which is all that decoding needs."""
+
+    def __init__(self, path: str):
+        file = _read(path)
+        byte = {c: b for b, c in enumerate(byte_alphabet())}
+        tokens = {i: bytes(byte[c] for c in t) for t, i in file["model"]["vocab"].items()}
+        tokens |= {x["id"]: x["content"].encode() for x in file.get("added_tokens", [])}
+        every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.token_len = np.array([len(t) for t in every], np.int64)
+        self.token_at = np.cumsum(self.token_len) - self.token_len
+        self.flat = np.frombuffer(b"".join(every), np.uint8)
+
+    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of consecutive runs of `counts` ids."""
+        if not len(ids):
+            return [""] * len(counts)
+        out = []
+        ends = np.cumsum(counts)
+        for at, end in zip(ends - counts, ends, strict=True):
+            part = ids[at:end]
+            n = self.token_len[part]
+            to = np.cumsum(n)
+            where = np.repeat(self.token_at[part] - (to - n), n) + np.arange(to[-1] if len(to) else 0)
+            out.append(self.flat[where].tobytes().decode("utf-8", "replace"))
+        return out
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary file (.json of the public tokenizers library)."""
 
     def __init__(self, path: str, cache_bytes: int = 24 << 20):
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
+        file = _read(path)
         vocab, merges = file["model"]["vocab"], file["model"]["merges"]
-        byte = {c: b for b, c in enumerate(byte_alphabet())}
-        self.bytes = {i: bytes(byte[c] for c in t) for t, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in file.get("added_tokens", [])}
-        self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.of_byte = np.array([vocab[c] for c in byte_alphabet()], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
@@ -70,14 +100,17 @@ class Vocabulary:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.rank_of = {k: r for k, r in zip(keys.tolist(), range(len(keys)), strict=True)}
-        self.merged_list = self.merged.tolist()
         self.cache: dict[str, bytes] = {}
         self.cache_bytes, self.cached = cache_bytes, 0
-        top = max(self.bytes) + 1
-        self.token_len = np.array([len(self.bytes.get(i, b"")) for i in range(top)], np.int64)
-        self.token_at = np.cumsum(self.token_len) - self.token_len
-        self.flat = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(top)), np.uint8)
+
+    @functools.cached_property
+    def rank_of(self) -> dict[int, int]:
+        """{pair: rank}, for lone long pieces."""
+        return dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+
+    @functools.cached_property
+    def merged_list(self) -> list[int]:
+        return self.merged.tolist()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each adjacent pair, or _NONE; ids below zero stand for no token."""
@@ -256,28 +289,21 @@ class Vocabulary:
             flush()
         return out
 
-    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """Texts of consecutive runs of `counts` ids."""
-        if not len(ids):
-            return [""] * len(counts)
-        out = []
-        ends = np.cumsum(counts)
-        for at, end in zip(ends - counts, ends, strict=True):
-            part = ids[at:end]
-            n = self.token_len[part]
-            to = np.cumsum(n)
-            where = np.repeat(self.token_at[part] - (to - n), n) + np.arange(to[-1] if len(to) else 0)
-            out.append(self.flat[where].tobytes().decode("utf-8", "replace"))
-        return out
 
+def _read(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
-_LOADED: dict[str, Vocabulary] = {}
 
+_LOADED: dict = {}
 
-def vocabulary(path: str) -> Vocabulary:
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+
+def vocabulary(path: str, kind=Vocabulary):
+    """The file as `kind` needs it, read once a process."""
+    if (path, kind) not in _LOADED:
+        _LOADED[path, kind] = kind(path)
+        give_back()
+    return _LOADED[path, kind]
 
 
 def _struct_of(batch: pa.RecordBatch, name: str):
@@ -292,13 +318,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
 
     def run(batches):
         voc = vocabulary(path)
-        for b in batches:
+        for b in sliced(batches, text_bytes(TEXT), SLICE):
             got = voc.encode_batch(_struct_of(b, TEXT).to_pylist())
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got]))).astype(np.int32)
             col = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
             cols = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != TEXT]
             yield pa.RecordBatch.from_arrays([*cols, col], [n for n in b.schema.names if n != TEXT] + [ids])
         voc.forget()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -310,13 +337,14 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
     schema = rows.drop(IDS).withColumn(text, F.lit("")).schema
 
     def run(batches):
-        voc = vocabulary(path)
-        for b in batches:
+        voc = vocabulary(path, Decoder)
+        for b in sliced(batches, lambda b: 4 * _struct_of(b, IDS).value_lengths().to_numpy(), SLICE):
             col = _struct_of(b, IDS)
             flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
             got = voc.decode_batch(flat[ends[0]:ends[-1]], np.diff(ends))
             cols = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != IDS]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.string())], [n for n in b.schema.names if n != IDS] + [text])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import string
@@ -9,6 +12,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +100,31 @@ def whole_groups(batches, names: list[str], rows: int = 8192):
         yield grouped()
 
 
+def sliced(batches, weights, most: int):
+    """The batches' rows in slices of about `most` by `weights(batch)` (one number a row), so that
+    what a task makes of a slice stays small whatever a batch holds."""
+    for b in batches:
+        ends = np.cumsum(np.maximum(weights(b), 1)) if b.num_rows else np.empty(0)
+        at = 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, upto - at)
+            at = upto
+
+
+def text_bytes(name: str):
+    """weights for `sliced`: the UTF-8 bytes of a string column."""
+    return lambda b: pa.compute.fill_null(pa.compute.binary_length(b.column(b.schema.names.index(name))), 0).to_numpy(zero_copy_only=False)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _SHIPPED: dict[str, str] = {}
 
 

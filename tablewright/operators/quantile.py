@@ -1,11 +1,21 @@
-"""Exact quantiles that scale (AGG-23 and every operator needing quartiles).
+"""Exact quantiles by sketch-bracketed selection (AGG-23 and every operator needing quartiles).
 
-Values are first counted per (group, column, value) with map-side combination,
-so a value that a third of all rows share is one row.  The counts are then
-cumulated over the sorted distinct values (``analytics.running_total``, in
-blocks), and a quantile is read off the rows whose cumulated range holds the two
-ranks around it.  Neither a group nor a column has to fit a task.
-``strategy="approx"`` uses ``percentile_approx`` (a bounded sketch) instead.
+Nothing is sorted, written or moved but a small part of the values:
+
+1. one aggregate makes a mergeable quantile sketch per (group, column), whose rank
+   error is bounded, and reads off a value below and one above each wanted rank: a
+   bracket;
+2. one aggregate counts exactly what lies below and inside every bracket.  A bracket
+   that misses its rank is opened to that side; one with more than `LIMIT` rows
+   strictly inside is narrowed by a sketch of what lies inside it, and counted again;
+3. only values inside brackets are counted by value (with map-side combination, so a
+   value shared by a third of the rows is one row), cumulated from the exact count
+   below, and read off at the two ranks around the quantile.
+
+A group of few rows has the whole value range as bracket.  The brackets of a whole
+table are literals of the plan; those of groups are one row per group, joined by key
+(Spark broadcasts them if they are small).  A window holds at most `LIMIT` different
+values and the two ends.  ``strategy="approx"`` uses ``percentile_approx`` instead.
 
 Interpolation is linear between the two closest ranks, as pandas'
 ``quantile`` and SQL's ``quantile_cont`` do.
@@ -15,12 +25,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..order import freeze
 from ..schema import OperatorError, as_list, col
 
 STRATEGIES = ("exact", "approx")
+#: Rows strictly inside a bracket beyond which it is narrowed once more.
+LIMIT = 200_000
+#: Groups up to this size have the whole range as bracket; a sketch's rank error is 1 / ACCURACY.
+SMALL, ACCURACY = 4000, 2000
+#: Steps of the grid by which brackets are narrowed (an eighth of the accuracy leaves room for its error).
+GRID = ACCURACY // 8
 
 
 def _not_null(cols) -> Column:
@@ -40,44 +57,135 @@ def _sketch_table(df: DataFrame, columns: list[str], qs: list[float], by: list[s
         *keys, "column", F.element_at(F.array(*map(F.lit, qs)), F.col("pos") + 1).alias("q"), F.col("col").alias("value"))
 
 
+class _Brackets:
+    """Brackets of every (group, column, quantile): one row per group, or one of literals.
+
+    Columns: n{i} values of column i, and for quantile j of it the bounds l{i}_{j} and h{i}_{j}."""
+
+    def __init__(self, wide: DataFrame, keys: list[str]):
+        self.keys = keys
+        self.names = [c for c in wide.columns if c not in keys]
+        self.table = freeze(wide, "quantile") if keys else None
+        self.values = None if keys else wide.first().asDict()
+
+    def on(self, rows: DataFrame) -> DataFrame:
+        """The rows, each with its group's brackets."""
+        if not self.keys:
+            return rows.select("*", *[F.lit(self.values[c]).alias(c) for c in self.names])
+        table = self.table.select(*[F.col(k).alias("_g" + k) for k in self.keys], *self.names)
+        return rows.join(table, [F.col(k) == F.col("_g" + k) for k in self.keys]).drop(*["_g" + k for k in self.keys])
+
+
+def _agg(rows: DataFrame, keys: list[str], exprs: list[Column]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*exprs) if keys else rows.agg(*exprs)
+
+
 def _exact_table(df: DataFrame, columns: list[str], qs: list[float], by: list[str]) -> DataFrame:
-    """Quantiles read off the cumulated counts of the distinct values."""
-    from .analytics import running_total
-    names = [f"_tw_k{i}" for i in range(len(by))] + ["_tw_c"]
-    cells = df.filter(_not_null(by)).select(
-        *[col(b).alias(k) for b, k in zip(by, names)],
-        F.inline(F.array(*[F.struct(F.lit(c).alias("_tw_c"), col(c).cast("double").alias("_tw_v")) for c in columns])))
-    counts = cells.filter(F.col("_tw_v").isNotNull()).groupBy(*names, "_tw_v").agg(F.count(F.lit(1)).alias("_tw_n"))
-    upto = running_total(counts, "_tw_n", ["_tw_v"], names, name="_tw_to")
-    sizes = upto.groupBy(*names).agg(F.max("_tw_to").alias("_tw_all"))
-    at = upto.join(sizes, names)
-    start, end = F.col("_tw_to") - F.col("_tw_n"), F.col("_tw_to")
-
-    def holds(rank):
-        return (start <= rank) & (rank < end)
-
-    ranks = [(F.col("_tw_all") - 1) * F.lit(q) for q in qs]
-    need = F.lit(False)
-    for h in ranks:
-        need = need | holds(F.floor(h)) | holds(F.ceil(h))
-    aggs = []
-    for i, h in enumerate(ranks):
-        aggs += [F.max(F.when(holds(F.floor(h)), F.col("_tw_v"))).alias(f"_tw_lo{i}"),
-                 F.max(F.when(holds(F.ceil(h)), F.col("_tw_v"))).alias(f"_tw_hi{i}")]
-    g = at.filter(need).groupBy(*names).agg(F.max("_tw_all").alias("_tw_all"), *aggs)
-    structs = []
-    for i, (q, h) in enumerate(zip(qs, ranks)):
-        lo, hi = F.floor(h), F.ceil(h)
-        value = F.when(lo == hi, F.col(f"_tw_lo{i}")).otherwise(
-            (hi - h) * F.col(f"_tw_lo{i}") + (h - lo) * F.col(f"_tw_hi{i}"))
-        structs.append(F.struct(F.lit(q).alias("q"), value.alias("value")))
-    out = g.select(*[F.col(k).alias(b) for b, k in zip(by, names)], F.col("_tw_c").alias("column"), F.inline(F.array(*structs)))
+    """Long (by..., column, q, value) by sketched brackets."""
+    keys = [f"_tw_k{i}" for i in range(len(by))]
+    rows = df.filter(_not_null(by)).select(*[col(b).alias(k) for b, k in zip(by, keys)],
+                                           *[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    every = [(i, j) for i in range(len(columns)) for j in range(len(qs))]
+    least, most = F.lit(float("-inf")), F.lit(float("nan"))  # NaN is Spark's largest double
+
+    def rank(i, j):
+        return (F.col(f"n{i}") - 1) * F.lit(qs[j])
+
+    # 1. sketch
+    margin = 2.0 / ACCURACY
+    probes = [p for q in qs for p in (max(0.0, q - margin), min(1.0, q + margin))]
+    wide = _agg(rows, keys, [e for i in range(len(columns)) for e in (
+        F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", probes, ACCURACY).alias(f"p{i}"))])
+    few = {i: F.col(f"n{i}") <= SMALL for i in range(len(columns))}
+    state = _Brackets(wide.select(*keys, *[f"n{i}" for i in range(len(columns))], *[e for i, j in every for e in (
+        F.when(few[i], least).otherwise(F.get(f"p{i}", F.lit(2 * j))).alias(f"l{i}_{j}"),
+        F.when(few[i], most).otherwise(F.get(f"p{i}", F.lit(2 * j + 1))).alias(f"h{i}_{j}"))]), keys)
+
+    # 2. count, and narrow what is too wide
+    state, widest = _counted(rows, state, every, rank, least, most)
+    before = math.inf
+    while LIMIT < widest < before:  # each round leaves about a fiftieth; a handful of rows may stay
+        before = widest
+        state, widest = _counted(rows, _narrowed(rows, state, every, rank), every, rank, least, most)
+
+    # 3. pick
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"n{i}").alias("n"), F.col(f"b{i}_{j}").alias("b"), F.col(f"v{i}").alias("v"),
+                               ((F.col(f"v{i}") >= F.col(f"l{i}_{j}")) & (F.col(f"v{i}") <= F.col(f"h{i}_{j}"))).alias("inside")) for i, j in every])
+    inside = state.on(rows).select(*keys, F.inline(F.filter(cells, lambda x: x["inside"])))
+    counts = inside.groupBy(*keys, "i", "j", "n", "b", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.col("b") + F.sum("c").over(Window.partitionBy(*keys, "i", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    q = F.element_at(F.array(*map(F.lit, qs)), F.col("j") + 1)
+    at = counts.select(*keys, "i", "j", "v", "c", upto.alias("end"), ((F.col("n") - 1) * q).alias("h"))
+
+    def holding(r):
+        return F.max(F.when((F.col("end") - F.col("c") <= r) & (r < F.col("end")), F.col("v")))
+
+    g = at.groupBy(*keys, "i", "j").agg(holding(F.floor("h")).alias("lo"), holding(F.ceil("h")).alias("hi"), F.max("h").alias("h"))
+    lo, hi = F.floor("h"), F.ceil("h")
+    value = F.when(lo == hi, F.col("lo")).otherwise((hi - F.col("h")) * F.col("lo") + (F.col("h") - lo) * F.col("hi"))
+    out = g.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1).alias("column"), q.alias("q"),
+                   value.alias("value"), *([] if by else ["i", "j"]))
     if by:
         return out
     # whole table: every column has its rows, NULL where it has no values
-    axis = df.sparkSession.createDataFrame([(c, q) for c in columns for q in qs], "_tw_c string, _tw_q double")
-    return axis.join(out, (F.col("_tw_c") == F.col("column")) & (F.col("_tw_q") == F.col("q")), "left").select(
-        F.col("_tw_c").alias("column"), F.col("_tw_q").alias("q"), "value")
+    got = {(r["i"], r["j"]): r["value"] for r in out.collect()}
+    return df.sparkSession.createDataFrame([(columns[i], qs[j], got.get((i, j))) for i, j in every], "column string, q double, value double")
+
+
+def _counted(rows, state, every, rank, least, most):
+    """The brackets with b (rows below), s (strictly inside) and a (up to the lower bound), and the
+    largest s.  A bracket that misses its rank is opened to that side."""
+    keys = state.keys
+    exprs, seen = [], set()
+    for i, j in every:
+        v, lo, hi = (F.col(f"{x}{i}{y}") for x, y in (("v", ""), ("l", f"_{j}"), ("h", f"_{j}")))
+        if i not in seen:
+            seen.add(i)
+            exprs.append(F.max(f"n{i}").alias(f"n{i}"))
+        exprs += [F.max(lo).alias(f"l{i}_{j}"), F.max(hi).alias(f"h{i}_{j}"), F.count_if(v < lo).alias(f"b{i}_{j}"),
+                  F.count_if(v <= lo).alias(f"a{i}_{j}"), F.count_if(v < hi).alias(f"u{i}_{j}"), F.count_if(v <= hi).alias(f"t{i}_{j}")]
+    wide = _agg(state.on(rows), keys, exprs)
+    out = [c for c in wide.columns if c in keys or c[0] == "n"]
+    spans = []
+    for i, j in every:
+        b, a, u, t = (F.col(f"{x}{i}_{j}") for x in "baut")
+        under, over = F.floor(rank(i, j)) < b, F.ceil(rank(i, j)) >= t
+        b2, a2, u2 = F.when(under, F.lit(0)).otherwise(b), F.when(under, F.lit(0)).otherwise(a), F.when(over, F.col(f"n{i}")).otherwise(u)
+        out += [F.when(under, least).otherwise(F.col(f"l{i}_{j}")).alias(f"l{i}_{j}"), F.when(over, most).otherwise(F.col(f"h{i}_{j}")).alias(f"h{i}_{j}"),
+                b2.cast("long").alias(f"b{i}_{j}"), a2.cast("long").alias(f"a{i}_{j}"), F.greatest(u2 - a2, F.lit(0)).cast("long").alias(f"s{i}_{j}")]
+        spans.append(f"s{i}_{j}")
+    state = _Brackets(wide.select(*out), keys)
+    if keys:
+        widest = state.table.agg(F.max(F.greatest(F.lit(0), *map(F.col, spans)))).first()[0] or 0
+    else:
+        widest = max([0, *(state.values[c] or 0 for c in spans)])
+    return state, widest
+
+
+def _narrowed(rows, state, every, rank):
+    """Closer bounds for the brackets over LIMIT, from a sketch of the values strictly inside them."""
+    keys = state.keys
+    grid = [k / GRID for k in range(GRID + 1)]
+    exprs, seen = [], set()
+    for i, j in every:
+        v, lo, hi = (F.col(f"{x}{i}{y}") for x, y in (("v", ""), ("l", f"_{j}"), ("h", f"_{j}")))
+        wide = F.col(f"s{i}_{j}") > LIMIT
+        exprs += [F.max(f"{x}{i}_{j}").alias(f"{x}{i}_{j}") for x in "lhas"]
+        exprs.append(F.percentile_approx(F.when(wide & (v > lo) & (v < hi), v), grid, ACCURACY).alias(f"p{i}_{j}"))
+        if i not in seen:
+            seen.add(i)
+            exprs.append(F.max(f"n{i}").alias(f"n{i}"))
+    got = _agg(state.on(rows), keys, exprs)
+    out = [c for c in got.columns if c in keys or c[0] == "n"]
+    for i, j in every:
+        a, s, p = F.col(f"a{i}_{j}"), F.col(f"s{i}_{j}"), F.col(f"p{i}_{j}")
+        step = F.lit(float(GRID)) / F.greatest(s, F.lit(1))
+        left = F.floor((F.floor(rank(i, j)) - a) * step).cast("int") - 2
+        right = F.ceil((F.ceil(rank(i, j)) - a + 1) * step).cast("int") + 2
+        # a rank at a bound itself keeps that bound
+        out += [F.when((s > LIMIT) & (left >= 0), F.get(p, F.least(left, F.lit(GRID)))).otherwise(F.col(f"l{i}_{j}")).alias(f"l{i}_{j}"),
+                F.when((s > LIMIT) & (right <= GRID), F.get(p, F.greatest(right, F.lit(0)))).otherwise(F.col(f"h{i}_{j}")).alias(f"h{i}_{j}")]
+    return _Brackets(got.select(*out), keys)
 
 
 def quantile_table(df: DataFrame, columns, qs, by=None, strategy: str = "exact") -> DataFrame:

@@ -47,3 +47,38 @@ def test_hot_value_is_one_row(spark):
     df = spark.range(20_000).selectExpr("cast(if(id % 5 < 3, 7, id) as double) AS v")
     want = df.toPandas().v.quantile([0.25, 0.5, 0.75]).tolist()
     assert Q.quantile_values(df, ["v"], [0.25, 0.5, 0.75])["v"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("limit, small", [(10, 10), (200, 0), (200_000, 4000)])
+def test_brackets_are_narrowed(spark, monkeypatch, limit, small):
+    """Tiny limits force narrowing; hot values, NaN and infinities keep their ranks."""
+    monkeypatch.setattr(Q, "LIMIT", limit)
+    monkeypatch.setattr(Q, "SMALL", small)
+    df = spark.range(30_000).selectExpr(
+        "id % 4 AS g", "CAST(CASE WHEN id % 3 = 0 THEN 5 WHEN id % 1000 = 1 THEN NULL ELSE (id * 7919) % 30011 END AS double) AS a",
+        "CAST(IF(id % 2 = 0, 1, 2) AS double) AS b", "CAST(id * id % 10007 AS int) AS c")
+    pdf = df.toPandas()
+    got = {(r["column"], r["q"]): r["value"] for r in Q.quantile_table(df, ["a", "b", "c"], QS).collect()}
+    assert got == {(c, q): pytest.approx(pdf[c].quantile(q), rel=1e-12) for c in "abc" for q in QS}
+    by = {(r["g"], r["column"], r["q"]): r["value"] for r in Q.quantile_table(df, ["a", "b", "c"], QS, by="g").collect()}
+    assert by == {(g, c, q): pytest.approx(x[c].quantile(q), rel=1e-12) for g, x in pdf.groupby("g") for c in "abc" for q in QS}
+
+
+def test_odd_doubles(spark):
+    values = [float("inf"), float("-inf"), 0.0, -0.0, 1.5, None, 1e300] * 3
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    known = sorted(v for v in values if v is not None)
+    got = Q.quantile_values(df, ["v"], [0.0, 1.0, 6 / 17])["v"]
+    assert got == [known[0], known[-1], known[6]]
+
+
+def test_quantiles_sort_and_write_nothing(spark, tmp_path):
+    """The plan of a whole-table quantile holds no range sort, and scratch stays empty."""
+    import os
+    df = spark.range(50_000).selectExpr("cast(id * 31 % 50021 as double) AS v")
+    root = spark.sparkContext.getCheckpointDir() or ""
+    before = sum(len(f) for *_, f in os.walk(root.removeprefix("file:")))
+    Q.quantile_values(df, ["v"], [0.25, 0.5])
+    assert sum(len(f) for *_, f in os.walk((spark.sparkContext.getCheckpointDir() or "").removeprefix("file:"))) == before
+    plan = Q.quantile_table(df.withColumn("g", df.v % 3), ["v"], [0.5], by="g")._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -5,16 +5,14 @@ Design rules:
 * the moments and counts of every column come from **one** ``agg`` (one
   scan, partial aggregation map-side); results are reshaped to long format,
   never computed column by column;
-* distinct counts and top values of many columns come from one unpivoted
-  value-count table ``(column, value, count)``; its group-by is pre-combined
-  on the map side, so a column with one dominant value costs little;
+* distinct counts and top values come from one value count per column over a
+  scan of that column alone, pre-combined on the map side (no cell is
+  exploded); ``approx`` uses distinct-count and heavy-hitter sketches;
 * top-k per group is ``row_number() <= k``: Spark inserts a partial
   per-group limit before the shuffle, so each task ships at most k rows
   per group;
-* exact quantiles come from ``operators.quantile``: a ``percentile`` map
-  for small value domains, a distributed sort by position for large ones
-  (chosen per column from a HyperLogLog estimate); ``approx=True`` switches
-  to ``percentile_approx``.
+* exact quantiles come from ``operators.quantile`` (values selected from
+  sketched brackets); ``approx=True`` switches to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -175,41 +173,88 @@ def percent_breakdown(df: DataFrame, column: str) -> DataFrame:
                          F.round(F.col("count") * 100.0 / F.lit(max(total, 1)), 4).alias("percent"))
 
 
-def _slots(df: DataFrame, c: str) -> list[Column]:
-    """A value as four typed slots (only the one of its family set)."""
+def _value(df: DataFrame, c: str) -> Column:
+    """A value as it is counted: integers and booleans as long, floats as double, times without zone, else text."""
     dt = dtype_of(df, c)
     x = col(c)
-    long_v = dbl_v = str_v = ts_v = None
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
-        long_v = x.cast("long")
-    elif isinstance(dt, (T.FloatType, T.DoubleType)):
-        dbl_v = x.cast("double") + F.lit(0.0)  # -0.0 + 0.0 = 0.0
-    elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        ts_v = x.cast("timestamp_ntz")
-    else:
-        str_v = x.cast("string")
-    def slot(v, t):
-        return (v if v is not None else F.lit(None)).cast(t)
-    return [slot(long_v, "long").alias("l"), slot(dbl_v, "double").alias("d"),
-            slot(str_v, "string").alias("s"), slot(ts_v, "timestamp_ntz").alias("t")]
+        return x.cast("long")
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return x.cast("double") + F.lit(0.0)  # -0.0 + 0.0 = 0.0
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return x.cast("timestamp_ntz")
+    return x.cast("string")
+
+
+def _column_counts(df: DataFrame, c: str) -> DataFrame:
+    """(value, count) of one column, NULLs left out: a scan of that column alone, combined map-side."""
+    return df.select(_value(df, c).alias("value")).filter(F.col("value").isNotNull()).groupBy("value").agg(
+        F.count(F.lit(1)).alias("count"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def value_count_table(df: DataFrame, columns=None) -> DataFrame:
     """Long ``(column, value, count)`` over many columns, NULLs left out.
 
-    One unpivot into typed slots (no per-cell text conversion), one
-    partially aggregated group-by; ``value`` is the text of the value,
-    derived after the aggregation (only for distinct values).  The shared
-    input of distinct counts, top values and describe's top/freq.
+    One partially aggregated group-by per column, each over a scan of that
+    column alone: no cell is exploded, and a columnar file is read once in
+    all.  ``value`` is the text of the value, derived after the aggregation.
     """
     cols = require_columns(df, columns or df.columns)
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), *_slots(df, c)) for c in cols])
-    long = df.select(F.inline(entries))
-    present = F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull() | F.col("t").isNotNull()
-    counts = long.filter(present).groupBy("column", "l", "d", "s", "t").agg(F.count(F.lit(1)).alias("count"))
-    text = F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), F.col("s"),
-                      F.col("t").cast("string"))
-    return counts.select("column", text.alias("value"), "count")
+    return _union([_column_counts(df, c).select(F.lit(c).alias("column"), F.col("value").cast("string").alias("value"), "count") for c in cols])
+
+
+def distinct_table(df: DataFrame, columns) -> DataFrame:
+    """(column, n) exact distinct non-null values, one row per column."""
+    return _union([_column_counts(df, c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column"), "n") for c in columns])
+
+
+# Items a heavy-hitter sketch tracks per column, and candidates recounted per wanted value.
+TRACKED, CANDIDATES = 4096, 10
+
+
+def top_categories(df: DataFrame, columns, k: int = 10, approx: bool = False) -> DataFrame:
+    """Long ``(column, rank, value, count)`` of the k most frequent values (count desc, value asc), exact.
+
+    With ``approx`` the candidates come from one aggregate of mergeable
+    heavy-hitter sketches and are recounted exactly, so no other value is
+    shuffled; a column whose k-th count does not stand out over the sketch's
+    error bound is counted in full.
+    """
+    cols = require_columns(df, columns)
+    full, parts = list(cols), []
+    if approx:
+        wanted = CANDIDATES * k
+        row = df.agg(*[e for i, c in enumerate(cols) for e in (
+            F.count(col(c)).alias(f"n{i}"),
+            F.call_function("approx_top_k", _value(df, c).cast("string"), F.lit(wanted), F.lit(TRACKED)).alias(f"t{i}"))]).first()
+        full = []
+        for i, c in enumerate(cols):
+            items = [(r["item"], r["count"]) for r in row[f"t{i}"] or [] if r["item"] is not None]
+            value = _value(df, c).cast("string")
+            counts = df.select(value.alias("value")).filter(F.col("value").isin([v for v, _ in items])).groupBy("value").agg(
+                F.count(F.lit(1)).alias("count"))
+            counts = counts.orderBy(F.desc("count"), "value").limit(k)
+            found = [r["count"] for r in counts.collect()] if items else []
+            # what is no candidate: never tracked (at most the sketch's error), or estimated below all candidates
+            bound = 4.0 * (row[f"n{i}"] or 0) / TRACKED
+            if len(row[f"t{i}"] or []) >= wanted:
+                bound = max(bound, min(n for _, n in items))
+            sure = len(row[f"t{i}"] or []) < wanted and sum(n for _, n in items) >= row[f"n{i}"]  # every row is a candidate's
+            if sure or (len(found) == k and found[-1] > bound):
+                parts.append((c, counts))
+            else:
+                full.append(c)
+    parts += [(c, _column_counts(df, c).select(F.col("value").cast("string").alias("value"), "count").orderBy(F.desc("count"), "value").limit(k)) for c in full]
+    ranked = [t.agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("minus"), "value"))).alias("top")).select(
+        F.lit(c).alias("column"), F.posexplode("top").alias("pos", "one")) for c, t in parts]
+    return _union(ranked).select("column", (F.col("pos") + 1).cast("int").alias("rank"), F.col("one.value").alias("value"), (-F.col("one.minus")).alias("count"))
 
 
 def top_values(df: DataFrame, columns=None, k: int = 10, counts: DataFrame | None = None) -> DataFrame:
@@ -225,8 +270,7 @@ def nunique(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
     if approx:
         wide = df.agg(*[F.approx_count_distinct(col(c)).alias(f"_tw{i}") for i, c in enumerate(cols)])
         return _stack(wide, cols, "_tw", "n_unique")
-    vc = value_count_table(df, cols)
-    return vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    return distinct_table(df, cols).where("n > 0").select("column", F.col("n").alias("n_unique"))
 
 
 def _stack(wide: DataFrame, cols: list[str], prefix: str, value_name: str) -> DataFrame:
@@ -424,22 +468,30 @@ def _cardinality(n: Column, bounds) -> Column:
 
 def column_profile(df: DataFrame, columns=None, approx: bool = False,
                    cardinality=PROFILE_CARDINALITY, with_skew: bool = False,
-                   strategy: str = "exact") -> DataFrame:
+                   strategy: str = "exact", top_k: int = 0) -> DataFrame:
     """AGG-9 (and AGG-10 with ``with_skew`` and chart cardinality classes).
 
     One row per column: dtype, kind, distinct and NULL counts, missing
     percent (2 decimals), cardinality class; numeric columns also mean,
-    median, std (0 with fewer than two values), min, max, q25, q75.
-
-    Three scans: (1) one aggregate for counts, moments and distinct-count
-    estimates of every column (one row to the driver); (2) the value-count
-    table for exact distinct counts; (3) quartiles (see ``quantile``).
+    median, std (0 with fewer than two values), min, max, q25, q75.  With
+    ``top_k`` categorical columns get ``top`` (array of value, count: the most
+    frequent first) and, with ``with_skew``, numeric ones ``strong`` (array of
+    column, r: later columns with abs(r) over ``STRONG_CORRELATION``, column order,
+    ten pairs in all).
+
+    One aggregate gives counts, moments and (``approx``) distinct-count
+    sketches of every column, one row to the driver, a second one the sums of
+    products behind the correlations; exact
+    distinct counts scan each column alone; quartiles are selected from
+    sketched brackets (see ``quantile``); no cell is exploded.
     """
     require_batch(df, "column_profile")
     cols = require_columns(df, columns or df.columns)
     num = [c for c in cols if is_numeric(dtype_of(df, c))]
     strat = "approx" if approx else strategy
     aggs = [F.count(F.lit(1)).alias("_tw_n")] + [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)]
+    if approx:
+        aggs += [F.approx_count_distinct(_value(df, c)).alias(f"d{i}") for i, c in enumerate(cols)]
     for i, c in enumerate(num):
         x = col(c).cast("double")
         aggs += [F.avg(x).alias(f"mean{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std{i}"),
@@ -448,33 +500,39 @@ def column_profile(df: DataFrame, columns=None, approx: bool = False,
             aggs.append(adjusted_skewness(x).alias(f"skew{i}"))
     row = df.agg(*aggs).first()
     n = row["_tw_n"]
+    distinct = {c: row[f"d{i}"] for i, c in enumerate(cols)} if approx else {
+        r["column"]: r["n"] for r in distinct_table(df, cols).collect()}
+    quart = Q.quantile_values(df, num, QUARTILES, strat) if num else {}
+    strong = []
+    if with_skew and top_k and len(num) > 1:
+        facts = {c: (row[f"mean{i}"], row[f"std{i}"], row[f"n{cols.index(c)}"]) for i, c in enumerate(num)}
+        strong = [x for x in _pair_correlations(df, num, facts, n) if x[2] is not None and abs(x[2]) > STRONG_CORRELATION][:10]
+    cats = [c for c in cols if c not in num and family(dtype_of(df, c)) != "datetime"]
+    top: dict[str, list] = {}
+    if top_k and cats:
+        for r in sorted(top_categories(df, cats, top_k, approx).collect(), key=lambda r: r["rank"]):
+            top.setdefault(r["column"], []).append((r["value"], r["count"]))
     facts = []
     for i, c in enumerate(cols):
         dt = dtype_of(df, c)
         kind = "numeric" if c in num else ("datetime" if family(dt) == "datetime" else "categorical")
         j = num.index(c) if c in num else None
         nulls = n - row[f"n{i}"]
-        facts.append((c, dt.simpleString(), kind, i, nulls,
+        facts.append((c, dt.simpleString(), kind, i, distinct.get(c) or 0, nulls,
                       round(nulls * 100.0 / n, 2) if n else None,
-                      *([row[f"mean{j}"], row[f"std{j}"], row[f"min{j}"], row[f"max{j}"]]
-                        if j is not None else [None] * 4),
-                      *([row[f"skew{j}"] if j is not None else None] if with_skew else [])))
-    schema = ("column string, dtype string, kind string, ordinal int, n_null long, missing_pct double, "
-              "mean double, std double, min double, max double" + (", skewness double" if with_skew else ""))
+                      *([row[f"mean{j}"], quart[c][1], row[f"std{j}"], row[f"min{j}"], row[f"max{j}"], quart[c][0], quart[c][2]]
+                        if j is not None else [None] * 7),
+                      *([row[f"skew{j}"] if j is not None else None] if with_skew else []),
+                      *([top.get(c)] if top_k else []),
+                      *([[(b, r) for a, b, r in strong if a == c] or None] if top_k and with_skew else [])))
+    schema = ("column string, dtype string, kind string, ordinal int, n_distinct long, n_null long, missing_pct double, "
+              "mean double, median double, std double, min double, max double, q25 double, q75 double" + (", skewness double" if with_skew else "")
+              + (", top array<struct<value:string,count:bigint>>" if top_k else "")
+              + (", strong array<struct<column:string,r:double>>" if top_k and with_skew else ""))
     prof = df.sparkSession.createDataFrame(facts, schema)
-    distinct = value_count_table(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-    # every table here has one row per column
-    prof = prof.join(F.broadcast(distinct), "column", "left").withColumn(
-        "n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long"))
-    if num:
-        quart = Q.quantile_wide(df, num, QUARTILES, ["q25", "median", "q75"], None, strat)
-        prof = prof.join(F.broadcast(quart), "column", "left")
-    else:
-        prof = prof.select("*", *[F.lit(None).cast("double").alias(q) for q in ("q25", "median", "q75")])
     prof = prof.select("column", "dtype", "kind", "ordinal", "n_distinct", "n_null", "missing_pct",
                        _cardinality(F.col("n_distinct"), cardinality).alias("cardinality"),
-                       "mean", "median", "std", "min", "max", "q25", "q75",
-                       *(["skewness"] if with_skew else []))
+                       "mean", "median", "std", "min", "max", "q25", "q75", *prof.columns[14:])
     if with_skew:
         sk = F.abs(F.col("skewness"))
         (b1, l1), (b2, l2) = SKEW_CLASSES
@@ -488,46 +546,58 @@ def _stack_with_total(counts: DataFrame, cols: list[str]) -> DataFrame:
     return counts.selectExpr("_tw_n", f"stack({len(cols)}, {body}) as (`column`, non_null)")
 
 
-def chart_stats(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
-    """AGG-10: the chart-oriented profile (cardinality <10 / <50, skewness class)."""
-    return column_profile(df, columns, approx, CHART_CARDINALITY, with_skew=True)
+def chart_stats(df: DataFrame, columns=None, approx: bool = False, top_k: int = 0) -> DataFrame:
+    """AGG-10: the chart-oriented profile (cardinality <10 / <50, skewness class; with ``top_k``
+    the top values and strong pairs)."""
+    return column_profile(df, columns, approx, CHART_CARDINALITY, with_skew=True, top_k=top_k)
 
 
 # -------------------------------------------------------------- correlation
 
 def _pair_corr(x: str, y: str) -> Column:
-    """Pearson r on pairwise-complete rows; NULL for a constant column."""
+    """Pearson r on pairwise-complete rows; NULL for a constant column (``corr`` divides by its zero)."""
     cx, cy = col(x).cast("double"), col(y).cast("double")
-    xx = F.when(cy.isNotNull(), cx)
-    yy = F.when(cx.isNotNull(), cy)
-    return F.try_divide(F.covar_samp(xx, yy), F.nullif(F.stddev_samp(xx) * F.stddev_samp(yy),
-                                                        F.lit(0.0)))
+    spread = F.sqrt(F.regr_sxx(cy, cx)) * F.sqrt(F.regr_syy(cy, cx))
+    return F.try_divide(F.regr_sxy(cy, cx), F.nullif(spread, F.lit(0.0)))
+
+
+def _pair_correlations(df: DataFrame, num: list[str], facts: dict, n: int) -> list[tuple[str, str, float | None]]:
+    """(x, y, r) of all pairs in column order, given (mean, std, non-null count) of each column: one
+    sum of products of centred values a pair, the general form where a column has NULLs."""
+    pairs = [(a, b) for i, a in enumerate(num) for b in num[i + 1:]]
+    whole = {c for c in num if facts[c][2] == n}
+
+    def centred(c):
+        return col(c).cast("double") - F.lit(facts[c][0])
+
+    row = df.agg(*[(F.sum(centred(a) * centred(b)) if a in whole and b in whole else _pair_corr(a, b)).alias(f"r{k}")
+                   for k, (a, b) in enumerate(pairs)]).first()
+    out = []
+    for k, (a, b) in enumerate(pairs):
+        r = row[f"r{k}"]
+        if a in whole and b in whole:
+            spread = (n - 1) * facts[a][1] * facts[b][1]
+            r = r / spread if r is not None and spread else None
+        out.append((a, b, r))
+    return out
 
 
 def corr_matrix(df: DataFrame, columns=None, include_diagonal: bool = True) -> DataFrame:
-    """AGG-13: all numeric pairs in one aggregate, long ``(col_x, col_y, r)``.
+    """AGG-13: all numeric pairs, long ``(col_x, col_y, r)``.
 
-    Each unordered pair is computed once and emitted in both orders.
+    Two aggregates (moments, then sums of products), one row each; each
+    unordered pair is computed once and emitted in both orders.
     """
     cols = require_numeric(df, columns) if columns else numeric_columns(df)
     if len(cols) < 2:
         raise OperatorError("correlation needs at least two numeric columns")
-    aggs, structs = [], []
-    k = 0
-    for i, a in enumerate(cols):
-        if include_diagonal:
-            aggs.append(F.when(F.stddev_samp(col(a).cast("double")) > 0, F.lit(1.0))
-                        .alias(f"_tw_d{i}"))
-            structs.append(F.struct(F.lit(a).alias("col_x"), F.lit(a).alias("col_y"),
-                                    F.col(f"_tw_d{i}").alias("r")))
-        for b in cols[i + 1:]:
-            aggs.append(_pair_corr(a, b).alias(f"_tw_p{k}"))
-            structs.append(F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"),
-                                    F.col(f"_tw_p{k}").alias("r")))
-            structs.append(F.struct(F.lit(b).alias("col_x"), F.lit(a).alias("col_y"),
-                                    F.col(f"_tw_p{k}").alias("r")))
-            k += 1
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(cols) for e in (
+        F.avg(col(c).cast("double")).alias(f"m{i}"), F.stddev_samp(col(c).cast("double")).alias(f"s{i}"), F.count(col(c)).alias(f"n{i}"))]).first()
+    facts = {c: (row[f"m{i}"], row[f"s{i}"], row[f"n{i}"]) for i, c in enumerate(cols)}
+    out = [(c, c, 1.0 if facts[c][1] else None) for c in cols] if include_diagonal else []
+    for a, b, r in _pair_correlations(df, cols, facts, row["n"]):
+        out += [(a, b, r), (b, a, r)]
+    return df.sparkSession.createDataFrame(out, "col_x string, col_y string, r double")
 
 
 def corr_pair(df: DataFrame, x: str, y: str) -> DataFrame:

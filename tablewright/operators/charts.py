@@ -260,36 +260,50 @@ def suitability(profile: DataFrame) -> DataFrame:
     return p.select("column", "chart", reason.isNull().alias("suitable"), reason.alias("reason"))
 
 
-def compatibility(df: DataFrame, chart_type: str, x: str | None = None, y: str | None = None) -> DataFrame:
+def compatibility(df: DataFrame, chart_type: str, x: str | None = None, y: str | None = None, columns=None) -> DataFrame:
     """CHK-2: check a chart request against the data (one distinct count).
 
-    Returns one row: (chart, ok, reason).
+    Columns that are not given are not checked.  Bar and pie: a bounded
+    number of categories; line: x and y are numbers or dates; scatter: both
+    are numbers; area, box, histogram: y (histogram: y or x) is a number;
+    heatmap: at least two ``columns``, all of them there; correlation: the
+    table has at least two numeric columns.  Returns one row: (chart, ok, reason).
     """
     if chart_type not in CHART_TYPES + ["correlation"]:
         raise OperatorError(f"Unknown chart type '{chart_type}'")
     require_columns(df, as_list(x) + as_list(y))
     spark = df.sparkSession
     reason = None
-    fam = (lambda c: family(dtype_of(df, c)) if c else None)
+
+    def off(names, families):
+        return next((c for c in names if c and family(dtype_of(df, c)) not in families), None)
+
     if chart_type in ("bar", "pie") and x:
         n = df.agg(F.count_distinct(col(x))).first()[0]
         limit = BAR_MAX_CATEGORIES if chart_type == "bar" else PIE_MAX_CATEGORIES
         if n > limit:
             reason = f"{x} has {n} categories (at most {limit})"
-    elif chart_type in ("line", "area"):
-        wrong = [c for c in (x, y) if c and fam(c) not in ("number", "datetime", "date")]
-        if wrong:
-            reason = f"{wrong[0]} must be numeric or a date"
-    elif chart_type in ("scatter", "correlation", "heatmap"):
-        if chart_type == "correlation" or chart_type == "heatmap":
-            if len(numeric_columns(df)) < 2 and not (x and y):
-                reason = "needs at least two numeric columns"
-        elif not (x and y and fam(x) == "number" and fam(y) == "number"):
-            reason = "scatter needs numeric x and y"
-    elif chart_type in ("histogram", "box"):
+    elif chart_type == "line":
+        wrong = off((x, y), ("number", "datetime", "date"))
+        reason = f"{wrong} must be numeric or a date" if wrong else None
+    elif chart_type == "scatter":
+        wrong = off((x, y), ("number",))
+        reason = f"{wrong} must be numeric" if wrong else None
+    elif chart_type in ("area", "box"):
+        reason = f"{chart_type} needs a numeric y column" if off((y,), ("number",)) else None
+    elif chart_type == "histogram":
         target = y or x
-        if not target or fam(target) != "number":
-            reason = f"{chart_type} needs a numeric column"
+        if not target or off((target,), ("number",)):
+            reason = "histogram needs a numeric column"
+    elif chart_type == "heatmap":
+        names = as_list(columns) or [c for c in (x, y) if c]
+        missing = [c for c in names if c not in df.columns]
+        if len(names) < 2:
+            reason = "heatmap needs at least two columns"
+        elif missing:
+            reason = f"heatmap columns not in the table: {', '.join(missing)}"
+    elif chart_type == "correlation" and len(numeric_columns(df)) < 2:
+        reason = "needs at least two numeric columns"
     return spark.createDataFrame([(chart_type, reason is None, reason)],
                                  "chart string, ok boolean, reason string")
 

@@ -625,17 +625,54 @@ def q_profile(spark, d):
     return rounded(A.column_profile(events_n(spark, d)))
 
 
-LINEITEM_PROFILE = [("l_quantity", "double", "numeric"), ("l_extendedprice", "double", "numeric"),
-                    ("l_discount", "double", "numeric"), ("l_returnflag", "string", "categorical"),
-                    ("l_shipdate", "timestamp_ntz", "datetime")]
+LINEITEM_PROFILE = [("l_orderkey", "bigint", "numeric"), ("l_partkey", "bigint", "numeric"), ("l_suppkey", "bigint", "numeric"),
+                    ("l_linenumber", "int", "numeric"), ("l_quantity", "double", "numeric"), ("l_extendedprice", "double", "numeric"),
+                    ("l_discount", "double", "numeric"), ("l_tax", "double", "numeric"), ("l_returnflag", "string", "categorical"),
+                    ("l_linestatus", "string", "categorical"), ("l_shipdate", "timestamp_ntz", "datetime")]
 
 
 @register("stats_skewness", _profile_sql(
     "lineitem", LINEITEM_PROFILE, bounds=(10, 50), skew=True).replace(
-    "count(DISTINCT l_discount)", "count(DISTINCT l_discount + 0.0)"))
+    "count(DISTINCT l_discount)", "count(DISTINCT l_discount + 0.0)").replace("count(DISTINCT l_tax)", "count(DISTINCT l_tax + 0.0)"))
 def q_stats_skewness(spark, d):
-    li = table(spark, d, "lineitem").select([c for c, _, _ in LINEITEM_PROFILE])
-    return rounded(A.chart_stats(li))
+    return rounded(A.chart_stats(table(spark, d, "lineitem")))
+
+
+def _top_sql(t: str, cols: list[str], k: int) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {t} "
+                               f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in cols)
+    return f"""SELECT * FROM (SELECT "column", CAST(row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS INTEGER) AS rank,
+        value, count FROM ({parts})) WHERE rank <= {k}"""
+
+
+@register("profile_top_categories", _top_sql("part", ["p_name", "p_brand", "p_type"], 10))
+def q_profile_top(spark, d):
+    prof = A.column_profile(table(spark, d, "part"), top_k=10)
+    return prof.select("column", F.posexplode("top").alias("pos", "one")).select(
+        "column", (F.col("pos") + 1).cast("int").alias("rank"), "one.value", "one.count")
+
+
+@register("top_categories_sketch", _top_sql("orders", ["o_orderstatus", "o_orderpriority", "o_custkey"], 5))
+def q_top_categories_sketch(spark, d):
+    """Candidates of heavy-hitter sketches, recounted; the flat o_custkey is counted in full."""
+    return A.top_categories(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"], 5, approx=True)
+
+
+def _strong_sql(t: str, cols: list[str]) -> str:
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    return f"""SELECT col_x, col_y, round(r, 6) AS r FROM (""" + " UNION ALL ".join(
+        f"SELECT {i} AS o, '{a}' AS col_x, '{b}' AS col_y, CASE WHEN stddev_samp({a}) > 0 AND stddev_samp({b}) > 0 THEN corr({a}, {b}) END AS r FROM {t}"
+        for i, (a, b) in enumerate(pairs)) + ") WHERE abs(r) > 0.5 ORDER BY o LIMIT 10"
+
+
+_REVENUE_SQL = "(SELECT *, l_extendedprice * (1 - l_discount) AS revenue, -l_quantity AS taken FROM lineitem)"
+
+
+@register("stats_strong_pairs", _strong_sql(_REVENUE_SQL, [c for c, _, k in LINEITEM_PROFILE if k == "numeric"] + ["revenue", "taken"]))
+def q_stats_strong_pairs(spark, d):
+    li = table(spark, d, "lineitem").selectExpr("*", "l_extendedprice * (1 - l_discount) AS revenue", "-l_quantity AS taken")
+    stats = A.chart_stats(li, top_k=5)
+    return rounded(stats.select(F.col("column").alias("col_x"), F.inline("strong").alias("col_y", "r")))
 
 
 @register("top_values", """
@@ -1694,20 +1731,48 @@ def q_chart_compat_reject(spark, d):
     return C.compatibility(table(spark, d, "orders"), "pie", x="o_custkey")
 
 
-@register("chart_recommendation", """
-WITH s AS (SELECT corr(l_quantity, l_extendedprice) AS r, count(DISTINCT l_returnflag) AS nd FROM lineitem),
+def _recommendation_sql() -> str:
+    num = [c for c, _, k in LINEITEM_PROFILE if k == "numeric"]
+    return f"""
+WITH p AS ({_strong_sql("lineitem", num)}),
+s AS (SELECT count(DISTINCT l_returnflag) AS f, count(DISTINCT l_linestatus) AS l FROM lineitem),
+first AS (SELECT col_x, col_y, r, row_number() OVER () AS n FROM p),
+b AS (SELECT CASE WHEN f < 50 THEN 'l_returnflag' WHEN l < 50 THEN 'l_linestatus' ELSE 'l_returnflag' END AS c FROM s),
 recs AS (
-  SELECT 1 AS o, 'line' AS chart, 'l_shipdate' AS x, 'l_quantity' AS y,
-         'trend of l_quantity over l_shipdate' AS reason FROM s
-  UNION ALL SELECT 2, 'scatter', 'l_quantity', 'l_extendedprice', 'correlation r=' || printf('%.2f', r)
-  FROM s WHERE abs(r) > 0.5
-  UNION ALL SELECT 3, 'bar', 'l_returnflag', 'l_quantity', 'l_quantity by l_returnflag' FROM s WHERE nd < 50
-  UNION ALL SELECT 4, 'histogram', 'l_quantity', NULL, 'distribution of l_quantity' FROM s
-  UNION ALL SELECT 5, 'pie', 'l_returnflag', NULL, 'share of l_returnflag' FROM s WHERE nd < 10)
-SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS rank, chart, x, y, reason FROM recs""")
+  SELECT 1 AS o, 'line' AS chart, 'l_shipdate' AS x, '{num[0]}' AS y, 'trend of {num[0]} over l_shipdate' AS reason
+  UNION ALL SELECT 2, 'scatter', col_x, col_y, 'correlation r=' || printf('%.2f', r) FROM first WHERE n = 1
+  UNION ALL SELECT 3, 'bar', c, '{num[0]}', '{num[0]} by ' || c FROM b
+  UNION ALL SELECT 4, 'histogram', '{num[0]}', NULL, 'distribution of {num[0]}'
+  UNION ALL SELECT 5, 'pie', CASE WHEN f < 10 THEN 'l_returnflag' ELSE 'l_linestatus' END, NULL,
+         'share of ' || CASE WHEN f < 10 THEN 'l_returnflag' ELSE 'l_linestatus' END FROM s WHERE f < 10 OR l < 10)
+SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS rank, chart, x, y, reason FROM recs"""
+
+
+@register("chart_recommendation", _recommendation_sql())
 def q_chart_recommendation(spark, d):
-    li = table(spark, d, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag")
-    return C.recommend_charts(li)
+    return C.recommend_charts(table(spark, d, "lineitem"))
+
+
+@register("chart_checks", """
+SELECT 'area' AS chart, true AS ok, NULL AS reason UNION ALL SELECT 'area', false, 'area needs a numeric y column'
+UNION ALL SELECT 'heatmap', false, 'heatmap needs at least two columns'
+UNION ALL SELECT 'heatmap', false, 'heatmap columns not in the table: nope' UNION ALL SELECT 'heatmap', true, NULL
+UNION ALL SELECT 'line', false, 'o_orderstatus must be numeric or a date' UNION ALL SELECT 'line', true, NULL
+UNION ALL SELECT 'scatter', false, 'o_orderdate must be numeric' UNION ALL SELECT 'box', false, 'box needs a numeric y column'
+UNION ALL SELECT 'bar', nd <= 25, CASE WHEN nd > 25 THEN 'o_orderpriority has ' || nd || ' categories (at most 25)' END
+FROM (SELECT count(DISTINCT o_orderpriority) AS nd FROM orders)""")
+def q_chart_checks(spark, d):
+    """CHK-2: every rule once; area takes any x and a numeric y, heatmap two columns that are there."""
+    o = table(spark, d, "orders")
+    asked = [("area", "o_orderstatus", "o_totalprice", None), ("area", "o_orderkey", "o_orderdate", None), ("heatmap", None, None, ["o_orderkey"]),
+             ("heatmap", None, None, ["o_orderkey", "nope"]), ("heatmap", None, None, ["o_orderkey", "o_orderstatus"]),
+             ("line", "o_orderdate", "o_orderstatus", None), ("line", "o_orderdate", "o_totalprice", None),
+             ("scatter", "o_orderkey", "o_orderdate", None), ("box", None, "o_orderstatus", None), ("bar", "o_orderpriority", None, None)]
+    out = None
+    for chart, x, y, cols in asked:
+        one = C.compatibility(o, chart, x, y, cols)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # =====================================================================
@@ -1858,12 +1923,10 @@ def q_table_catalogue(spark, d):
     return out
 
 
-@register("csv_many_files", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, 'orders_' || o_orderstatus AS table_name
-FROM orders""")
+@register("csv_many_files", "SELECT *, 'orders_' || o_orderstatus AS table_name FROM orders")
 def q_csv_many_files(spark, d):
     from ..sources.files import read_tables, write_csv
-    o = table(spark, d, "orders").drop("o_orderdate")
+    o = table(spark, d, "orders")
     root = io_path(spark, "many")
     paths = []
     for st in ("F", "O", "P"):
@@ -1871,7 +1934,7 @@ def q_csv_many_files(spark, d):
         write_csv(o.filter(F.col("o_orderstatus") == st), p)
         paths.append(p)
     tables = read_tables(spark, paths)
-    parts = [df.withColumn("table_name", F.lit(n)) for n, df in tables.items()]
+    parts = [df.withColumns({"o_orderdate": F.col("o_orderdate").cast("timestamp_ntz"), "table_name": F.lit(n)}) for n, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

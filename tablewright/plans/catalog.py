@@ -13,6 +13,7 @@ FIXTURES.md: it only blanks some cells and keeps every row.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1786,6 +1787,19 @@ def io_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tw-io/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the plans made inside."""
+    old = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 @register("csv_roundtrip", """
 SELECT * FROM orders""")
 def q_csv_roundtrip(spark, d):
@@ -1809,6 +1823,36 @@ def q_csv_missing_words(spark, d):
     return read_csv(spark, path)
 
 
+@register("csv_quoted_newline", """
+SELECT doc_id, translate(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(0), '') AS text, n_chars FROM documents""")
+def q_csv_quoted_newline(spark, d):
+    """Whole documents, line breaks and quotes and all, through delimited text cut at many splits."""
+    from ..sources.files import read_csv, write_csv
+    path = io_path(spark, "documents.csv")
+    docs = table(spark, d, "documents")
+    lines = F.regexp_replace(F.translate("text", "\0", ""), "\r\n?", "\n")
+    write_csv(docs.select("doc_id", lines.alias("text"), "n_chars"), path, quote_all=True)
+    with _settings(spark, {"spark.sql.files.maxPartitionBytes": "256k"}):
+        out = read_csv(spark, path, infer_types=False)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+@register("csv_encodings", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'é' ELSE 'ß' END || o_orderpriority || CASE WHEN o_orderstatus = 'O' THEN '' ELSE '€' END AS note
+FROM orders""")
+def q_csv_encodings(spark, d):
+    """A folder of files in UTF-8 and in ISO-8859-1: each is read in the encoding its bytes fit."""
+    from ..sources.files import read_csv
+    root = io_path(spark, "encodings")
+    o = table(spark, d, "orders")
+    note = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "é").otherwise("ß"), "o_orderpriority")
+    west = o.where("o_orderstatus = 'O'").select("o_orderkey", note.alias("note"))
+    rest = o.where("o_orderstatus <> 'O'").select("o_orderkey", F.concat(note, F.lit("€")).alias("note"))
+    west.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{root}/west")
+    rest.write.option("header", True).csv(f"{root}/rest")
+    return read_csv(spark, [f"{root}/west", f"{root}/rest"])
+
+
 @register("csv_bad_rows", """
 SELECT p_partkey, p_name, CASE WHEN p_partkey % 10 = 7 THEN NULL ELSE CAST(p_size AS BIGINT) END AS p_size
 FROM part WHERE p_partkey % 10 <> 3""")
@@ -1914,7 +1958,7 @@ CATALOGUE_TABLES = ["benchmark", "conversations", "customer", "documents", "embe
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in CATALOGUE_TABLES))
 def q_table_catalogue(spark, d):
     from ..sources.files import load_tables
-    tables = load_tables(spark, d.replace("file:", ""), CATALOGUE_TABLES)
+    tables = load_tables(spark, d)  # what is there
     parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
              for n, df in tables.items()]
     out = parts[0]

@@ -13,9 +13,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import OperatorError, col
+from .records import ENCODINGS, decoded, records
 
 # Candidate delimiters, and how many leading lines are inspected.
 CANDIDATE_DELIMITERS = [",", ";", "\t", "|"]
@@ -33,21 +33,27 @@ FORMATS = {
     ".orc": "orc",
 }
 
-_OVERFLOW = "_tw_overflow"
 
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a folder's files and sub-folders, listed by the scan of Spark's binary-file source
+    (no content is read), so any file system Spark knows will do."""
+    root = folder.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    rest = F.substring_index(F.col("path"), "/" + root.split("/")[-1] + "/", -1)
+    names = found.select(F.substring_index(rest, "/", 1).alias("name")).distinct().collect()
+    return sorted(r["name"] for r in names)
 
-def detect_format(path: str) -> str:
-    """Format by file suffix (a folder of part files counts by its name)."""
+
+def detect_format(path: str, spark: SparkSession | None = None) -> str:
+    """Format by file suffix (a folder of part files counts by its name, else by its files')."""
     p = path.rstrip("/")
     for suffix, fmt in FORMATS.items():
         if p.lower().endswith(suffix):
             return fmt
-    if os.path.isdir(p):
-        names = [n for n in os.listdir(p) if not n.startswith(("_", "."))]
-        for n in names:
-            for suffix, fmt in FORMATS.items():
-                if n.lower().endswith(suffix) or (fmt == "parquet" and n.endswith(".snappy.parquet")):
-                    return fmt
+    for n in _children(spark, p) if spark else []:
+        for suffix, fmt in FORMATS.items():
+            if n.lower().endswith(suffix) and not n.startswith(("_", ".")):
+                return fmt
     raise OperatorError(f"Unsupported file type: {path}")
 
 
@@ -65,14 +71,16 @@ def sniff_delimiter(spark: SparkSession, path: str, encoding: str | None = None)
     return next(d for d in CANDIDATE_DELIMITERS if counts[d] == best)
 
 
-def _header(spark: SparkSession, path: str, sep: str, encoding: str | None) -> list[str]:
-    reader = spark.read
-    if encoding:
-        reader = reader.option("encoding", encoding)
-    first = reader.text(path).limit(1).collect()
-    if not first:
+def _header(spark: SparkSession, path: str, sep: str, encoding: str | None, encodings=ENCODINGS) -> list[str]:
+    if encoding and encoding.upper().startswith(("UTF-16", "UTF-32")):
+        first = spark.read.option("encoding", encoding).text(path).limit(1).collect()
+        line = first[0].value if first else None
+    else:
+        first = spark.read.text(path).select(F.col("value").cast("binary").alias("value")).limit(1).collect()
+        line = decoded(bytes(first[0].value), encoding, encodings) if first else None
+    if line is None:
         raise OperatorError(f"Empty file: {path}")
-    return next(csv.reader(io.StringIO(first[0].value), delimiter=sep))
+    return next(csv.reader(io.StringIO(line), delimiter=sep))
 
 
 def _infer_types(df: DataFrame, names: list[str]) -> DataFrame:
@@ -121,7 +129,7 @@ def _q(name: str) -> str:
 def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None = None,
              encoding: str | None = None, skip_long_rows: bool = True,
              infer_types: bool = True, header: bool | list[str] = True,
-             types: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame:
+             types: dict[str, str] | None = None, encodings=ENCODINGS) -> DataFrame:
     """Delimited text with a header row (SRC-1..3).
 
     Rows with more fields than the header are skipped and short rows are
@@ -132,27 +140,31 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None =
     the list of column names of header-less files (e.g. part files).
     ``MISSING_WORDS`` are NULL.  Several paths are one scan with one
     inference (the first one's header holds).  ``types`` names the type of
-    columns that should not be inferred.  ``multi_line`` lets quoted cells
-    hold line breaks; Spark then reads a file in one task, so turn it off for
-    single huge files that have none.
+    columns that should not be inferred.
+
+    Quoted cells may hold line breaks, and a file is still read by many
+    tasks (``records``).  Without ``encoding`` each file is read in the first
+    of ``encodings`` that its bytes fit.  Encodings in which a line break or a
+    quote is not one byte (UTF-16) are read by Spark's own reader, a file a task.
     """
     first = path[0] if isinstance(path, list) else path
     sep = delimiter or sniff_delimiter(spark, first, encoding)
-    names = list(header) if isinstance(header, (list, tuple)) else _header(spark, first, sep, encoding)
+    names = list(header) if isinstance(header, (list, tuple)) else _header(spark, first, sep, encoding, encodings)
     if not names:
         raise OperatorError(f"No columns in {path}")
-    fields = [T.StructField(n, T.StringType()) for n in names]
-    if skip_long_rows:
-        fields.append(T.StructField(_OVERFLOW, T.StringType()))
-    reader = (spark.read.option("header", header is True).option("sep", sep)
-              .option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"')
-              .schema(T.StructType(fields)))
-    if encoding:
-        reader = reader.option("encoding", encoding)
-    df = reader.csv(path)
+    width = len(names) + bool(skip_long_rows)
+    text = ", ".join(f"c{i} string" for i in range(width))
+    options = {"sep": sep, "mode": "PERMISSIVE", "escape": '"'}
+    if encoding and encoding.upper().startswith(("UTF-16", "UTF-32")):
+        df = spark.read.options(header=header is True, multiLine=True, encoding=encoding, **options).schema(text).csv(path)
+    else:
+        found = records(spark, path, encoding=encoding, encodings=encodings)
+        if header is True:
+            found = found.where(~F.col("first"))
+        df = found.select(F.inline(F.array(F.from_csv("record", text, options))))
     if skip_long_rows:
-        df = df.filter(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
-    df = df.select(*[F.when(~col(c).isin(MISSING_WORDS), col(c)).alias(c) for c in names])
+        df = df.filter(F.col(f"c{width - 1}").isNull())
+    df = df.select(*[F.when(~F.col(f"c{i}").isin(MISSING_WORDS), F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])
     types = types or {}
     if infer_types:
         df = _infer_types(df, [c for c in names if c not in types])
@@ -161,7 +173,7 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None =
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
     """Format dispatch by suffix (SRC-4): csv/tsv, parquet, json, orc."""
-    fmt = fmt or detect_format(path)
+    fmt = fmt or detect_format(path, spark)
     if fmt == "csv":
         return read_csv(spark, path, delimiter=options.pop("delimiter", None),
                         encoding=options.pop("encoding", None), **options)
@@ -190,27 +202,28 @@ def name_tables(frames: list[DataFrame], names: list[str | None] | None = None)
     return out
 
 
+def list_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the Parquet tables of a folder on any file system Spark reads: files, and folders of
+    part files (SRC-8)."""
+    names = _children(spark, folder)
+    return sorted(os.path.splitext(n)[0] for n in names if n.endswith(".parquet"))
+
+
 def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None,
                 register: bool = False) -> dict[str, DataFrame]:
     """Catalogue of a folder of Parquet tables (SRC-8), optionally as temp views."""
-    if names is None:
-        names = sorted(os.path.splitext(n)[0] for n in os.listdir(folder)
-                       if n.endswith(".parquet"))
+    there = list_tables(spark, folder)
+    for n in names or []:
+        if n not in there:
+            raise OperatorError(f"Table '{n}' not found; available: {', '.join(there)}")
     tables = {}
-    for n in names:
-        p = os.path.join(folder, f"{n}.parquet")
-        if not os.path.exists(p):
-            raise OperatorError(f"Table '{n}' not found; available: {', '.join(list_tables(folder))}")
-        tables[n] = spark.read.parquet(p)
+    for n in names or there:
+        tables[n] = spark.read.parquet(f"{folder.rstrip('/')}/{n}.parquet")
         if register:
             tables[n].createOrReplaceTempView(n)
     return tables
 
 
-def list_tables(folder: str) -> list[str]:
-    return sorted(os.path.splitext(n)[0] for n in os.listdir(folder) if n.endswith(".parquet"))
-
-
 def drop_empty(df: DataFrame) -> DataFrame:
     """SRC-7: drop all-null rows, then all-null columns (one aggregate)."""
     rows = df.na.drop(how="all")
@@ -219,9 +232,10 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return rows.drop(*empty)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SNK-1: header, no index."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", quote_all: bool = False) -> None:
+    """SNK-1: header, no index; ``quote_all`` keeps white space at the ends of cells."""
+    df.write.mode(mode).options(header=True, escape='"', quoteAll=quote_all, ignoreLeadingWhiteSpace=not quote_all,
+                                ignoreTrailingWhiteSpace=not quote_all).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

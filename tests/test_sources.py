@@ -1,7 +1,11 @@
 """Readers: delimiter sniffing, encodings, format dispatch, empty rows/columns."""
 
-from tablewright.sources.files import (detect_format, drop_empty, name_tables, read_csv,
-                                       read_table, sniff_delimiter)
+import pytest
+
+from tablewright.schema import OperatorError
+from tablewright.sources.files import (detect_format, drop_empty, list_tables, load_tables, name_tables,
+                                       read_csv, read_table, sniff_delimiter)
+from tablewright.sources.records import records
 
 
 def test_semicolon_sniffed(spark, tmp_path):
@@ -64,3 +68,55 @@ def test_union_of_csv_files_has_one_inference(spark, tmp_path):
     out = union_files(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "csv")
     assert dict(out.dtypes) == {"k": "bigint", "v": "string"}
     assert sorted(tuple(r) for r in out.collect()) == [(1, "2"), (2, "x")]
+
+
+ROWS = [("id", "note"), ("1", "plain"), ("2", "a\nb"), ("3", 'say ""x""\n\n""'), ("4", "\n" * 30 + "deep"), ("5", ""), ("6", "é,€"), ("7", "x" * 300 + "\n" + "y" * 300), ("8", "end")]
+
+
+@pytest.mark.parametrize("size", [7, 40, 64, 1000, 1 << 20])
+def test_records_over_many_splits(spark, tmp_path, size):
+    """Records cut from splits of any size are those of Python's reader."""
+    import csv
+    import io
+    text = "\n".join(f'{a},"{b}"' for a, b in ROWS) + "\n\n" + "\n".join(f'{i + 9},"q{i}\n{i}"\n{i + 500},z' for i in range(40)) + '\n999,"not closed\nat the end'
+    (tmp_path / "a.csv").write_text(text, encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\ufeffid,note\n70,b\n", encoding="utf-8")
+    keys = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        found = records(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+        if size < 100:
+            assert found.rdd.getNumPartitions() > 5
+        got = [next(csv.reader(io.StringIO(r["record"]))) for r in found.collect() if not r["first"]]
+        firsts = [r["record"] for r in found.collect() if r["first"]]
+        out = read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], infer_types=False).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = [r for r in csv.reader(io.StringIO(text)) if r][1:] + [["70", "b"]]
+    assert sorted(got) == sorted(want) and firsts == ['id,"note"', "id,note"]
+    missing = [[a, b or None] for a, b in want if a != "999"]
+    assert sorted((tuple(r) for r in out if r["id"] != "999"), key=repr) == sorted(map(tuple, missing), key=repr)
+
+
+def test_each_file_in_its_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("k,v\n1,é€\n".encode())
+    (tmp_path / "b.csv").write_bytes("k,v\n2,é\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_bytes("k,v\n3,é\n".encode("utf-16"))
+    out = read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "é€"), (2, "é")]
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "c.csv"), delimiter=",", encoding="UTF-16").collect()] == [(3, "é")]
+
+
+def test_catalogue_lists_any_file_system(spark, tmp_path):
+    for name in ("x", "y"):
+        spark.range(3).write.parquet(f"file:{tmp_path}/t/{name}.parquet")
+    spark.range(1).write.json(f"file:{tmp_path}/t/z.json")
+    assert list_tables(spark, f"file:{tmp_path}/t") == ["x", "y"]
+    assert {n: df.count() for n, df in load_tables(spark, f"file:{tmp_path}/t").items()} == {"x": 3, "y": 3}
+    with pytest.raises(OperatorError):
+        load_tables(spark, f"file:{tmp_path}/t", ["nope"])
+    spark.range(2).write.parquet(f"{tmp_path}/plain")
+    assert read_table(spark, f"{tmp_path}/plain").count() == 2

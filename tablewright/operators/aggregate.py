@@ -576,7 +576,7 @@ def _pair_correlations(df: DataFrame, num: list[str], facts: dict, n: int) -> li
     for k, (a, b) in enumerate(pairs):
         r = row[f"r{k}"]
         if a in whole and b in whole:
-            spread = (n - 1) * facts[a][1] * facts[b][1]
+            spread = (n - 1) * (facts[a][1] or 0.0) * (facts[b][1] or 0.0)
             r = r / spread if r is not None and spread else None
         out.append((a, b, r))
     return out

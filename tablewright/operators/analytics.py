@@ -238,32 +238,47 @@ def cohort_retention(df: DataFrame, user: str, ts: str, unit: str = "month") ->
     return out.withColumn("retention_pct", F.round(F.col("users") * 100.0 / F.col("cohort_size"), 4))
 
 
-def funnel(df: DataFrame, user: str, ts: str, step_column: str, steps: list) -> DataFrame:
+def funnel(df: DataFrame, user: str, ts: str, step_column: str, steps: list, block: str = "hour") -> DataFrame:
     """WIN-14: users reaching each step in order.
 
     Step 1 time = a user's first event of step 1; step i time = the
-    user's first event of step i at or after the step i-1 time.  Each step
-    is one aggregate over that step's events joined to the previous
-    step's per-user times.
+    user's first event of step i at or after the step i-1 time.
+
+    One scan for any number of steps (62 at most).  All events of a user at one
+    time are one bit mask of steps; the masks of a ``block`` of time become a
+    map from steps reached before to steps reached after it; maps of
+    consecutive blocks compose, and a user's composition says how far they came
+    from no step at all.  A very active user's events are so spread over many
+    tasks, and only one small map per block meets in one row.
     """
     require_batch(df, "funnel")
     require_columns(df, [user, ts, step_column])
-    if len(steps) < 2:
-        raise OperatorError("a funnel needs at least two steps")
-    base = df.filter(col(user).isNotNull() & col(ts).isNotNull()).select(
-        col(user).alias("u"), col(ts).alias("t"), col(step_column).alias("s"))
-    reached = base.filter(F.col("s") == F.lit(steps[0])).groupBy("u").agg(F.min("t").alias("t"))
-    counts = [reached.agg(F.count(F.lit(1)).alias("users")).withColumn("step_index", F.lit(1))]
-    for i, s in enumerate(steps[1:], 2):
-        prev = reached.withColumnRenamed("t", "t_prev")
-        ev = base.filter(F.col("s") == F.lit(s)).join(prev, "u").filter(F.col("t") >= F.col("t_prev"))
-        reached = ev.groupBy("u").agg(F.min("t").alias("t"))
-        counts.append(reached.agg(F.count(F.lit(1)).alias("users")).withColumn("step_index", F.lit(i)))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    names = F.element_at(F.array(*[F.lit(str(s)) for s in steps]), F.col("step_index"))
-    return out.select(F.col("step_index"), names.alias("step"), F.col("users"))
+    if not 2 <= len(steps) <= 62:
+        raise OperatorError("a funnel needs two to 62 steps")
+    masks = {}
+    for i, s in enumerate(steps):
+        masks[s] = masks.get(s, 0) | 1 << i
+    mask = F.lit(None).cast("long")
+    for s, m in masks.items():
+        mask = F.when(col(step_column) == F.lit(s), F.lit(m).cast("long")).otherwise(mask)
+    events = df.select(col(user).alias("u"), col(ts).alias("t"), mask.alias("m")).filter(
+        F.col("u").isNotNull() & F.col("t").isNotNull() & F.col("m").isNotNull())
+    instants = events.groupBy("u", "t").agg(F.bit_or("m").alias("m"))
+
+    def onward(reached: Column, m: Column) -> Column:
+        """Steps reached after an instant: on over all set bits from `reached` upwards."""
+        x = F.call_function("shiftright", m, reached)
+        return (reached + F.bit_count(x.bitwiseXOR(x + 1)) - 1).cast("int")
+
+    in_block = F.transform(F.array_sort(F.collect_list(F.struct("t", "m"))), lambda e: e["m"])
+    blocks = instants.groupBy("u", F.date_trunc(block, "t").alias("b")).agg(in_block.alias("ms")).select("u", "b", F.transform(
+        F.sequence(F.lit(0), F.lit(len(steps))), lambda k: F.aggregate("ms", k, onward)).alias("after"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("b", "after"))), lambda e: e["after"])
+    reached = blocks.groupBy("u").agg(in_order.alias("maps")).select(
+        F.aggregate("maps", F.lit(0), lambda k, after: F.get(after, k)).alias("k"))
+    row = reached.agg(*[F.count_if(F.col("k") >= i).alias(f"s{i}") for i in range(1, len(steps) + 1)])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(i).alias("step_index"), F.lit(str(s)).alias("step"), F.col(f"s{i}").alias("users"))
+                                         for i, s in enumerate(steps, 1)])))
 
 
 def trend(df: DataFrame, ts: str, value: str | None = None, unit: str = "day", fn: str = "sum") -> DataFrame:

@@ -23,54 +23,96 @@ from .aggregate import _stat, group_by_agg
 
 # Aggregate functions of pivot_table.
 PIVOT_AGGS = ["mean", "sum", "count", "min", "max", "median", "std"]
-# Guard for data-dependent output columns (pivot, one-hot).
+# Default of the callers' bound on data-dependent output columns (pivot, one-hot).
 MAX_NEW_COLUMNS = 10_000
 
 
-def _distinct_sorted(df: DataFrame, column: str) -> list:
-    vals = [r[0] for r in df.select(col(column)).where(col(column).isNotNull()).distinct()
-            .orderBy(col(column)).limit(MAX_NEW_COLUMNS + 1).collect()]
-    if len(vals) > MAX_NEW_COLUMNS:
-        raise OperatorError(f"'{column}' has more than {MAX_NEW_COLUMNS} distinct values")
+def _not_null(cols) -> Column:
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & col(c).isNotNull()
+    return cond
+
+
+def _distinct_sorted(df: DataFrame, columns: list[str], most: int, instead: str) -> list[tuple]:
+    keys = [col(c) for c in columns]
+    vals = [tuple(r) for r in df.select(*keys).where(_not_null(columns)).distinct().orderBy(*keys).limit(most + 1).collect()]
+    if len(vals) > most:
+        raise OperatorError(f"{', '.join(columns)}: more than {most} new columns; raise max_columns or use {instead}")
     return vals
 
 
-def pivot_table(df: DataFrame, index, columns: str, values=None, aggfunc: str = "mean") -> DataFrame:
-    """RSH-1: index columns x column values -> aggregate; NULL keys dropped.
+def _pivot_values(df: DataFrame, index: list[str], columns: list[str], values, aggfunc: str) -> list[str]:
+    require_columns(df, [*index, *columns])
+    if not columns:
+        raise OperatorError("name at least one column to pivot")
+    if aggfunc not in PIVOT_AGGS:
+        raise OperatorError(f"'{aggfunc}' is not one of {', '.join(PIVOT_AGGS)}")
+    vals = as_list(values) or [c for c in numeric_columns(df) if c not in index + columns]
+    require_columns(df, vals)
+    return vals
+
+
+def _cell(v: str, aggfunc: str) -> Column:
+    return (F.coalesce(F.sum(col(v)), F.lit(0)) if aggfunc == "sum" else _stat(aggfunc, col(v))).alias(v)
+
+
+def pivot_table(df: DataFrame, index, columns, values=None, aggfunc: str = "mean", max_columns: int = MAX_NEW_COLUMNS) -> DataFrame:
+    """RSH-1: index columns x values of one or more columns -> aggregate; NULL keys dropped.
 
     With one value column given as a string the new columns are named by
-    the pivoted values; otherwise ``{value}_{column value}``.
+    the pivoted values (``a_b`` for two pivot columns); otherwise
+    ``{value}_{column value}``.  ``pivot_cells`` has the same cells as rows, for
+    any number of pivoted values.
     """
     require_batch(df, "pivot_table")
-    index = require_columns(df, as_list(index))
-    require_columns(df, [columns])
-    if aggfunc not in PIVOT_AGGS:
-        raise OperatorError(f"Unsupported aggfunc '{aggfunc}'")
+    index, columns = as_list(index), as_list(columns)
+    vals = _pivot_values(df, index, columns, values, aggfunc)
     single = isinstance(values, str)
-    vals = [values] if single else (as_list(values) or [c for c in numeric_columns(df)
-                                                        if c not in index and c != columns])
-    require_columns(df, vals)
-    keyed = df.filter(F.lit(True) if not index else
-                      F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in index + [columns])))
-    pivots = _distinct_sorted(keyed, columns)
-    exprs = []
-    for v in vals:
-        e = F.coalesce(F.sum(col(v)), F.lit(0)) if aggfunc == "sum" else _stat(aggfunc, col(v))
-        exprs.append(e.alias(v))
-    if aggfunc == "median":  # exact medians come from value counts, one per cell
-        keyed = group_by_agg(keyed, [*index, columns], {v: "median" for v in vals})
+    keyed = df.filter(_not_null(index + columns))
+    pivots = _distinct_sorted(keyed, columns, max_columns, "pivot_cells")
+    names = ["_".join(str(v) for v in p) for p in pivots]
+    if len(set(names)) < len(names):
+        raise OperatorError(f"values of {', '.join(columns)} give the same column name twice; use pivot_cells")
+    exprs = [_cell(v, aggfunc) for v in vals]
+    if aggfunc == "median":  # exact medians, one per cell
+        keyed = group_by_agg(keyed, [*index, *columns], {v: "median" for v in vals})
         exprs = [F.first(col(v)).alias(v) for v in vals]
-    grouped = keyed.groupBy(*[col(c) for c in index]).pivot(columns, pivots).agg(*exprs)
+    if len(columns) == 1:
+        grouped = keyed.groupBy(*[col(c) for c in index]).pivot(columns[0], [p[0] for p in pivots])
+        keys = [str(p[0]) for p in pivots]
+    else:  # a tuple of values is one text, in which no two tuples are alike
+        one = F.to_json(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)]))
+        texts = {tuple(r)[:-1]: r["_tw_json"] for r in df.sparkSession.createDataFrame(
+            pivots, keyed.select(*[col(c) for c in columns]).schema).select("*", one.alias("_tw_json")).collect()} if pivots else {}
+        keys = [texts[p] for p in pivots]
+        grouped = keyed.withColumn("_tw_pivot", one).groupBy(*[col(c) for c in index]).pivot("_tw_pivot", keys)
+    grouped = grouped.agg(*exprs)
     # Spark names: "<pivot>_<value>" for several aggregates, "<pivot>" for one
     out = [col(c) for c in index]
-    for p in pivots:
+    for key, name in zip(keys, names):
         for v in vals:
-            src = str(p) if len(vals) == 1 else f"{p}_{v}"
-            name = str(p) if single else f"{v}_{p}"
-            out.append(F.col(f"`{src}`").alias(name))
+            out.append(col(key if len(vals) == 1 else f"{key}_{v}").alias(name if single else f"{v}_{name}"))
     return grouped.select(*out)
 
 
+def pivot_cells(df: DataFrame, index, columns, values=None, aggfunc: str = "mean") -> DataFrame:
+    """RSH-1, sparse: the pivot's cells as rows (index..., pivoted values as text, aggregates).
+
+    Holds any number of pivoted values; a pair that never occurs has no row.
+    """
+    require_batch(df, "pivot_cells")
+    index, columns = as_list(index), as_list(columns)
+    vals = _pivot_values(df, index, columns, values, aggfunc)
+    keyed = df.filter(_not_null(index + columns))
+    keys = index + columns
+    if aggfunc == "median":
+        cells = group_by_agg(keyed, keys, {v: "median" for v in vals})
+    else:
+        cells = keyed.groupBy(*[col(c) for c in keys]).agg(*[_cell(v, aggfunc) for v in vals])
+    return cells.select(*[col(c) for c in index], *[col(c).cast("string").alias(c) for c in columns], *[col(v) for v in vals])
+
+
 def melt_unpivot(df: DataFrame, id_vars, value_vars=None, var_name: str = "variable",
                  value_name: str = "value") -> DataFrame:
     """RSH-2: wide to long; value columns of different types are cast to text."""
@@ -86,16 +128,35 @@ def melt_unpivot(df: DataFrame, id_vars, value_vars=None, var_name: str = "varia
     return df.unpivot([col(c) for c in ids], [col(c) for c in vals], var_name, value_name)
 
 
-def one_hot_encode(df: DataFrame, columns, drop_first: bool = False) -> DataFrame:
+def one_hot_sparse(df: DataFrame, column: str, key, drop_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """RSH-3, sparse: ((code, value) dictionary, (key..., code) cells) for any number of values.
+
+    Codes are the 0-based ranks of the sorted values (a distributed sort of the
+    distinct values); a row's only true cell is its code, NULL has none.
+    """
+    require_batch(df, "one_hot_sparse")
+    keys = require_columns(df, as_list(key))
+    require_columns(df, [column])
+    from ..order import with_position
+    values = df.select(col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    codes = with_position(values, ["value"], name="code")
+    if drop_first:
+        codes = codes.where(F.col("code") > 0).withColumn("code", F.col("code") - 1)
+    cells = df.select(*[col(k) for k in keys], col(column).alias("_tw_value")).join(codes, F.col("_tw_value") == F.col("value"))
+    return codes.select("code", "value"), cells.select(*[col(k) for k in keys], "code")
+
+
+def one_hot_encode(df: DataFrame, columns, drop_first: bool = False, max_columns: int = MAX_NEW_COLUMNS) -> DataFrame:
     """RSH-3: replace each column by sorted ``col_value`` booleans at the end.
 
-    NULL gives all false; ``drop_first`` leaves out the first value.
+    NULL gives all false; ``drop_first`` leaves out the first value;
+    ``one_hot_sparse`` is for more values than ``max_columns``.
     """
     require_batch(df, "one_hot_encode")
     cols = require_columns(df, as_list(columns))
     new = []
     for c in cols:
-        vals = _distinct_sorted(df, c)
+        vals = [v for v, in _distinct_sorted(df, [c], max_columns, "one_hot_sparse")]
         if drop_first:
             vals = vals[1:]
         new += [F.coalesce(col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}") for v in vals]

@@ -915,6 +915,36 @@ def q_unpivot_text(spark, d):
     return X.melt_unpivot(c, ["c_custkey"])
 
 
+@register("pivot_two_columns", """
+SELECT o_orderpriority, """ + ", ".join(
+    f"round(sum(CASE WHEN o_orderstatus = '{st}' AND year(o_orderdate) = {y} THEN o_totalprice ELSE 0 END), 2) AS \"{st}_{y}\""
+    for st in "FOP" for y in range(1995, 2002)) + """
+FROM orders GROUP BY o_orderpriority""")
+def q_pivot_two(spark, d):
+    """Two pivot columns; a pair that never occurs has no column of its own."""
+    o = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
+    out = X.pivot_table(o, "o_orderpriority", ["o_orderstatus", "y"], values="o_totalprice", aggfunc="sum")
+    every = [f"{st}_{y}" for st in "FOP" for y in range(1995, 2002)]
+    return rounded(out.select("o_orderpriority", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in out.columns else F.lit(0.0).alias(c) for c in every]), 2)
+
+
+@register("pivot_cells", """
+SELECT l_returnflag, CAST(l_partkey AS VARCHAR) AS l_partkey, round(sum(l_quantity), 2) AS l_quantity
+FROM lineitem WHERE l_returnflag IS NOT NULL AND l_partkey IS NOT NULL GROUP BY ALL""")
+def q_pivot_cells(spark, d):
+    """The sparse pivot: any number of pivoted values as (index, value, cell) rows."""
+    out = X.pivot_cells(table(spark, d, "lineitem"), "l_returnflag", "l_partkey", "l_quantity", "sum")
+    return rounded(out, 2)
+
+
+@register("one_hot_sparse", """
+SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS code FROM orders WHERE o_custkey IS NOT NULL""")
+def q_one_hot_sparse(spark, d):
+    """Codes of a column with any number of values, through a value dictionary."""
+    codes, cells = X.one_hot_sparse(table(spark, d, "orders"), "o_custkey", key="o_orderkey")
+    return cells.select("o_orderkey", F.col("code"))
+
+
 @register("one_hot", """
 SELECT o_orderkey, o_totalprice,
        coalesce(o_orderstatus = 'F', false) AS o_orderstatus_F,
@@ -1203,6 +1233,21 @@ def q_funnel(spark, d):
     return W.funnel(table(spark, d, "events"), "user_id", "ts", "event_type", ["view", "click", "purchase"])
 
 
+_FUNNEL = ["view", "click", "view", "signup", "purchase", "error"]
+
+
+@register("funnel_six_steps", f"""
+WITH RECURSIVE s(i, e) AS (VALUES {', '.join(f"({i}, '{e}')" for i, e in enumerate(_FUNNEL, 1))}),
+r AS (SELECT 1 AS i, user_id, min(ts) AS t FROM events WHERE event_type = '{_FUNNEL[0]}' GROUP BY user_id
+      UNION ALL
+      SELECT DISTINCT r.i + 1, r.user_id, min(v.ts) OVER (PARTITION BY r.user_id)
+      FROM r JOIN s ON s.i = r.i + 1 JOIN events v ON v.user_id = r.user_id AND v.event_type = s.e AND v.ts >= r.t)
+SELECT s.i AS step_index, s.e AS step, count(r.user_id) AS users FROM s LEFT JOIN r ON r.i = s.i GROUP BY s.i, s.e""")
+def q_funnel_six(spark, d):
+    """A step that comes twice, and more steps, in the same one scan."""
+    return W.funnel(table(spark, d, "events"), "user_id", "ts", "event_type", _FUNNEL)
+
+
 @register("trend", """
 SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period, round(sum(value), 2) AS value
 FROM events GROUP BY 1""")

@@ -1,22 +1,23 @@
-"""Line dedup: range-partitioned line hashes, first occurrences, keep bitmaps.
+"""Line dedup: range-partitioned line hashes, streamed first occurrences, keep bitmaps.
 
 Long lines become (hash, document, place) rows, range-partitioned by hash and
 document, so that a line found in a third of all documents is spread over many
-partitions.  A hash aggregate makes each (hash, document) run one row (it needs no
-order, so Spark drops the sort above it), partial aggregation makes of these the
-per-hash facts (documents, keeper), and
-what is dropped comes back as a bitmap of 64 lines a word, of which only words
-with a dropped line are stored.  Texts never move until a bitmap is applied.
+partitions, and sorted in them by hash, document and place.  Numbering the rows of
+each (hash, document) run in that order streams the run's first occurrence out of
+the sorted partition; one row a document is left.  Partial aggregation makes of
+these the per-hash facts (documents, keeper), and what is dropped comes back as a
+bitmap of 64 lines a word, of which only words with a dropped line are stored.
+Texts never move until a bitmap is applied.
 
 Defined results: null or empty text is one empty line; rows that share a doc_id
 count as one document, and each loses the same places' lines by its own text;
-rows without doc_id take no part and keep every line.  Lines are compared by
-128 bits of hash.
+rows without doc_id take no part and keep every line; an empty table gives an
+empty result.  Lines are compared by 128 bits of hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, carried, cut, hold, strip_white
@@ -38,9 +39,11 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def repeated_lines(rows: DataFrame, min_docs: int) -> DataFrame:
     """(h1, h2, keeper) of lines found in at least `min_docs` documents."""
-    spread = rows.select("h1", "h2", "doc_id", "place").repartitionByRange("h1", "h2", "doc_id")
-    spread = spread.sortWithinPartitions("h1", "h2", F.desc("doc_id"), "place")
-    first = spread.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("times"))
+    run = ["h1", "h2", "doc_id"]
+    spread = rows.select(*run, "place").repartitionByRange(*run)
+    # the range partitions hold whole runs, so the window needs their sort but no other exchange
+    nth = F.row_number().over(Window.partitionBy(*run).orderBy("place"))
+    first = spread.withColumn("nth", nth).where(F.col("nth") == 1)
     facts = first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
     return facts.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
 
@@ -50,7 +53,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
     Lines found in `min_docs` documents stay in the largest doc_id only."""
     rows = cut(line_rows(docs, min_chars))
-    hits = rows.join(repeated_lines(rows, min_docs), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
+    # cut, so that the join meets two plain shuffles: a line's rows can then be split over tasks
+    hits = rows.join(cut(repeated_lines(rows, min_docs)), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
     words = hits.groupBy("doc_id", "row", F.expr("place div 64").cast("int").alias("word")).agg(
         F.bitwise_not(F.bit_or(one)).alias("bits"))

@@ -120,7 +120,7 @@ def _reputation_sql(rules, min_good: float, z: float) -> str:
                 WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
         c AS (SELECT host, CASE WHEN {ends} THEN {tail(3)} ELSE {tail(2)} END AS domain,
                      CASE WHEN {ends} THEN {tail(2)} ELSE {tail(1)} END AS suffix, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k
-              FROM p LEFT JOIN one ON page_id = doc_id GROUP BY host),
+              FROM p LEFT JOIN one ON TRY_CAST(regexp_extract(path, '/([0-9]+)(?:\\.[^/]*)?/?$', 1) AS BIGINT) = doc_id GROUP BY host),
         s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 1) FROM c) AS m FROM c GROUP BY suffix),
         st0 AS (SELECT coalesce({strength("s0")}, 999) AS st),
         s1 AS (SELECT suffix, (k + st * m) / (n + st) AS m FROM s0, st0),

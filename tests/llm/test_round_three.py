@@ -220,3 +220,13 @@ def test_acceptor_is_minimal():
     fst = spelling.Acceptors()
     start = fst.add(["stop", "stops", "top", "tops"])
     assert sorted(fst.rest(start)) == ["stop", "stops", "top", "tops"] and len(fst.arcs) == 6
+
+
+def test_first_lines_are_streamed(spark):
+    """The plan keeps the range partitioning and the sort by document and place under the window."""
+    from tablewright.llm import line_dedup
+    rows = spark.range(1000).selectExpr("id % 50 AS h1", "id % 7 AS h2", "id % 90 AS doc_id", "cast(id as int) AS place")
+    plan = line_dedup.repeated_lines(rows, 2)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window"):]
+    assert "rangepartitioning(h1" in below and "hashpartitioning" not in below
+    assert "Sort [h1" in below and "place" in below[below.index("Sort [h1"):].split("\n")[0]

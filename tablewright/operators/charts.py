@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..schema import (OperatorError, as_list, col, dtype_of, family, is_numeric, numeric_columns,
                       require_batch, require_columns, require_numeric)
 from . import quantile as Q
+from ..order import freeze
 from .aggregate import _stat, category_relation, chart_stats, corr_matrix, group_by_agg, value_counts
 from .selection import sample_rows
 
@@ -215,9 +216,10 @@ def fallback_groups(df: DataFrame, x: str, y: str | None = None, agg_func: str =
 
 
 def dashboard(df: DataFrame, specs: list[dict]) -> dict[str, DataFrame]:
-    """CHD-11: several charts over one table; the projected scan is cached once."""
+    """CHD-11: several charts over one table; the columns they need are written once (``freeze``),
+    so nothing stays cached."""
     needed = sorted({c for s in specs for k in ("x", "y", "color", "y1", "y2") for c in as_list(s.get(k))})
-    shared = df.select(*[col(c) for c in needed]).cache() if needed else df
+    shared = freeze(df.select(*[col(c) for c in needed]), "dashboard") if needed else df
     out = {}
     for i, s in enumerate(specs):
         name = s.get("name", f"chart_{i}")

@@ -132,21 +132,55 @@ def sql_literal(value) -> str:
     return f"'{text}'"
 
 
-def predicate(condition, variables: dict | None = None) -> Column:
+# Quoted text, quoted names, @variables and words of a predicate.
+_TOKENS = re.compile(r"""(?P<text>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*")|(?P<quoted>`(?:[^`]|``)*`)|@(?P<var>[A-Za-z_][A-Za-z0-9_]*)|(?P<word>(?<![.\w])[^\W\d]\w*)(?P<call>(?=\s*[('".]))?""")
+
+
+def predicate_text(condition: str, variables: dict | None = None, names: dict[str, str] | None = None) -> str:
+    """The predicate with variables as literals and, given ``names`` (column -> name to write), with
+    words resolved to columns: the exact name, else the only one equal in letter case aside.
+
+    Quoted text stays as it is; a word that several columns fit, or that is a
+    function, a literal's type or part of a dotted name, stays a word.
+    """
+    folded: dict[str, list[str]] = {}
+    for n in names or {}:
+        folded.setdefault(n.lower(), []).append(n)
+
+    def found(name: str) -> str | None:
+        if name in (names or {}):
+            return names[name]
+        fits = folded.get(name.lower(), [])
+        return names[fits[0]] if len(fits) == 1 else None
+
+    def sub(m):
+        if m["var"]:
+            if m["var"] not in (variables or {}):
+                raise OperatorError(f"Unknown variable @{m['var']}")
+            return sql_literal(variables[m["var"]])
+        if m["quoted"]:
+            to = found(m["quoted"][1:-1].replace("``", "`"))
+            return "`" + to.replace("`", "``") + "`" if to else m[0]
+        if m["word"] and m["call"] is None and m["word"].upper() not in _KEYWORDS:
+            to = found(m["word"])
+            return "`" + to.replace("`", "``") + "`" if to else m[0]
+        return m[0]
+
+    return _TOKENS.sub(sub, condition)
+
+
+# Words of predicates that are never columns.
+_KEYWORDS = {"AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "ILIKE", "RLIKE", "BETWEEN", "TRUE", "FALSE", "CASE", "WHEN", "THEN", "ELSE", "END",
+             "DISTINCT", "FROM", "ESCAPE", "DIV", "AS", "INTERVAL"}
+
+
+def predicate(condition, variables: dict | None = None, names: dict[str, str] | None = None) -> Column:
     """A Spark SQL predicate string (``@name`` = variable) or a Column."""
     if isinstance(condition, Column):
         return condition
     if not isinstance(condition, str) or not condition.strip():
         raise OperatorError("condition must be a non-empty SQL predicate or a Column")
-    def sub(m):
-        key = m.group(1)
-        if key is None:  # quoted text stays as it is
-            return m.group(0)
-        if key not in (variables or {}):
-            raise OperatorError(f"Unknown variable @{key}")
-        return sql_literal(variables[key])
-
-    text = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|@([A-Za-z_][A-Za-z0-9_]*)""", sub, condition)
+    text = predicate_text(condition, variables, names)
     try:
         return F.expr(text)
     except Exception as e:  # parse errors surface here, before any job
@@ -155,13 +189,22 @@ def predicate(condition, variables: dict | None = None) -> Column:
 
 def filter_rows(df: DataFrame, condition, variables: dict | None = None,
                 use_query: bool = True) -> DataFrame:
-    """FLT-1..3: keep rows where the predicate is true (NULL counts as false).
+    """FLT-1..4: keep rows where the predicate is true (NULL counts as false).
 
+    Column names are exact, or fit one column in letter case aside, whatever the
+    session's case rule; columns that differ in case only keep apart.
     ``use_query`` (FLT-2: evaluate to a mask, then index) selects the same
     rows; it is accepted for signature parity and has no effect.
     """
-    pred = predicate(condition, variables)
-    out = df.filter(pred)
+    if isinstance(condition, str) and len({c.lower() for c in df.columns}) < len(df.columns):
+        # Spark's case rule cannot tell such columns apart: they go by place
+        places = {c: f"_tw_{i}" for i, c in enumerate(df.columns)}
+        if len(places) < len(df.columns):
+            raise OperatorError("two columns have the same name")
+        byplace = df.toDF(*places.values())
+        out = byplace.filter(predicate(condition, variables, places)).toDF(*df.columns)
+    else:
+        out = df.filter(predicate(condition, variables, {c: c for c in df.columns}))
     out.schema  # analysis now: unknown columns fail at call time
     return out
 

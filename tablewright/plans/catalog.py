@@ -2057,3 +2057,106 @@ def q_lineage_search(spark, d):
     store = _lineage_store(spark, d)
     hit = store.search("STATUS P", n=1).first()
     return store.load_version(hit.version)["orders"]
+
+
+# =====================================================================
+# Smaller rules of the inventory, one key each
+# =====================================================================
+
+@register("filter_case", "SELECT * FROM orders WHERE o_totalprice > 200000 AND o_orderstatus <> 'O_TOTALPRICE' AND upper(o_orderpriority) LIKE '1%'")
+def q_filter_case(spark, d):
+    """FLT-4: letter case of names aside, quoted text untouched, under Spark's strict case rule."""
+    with _settings(spark, {"spark.sql.caseSensitive": "true"}):
+        return S.filter_rows(table(spark, d, "orders"), "O_TotalPrice > @least AND O_ORDERSTATUS <> 'O_TOTALPRICE' AND upper(`O_orderpriority`) LIKE '1%'",
+                             {"least": 200000})
+
+
+@register("filter_ambiguous", "SELECT o_orderkey, o_custkey AS lower_key, o_totalprice FROM orders WHERE o_custkey > 500 AND o_orderkey % 2 = 0")
+def q_filter_ambiguous(spark, d):
+    """FLT-4: two columns that differ in case only are told apart by their exact names."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").toDF("KEY", "key", "price")
+    out = S.filter_rows(o, "key > 500 AND KEY % 2 = 0")
+    return out.toDF("o_orderkey", "lower_key", "o_totalprice")
+
+
+@register("filter_mask", "SELECT * FROM events WHERE value > 50 AND event_type = 'view'")
+def q_filter_mask(spark, d):
+    return S.filter_rows(table(spark, d, "events"), "value > 50 AND event_type = 'view'", use_query=False)
+
+
+@register("filter_search", "SELECT * FROM part WHERE p_size BETWEEN 5 AND 25 AND contains(lower(concat_ws(' ', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)), 'brand#1')")
+def q_filter_search(spark, d):
+    return S.filter_combined(table(spark, d, "part"), search="Brand#1", ranges={"p_size": (5, 25)})
+
+
+@register("groupby_as_index", "SELECT o_orderstatus, round(avg(o_totalprice), 6) AS o_totalprice FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus")
+def q_groupby_as_index(spark, d):
+    return rounded(A.group_by_agg(table(spark, d, "orders"), "o_orderstatus", {"o_totalprice": "mean"}, as_index=True))
+
+
+@register("capped_rows", "SELECT least(count(*), 100000) AS rows FROM lineitem")
+def q_capped_rows(spark, d):
+    """LIM-5: the cap of what is handed to a caller."""
+    return S.cap_rows(table(spark, d, "lineitem")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("sample_default", f"SELECT * FROM orders ORDER BY {SAMPLE_KEY}, o_orderkey LIMIT 1")
+def q_sample_default(spark, d):
+    return S.sample_rows(table(spark, d, "orders"), random_state=42, key="o_orderkey")
+
+
+@register("union_ignore_index", "SELECT * FROM nation UNION ALL SELECT * FROM nation")
+def q_union_ignore_index(spark, d):
+    n = table(spark, d, "nation")
+    return J.concat_tables([n, n], join="inner", ignore_index=True)
+
+
+@register("join_full_on", """
+SELECT k AS o_custkey, a.total, b.late FROM (SELECT o_custkey AS k, sum(o_orderkey) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
+FULL OUTER JOIN (SELECT o_custkey AS k, max(o_orderdate) AS late FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) b USING (k)""")
+def q_join_full_on(spark, d):
+    """JN-4: one key column that holds either side's key."""
+    o = table(spark, d, "orders")
+    a = S.filter_rows(o, "o_orderstatus = 'F'").groupBy("o_custkey").agg(F.sum("o_orderkey").alias("total"))
+    b = S.filter_rows(o, "o_orderstatus = 'P'").groupBy("o_custkey").agg(F.max("o_orderdate").alias("late"))
+    return J.merge_tables(a, b, "outer", on="o_custkey")
+
+
+@register("version_branch", "SELECT * FROM orders WHERE o_orderstatus = 'O'")
+def q_version_branch(spark, d):
+    store = _lineage_store(spark, d)
+    branch = store.create_branch("v1")
+    return store.load_version(branch)["orders"]
+
+
+@register("version_delete", "SELECT 'v0' AS version UNION ALL SELECT 'v2'")
+def q_version_delete(spark, d):
+    store = _lineage_store(spark, d)
+    store.delete_version("v1")
+    return store.versions().select("version")
+
+
+@register("version_undo", "SELECT * FROM orders WHERE o_orderstatus = 'O'")
+def q_version_undo(spark, d):
+    return _lineage_store(spark, d).undo()["orders"]
+
+
+@register("transform_callable", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")
+def q_transform_callable(spark, d):
+    from .steps import transform_with
+    return transform_with(table(spark, d, "orders"), lambda df: df.select("o_orderkey", (F.col("o_totalprice") * 2).alias("twice")))
+
+
+@register("statistics_plan", """
+WITH f AS (SELECT event_id, user_id, coalesce(value, (SELECT median(value) FROM events_n)) AS value FROM events_n WHERE user_id > 10),
+b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS z FROM f)
+SELECT event_id, user_id, round((value - avg(value) OVER ()) / stddev_samp(value) OVER (), 6) AS value FROM f, b
+WHERE value BETWEEN a - 1.5 * (z - a) AND z + 1.5 * (z - a)""".replace("WITH f AS", f"WITH events_n AS (SELECT * FROM {EVENTS_N_SQL} WHERE user_id > 10), f AS"))
+def q_statistics_plan(spark, d):
+    """UDF-3: three steps in a row that need statistics of what is before them."""
+    from .steps import run_steps
+    env = run_steps({"current": events_n(spark, d).select("event_id", "user_id", "value")}, [
+        {"op": "filter_rows", "args": {"condition": "user_id > 10"}}, {"op": "fill_missing", "args": {"method": "median", "columns": ["value"]}},
+        {"op": "remove_outliers", "args": {"columns": ["value"], "method": "iqr"}},
+        {"op": "scale_numeric", "args": {"columns": ["value"], "method": "standard"}}])
+    return rounded(env["current"])

@@ -1,9 +1,11 @@
 """Multi-step plans (UDF-1..3).
 
 A plan is a list of steps ``{"op": name, "args": {...}, "input": table or
-[tables], "output": name}``.  Steps are folded into one lazy plan: nothing
-runs until the caller acts on an output, so Catalyst optimises the whole
-chain at once.  Operators are looked up by name in a registry; no code
+[tables], "output": name}``.  Steps are folded into one lazy plan, so Catalyst
+optimises the whole chain at once.  Steps that read their input more than once
+(``STATISTICS``) would run all steps before them every time: such an input is
+written once (``freeze``) before the first step that needs it, and every later
+step starts from there.  Operators are looked up by name in a registry; no code
 strings are executed.
 """
 
@@ -14,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..operators import aggregate, analytics, charts, cleaning, joins, selection, transform
+from ..order import freeze
 from ..schema import OperatorError
 
 REGISTRY: dict[str, Callable] = {
@@ -47,17 +50,26 @@ REGISTRY: dict[str, Callable] = {
 }
 
 
+# Operators that take statistics of their input before they use it.
+STATISTICS = {"fill_missing", "remove_outliers", "pivot_table", "one_hot_encode", "scale_numeric", "bin_numeric",
+              "describe_stats", "corr_matrix", "histogram", "sample_rows"}
+
+
 def run_steps(tables: dict[str, DataFrame], steps: list[dict],
                  registry: dict[str, Callable] | None = None) -> dict[str, DataFrame]:
     """UDF-3: apply the steps in order; later steps see earlier outputs."""
     reg = registry or REGISTRY
     env = dict(tables)
+    made: set[str] = set()  # tables that steps have made and nothing has written yet
     for i, step in enumerate(steps):
         name = step.get("op")
         if name not in reg:
             raise OperatorError(f"step {i}: unknown operator '{name}'")
         inputs = step.get("input", "current")
         args = dict(step.get("args", {}))
+        if name in STATISTICS and isinstance(inputs, str) and inputs in made and inputs in env:
+            env[inputs] = freeze(env[inputs], "step")
+            made.discard(inputs)
         if isinstance(inputs, (list, tuple)):
             missing = [t for t in inputs if t not in env]
             if missing:
@@ -72,7 +84,9 @@ def run_steps(tables: dict[str, DataFrame], steps: list[dict],
             result = reg[name](env[inputs], **args)
         if isinstance(result, tuple):  # operators returning (table, info)
             result = result[0]
-        env[step.get("output", inputs if isinstance(inputs, str) else f"step_{i}")] = result
+        output = step.get("output", inputs if isinstance(inputs, str) else f"step_{i}")
+        env[output] = result
+        made.add(output)
     return env
 
 

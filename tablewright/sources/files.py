@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import OperatorError, col
+from ..schema import OperatorError, col, normalize_nan
 from .records import ENCODINGS, decoded, records
 
 # Candidate delimiters, and how many leading lines are inspected.
@@ -171,8 +171,12 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None =
     return df.withColumns({c: col(c).cast(t) for c, t in types.items()}) if types else df
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
-    """Format dispatch by suffix (SRC-4): csv/tsv, parquet, json, orc."""
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, nan_to_null: bool = True, **options) -> DataFrame:
+    """Format dispatch by suffix (SRC-4): csv/tsv, parquet, json, orc.
+
+    NaN becomes NULL, the one missing value of the library; ``nan_to_null=False``
+    keeps it, and with it the push-down of filters on floating columns.
+    """
     fmt = fmt or detect_format(path, spark)
     if fmt == "csv":
         return read_csv(spark, path, delimiter=options.pop("delimiter", None),
@@ -182,7 +186,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
         reader = reader.schema(options.pop("schema"))
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load(path)
+    df = reader.load(path)
+    return normalize_nan(df) if nan_to_null else df
 
 
 def read_tables(spark: SparkSession, paths: list[str], fmt: str | None = None) -> dict[str, DataFrame]:
@@ -210,15 +215,15 @@ def list_tables(spark: SparkSession, folder: str) -> list[str]:
 
 
 def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None,
-                register: bool = False) -> dict[str, DataFrame]:
-    """Catalogue of a folder of Parquet tables (SRC-8), optionally as temp views."""
+                register: bool = False, nan_to_null: bool = True) -> dict[str, DataFrame]:
+    """Catalogue of a folder of Parquet tables (SRC-8), optionally as temp views; ``nan_to_null`` as in ``read_table``."""
     there = list_tables(spark, folder)
     for n in names or []:
         if n not in there:
             raise OperatorError(f"Table '{n}' not found; available: {', '.join(there)}")
     tables = {}
     for n in names or there:
-        tables[n] = spark.read.parquet(f"{folder.rstrip('/')}/{n}.parquet")
+        tables[n] = read_table(spark, f"{folder.rstrip('/')}/{n}.parquet", "parquet", nan_to_null)
         if register:
             tables[n].createOrReplaceTempView(n)
     return tables

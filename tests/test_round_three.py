@@ -110,3 +110,49 @@ def test_heatmap_and_area_rules(spark):
     assert not C.compatibility(df, "heatmap").first().ok and C.compatibility(df, "heatmap", columns=["n", "s"]).first().ok
     assert "nope" in C.compatibility(df, "heatmap", columns=["n", "nope"]).first().reason
     assert C.compatibility(df.select("n", F.lit("x").alias("s")), "correlation").first().ok is False
+
+
+def test_names_are_resolved_outside_quotes():
+    from tablewright.operators.selection import predicate_text as text
+    names = {"Ab": "Ab", "x y": "x y", "N": "N", "n": "n"}
+    assert text("aB = 'aB' AND `X Y` > 1", names=names) == "`Ab` = 'aB' AND `x y` > 1"
+    assert text("N = n AND upper(AB) LIKE 'a''ab' or not ab in (1)", names=names) == "`N` = `n` AND upper(`Ab`) LIKE 'a''ab' or not `Ab` in (1)"
+    assert text("ab = @ab", {"ab": "it's"}, names) == "`Ab` = 'it\\'s'"
+    assert text("zz = 1 AND t.ab = 2", names=names) == "zz = 1 AND t.ab = 2"
+    assert text("V = 1", names={"v": "v", "V ": "V "}) == "`v` = 1" and text("AB > 1", names={"ab": "p", "aB": "q"}) == "AB > 1"
+
+
+def test_columns_that_differ_in_case(spark):
+    from tablewright.operators.selection import filter_rows
+    df = spark.createDataFrame([(1, 5), (5, 1)], "a int, b int").toDF("v", "V")
+    assert [tuple(r) for r in filter_rows(df, "v > 2").collect()] == [(5, 1)]
+    assert [tuple(r) for r in filter_rows(df, "V > 2 AND v < 2").collect()] == [(1, 5)]
+    with pytest.raises(Exception):
+        filter_rows(df.toDF("ab", "AB"), "Ab > 1").collect()
+
+
+def test_statistics_steps_run_their_ancestors_once(spark):
+    """Three steps that need statistics: the first step's rows are computed once."""
+    from tablewright.plans.steps import run_steps
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    source = spark.range(500).selectExpr("id", "IF(id % 9 = 0, NULL, cast(id % 50 as double)) AS v")
+    reg = {"slow": lambda df: df.mapInArrow(count, df.schema)}
+    from tablewright.plans import steps
+    out = run_steps({"current": source}, [{"op": "slow"}, {"op": "fill_missing", "args": {"method": "median", "columns": ["v"]}},
+                                          {"op": "remove_outliers", "args": {"columns": ["v"], "method": "iqr"}},
+                                          {"op": "scale_numeric", "args": {"columns": ["v"], "method": "robust"}}], {**steps.REGISTRY, **reg})["current"]
+    assert out.count() == 500 and seen.value == 500
+
+
+def test_nan_is_null_at_load(spark, tmp_path):
+    from tablewright.sources.files import load_tables, read_table
+    spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "v double").write.parquet(f"{tmp_path}/t.parquet")
+    assert read_table(spark, f"{tmp_path}/t.parquet").where("v IS NULL").count() == 2
+    assert load_tables(spark, str(tmp_path))["t"].where("v IS NULL").count() == 2
+    assert read_table(spark, f"{tmp_path}/t.parquet", nan_to_null=False).where("v IS NULL").count() == 1

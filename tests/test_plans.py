@@ -48,8 +48,11 @@ def test_dedup_is_partial_aggregate(spark):
 
 
 def test_top_values_has_partial_group_limit(spark):
-    p = plan(A.top_values(spark.read.parquet(f"{SF001}/part.parquet"), ["p_brand"], 5))
+    part = spark.read.parquet(f"{SF001}/part.parquet")
+    p = plan(A.top_values(part, ["p_brand", "p_type"], 5))
     assert "WindowGroupLimit" in p and "Partial" in p
+    # one column is one group: Spark's top-k keeps five rows a task
+    assert "TakeOrderedAndProject" in plan(A.top_values(part, ["p_brand"], 5))
 
 
 def test_no_python_in_row_operators(spark):

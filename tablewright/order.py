@@ -19,9 +19,8 @@ partition key does exactly that):
 3. the row count of each file comes from a scan that reads no column
    data; a row's position is then the offset of its file plus
    ``_metadata.row_index``, its index inside the file.  The offsets are a
-   literal map in the plan for up to ``LITERAL_FILES_MAX`` files, else a
-   broadcast table with one row per file (its size is bounded by the sort's
-   partition count).  Later scans of the sorted table keep column pruning and filter
+   joined table with one row per file (bounded by the sort's partition
+   count).  Later scans of the sorted table keep column pruning and filter
    pushdown.
 
 ``carry`` uses the file of each row as a block for a two-phase fill: fill
@@ -41,9 +40,6 @@ from .schema import OperatorError, as_list, col, require_columns
 from .session import ensure_checkpoint_dir
 
 PID = "_tw_pid"
-# Up to this many sorted files the per-file offsets are a literal map in the
-# plan; beyond it they are a broadcast table (one row per file).
-LITERAL_FILES_MAX = 10_000
 POS = "_tw_pos"
 TOTAL = "_tw_total"
 

@@ -13,7 +13,7 @@ from ..schema import (OperatorError, as_list, col, dtype_of, family, is_numeric,
                       require_batch, require_columns, require_numeric)
 from . import quantile as Q
 from ..order import freeze
-from .aggregate import _stat, category_relation, chart_stats, corr_matrix, group_by_agg, value_counts
+from .aggregate import CHART_CARDINALITY, _stat, category_relation, corr_matrix, group_by_agg, nunique, value_counts
 from .selection import sample_rows
 
 # Chart kinds, aggregate names and limits of the chart layer.
@@ -318,10 +318,13 @@ def recommend_charts(df: DataFrame, k: int = MAX_RECOMMENDATIONS, approx: bool =
     category of low cardinality -> pie.  At most ``k`` in that order.
     """
     require_batch(df, "recommend_charts")
-    stats = chart_stats(df, approx=approx).collect()
-    nums = [r["column"] for r in stats if r["kind"] == "numeric"]
-    cats = [r for r in stats if r["kind"] == "categorical"]
-    dates = [r["column"] for r in stats if r["kind"] == "datetime"]
+    # of the chart statistics only kinds, the categories' cardinality and strong pairs are needed
+    nums = numeric_columns(df)
+    dates = [c for c in df.columns if c not in nums and family(dtype_of(df, c)) == "datetime"]
+    names = [c for c in df.columns if c not in nums and c not in dates]
+    n_distinct = {r["column"]: r["n_unique"] for r in nunique(df, names, approx).collect()} if names else {}
+    low, mid = CHART_CARDINALITY
+    cats = [{"column": c, "cardinality": "low" if n_distinct.get(c, 0) < low else "medium" if n_distinct.get(c, 0) < mid else "high"} for c in names]
     recs = []
     if dates and nums:
         recs.append(("line", dates[0], nums[0], f"trend of {nums[0]} over {dates[0]}"))

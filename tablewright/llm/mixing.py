@@ -4,20 +4,22 @@ A naive-Bayes classifier, fitted on a bounded sample of labelled documents dealt
 by domain, gives every document a posterior over the domains.  With t tokens and
 posterior p a document adds t * p[k] tokens to domain k; projected-gradient least
 squares finds rates x >= `min_rate` (0 unless asked otherwise) for which the expected
-totals sum(x * t * p[k]) match weight[k] * total.  The residual is whitened by the
-domains' Gram matrix.  Steps are summed before the projection, so that a rate is one
-projected step, max(min_rate, start - p . shift); they are accelerated by the Gram
-matrix of the rows above the bound, and an ever smaller pull towards `start` ends the
-fit where targets are met or the projected gradient is 1e-8 of the rates.  A document's
-gradient depends on its posterior alone, so documents of equal posterior (three
-decimals) are summed first and an iteration reads that table; its numbers per domain
-are all the driver sees.
+totals sum(x * t * p[k]) match weight[k] * total.  The residual r is whitened by the
+domains' Gram matrix W; from x = `start` every iteration is x <- max(min_rate, x - p . s),
+with s a multiple of W r (the gradient) or of r scaled by the Gram matrix of the rows
+above the bound, whichever length along these two arcs leaves least.  One job tries the
+lengths of an iteration; the fit ends where targets are met, where the projected
+gradient gains nothing any more, or after `max_steps`.  A document's gradient depends
+on its posterior alone, so documents of equal posterior (three decimals) are summed
+first, and the driver sees a few sums per length tried and the list of the steps s: a
+rate is those steps replayed from `start`.
 
 Defined results: null text has no tokens and the prior as its posterior; labels
 that are null or have no document are ignored; a domain with under `min_labels`
 labelled documents, or without tokens, is left out and the other weights are
 scaled up; with fewer than two domains every rate is total / tokens; repeated
-rows each have their rate; an empty table gives an empty result.
+rows each have their rate, and are rounded alike (a row without doc_id by its text);
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -172,25 +174,31 @@ def _dot(x: list[float], y: list[float]) -> float:
 
 @dataclass(frozen=True)
 class Rates:
-    """A rate is `start` less the document's posterior times `shift`, and no less than `min_rate`."""
+    """A rate is `start` after the projected steps: each takes posterior . step off, down to `min_rate` at most."""
 
     start: float
-    shift: list[float]
+    steps: list[list[float]]
     min_rate: float
 
     def column(self, p: Column) -> Column:
-        moved = sum((F.get(p, k) * F.lit(float(x)) for k, x in enumerate(self.shift)), F.lit(0.0))
-        return F.greatest(F.lit(float(self.start)) - moved, F.lit(float(self.min_rate))) if self.shift else F.lit(float(self.start))
+        if not self.steps:
+            return F.lit(float(self.start))
+        return F.aggregate(F.array(*map(literal_doubles, self.steps)), F.lit(float(self.start)), lambda x, s: F.greatest(
+            x - sum((F.get(p, k) * F.get(s, k) for k in range(len(self.steps[0]))), F.lit(0.0)), F.lit(float(self.min_rate))))
+
+
+#: Ridges of the scaled direction, and the lengths tried along it and along the gradient.
+RIDGES = (1e-8, 1e-4, 1e-2)
+SCALED_LENGTHS = [2.0 ** e for e in range(2, -10, -1)]
+GRADIENT_LENGTHS = [2.0 ** e for e in range(0, 14, 2)]
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | str | None = None,
               min_rate: float = 0.0, max_steps: int = 100, tolerance: float = 1e-6) -> Rates:
     """Rates for `members` (_tokens, _p).  `total`: the token total to reach; None: as many as
-    there are; "cover": the least total at which no domain has more tokens than its target.
-
-    `max_steps` is for each of seven pulls; a fit ends by its gradient long before."""
+    there are; "cover": the least total at which no domain has more tokens than its target."""
     table = members.groupBy("_p").agg(F.sum("_tokens").cast("double").alias("_t"))
-    table = cut(table.where("_t > 0").coalesce(8))  # at most one row for each posterior of three decimals
+    table = cut(table.where("_t > 0"))
     k = len(domains)
     p = [F.get("_p", i) for i in range(k)]
     row = table.agg(*[F.sum(F.col("_t") * p[i]).alias(f"s{i}") for i in range(k)]).first()
@@ -203,59 +211,63 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     goal = sum(now) if total is None else max(now[i] / weight[i] for i in use) if total == "cover" else float(total)
     if k < 2:
         return Rates(max(goal / now[0], min_rate), [], min_rate)
-    start, n = max(1.0, min_rate), len(use)
-
-    def states(shifts):
-        """(residuals, half the squared way from start, Gram matrix above the bound) of each shift."""
-        each = F.array(*[F.struct(F.lit(j).alias("j"), literal_doubles(x).alias("x")) for j, x in enumerate(shifts)])
-        rows = table.select("_t", "_p", F.explode(each).alias("_s"))
-        rows = rows.select("_t", "_p", "_s.j", (F.lit(start) - sum((p[i] * F.get("_s.x", m) for m, i in enumerate(use)), F.lit(0.0))).alias("_r"))
-        x = F.greatest("_r", F.lit(float(min_rate)))
-        free = F.when(F.col("_r") > min_rate, F.col("_t")).otherwise(0.0)
+    start = max(1.0, min_rate)
+
+    def after(taken, steps):
+        """(residual, squared way, Gram matrix of the rows above the bound) where each of `steps` leads from `taken`."""
+        each = F.array(*[F.struct(F.lit(j).alias("j"), literal_doubles(s).alias("s")) for j, s in enumerate(steps)])
+        rows = table.select("_t", "_p", Rates(start, taken, min_rate).column(F.col("_p")).alias("_x"))
+        rows = rows.select("_t", "_p", "_x", F.explode(each).alias("_s"))
+        x = F.greatest(F.col("_x") - sum((p[i] * F.get("_s.s", i) for i in use), F.lit(0.0)), F.lit(float(min_rate)))
+        rows = rows.select("_t", "_p", "_x", "_s.j", x.alias("_y"))
+        free = F.when(F.col("_y") > min_rate, F.col("_t")).otherwise(0.0)
         got = rows.groupBy("j").agg(
-            F.sum(F.col("_t") * (x - start) ** 2 / 2).alias("way"), *[F.sum(F.col("_t") * x * p[i]).alias(f"s{i}") for i in use],
+            F.sum(F.col("_t") * (F.col("_y") - F.col("_x")) ** 2).alias("way"),
+            *[F.sum(F.col("_t") * F.col("_y") * p[i]).alias(f"s{i}") for i in use],
             *[F.sum(free * p[a] * p[b]).alias(f"g{a}_{b}") for a in use for b in use]).collect()
         return [([r[f"s{i}"] - weight[i] * goal for i in use], r["way"], [[r[f"g{a}_{b}"] for b in use] for a in use])
                 for r in sorted(got, key=lambda r: r["j"])]
 
+    def whole(step):
+        placed = dict(zip(use, step, strict=True))
+        return [placed.get(i, 0.0) for i in range(k)]
+
     all_rows = table.agg(*[F.sum(F.col("_t") * p[a] * p[b]).alias(f"g{a}_{b}") for a in use for b in use]).first()
     # a small ridge, in each domain's own measure, keeps domains that hardly differ from blowing up
     white = [[all_rows[f"g{a}_{b}"] * (1.001 if a == b else 1.0) for b in use] for a in use]
-    shift = [0.0] * n
-    at = states([shift])[0]
-    best = (_dot(at[0], _solve(white, at[0])), shift)
-    for pull in [10.0 ** -e for e in range(2, 9)]:
-        def rest(shift, off):  # the gradient of the summed steps, and what it is the gradient of
-            back = [pull * _dot(r, shift) for r in white]
-            return [x - y for x, y in zip(off, back, strict=True)], _dot(shift, off) - _dot(shift, back) / 2
-
-        for _ in range(max_steps):
-            slope, height = rest(shift, at[0])
-            if max(map(abs, slope)) <= 1e-3 * tolerance * goal:
-                break
-            move = _solve([[x + pull * y for x, y in zip(f, w, strict=True)] for f, w in zip(at[2], white, strict=True)], slope)
-            tried = [[x + 0.5 ** e * y for x, y in zip(shift, move, strict=True)] for e in range(20)]
-            found = states(tried)
-            heights = [rest(x, f[0])[1] + f[1] for x, f in zip(tried, found, strict=True)]
-            j = max(range(len(tried)), key=lambda i: heights[i])
-            if not heights[j] > height + at[1]:  # as high as doubles can tell
-                break
-            shift, at = tried[j], found[j]
-            best = min(best, (_dot(at[0], _solve(white, at[0])), shift))  # the whitened squares
-        if all(abs(x) <= tolerance * weight[i] * goal for i, x in zip(use, at[0], strict=True)):
+    taken = []
+    off, _, above = after(taken, [[0.0] * k])[0]
+    for _ in range(max_steps):
+        if all(abs(x) <= tolerance * weight[i] * goal for i, x in zip(use, off, strict=True)):
+            break
+        slope = _solve(white, off)
+        scaled = [_solve([[x + ridge * y for x, y in zip(a, w, strict=True)] for a, w in zip(above, white, strict=True)], off) for ridge in RIDGES]
+        tried = [[a * x for x in slope] for a in GRADIENT_LENGTHS] + [[a * x for x in s] for s in scaled for a in SCALED_LENGTHS]
+        tried = [whole(s) for s in tried]
+        found = after(taken, tried)
+        squares = [_dot(f[0], _solve(white, f[0])) for f in found]
+        best = min(range(len(tried)), key=lambda j: squares[j])
+        left = _dot(off, slope)
+        if not squares[best] < left:  # as low as doubles can tell
+            break
+        taken.append(tried[best])
+        off, _, above = found[best]
+        if found[0][1] <= 1e-10 * left:  # the way of the plain gradient step is the projected gradient
             break
-    whole = dict(zip(use, best[1], strict=True))
-    return Rates(start, [whole.get(i, 0.0) for i in range(k)], min_rate)
+    return Rates(start, taken, min_rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | str | None = None,
         min_rate: float = 0.0, **options) -> tuple[DataFrame, list[str]]:
     """(`_row`, `_tokens`, `_p`, rate, copies) of the documents, and the domains of `_p`.
 
-    copies is the rate rounded up or down by a hash of doc_id, so that its mean is the rate."""
+    copies is the rate rounded up or down by a hash of doc_id (of the text where that is null),
+    so that its mean is the rate."""
     model = fit_classifier(docs, labels, **options)
     members = memberships(docs, model)
     rates = fit_rates(members, model.domains, targets or TARGETS, total, min_rate)
     out = members.withColumn("rate", F.round(rates.column(F.col("_p")), 9))
-    chance = F.pmod(F.xxhash64(F.col("_row")["doc_id"], F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
+    row = F.col("_row")
+    drawn = F.when(row["doc_id"].isNotNull(), F.xxhash64(row["doc_id"], F.lit(2))).otherwise(F.xxhash64(row["text"], F.lit(2)))
+    chance = F.pmod(drawn, F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", F.floor(F.col("rate") + chance).cast("int")), model.domains

@@ -172,6 +172,11 @@ def _dot(x: list[float], y: list[float]) -> float:
     return sum(a * b for a, b in zip(x, y, strict=True))
 
 
+def _literal_rows(rows: list[list[float]]) -> Column:
+    """A constant array<array<double>>, parsed from one text."""
+    return F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in r) + ")" for r in rows) + ")")
+
+
 @dataclass(frozen=True)
 class Rates:
     """A rate is `start` after the projected steps: each takes posterior . step off, down to `min_rate` at most."""
@@ -183,7 +188,7 @@ class Rates:
     def column(self, p: Column) -> Column:
         if not self.steps:
             return F.lit(float(self.start))
-        return F.aggregate(F.array(*map(literal_doubles, self.steps)), F.lit(float(self.start)), lambda x, s: F.greatest(
+        return F.aggregate(_literal_rows(self.steps), F.lit(float(self.start)), lambda x, s: F.greatest(
             x - sum((F.get(p, k) * F.get(s, k) for k in range(len(self.steps[0]))), F.lit(0.0)), F.lit(float(self.min_rate))))
 
 
@@ -215,11 +220,10 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
 
     def after(taken, steps):
         """(residual, squared way, Gram matrix of the rows above the bound) where each of `steps` leads from `taken`."""
-        each = F.array(*[F.struct(F.lit(j).alias("j"), literal_doubles(s).alias("s")) for j, s in enumerate(steps)])
         rows = table.select("_t", "_p", Rates(start, taken, min_rate).column(F.col("_p")).alias("_x"))
-        rows = rows.select("_t", "_p", "_x", F.explode(each).alias("_s"))
-        x = F.greatest(F.col("_x") - sum((p[i] * F.get("_s.s", i) for i in use), F.lit(0.0)), F.lit(float(min_rate)))
-        rows = rows.select("_t", "_p", "_x", "_s.j", x.alias("_y"))
+        rows = rows.select("_t", "_p", "_x", F.posexplode(_literal_rows(steps)).alias("j", "_s"))
+        x = F.greatest(F.col("_x") - sum((p[i] * F.get("_s", i) for i in use), F.lit(0.0)), F.lit(float(min_rate)))
+        rows = rows.select("_t", "_p", "_x", "j", x.alias("_y"))
         free = F.when(F.col("_y") > min_rate, F.col("_t")).otherwise(0.0)
         got = rows.groupBy("j").agg(
             F.sum(F.col("_t") * (F.col("_y") - F.col("_x")) ** 2).alias("way"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import STRING_OPERATIONS, java_replacement, literal_pattern, replace_text
-from ..order import POS, carry, with_position
+from ..order import PID, POS, Positions, carry, follow, keep_positions, order_key, positioned
 from ..schema import (OperatorError, as_list, col, dtype_of, is_numeric, is_string, normalize_nan,
                       numeric_columns, require_batch, require_columns, require_numeric,
                       require_string)
@@ -52,15 +52,22 @@ def drop_positions(df: DataFrame, indices, order_by) -> DataFrame:
     idx = [int(i) for i in as_list(indices)]
     if not idx:
         return df
-    pos = with_position(df, order_by, total="_tw_n")
-    n = F.col("_tw_n")
+    known = positioned(df, order_by)
+    n = F.lit(known.total)
     lo, hi = min(idx), max(idx)
     check = F.when((F.lit(hi) >= n) | (F.lit(lo) < -n),
                    F.raise_error(F.lit(f"row positions out of range: {idx}")))
-    targets = [F.when(F.lit(i) < 0, n + F.lit(i)).otherwise(F.lit(i)) for i in idx]
-    keep = ~F.col(POS).isin(*targets)
-    return pos.filter(F.coalesce(check.cast("boolean"), F.lit(True)) & keep).select(
-        *[col(c) for c in df.columns])
+    gone = sorted({i + known.total if i < 0 else i for i in idx})
+    kept = F.coalesce(check.cast("boolean"), F.lit(True)) & ~F.col(POS).isin(gone)
+    keep = [col(c) for c in df.columns]
+
+    def rows(a: int, b: int) -> DataFrame:
+        part = known.rows(a, b + len(gone)).filter(kept)
+        before = F.size(F.filter(F.array(*[F.lit(i).cast("long") for i in gone]), lambda i: i < F.col(POS)))
+        return part.select(*keep, (F.col(POS) - before).alias(POS), PID)
+
+    out = known.rows(0, known.total).filter(kept).select(*keep)
+    return keep_positions(out, Positions(known.key, rows, known.total - len(gone)))
 
 
 def drop_duplicates(df: DataFrame, subset=None, keep="first", order_by=None) -> DataFrame:
@@ -191,7 +198,7 @@ def fill_missing(df: DataFrame, value=None, method: str | None = None, values: d
             raise OperatorError(f"Method '{m}' needs a numeric column: {c}")
     if "interpolate" in plan.values() and interpolate_method not in (None, "linear"):
         raise OperatorError("only linear interpolation is supported")
-    df = out = normalize_nan(df, targets)
+    df = out = follow(df, lambda t: normalize_nan(t, targets), targets)
     stats = _fill_stats(df, {c: m for c, m in plan.items() if m in ("mean", "median", "mode")})
     exprs = {}
     for c, v in const.items():
@@ -200,7 +207,7 @@ def fill_missing(df: DataFrame, value=None, method: str | None = None, values: d
         if v is not None:
             exprs[c] = F.coalesce(col(c), F.lit(v).cast(dtype_of(df, c)))
     if exprs:
-        out = out.withColumns(exprs)
+        out = follow(out, lambda t: t.withColumns(exprs), exprs)
     ordered = {c: m for c, m in plan.items() if m in ("ffill", "bfill", "interpolate")}
     if ordered:
         if order_by is None:
@@ -212,6 +219,8 @@ def fill_missing(df: DataFrame, value=None, method: str | None = None, values: d
 def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
     """ffill / bfill / linear interpolation: one positioned table and the two-phase carry."""
     require_batch(df, "ordered fill")
+    known = positioned(df, order_by) if order_key(order_by) else None
+    df = keep_positions(df, known)
     fwd, bwd = {}, {}
     number = {c: i for i, c in enumerate(plan)}
     for c, m in plan.items():
@@ -224,7 +233,7 @@ def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
                                                        col(c).cast("double").alias("v")))
             fwd[f"_tw_f_{number[c]}"] = pair
             bwd[f"_tw_b_{number[c]}"] = pair
-    cur = carry(df, order_by, fwd, bwd)
+    cur = carry(df, order_by, fwd, bwd, keep_partition=True)
     exprs = {}
     for c, m in plan.items():
         if m == "ffill":
@@ -239,7 +248,11 @@ def _ordered_fill(df: DataFrame, plan: dict[str, str], order_by) -> DataFrame:
             filled = F.when(prev.isNull(), F.lit(None)).when(nxt.isNull(), prev["v"]).otherwise(line)
             exprs[c] = F.coalesce(col(c).cast("double"), filled).cast(
                 dtype_of(df, c) if not isinstance(dtype_of(df, c), T.IntegralType) else "double")
-    return cur.withColumns(exprs).select(*[col(c) for c in df.columns])
+    filled, keep = cur.withColumns(exprs), [col(c) for c in df.columns]
+    out = filled.select(*keep)
+    if known is not None and not known.columns() & set(plan):
+        keep_positions(out, Positions(known.key, lambda lo, hi: filled.select(*keep, POS, PID), known.total))
+    return out
 
 
 def fill_report(before: DataFrame, after: DataFrame, columns=None) -> DataFrame:

@@ -14,7 +14,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..order import POS, group_rank, order_columns, with_position
+from ..order import PID, POS, Positions, group_rank, keep_positions, order_columns, positioned, with_position
 from ..schema import OperatorError, as_list, col, family, require_batch, require_columns
 
 DTYPE_FAMILIES = {"number", "bool", "datetime", "object"}
@@ -299,30 +299,28 @@ def slice_rows(df: DataFrame, start: int | None = 0, end: int | None = None,
     """LIM-3: ``[start:end:step]`` over the rows in ``order_by`` order.
 
     Negative bounds count from the end as in Python; the row count comes
-    from the position pass, so no separate count job runs.
+    from the position pass, so no separate count job runs, and only files
+    that hold positions of the slice are read.
     """
     require_batch(df, "slice_rows")
     step = 1 if step is None else step
     if step == 0:
         raise OperatorError("slice step cannot be zero")
-    pos = with_position(df, order_by, total="_tw_n")
-    p, n = F.col(POS), F.col("_tw_n")
-
-    def norm(v, default):
-        if v is None:
-            return default
-        lit = F.lit(v)
-        return F.when(lit < 0, F.greatest(n + lit, F.lit(-1 if step < 0 else 0))).otherwise(
-            F.least(lit, n if step > 0 else n - 1))
-
-    if step > 0:
-        lo, hi = norm(start, F.lit(0)), norm(end, n)
-        cond = (p >= lo) & (p < hi) & (F.pmod(p - lo, F.lit(step)) == 0)
-    else:
-        hi, lo = norm(start, n - 1), norm(end, F.lit(-1))
-        cond = (p <= hi) & (p > lo) & (F.pmod(hi - p, F.lit(-step)) == 0)
+    known = positioned(df, order_by)
+    lo, hi, _ = slice(start, end, step).indices(known.total)
+    picked = range(lo, hi, step)
+    first, last = (min(picked[0], picked[-1]), max(picked[0], picked[-1])) if picked else (0, -1)
+    p = F.col(POS)
+    cond = (p >= first) & (p <= last) & (F.pmod(p - first, F.lit(abs(step))) == 0)
     keep = [col(c) for c in df.columns] + ([p.alias(position)] if position else [])
-    return pos.filter(cond).select(*keep)
+
+    def rows(a: int, b: int) -> DataFrame:
+        part = known.rows(first + a * step, min(first + (b - 1) * step, last) + 1).filter(cond)
+        return part.select(*keep, ((p - first) / F.lit(step)).cast("long").alias(POS), PID)
+
+    out = known.rows(first, last + 1).filter(cond).select(*keep)
+    # rows taken backwards do not follow the order any more
+    return keep_positions(out, Positions(known.key, rows, len(picked))) if step > 0 and position not in df.columns else out
 
 
 def page(df: DataFrame, page_number: int, page_size: int, order_by) -> DataFrame:

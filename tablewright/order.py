@@ -23,6 +23,12 @@ partition key does exactly that):
    count).  Later scans of the sorted table keep column pruning and filter
    pushdown.
 
+These positions are an index kept beside the table (``Positions``): slices,
+positional drops and ordered fills hand it on to what they return, so that a
+further positional operator in the same order sorts and writes nothing, and
+a slice opens only the files that hold its positions.  ``index_table`` makes
+such a table once for many operators.
+
 ``carry`` uses the file of each row as a block for a two-phase fill: fill
 inside each block, then carry the last (or first) non-null value of
 earlier (or later) blocks across, through a table with one row per block.
@@ -32,6 +38,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +114,71 @@ def _file_order(name: str):
     return (int(m.group(1)) if m else -1, name)
 
 
+@dataclass(frozen=True)
+class Positions:
+    """Row positions kept beside a table.
+
+    ``key`` is the order they follow; ``rows(lo, hi)`` gives the table's columns, ``POS`` and
+    the block ``PID`` of at least the rows at positions ``lo <= p < hi``; ``total`` counts all.
+    """
+
+    key: tuple | None
+    rows: Callable[[int, int], DataFrame]
+    total: int
+
+    def columns(self) -> set[str]:
+        return {name for name, _ in self.key}
+
+
+def order_key(order_by, ascending=True) -> tuple | None:
+    """An order by column names in comparable form; None for orders by expressions."""
+    items = as_list(order_by)
+    asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(items)
+    if not items or any(isinstance(i, Column) for i in items) or len(asc) != len(items):
+        return None
+    return tuple((i, bool(a)) for i, a in zip(items, asc))
+
+
+def positions_of(df: DataFrame, order_by=None, ascending=True) -> Positions | None:
+    """The positions kept beside ``df``, if they follow this order."""
+    known = df.__dict__.get("_tw_positions")
+    return known if known is not None and known.key == order_key(order_by, ascending) else None
+
+
+def keep_positions(df: DataFrame, known: Positions | None) -> DataFrame:
+    if known is not None and known.key is not None:
+        df._tw_positions = known
+    return df
+
+
+def follow(before: DataFrame, change: Callable[[DataFrame], DataFrame], changed) -> DataFrame:
+    """``change(before)``, with the positions of ``before`` where ``change`` works on single rows
+    and alters only the columns ``changed``, none of them a column of the order."""
+    known = before.__dict__.get("_tw_positions")
+    out = change(before)
+    if known is not None and not known.columns() & set(changed):
+        keep_positions(out, Positions(known.key, lambda lo, hi: change(known.rows(lo, hi)), known.total))
+    return out
+
+
+def positioned(df: DataFrame, order_by, ascending=True) -> Positions:
+    """The positions kept beside ``df``, or else those of a sorted and frozen copy."""
+    known = positions_of(df, order_by, ascending)
+    if known is None:
+        spec = order_columns(df, order_by, ascending)
+        # equal keys go on by input place, so that a hot key is spread over range partitions too
+        tied = df.withColumn("_tw_tie", F.monotonically_increasing_id()).orderBy(*spec, "_tw_tie").drop("_tw_tie")
+        known = _frozen_positions(tied, order_key(order_by, ascending))
+    return known
+
+
+def index_table(df: DataFrame, order_by, ascending=True) -> DataFrame:
+    """A frozen copy of ``df`` with its positions beside it: positional operators on it, and on what
+    slices, positional drops and ordered fills make of it, do not sort again."""
+    known = positioned(df, order_by, ascending)
+    return keep_positions(known.rows(0, known.total).select(*[col(c) for c in df.columns]), known)
+
+
 def with_position(df: DataFrame, order_by, ascending=True, name: str = POS,
                   total: str | None = None, keep_partition: bool = False) -> DataFrame:
     """Add the exact 0-based position of every row in ``order_by`` order.
@@ -113,35 +186,50 @@ def with_position(df: DataFrame, order_by, ascending=True, name: str = POS,
     ``total`` optionally names a column holding the table's row count;
     ``keep_partition`` keeps the 0-based file (block) number as ``PID``.
     """
-    spec = order_columns(df, order_by, ascending)
-    # equal keys go on by input place, so that a hot key is spread over range partitions too
-    tied = df.withColumn("_tw_tie", F.monotonically_increasing_id()).orderBy(*spec, "_tw_tie").drop("_tw_tie")
-    return number_rows(tied, name, total, keep_partition)
+    return _named(df, positioned(df, order_by, ascending), name, total, keep_partition)
 
 
 def number_rows(df: DataFrame, name: str = POS, total: str | None = None, keep_partition: bool = False) -> DataFrame:
     """Number the rows of a sorted table (0-based) in the order they are in."""
-    ordered = freeze(df, "order")
+    return _named(df, _frozen_positions(df, None), name, total, keep_partition)
+
+
+def _named(df: DataFrame, known: Positions, name: str, total: str | None, keep_partition: bool) -> DataFrame:
+    extra = [F.lit(known.total).cast("long").alias(total)] if total else []
+    return known.rows(0, known.total).select(
+        *[col(c) for c in df.columns], F.col(POS).alias(name), *extra, *([F.col(PID)] if keep_partition else []))
+
+
+def _frozen_positions(df: DataFrame, key: tuple | None) -> Positions:
+    """Write a sorted table; the row counts of its files are the index."""
+    spark, path = df.sparkSession, scratch_table_path(df, "order")
+    df.write.mode("overwrite").parquet(path)
+    ordered = spark.read.parquet(path)
     fname = F.col("_metadata.file_name")
     counts = sorted(((r[0], r[1]) for r in ordered.groupBy(fname.alias("f")).count().collect()),
                     key=lambda fc: _file_order(fc[0]))
-    offsets, acc = [], 0
+    files, acc = [], 0
     for i, (f, n) in enumerate(counts):
-        offsets.append((f, acc, i))
+        files.append((f, acc, i, n))
         acc += n
-    extra = [F.lit(acc).cast("long").alias(total)] if total else []
-    # one row per written file; Spark decides from its size how to join it
-    offs = df.sparkSession.createDataFrame(offsets, "_tw_f string, _tw_off long, _tw_fi int")
-    tagged = ordered.select(F.col("*"), fname.alias("_tw_fn"), F.col("_metadata.row_index").alias("_tw_ri"))
-    joined = tagged.join(offs, F.col("_tw_fn") == F.col("_tw_f"))
-    cols = [col(c) for c in df.columns] + [(F.col("_tw_off") + F.col("_tw_ri")).alias(name), *extra]
-    if keep_partition:
-        cols.append(F.col("_tw_fi").alias(PID))
-    return joined.select(*cols)
+
+    def rows(lo: int, hi: int) -> DataFrame:
+        wanted = [f for f in files if f[1] < hi and f[1] + f[3] > lo]
+        table = ordered
+        if len(wanted) < len(files):  # the others are not opened
+            table = spark.read.schema(ordered.schema).parquet(*[f"{path}/{f[0]}" for f in wanted or files[:1]])
+        # one row per file; Spark decides from its size how to join it
+        offs = spark.createDataFrame([f[:3] for f in wanted], "_tw_f string, _tw_off long, _tw_fi int")
+        tagged = table.select(F.col("*"), fname.alias("_tw_fn"), F.col("_metadata.row_index").alias("_tw_ri"))
+        joined = tagged.join(offs, F.col("_tw_fn") == F.col("_tw_f"))
+        return joined.select(*[col(c) for c in df.columns], (F.col("_tw_off") + F.col("_tw_ri")).alias(POS),
+                             F.col("_tw_fi").alias(PID))
+
+    return Positions(key, rows, acc)
 
 
 def carry(df: DataFrame, order_by, forward: dict[str, Column] | None = None,
-          backward: dict[str, Column] | None = None, ascending=True) -> DataFrame:
+          backward: dict[str, Column] | None = None, ascending=True, keep_partition: bool = False) -> DataFrame:
     """Carry the last (``forward``) / next (``backward``) non-null value along the order.
 
     ``forward`` / ``backward`` map output names to expressions, evaluated
@@ -179,7 +267,7 @@ def carry(df: DataFrame, order_by, forward: dict[str, Column] | None = None,
         *[F.last(k, ignorenulls=True).over(after).alias(k + "_in") for k in bk])
     joined = inside.join(carried_in, PID)
     return joined.select(
-        *[col(c) for c in df.columns], F.col(POS),
+        *[col(c) for c in df.columns], F.col(POS), *([F.col(PID)] if keep_partition else []),
         *[F.coalesce(F.col(k + "_loc"), F.col(k + "_in")).alias(names[k]) for k in {**fk, **bk}])
 
 

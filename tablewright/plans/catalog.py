@@ -1963,6 +1963,25 @@ def q_multi_step_plan(spark, d):
     return rounded(env["summary"])
 
 
+@register("positional_plan", f"""
+WITH a AS (SELECT event_id, user_id, value, row_number() OVER (ORDER BY event_id) - 1 AS p FROM {EVENTS_N_SQL}),
+s AS (SELECT event_id, user_id, value, row_number() OVER (ORDER BY p) - 1 AS p FROM a WHERE p >= 40 AND p % 2 = 0),
+d AS (SELECT event_id, user_id, value, row_number() OVER (ORDER BY p) - 1 AS p FROM s
+      WHERE p NOT IN (0, 7, 300) AND p <> (SELECT max(p) FROM s)),
+f AS (SELECT event_id, user_id, p, last_value(value IGNORE NULLS) OVER (ORDER BY p) AS value FROM d)
+SELECT event_id, user_id, value FROM f WHERE p >= 5""")
+def q_positional_plan(spark, d):
+    """UDF-3 over LIM-3, FLT-7 and WIN-1: four positional steps on one sorted table."""
+    from .steps import run_steps
+    order = {"order_by": ["event_id"]}
+    env = run_steps({"current": events_n(spark, d).select("event_id", "user_id", "value")}, [
+        {"op": "slice_rows", "args": {"start": 40, "step": 2, **order}},
+        {"op": "drop_rows", "args": {"indices": [0, 7, 300, -1], **order}},
+        {"op": "fill_missing", "args": {"method": "ffill", "columns": ["value"], **order}},
+        {"op": "slice_rows", "args": {"start": 5, "end": None, **order}}])
+    return env["current"]
+
+
 @register("stream_rowwise", """
 SELECT event_id, CASE WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS event_type, value
 FROM events WHERE value > 100""")

@@ -5,7 +5,8 @@ A plan is a list of steps ``{"op": name, "args": {...}, "input": table or
 optimises the whole chain at once.  Steps that read their input more than once
 (``STATISTICS``) would run all steps before them every time: such an input is
 written once (``freeze``) before the first step that needs it, and every later
-step starts from there.  Operators are looked up by name in a registry; no code
+step starts from there.  Positional steps in one order (slices, positional
+drops, ordered fills) share one sorted and written table.  Operators are looked up by name in a registry; no code
 strings are executed.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..operators import aggregate, analytics, charts, cleaning, joins, selection, transform
-from ..order import freeze
+from ..order import freeze, positions_of
 from ..schema import OperatorError
 
 REGISTRY: dict[str, Callable] = {
@@ -67,7 +68,8 @@ def run_steps(tables: dict[str, DataFrame], steps: list[dict],
             raise OperatorError(f"step {i}: unknown operator '{name}'")
         inputs = step.get("input", "current")
         args = dict(step.get("args", {}))
-        if name in STATISTICS and isinstance(inputs, str) and inputs in made and inputs in env:
+        if (name in STATISTICS and isinstance(inputs, str) and inputs in made and inputs in env
+                and positions_of(env[inputs], args.get("order_by")) is None):
             env[inputs] = freeze(env[inputs], "step")
             made.discard(inputs)
         if isinstance(inputs, (list, tuple)):

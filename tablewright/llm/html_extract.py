@@ -3,17 +3,22 @@
 A page becomes a tree of block elements and of the text runs between them.  Each
 node has features: subtree density, links, punctuation, attribute tokens, depth
 and siblings.  Gradient-boosted trees, fitted on a bounded sample of pages
-(`max_pages`, `max_nodes` a page), score how likely a node is main text; the
-sample is labelled by the pages' own markup (article against nav, footer, ad
-and the like), and every node enters a second time without its markup, so that
-density and siblings carry pages whose markup says nothing, and a third time as if
+(`max_pages`, `max_nodes` a page), score how likely a node is main text.  Given the
+documents that the pages were made from, a text run is labelled by whether its
+document holds it, and a container by most of its labelled characters, so that no label
+follows from a feature; without documents the pages' own markup labels them (article
+against nav, footer, ad and the like).  Half of the training is the nodes without
+their markup, so that density and siblings carry pages whose markup says nothing, a
+quarter the nodes as they are and a quarter the nodes as if
 under marked other content.  Decoding is
 hierarchical: over all choices in which nothing below a dropped node is kept,
 the one of the greatest summed score is taken, bottom up.
 
 Defined results: null or empty html has empty text; broken, truncated or
 unclosed markup is closed as browsers do in the common cases; repeated rows are
-each extracted; an empty table gives an empty result.
+each extracted; very long html is one page in memory of one task; of equal sums
+decoding keeps less; white space is what `str.split` takes for it, no-break space
+included; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .url_filter import document_number
+
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section select "
@@ -258,23 +265,57 @@ class Trees:
         return out
 
 
-def training_nodes(pages: DataFrame, max_pages: int = 500, max_nodes: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Features and markup labels of the sample: at most `max_pages` pages (those of the smallest
-    hash of page_id) and `max_nodes` nodes of each, so the driver gets a bounded number of rows."""
+def markup_labels(page: Page, f: np.ndarray, text: str | None) -> np.ndarray:
+    """1 main text, 0 other, -1 unknown, of each node by the nearest mark above it."""
+    mark = f[:, FEATURES.index("nearest_mark")]
+    if 1 not in page.mark:
+        return np.full(len(f), -1)
+    return np.where(mark == 0, -1, (mark > 0) & (f[:, FEATURES.index("under_other")] == 0))
+
+
+def aligned_labels(page: Page, f: np.ndarray, text: str | None, min_words: int = 3) -> np.ndarray:
+    """1 main text, 0 other, -1 unknown: a run by whether the document's text holds it (unknown, if
+    it is found but under `min_words` words), a container by most of its labelled characters."""
+    if not text:
+        return np.full(len(f), -1)
+    words = " ".join(text.split())
+    label = np.array([-1 if not t else 0 if t not in words else 1 if t.count(" ") >= min_words - 1 else -1 for t in page.text])
+    size = np.array([len(t) for t in page.text])
+    main, known = np.where(label == 1, size, 0), np.where(label >= 0, size, 0)
+    for i in range(len(label) - 1, 0, -1):
+        main[page.parent[i]] += main[i]
+        known[page.parent[i]] += known[i]
+    return np.where(size > 0, label, np.where(known > 0, 2 * main > known, -1))
+
+
+def training_nodes(pages: DataFrame, documents: DataFrame | None = None, max_pages: int = 500,
+                   max_nodes: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the sample: at most `max_pages` pages (those of the smallest hash of
+    page_id; of a repeated page_id one) and `max_nodes` labelled nodes of each, so the driver gets
+    a bounded number of rows.  A page's document is the one that its url names."""
     chosen = pages.select(F.col("page_id").alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_pages)
-    rows = pages.join(F.broadcast(chosen), F.col("page_id") == F.col("_id")).select(F.col("html").cast("string"))
+    rows = pages.join(F.broadcast(chosen), F.col("page_id") == F.col("_id"))
+    rows = rows.groupBy("_id").agg(F.min(F.struct(F.col("html").cast("string").alias("html"), document_number(F.col("url")).alias("doc"))).alias("p"))
+    rows, labels = rows.select("p.html", "p.doc"), markup_labels
+    if documents is not None:
+        labels = aligned_labels
+        named = [r[0] for r in rows.select("doc").where("doc is not null").distinct().collect()]  # one a sampled page at most
+        texts = documents.where(F.col("doc_id").isin(named)).groupBy(F.col("doc_id").cast("long").alias("doc")).agg(
+            F.min(F.col("text").cast("string")).alias("text"))
+        rows = rows.join(texts, "doc").select("html", "text")
+    else:
+        rows = rows.select("html", F.lit(None).cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
             x, y = [], []
-            for source in b.column(0):
-                page = Page(source.as_py() or "")
-                if 1 not in page.mark:
-                    continue
+            for source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                page = Page(source or "")
                 f = page.features()
-                at = np.flatnonzero(f[:, FEATURES.index("nearest_mark")] != 0)[:max_nodes]
+                label = labels(page, f, text)
+                at = np.flatnonzero(label >= 0)[:max_nodes]
                 x.append(f[at])
-                y += [int(f[i, FEATURES.index("nearest_mark")] > 0 and not f[i, FEATURES.index("under_other")]) for i in at]
+                y += label[at].tolist()
             if y:
                 yield pa.RecordBatch.from_arrays([pa.array(list(np.concatenate(x)), pa.list_(pa.float32())), pa.array(y, pa.int32())], ["x", "y"])
 
@@ -287,15 +328,18 @@ def training_nodes(pages: DataFrame, max_pages: int = 500, max_nodes: int = 400)
     return x[order], y[order]
 
 
-def fit(pages: DataFrame, max_pages: int = 500, max_nodes: int = 400) -> Trees | None:
-    """The trees, or None if no sampled page has markup to learn from."""
-    x, y = training_nodes(pages, max_pages, max_nodes)
+def fit(pages: DataFrame, documents: DataFrame | None = None, max_pages: int = 500, max_nodes: int = 400) -> Trees | None:
+    """The trees, or None if the sample has nothing to learn from.  Where no sampled page names
+    a document with text, labels are those of the markup."""
+    x, y = training_nodes(pages, documents, max_pages, max_nodes)
+    if documents is not None and not 0 < y.sum() < len(y):
+        x, y = training_nodes(pages, None, max_pages, max_nodes)
     if not len(y):
         return None
     plain, other = x.copy(), x.copy()
     plain[:, MARKUP] = 0
     other[:, MARKUP] = (0, 0, -1, 1)  # whatever stands in a marked notice or the like is not main text
-    return Trees(np.concatenate([x, plain, other]), np.concatenate([y, y, 0 * y]))
+    return Trees(np.concatenate([x, plain, plain, other]), np.concatenate([y, y, y, 0 * y]))
 
 
 def extract_texts(sources: list[str | None], model: Trees | None) -> list[str]:

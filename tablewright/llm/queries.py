@@ -41,7 +41,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
-    out = html_extract.extract(pages, html_extract.fit(pages), ["page_id", "url"])
+    out = html_extract.extract(pages, html_extract.fit(pages, load(spark, sf_dir, "documents")), ["page_id", "url"])
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -50,8 +50,9 @@ def varied(doc_id: int | None, text: str | None, least: int = LEAST, every: int
     low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     runs = Counter(re.findall("[a-zÀ-ÿ]{%d,}" % least, low))
     first = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run in [r for r in runs if zlib.crc32(r.encode(), first) % every == 0]:
-        n, at = runs.pop(run), zlib.crc32(run.encode(), first) % len(run)
+    # all such runs are taken out first: what one has become may be spelled like another of them
+    for run, n in [(r, runs.pop(r)) for r in list(runs) if zlib.crc32(r.encode(), first) % every == 0]:
+        at = zlib.crc32(run.encode(), first) % len(run)
         if len(run) > least:
             runs[run[:at] + run[at + 1:]] += n
     return runs
@@ -79,25 +80,22 @@ def vocabulary(docs: DataFrame, least: int = LEAST, min_count: int = 2, hold: in
 
 
 class Acceptors:
-    """Minimised acceptors of finite word sets; equal states are one number across all of them."""
+    """Minimised acceptors of finite word sets; equal states are one number across all of them.
+    Nothing here recurses: a word may have any length."""
 
     def __init__(self):
         self.arcs: list[dict[str, int]] = []  # of each state: code point -> state
         self.final: list[bool] = []
         self._number: dict = {}
-        self._all: dict[int, list[str]] = {}
-        self._both: dict[tuple[int, int], list[str]] = {}
-
-    def add(self, words: list[str], at: int = 0) -> int:
-        """The state that accepts what the words (sorted, different) have from place `at` on."""
-        final = len(words[0]) == at
-        arcs, i = {}, int(final)
-        while i < len(words):
-            c, j = words[i][at], i + 1
-            while j < len(words) and words[j][at] == c:
-                j += 1
-            arcs[c] = self.add(words[i:j], at + 1)
-            i = j
+        self._both: dict[tuple[int, int, str], list[str]] = {}
+
+    def _close(self, path: list, word: str, upto: int) -> None:
+        """Number the states along `word` behind its place `upto`; nothing is added to them any more."""
+        while len(path) - 1 > upto:
+            final, arcs = path.pop()
+            path[-1][1][word[len(path) - 1]] = self._state(final, arcs)
+
+    def _state(self, final: bool, arcs: dict[str, int]) -> int:
         key = (final, *arcs.items())
         state = self._number.get(key)
         if state is None:
@@ -106,45 +104,75 @@ class Acceptors:
             self.final.append(final)
         return state
 
+    def add(self, words: list[str]) -> int:
+        """The state that accepts the words (sorted, different)."""
+        path: list = [[False, {}]]  # the open states along the last word: [final, arcs]
+        last = ""
+        for w in words:
+            same = 0
+            for c, d in zip(last, w):
+                if c != d:
+                    break
+                same += 1
+            self._close(path, last, same)
+            path += [[False, {}] for _ in range(len(w) - same)]
+            path[-1][0] = True
+            last = w
+        self._close(path, last, 0)
+        return self._state(*path[0])
+
     def rest(self, p: int) -> list[str]:
         """All strings accepted from p."""
-        if p not in self._all:
-            self._all[p] = [""] * self.final[p] + [c + y for c, q in self.arcs[p].items() for y in self.rest(q)]
-        return self._all[p]
-
-    def common(self, p: int, q: int) -> list[str]:
-        """All strings accepted from both: the composition behind the edit."""
-        if p == q:
-            return self.rest(p)
-        key = (p, q) if p < q else (q, p)
-        if key not in self._both:
-            a, b = self.arcs[p], self.arcs[q]
-            if len(b) < len(a):
-                a, b = b, a
-            self._both[key] = [""] * (self.final[p] and self.final[q]) + [
-                c + y for c, x in a.items() if c in b for y in self.common(x, b[c])]
-        return self._both[key]
-
-    def replaced(self, p: int, q: int, x: str = ""):
-        """Pairs of words from p and from q that differ in one replaced code point; from p = q each once."""
+        return self.common(p, p)
+
+    def common(self, p: int, q: int, but: str = "") -> list[str]:
+        """All strings accepted from both, but for those that begin with `but`: the composition behind the edit."""
+        key = (p, q, but) if p < q else (q, p, but)
+        if key in self._both:
+            return self._both[key]
+        out = self._both[key] = [""] * (self.final[p] and self.final[q])
+        read: list[str] = []  # the code points on the way to the pair of states at work
+        todo = self._onward(p, q, 0, but)
+        while todo:
+            p, q, depth, c = todo.pop()
+            read[depth:] = c
+            if self.final[p] and self.final[q]:
+                out.append("".join(read))
+            todo += self._onward(p, q, depth + 1)
+        return out
+
+    def _onward(self, p: int, q: int, depth: int, but: str = "") -> list[tuple[int, int, int, str]]:
+        """The pairs of states one code point behind (p, q)."""
         a, b = self.arcs[p], self.arcs[q]
-        for c, p1 in a.items():
-            if c in b:
-                yield from self.replaced(p1, b[c], x + c)
-            for d, q1 in b.items():
-                if c < d or c != d and p != q:
-                    for y in self.common(p1, q1):
-                        yield x + c + y, x + d + y
+        if p != q and a.keys().isdisjoint(b):
+            return []
+        return [(x, b[c], depth, c) for c, x in a.items() if c in b and c != but]
 
-    def inserted(self, p: int, q: int, x: str = ""):
+    def replaced(self, p: int, q: int):
+        """Pairs of words from p and from q that differ in one replaced code point; from p = q each once."""
+        todo = [(p, q, "")]
+        while todo:
+            p, q, x = todo.pop()
+            a, b = self.arcs[p], self.arcs[q]
+            for c, p1 in a.items():
+                if c in b:
+                    todo.append((p1, b[c], x + c))
+                for d, q1 in b.items():
+                    if c < d or c != d and p != q:
+                        for y in self.common(p1, q1):
+                            yield x + c + y, x + d + y
+
+    def inserted(self, p: int, q: int):
         """Pairs of a word from p and one from q that has one more code point, set in as far
         behind as it can stand, so that each pair comes once."""
-        a, b = self.arcs[p], self.arcs[q]
-        for d, q1 in b.items():
-            if d in a:
-                yield from self.inserted(a[d], q1, x + d)
-            for y in self.common(p, q1):
-                if y[:1] != d:
+        todo = [(p, q, "")]
+        while todo:
+            p, q, x = todo.pop()
+            a, b = self.arcs[p], self.arcs[q]
+            for d, q1 in b.items():
+                if d in a:
+                    todo.append((a[d], q1, x + d))
+                for y in self.common(p, q1, d):
                     yield x + y, x + d + y
 
 

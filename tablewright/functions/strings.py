@@ -1,15 +1,18 @@
 """String column functions (STR-1..5), all JVM-side except NFKD.
 
 Spark has no Unicode normalisation function, so ``normalize_ascii`` is the
-one Arrow-batched pandas UDF of the library; everything else is built from
-built-in expressions and stays inside whole-stage codegen.
+one Arrow UDF of the library; everything else is built from built-in
+expressions and stays inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +42,21 @@ def title_case(c: Column) -> Column:
     return F.regexp_replace(F.initcap(marked), TITLE_MARK + " ", "")
 
 
-@F.pandas_udf(T.StringType())
-def _nfkd_ascii(s: pd.Series) -> pd.Series:
-    return (s.str.normalize("NFKD").str.encode("ascii", errors="ignore")
-            .str.decode("ascii"))
+@F.arrow_udf(T.StringType())
+def _nfkd_ascii(texts: pa.Array) -> pa.Array:
+    # a slice of about a megabyte at a time: as Python strings, in all their forms, a whole
+    # batch takes many times its own room; ASCII slices are their own result
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    parts, i = [], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), "right")))
+        part = texts.slice(i, j - i)
+        if not pc.all(pc.string_is_ascii(part), min_count=0).as_py():
+            part = pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+                             for t in part.to_pylist()], pa.string())
+        parts.append(part.cast(pa.string()))
+        i = j
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def normalize_ascii(c: Column) -> Column:
